@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise, words
+from fieldtrace.llm.common import materialise, shuffle_partitions, words
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 1_000_000
@@ -106,6 +106,7 @@ def mix_sources(
     per_cell = sainte_lague(cells.join(per_source, "src").withColumn("blocks_w", F.col("blocks").cast("double")).select("src", "shard", "cell_words", "blocks", "blocks_w", "seats"), "blocks_w", "seats", ["src"], "shard")
     per_cell = per_cell.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * max_repeat))
 
+    per_cell = per_cell.repartition(shuffle_partitions(docs.sparkSession), "src", "shard")  # before the blocks come out, not after
     blocks = per_cell.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     drawn = Window.partitionBy("src", "shard").orderBy(_seeded(seed + 2, F.col("src"), F.col("shard"), F.col("block")), "block")
     along = Window.partitionBy("src", "shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,20 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import licenses, mixing
+from fieldtrace.llm import bpe, licenses, mixing, quality_classifier, quality_rules, toxicity
 from fieldtrace.llm.common import read_table
 
 
+#: The vocabulary of the BPE query.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode and digest every text of ``docs``."""
+    ranks = public_tokenizers.path(RANKS)
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_license_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op3_byte_bpe, op5_license_scan, op6_quality_classifier, op8_quality_rules, op9_toxicity, op10_source_mix)}
