@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, licenses, mixing, quality_classifier, quality_rules, toxicity
+from fieldtrace.llm import bpe, licenses, mixing, ngram_join, quality_classifier, quality_rules, toxicity
 from fieldtrace.llm.common import read_table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 #: The vocabulary of the BPE query.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,4 +51,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_license_scan, op6_quality_classifier, op8_quality_rules, op9_toxicity, op10_source_mix)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_byte_bpe, op5_license_scan, op6_quality_classifier, op8_quality_rules, op9_toxicity, op10_source_mix)}
