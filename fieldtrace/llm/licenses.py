@@ -57,44 +57,60 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—\xA0]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text, line by line: lower case, no copyright lines, words parted by spaces.
+def plain(low: Column) -> Column:
+    """Lower-case text without copyright lines and punctuation: words parted by one space, lines by line feeds."""
+    cited = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+    x = F.when(cited, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)
+    return F.regexp_replace(x, PUNCTUATION, " ")
 
-    Null counts as empty. Lines stay apart by line feeds, so that one pass serves whole texts and single lines.
-    """
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
-    # Two spaces between words and at both ends of a line: each word then owns one on either side.
-    x = F.regexp_replace(x, PUNCTUATION, "  ")
-    x = F.regexp_replace(F.concat(F.lit("\n"), x, F.lit("\n")), r" *\n *", " \n ")
+
+def one_line(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"[ \n]+", " "))
+
+
+def n_words(x: Column) -> Column:
+    """Words of a text that has one space between words."""
+    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+
+
+def spelled(x: Column) -> Column:
+    """Equivalent spellings made one; each replaces a word by a word, so counts of words stay."""
+    x = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))
     for written, same in EQUIVALENT_SPELLINGS:
         x = F.replace(x, F.lit(f" {written} "), F.lit(f" {same} "))
-    return x
+    return F.trim(F.replace(x, F.lit("  "), F.lit(" ")))
 
 
-def whole(canon: Column) -> Column:
-    """The canonical form of the entire text on one line."""
-    return F.trim(F.regexp_replace(canon, r"[ \n]+", " "))
+def digest(unit: Column) -> Column:
+    return F.sha2(spelled(unit), 256)
 
 
 def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``digest, license_id`` of known licence texts; of texts with one digest the first identifier counts."""
+    """``digest, license_id, n_words`` of known licence texts; of texts with one digest the first identifier counts."""
     rows = spark.createDataFrame(licenses or KNOWN_LICENSES, "license_id string, license_text string")
-    return rows.select(F.sha2(whole(canonical(F.col("license_text"))), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    unit = one_line(plain(F.lower("license_text")))
+    return rows.select(digest(unit).alias("digest"), "license_id", n_words(unit).alias("n_words")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("n_words").alias("n_words"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Licences that are the entire text, or an entire line, of a document.
 
-    ``docs`` has ``doc_id, text``; other columns are ignored. ``known`` has ``digest, license_id``: a registry whose
-    size does not depend on the documents. One row per distinct (doc_id, canonical text): ``doc_id, text_digest``
-    (SHA-256 of the canonical entire text), ``text_license`` (null if unknown), ``line_licenses`` (identifiers found
-    as entire lines, sorted, comma between; '' if none). Null and empty texts have the digest of the empty text and
-    no licence. An empty table gives an empty table; repeated equal rows come out once.
+    ``docs`` has ``doc_id, text``; other columns are ignored. ``known`` has ``digest, license_id, n_words``: a
+    registry whose size does not depend on the documents. One row per doc_id: ``doc_id, text_license`` (null if the
+    entire text is no known licence) and ``line_licenses`` (identifiers found as entire lines, sorted, comma between;
+    '' if none). Null and empty texts have no licence. An empty table gives an empty table; rows that share a doc_id
+    count as one document. Only texts and lines with as many words as a known licence are spelled and digested: no
+    other can have its digest.
     """
-    canon = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    units = canon.select("doc_id", F.sha2(whole(F.col("canon")), 256).alias("text_digest"), F.explode(F.array_distinct(F.split(F.col("canon"), "\n"))).alias("line"))
-    units = units.select("doc_id", "text_digest", F.sha2(F.trim(F.replace("line", F.lit("  "), F.lit(" "))), 256).alias("line_digest"))
-    lines = F.broadcast(known.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("line_license")))
-    texts = F.broadcast(known.select(F.col("digest").alias("text_digest"), F.col("license_id").alias("text_license")))
-    found = units.join(lines, "line_digest", "left").groupBy("doc_id", "text_digest").agg(F.concat_ws(",", F.array_sort(F.collect_set("line_license"))).alias("line_licenses"))
-    return found.join(texts, "text_digest", "left").select("doc_id", "text_digest", "text_license", "line_licenses")
+    sizes = [r["n_words"] for r in known.select("n_words").distinct().collect()]  # a handful, whatever the documents
+    # explode() of one value keeps the text from being computed once for each use
+    low = docs.select("doc_id", F.explode(F.array(F.lower(F.coalesce("text", F.lit(""))))).alias("low"))
+    text = low.select("doc_id", F.explode(F.array(plain(F.col("low")))).alias("x"))
+    lines = F.transform(F.array_distinct(F.split("x", "\n")), lambda x: F.struct(F.lit(False).alias("whole"), F.trim(x).alias("unit")))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), one_line(F.col("x")).alias("unit")))
+    units = text.select("doc_id", F.explode_outer(F.filter(F.concat(whole, lines), lambda u: n_words(u["unit"]).isin(sizes))).alias("u"))
+    units = units.select("doc_id", "u.whole", F.when(F.col("u").isNotNull(), digest(F.col("u.unit"))).alias("digest"))
+    return (
+        units.join(F.broadcast(known.drop("n_words")), "digest", "left").groupBy("doc_id")
+        .agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id"))))).alias("line_licenses"))
+    )

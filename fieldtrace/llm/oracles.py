@@ -10,31 +10,31 @@ def _quoted(s: str) -> str:
 
 
 def _license_scan() -> str:
-    def canon(x: str) -> str:
+    def plain(x: str) -> str:
         x = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
-        x = f"regexp_replace({x}, {_quoted(licenses.PUNCTUATION.replace(chr(92) + 'xA0', chr(160)))}, '  ', 'g')"
-        x = f"regexp_replace(chr(10) || {x} || chr(10), ' *\\n *', ' ' || chr(10) || ' ', 'g')"
+        return f"regexp_replace({x}, {_quoted(licenses.PUNCTUATION.replace(chr(92) + 'xA0', chr(160)))}, ' ', 'g')"
+
+    def digest(x: str) -> str:
+        x = f"' ' || replace(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' '), ' ', '  ') || ' '"
         for written, same in licenses.EQUIVALENT_SPELLINGS:
             x = f"replace({x}, ' {written} ', ' {same} ')"
-        return x
-
-    def whole(x: str) -> str:
-        return f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' ')"
+        return f"sha256(trim(replace({x}, '  ', ' '), ' '))"
 
     known = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.KNOWN_LICENSES)
     return f"""
 WITH known AS (
-  SELECT sha256({whole(canon('t'))}) AS digest, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1
-), canon AS (
-  SELECT doc_id, {canon('text')} AS c FROM documents
+  SELECT {digest(plain('t'))} AS digest, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1
+), plain AS (
+  SELECT doc_id, {plain('text')} AS x FROM documents
 ), units AS (
-  SELECT doc_id, sha256({whole('c')}) AS text_digest, unnest(list_distinct(string_split(c, chr(10)))) AS line FROM canon
+  SELECT doc_id, unnest(list_distinct(string_split(x, chr(10)))) AS line FROM plain
+), texts AS (
+  SELECT p.doc_id, min(k.license_id) AS text_license FROM plain p LEFT JOIN known k ON {digest('p.x')} = k.digest GROUP BY 1
 ), lines AS (
-  SELECT u.doc_id, u.text_digest, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS ids
-  FROM units u LEFT JOIN known k ON sha256(trim(replace(u.line, '  ', ' '), ' ')) = k.digest GROUP BY 1, 2
+  SELECT u.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS ids
+  FROM units u LEFT JOIN known k ON {digest('u.line')} = k.digest GROUP BY 1
 )
-SELECT l.doc_id, l.text_digest, k.license_id AS text_license, coalesce(l.ids, '') AS line_licenses
-FROM lines l LEFT JOIN known k ON l.text_digest = k.digest"""
+SELECT t.doc_id, t.text_license, coalesce(l.ids, '') AS line_licenses FROM texts t JOIN lines l USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
