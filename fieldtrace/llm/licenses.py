@@ -53,24 +53,24 @@ KNOWN_LICENSES = [
 
 #: A line that begins with "copyright", "(c)" or the sign; what it says differs with each work.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-#: Control characters but the line feed, ASCII punctuation and the typographic quotes and dashes.
-PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F“”‘’–—\xA0]+"
+#: Control characters but the line feed, space and ASCII punctuation, the typographic quotes and dashes, the fixed space.
+PUNCTUATION = "".join(chr(c) for c in range(1, 128) if c != 10 and not chr(c).isalnum()) + "“”‘’–—\xa0"
 
 
 def plain(low: Column) -> Column:
     """Lower-case text without copyright lines and punctuation: words parted by one space, lines by line feeds."""
     cited = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
     x = F.when(cited, F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)
-    return F.regexp_replace(x, PUNCTUATION, " ")
+    return F.regexp_replace(F.translate(x, PUNCTUATION, " " * len(PUNCTUATION)), " {2,}", " ")
 
 
 def one_line(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(F.replace(x, F.lit("\n"), F.lit(" ")), " {2,}", " "))
 
 
 def n_words(x: Column) -> Column:
     """Words of a text that has one space between words."""
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    return F.size(F.split(x, " "))
 
 
 def spelled(x: Column) -> Column:

@@ -12,7 +12,7 @@ def _quoted(s: str) -> str:
 def _license_scan() -> str:
     def plain(x: str) -> str:
         x = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
-        return f"regexp_replace({x}, {_quoted(licenses.PUNCTUATION.replace(chr(92) + 'xA0', chr(160)))}, ' ', 'g')"
+        return f"regexp_replace({x}, '[\\x01-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F“”‘’–—{chr(160)}]+', ' ', 'g')"
 
     def digest(x: str) -> str:
         x = f"' ' || replace(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' '), ' ', '  ') || ' '"
