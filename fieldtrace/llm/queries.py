@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldtrace.llm import bpe, licenses, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from fieldtrace.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity
 from fieldtrace.llm.common import read_table
 
 
@@ -15,6 +16,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    gone = line_dedup.removed_lines(docs).select("doc_id", "n_removed", F.concat_ws(",", F.transform("nos", lambda i: i.cast("string"))).alias("removed"))
+    every = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long").alias("n_lines"))
+    return every.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+
+
 #: The vocabulary of the BPE query.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,6 +45,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -51,4 +63,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_byte_bpe, op5_license_scan, op6_quality_classifier, op8_quality_rules, op9_toxicity, op10_source_mix)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_byte_bpe, op5_license_scan, op6_quality_classifier, op7_embedding_dedup, op8_quality_rules, op9_toxicity, op10_source_mix)}
