@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise, shuffle_partitions
+from fieldtrace.llm.common import shuffle_partitions
 
 CHUNK_CHARS = 6_000_000
 
@@ -64,11 +64,15 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Bytes of an array, plane after plane, compressed: the high bytes of small numbers vanish."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) if len(a) else b""
 
 
 def _unpack(b: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
+    if not b:
+        return np.empty(0, dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -85,8 +89,13 @@ def _unpack_words(blob: bytes, n: int) -> list[bytes]:
 CHUNKS = "chunk string, bucket int, n int, words binary, docs binary, lengths binary, tokens binary"
 
 
-def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int) -> DataFrame:
-    """A row for each bucket that a chunk asks (``words``), and a row with bucket -1 for the chunk's own texts."""
+def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int, texts: bool) -> DataFrame:
+    """Chunks of texts, cut into pre-tokens.
+
+    ``texts`` false: a row for each bucket that a chunk asks, with its ``words``. ``texts`` true: a row for each chunk,
+    with the numbers of its pre-tokens by position and where each number's answer will be. Both are computed from
+    the same rows in the same order, which is far less than writing down either.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -104,14 +113,17 @@ def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int) -> Da
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)  # answers come in this order
-            stream = place[np.concatenate(tokens)] if words else np.empty(0, np.uint32)
-            rows = [(-1, len(ids), b"", _pack(np.array(ids, "<i8")), _pack(np.array(lengths, "<u4")), _pack(stream.astype("<u4")))]
-            used, starts = np.unique(bucket[order], return_index=True)
-            for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
-                rows.append((k, b - a, _pack_words([words[j] for j in order[a:b].tolist()]), b"", b"", b""))
+            rows = []
+            if texts:
+                rows.append((-1, len(words), _pack(place), _pack(np.array(ids, "<i8")), _pack(np.array(lengths, "<u4")), _pack(np.concatenate(tokens).astype("<u4"))))
+            else:
+                used, starts = np.unique(bucket[order], return_index=True)
+                for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
+                    rows.append((k, b - a, _pack_words([words[j] for j in order[a:b].tolist()]), b"", b"", b""))
             name = f"{task}-{made}"
             made += 1
-            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", "docs", "lengths", "tokens"), 2)}})
+            if rows:
+                yield pa.RecordBatch.from_pydict({"chunk": [name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", "docs", "lengths", "tokens"), 2)}})
             number.clear()
             ids.clear(), lengths.clear(), tokens.clear()
             chars = 0
@@ -136,12 +148,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
 
     Ids are those of the ranks, each match of ``pattern`` by itself, no special tokens. Null and empty texts have no
     ids. Repeated rows, and rows that share a ``doc_id``, are encoded each for itself. An empty table gives an empty
-    table. Other columns are ignored. ``ranks_path`` is read on the driver and sent to the tasks: its size is that of
+    table. Other columns are ignored. ``docs`` must come from a table: its rows are read twice and must come in the same
+    order. ``ranks_path`` is read on the driver and sent to the tasks: its size is that of
     the vocabulary.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    chunks = materialise(_chunks(docs, pattern, shuffle_partitions(spark), chunk_chars), "bpe-chunks")
+    buckets = shuffle_partitions(spark)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = sent.value, {}  # the partition's buckets: a share of the distinct words
@@ -156,9 +169,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
                     out.append(ids)
                 yield pa.RecordBatch.from_pydict({"chunk": [r["chunk"]], "bucket": pa.array([r["bucket"]], pa.int32()), "n": pa.array([r["n"]], pa.int32()), "sizes": pa.array([_pack(np.array(sizes, "<u4"))], pa.binary()), "ids": pa.array([_pack(np.frombuffer(b"".join(out), "<u4"))], pa.binary())})
 
-    asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "n", "words").repartition(shuffle_partitions(spark), "bucket")
+    asked = _chunks(docs, pattern, buckets, chunk_chars, False).select("chunk", "bucket", "n", "words").repartition(buckets, "bucket")
     answers = asked.mapInArrow(answer, "chunk string, bucket int, n int, sizes binary, ids binary")
-    texts = chunks.filter("bucket = -1").select("chunk", "docs", "lengths", "tokens")
+    texts = _chunks(docs, pattern, buckets, chunk_chars, True).select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
@@ -167,7 +180,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
         starts = np.cumsum(sizes) - sizes
         tables = []
         for r in left.to_pylist():
-            docs_, lengths, tokens = _unpack(r["docs"], "<i8"), _unpack(r["lengths"], "<u4"), _unpack(r["tokens"], "<u4").astype(np.int64)
+            if len(sizes) != r["n"]:
+                raise ValueError("a chunk and the answers to it differ: its rows must come from a table that reads the same each time")
+            docs_, lengths = _unpack(r["docs"], "<i8"), _unpack(r["lengths"], "<u4")
+            tokens = _unpack(r["places"], "<u4")[_unpack(r["tokens"], "<u4")].astype(np.int64)
             each = sizes[tokens]
             ends = np.cumsum(each)
             ids = flat[np.repeat(starts[tokens] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
