@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from fieldtrace.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
 from fieldtrace.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.removed_bytes(read_table(spark, sf_dir, "documents")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
@@ -63,4 +67,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_byte_bpe, op5_license_scan, op6_quality_classifier, op7_embedding_dedup, op8_quality_rules, op9_toxicity, op10_source_mix)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_embedding_dedup, op8_quality_rules, op9_toxicity, op10_source_mix)}
