@@ -25,7 +25,7 @@ LENGTH, ANCHOR = 50, 32
 CHUNK_BYTES = 6_000_000
 #: Cells of the table that marks shared anchors: a fixed size; where anchors outnumber cells, more contexts are sent.
 CELLS = 1 << 26
-SHARD_BYTES = 8_000_000
+SHARDS = 4
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -38,7 +38,7 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     t = np.append(text.astype(np.int32) + 1, 0)  # a sentinel below all
     step = np.sign(t[1:] - t[:-1])
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     smaller = np.append(np.append(step, -1)[nearest] > 0, True)  # the suffix is smaller than the next one
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
@@ -48,7 +48,7 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
     starts = ends - counts
 
     def induce(order: np.ndarray) -> np.ndarray:
-        sa = np.full(n + 1, -1, np.int64)
+        sa = np.full(n + 1, -1, np.int32)
         letters = t[order]
         held = np.bincount(letters, minlength=size)
         by = np.argsort(letters, kind="stable")
@@ -209,13 +209,14 @@ def _found(begin: np.ndarray, raw: np.ndarray, length: int, k: int) -> tuple[np.
     return pos[ok], h[ok], doc[ok]
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cells: int = CELLS, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cells: int = CELLS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, starts array<int>, masks array<long>``: windows of a document that also start in a smaller document.
 
     Bit b of a mask stands for the window that begins b bytes after the start beside it.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
+    shards = SHARDS * buckets  # the suffix arrays of a task are built one after the other
     shift = np.uint64(64 - int(cells).bit_length() + 1)
     table = docs.select(F.col("doc_id").cast("long"), "text")
 
@@ -225,11 +226,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
-            often = np.zeros(len(h), bool)
-            often[1:] = ~new[1:] & (doc[1:] != doc[:-1])
-            group = np.cumsum(new) - 1
-            many = np.zeros(int(new.sum()), bool)
-            np.logical_or.at(many, group[often], True)
+            other = np.append(False, doc[1:] != doc[:-1]) & ~new if len(h) else new
+            many = np.logical_or.reduceat(other, np.flatnonzero(new)) if len(h) else new
             h = h[new] >> np.uint64(16)
             cut = np.searchsorted(h, np.array([(b << 48) // buckets for b in range(buckets + 1)], np.uint64))
             rows = [(b, _zip(np.diff(h[x:y], prepend=np.uint64(0)).astype("<u8")), np.packbits(many[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
@@ -272,7 +270,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             own_begin = dict(zip(ids.tolist(), begin[:-1].tolist(), strict=True))
             rows: dict[int, list] = {}
             for text, (g, lead, where) in seen.items():
-                rows.setdefault(g * buckets >> 64, []).append((text, lead, where))
+                rows.setdefault(g * shards >> 64, []).append((text, lead, where))
             for bucket, found in rows.items():
                 low, much, places, owners, texts = [], [], [], [], []
                 for text, lead, where in found:
@@ -288,39 +286,38 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                 })
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list] = {}
+        waiting: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
+                waiting.setdefault(r.pop("bucket"), []).append(r)
+        while waiting:
+            number: dict[bytes, int] = {}
+            context, owner, place = [], [], []
+            for r in waiting.popitem()[1]:
                 raw = _unzip(r["texts"], "u1").tobytes()
-                owners, places, end, at = _unzip(r["owners"], "<i8"), _unzip(r["places"], "<i4"), 0, 0
-                for size, much in zip(_unzip(r["sizes"], "<u4").tolist(), _unzip(r["much"], "<u4").tolist(), strict=True):
-                    known.setdefault(raw[end : end + size], []).append((owners[at : at + much], places[at : at + much]))
-                    end, at = end + size, at + much
-        texts = list(known)
-        sizes = np.array([len(x) for x in texts], np.int64)
-        if not len(texts):
-            return
-        lowest = np.array([min(int(o.min()) for o, _ in known[x]) for x in texts], np.int64)
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        start = np.cumsum(sizes) - sizes
-        windows = sizes - length + 1
-        which = np.repeat(np.arange(len(texts)), windows)
-        offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        number = equal_windows(raw, start[which] + offset, length)
-        first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, number, lowest[which])
-        best = first[number]
-        cut = np.cumsum(windows) - windows
-        for k, x in enumerate(texts):
-            mine = best[cut[k] : cut[k] + windows[k]]
-            docs_, starts_, masks_ = [], [], []
-            for o, p in known[x]:
-                for d, i in zip(o.tolist(), p.tolist(), strict=True):
-                    smaller = mine < d
-                    if smaller.any():
-                        docs_.append(d), starts_.append(i), masks_.append(int(np.packbits(smaller, bitorder="little").astype(object) @ [256**q for q in range(-(-len(smaller) // 8))]))
-            if docs_:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs_, pa.int64()), "start": pa.array(starts_, pa.int32()), "mask": pa.array(masks_, pa.int64())})
+                ends = np.cumsum(_unzip(r["sizes"], "<u4").astype(np.int64)).tolist()
+                own = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+                context.append(np.repeat(own, _unzip(r["much"], "<u4")))
+                owner.append(_unzip(r["owners"], "<i8"))
+                place.append(_unzip(r["places"], "<i4"))
+            context, owner, place = map(np.concatenate, (context, owner, place))
+            sizes = np.fromiter(map(len, number), np.int64, len(number))
+            lowest = np.full(len(sizes), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, context, owner)
+            windows = sizes - length + 1
+            cut = np.cumsum(windows) - windows
+            which = np.repeat(np.arange(len(sizes)), windows)
+            offset = np.arange(len(which)) - cut[which]
+            equal = equal_windows(np.frombuffer(b"".join(number), np.uint8), (np.cumsum(sizes) - sizes)[which] + offset, length)
+            first = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, equal, lowest[which])
+            # The lowest document of a context loses the windows that a lower one holds elsewhere; all others lose all.
+            bits = np.add.reduceat((first[equal] < lowest[which]).astype(np.int64) << offset, cut)
+            mask = np.where(owner > lowest[context], (np.int64(1) << windows[context]) - 1, bits[context])
+            gone = mask != 0
+            for k in range(0, int(gone.sum()), 200_000):
+                part = np.flatnonzero(gone)[k : k + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(place[part].astype(np.int32)), pa.array(mask[part])], ["doc_id", "start", "mask"])
 
     hits = table.mapInArrow(contexts, "bucket int, sizes binary, texts binary, much binary, owners binary, places binary").repartition(buckets, "bucket").mapInArrow(decide, "doc_id long, start int, mask long")
     return materialise(hits.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "suffix-windows")
