@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.common import materialise, words
 
 WIDTH, TENTHS = 5, 8
+#: Bits of a token's hash in the lists: a clash only adds a candidate, as whole sets verify.
+TOKEN_BITS = 40
+#: Up to so many documents the places of candidate lines are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_DOCS = 500_000
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -49,23 +53,27 @@ def earlier_matches(docs: DataFrame, tenths: int = TENTHS, width: int = WIDTH) -
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     sets = _sets(lines, width).filter("n > 0")
-    extra = _ceil(1, "n", 10)
+    extra = _ceil(1, "n", 20)
     sized = sets.withColumn("s", F.when(F.col("n") * (10 - tenths) >= tenths, F.least(F.col("n"), F.col("n") - F.expr(_ceil(tenths, "n", 10)) + 1 + F.expr(extra))).otherwise(F.lit(0)))
-    placed = materialise(sized.select("doc_id", "line_no", F.xxhash64("sh").alias("h1"), F.xxhash64(F.lit(1), "sh").alias("h2"), "n", "s", F.slice("sh", F.lit(1), F.col("s")).alias("pool")), "lines")
+    placed = materialise(sized.select("doc_id", "line_no", F.xxhash64("sh").alias("h1"), F.xxhash64(F.lit(1), "sh").alias("h2"), "n", "s", F.transform(F.slice("sh", F.lit(1), F.col("s")), lambda h: F.pmod(h, F.lit(1 << TOKEN_BITS))).alias("pool")), "lines")
     classes = placed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "n", "s", "pool")).alias("x"), F.count(F.lit(1)).alias("c"))
     classes = materialise(classes.select("h1", "h2", "c", F.struct("x.doc_id", "x.line_no").alias("cls"), "x.n", "x.s", "x.pool"), "line-classes")
 
-    held = classes.select("cls", "n", "s", F.explode("pool").alias("token"))
+    # The rows of this shuffle are the most: a token and the place of a line, nothing else.
+    held = classes.select("cls.doc_id", "cls.line_no", F.explode("pool").alias("token"))
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = held.join(df, "token").groupBy("cls", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most a line's own pool
+    listed = held.join(df, "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most a line's own pool
+    shared = listed.withColumn("cls", F.struct("doc_id", "line_no")).join(classes.select("cls", "n", "s"), "cls")
     # Partners are at least tenths/10 as long; the pools of both are bound to share their extra tokens and one more.
-    least = _ceil(1, _ceil(tenths, "n", 10), 10)
+    least = _ceil(1, _ceil(tenths, "n", 10), 20)
     shared = shared.withColumn("alone", F.col("s") - F.size("t")).withColumn("reach", F.col("s") - F.expr(least)).filter("reach > alone")
     posts = shared.select("cls", "n", "s", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("reach") - F.col("alone"))).alias("k", "x")).select("cls", "n", "s", (F.col("alone") + F.col("k")).alias("p"), "x.token")
     posts = materialise(posts, "line-postings")
 
     wanted = posts.groupBy("cls").agg(F.first("n").alias("n"))
-    asked = wanted.groupBy(F.col("cls.doc_id").alias("doc_id")).agg(F.collect_list("cls.line_no").alias("nos"))  # at most a document's own lines
+    asked = materialise(wanted.groupBy(F.col("cls.doc_id").alias("doc_id")).agg(F.collect_list("cls.line_no").alias("nos")), "line-places")  # at most a document's own lines
+    if asked.count() <= BROADCAST_DOCS:
+        asked = F.broadcast(asked)
     texts = docs.select("doc_id", "text").join(asked, "doc_id")
     texts = texts.select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("all"), "nos").select("doc_id", F.explode("nos").alias("line_no"), "all").select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
     own = materialise(_sets(texts.filter("line is not null"), width).groupBy("doc_id", "line_no").agg(F.max("sh").alias("sh")).select(F.struct("doc_id", "line_no").alias("cls"), "sh"), "line-sets")
