@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.common import shuffle_partitions
 
 CHUNK_CHARS = 6_000_000
+#: The characters of Unicode's White_Space.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A coarser cut: a word with the space before it, or white space. Pre-tokens of the usual patterns never cross it.
+PIECES = rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +94,7 @@ def _unpack_words(blob: bytes, n: int) -> list[bytes]:
 CHUNKS = "chunk string, bucket int, n int, words binary, docs binary, lengths binary, tokens binary"
 
 
-def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int, texts: bool) -> DataFrame:
+def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_chars: int, texts: bool) -> DataFrame:
     """Chunks of texts, cut into pre-tokens.
 
     ``texts`` false: a row for each bucket that a chunk asks, with its ``words``. ``texts`` true: a row for each chunk,
@@ -98,7 +103,7 @@ def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int, texts
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find, fine = re.compile(pieces).findall, regex.compile(pattern).findall
         task, made = TaskContext.get().partitionId(), 0
         number: defaultdict = defaultdict()
         number.default_factory = number.__len__
@@ -108,14 +113,25 @@ def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int, texts
             nonlocal made, chars
             if not ids:
                 return
-            words = [w.encode("utf-8", "surrogatepass") for w in number]
+            index: defaultdict = defaultdict()
+            index.default_factory = index.__len__
+            flat, sizes = [], []
+            for piece in number:  # the fine pattern cuts each distinct piece once
+                got = fine(piece)
+                sizes.append(len(got))
+                flat.extend(map(index.__getitem__, got))
+            words = [w.encode("utf-8", "surrogatepass") for w in index]
             bucket = (pd.util.hash_array(np.array(words, dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int32) if words else np.empty(0, np.int32)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)  # answers come in this order
             rows = []
             if texts:
-                rows.append((-1, len(words), _pack(place), _pack(np.array(ids, "<i8")), _pack(np.array(lengths, "<u4")), _pack(np.concatenate(tokens).astype("<u4"))))
+                stream, each = np.concatenate(tokens).astype(np.int64), np.array(sizes, np.int64)
+                begin, ends = np.cumsum(each) - each, np.cumsum(each[stream])
+                cut_at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+                stream = np.array(flat, "<u4")[np.repeat(begin[stream] - (ends - each[stream]), each[stream]) + np.arange(cut_at[-1])]
+                rows.append((-1, len(words), _pack(place), _pack(np.array(ids, "<i8")), _pack(np.diff(cut_at).astype("<u4")), _pack(stream)))
             else:
                 used, starts = np.unique(bucket[order], return_index=True)
                 for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
@@ -143,10 +159,11 @@ def _chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int, texts
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, CHUNKS)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``doc_id, ids array<int>`` of every row of ``docs``.
 
-    Ids are those of the ranks, each match of ``pattern`` by itself, no special tokens. Null and empty texts have no
+    Ids are those of the ranks, each match of ``pattern`` by itself, no special tokens; no match of ``pattern`` may
+    cross the matches of ``pieces``, which are cut first. Null and empty texts have no
     ids. Repeated rows, and rows that share a ``doc_id``, are encoded each for itself. An empty table gives an empty
     table. Other columns are ignored. ``docs`` must come from a table: its rows are read twice and must come in the same
     order. ``ranks_path`` is read on the driver and sent to the tasks: its size is that of
@@ -169,9 +186,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
                     out.append(ids)
                 yield pa.RecordBatch.from_pydict({"chunk": [r["chunk"]], "bucket": pa.array([r["bucket"]], pa.int32()), "n": pa.array([r["n"]], pa.int32()), "sizes": pa.array([_pack(np.array(sizes, "<u4"))], pa.binary()), "ids": pa.array([_pack(np.frombuffer(b"".join(out), "<u4"))], pa.binary())})
 
-    asked = _chunks(docs, pattern, buckets, chunk_chars, False).select("chunk", "bucket", "n", "words").repartition(buckets, "bucket")
+    asked = _chunks(docs, pattern, pieces, buckets, chunk_chars, False).select("chunk", "bucket", "n", "words").repartition(buckets, "bucket")
     answers = asked.mapInArrow(answer, "chunk string, bucket int, n int, sizes binary, ids binary")
-    texts = _chunks(docs, pattern, buckets, chunk_chars, True).select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
+    texts = _chunks(docs, pattern, pieces, buckets, chunk_chars, True).select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
