@@ -115,10 +115,10 @@ def dedup_lines(docs: DataFrame, tenths: int = TENTHS, width: int = WIDTH) -> Da
 
     Documents whose lines are all removed go: every line of theirs stays elsewhere. Null and empty texts stay.
     """
-    gone = removed_lines(docs, tenths, width)
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("nos", i))
-    joined = docs.join(gone, "doc_id", "left").withColumn("_left", F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    kept = joined.filter(F.col("nos").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.col("_left"))
+    gone = removed_lines(docs, tenths, width).select("doc_id", F.col("nos").alias("_nos"))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_nos", i))
+    joined = docs.join(gone, "doc_id", "left").withColumn("_left", F.when(F.col("_nos").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    kept = joined.filter(F.col("_nos").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.col("_left"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("nos").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col("_nos").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -223,7 +223,7 @@ def join(docs: DataFrame, tenths: int = 9, width: int = 3) -> DataFrame:
     ``component_id`` (smallest doc_id reachable by links, itself included). Words are runs of non-space characters,
     ASCII letters in lower case. Null and empty texts have no shingles and link with nothing, not even each other.
     An empty table gives an empty table; repeated rows come out as often as they come in; rows that share a
-    ``doc_id`` but not a text each have a row, under the one id. Other columns are ignored. Shingles compare by
+    ``doc_id`` but not a text each have a row, under the one id, and are compared by the greatest of the texts. Other columns are ignored. Shingles compare by
     64-bit hash.
     """
     chunks = materialise(pack(docs), "join-chunks")

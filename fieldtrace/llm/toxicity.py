@@ -42,9 +42,10 @@ YOU = frozenset("you your yours yourself youre you're u ur tu te toi ton ta tes
 
 FEATURES = ["learned", "learned_rate", "learned_kinds", "strongest", "hits", "density", "hidden", "near_you", "you", "capitals", "exclaims", "questions", "punctuation", "symbols", "length"]
 
-_PLAIN = str.maketrans(dict.fromkeys(".,;:!?\"()[]{}<>|#%&*$…«»¡¿\n\t\r\x0b\x0c", " "))
-_LEET = str.maketrans("013457@$!|", "oleastasil")
-_HIDDEN = re.compile(r"[^\W\d_]+[*@$!|0-9.\-_]+[^\W\d_][^\s]*|\b(?:\w[ .\-_*]){3,}\w\b")
+_PLAIN = bytes(32 if chr(c) in ".,;:!?\"()[]{}<>|#%&*$\n\t\r\x0b\x0c" else c for c in range(256))
+_LEET = [str.maketrans("013457@$!|", f"o{one}eastas{one}l") for one in "il"]
+_SPACED = re.compile(r"(?<=[ \n])\w[ .\-_*]\w[ .\-_*]\w[ .\-_*](?:\w[ .\-_*])*\w\b")
+_DISGUISED = re.compile(r"[*@$!|0-9]|[^\W\d_][._\-][^\W\d_]").search
 
 
 def _masked() -> frozenset:
@@ -53,15 +54,25 @@ def _masked() -> frozenset:
 
 
 MASKED = _masked()
+MARKED = INSULTS | YOU
 
 
 def _uncovers(token: str) -> bool:
-    bare = re.sub(r"[ .\-_]", "", token.translate(_LEET)).strip("*!?,;:")
-    return bare in INSULTS or re.sub(r"[ .\-_]", "", token).strip("!?,;:") in MASKED
+    return any(re.sub(r"[ .\-_]", "", token.translate(t)).strip("*!?,;:") in INSULTS for t in _LEET) or re.sub(r"[ .\-_]", "", token).strip(".!?,;:") in MASKED
+
+
+def _hidden(low: str) -> int:
+    """Insults under other characters: hidden inside a word, or spelled letter by letter."""
+    found = 0
+    if any(c in low for c in "*@$!|-_0123456789") or low.count(".") > low.count(". ") + low.count(".\n") + low.endswith("."):
+        found += sum(map(_uncovers, filter(_DISGUISED, low.split())))
+    if _SPACED.search(low):
+        found += sum(map(_uncovers, _SPACED.findall(low)))
+    return found
 
 
 def _words(low: str) -> list[str]:
-    return low.translate(_PLAIN).split()
+    return low.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass").split()
 
 
 def _evidence(a: float, b: float, base: float) -> float:
@@ -75,11 +86,12 @@ class Lexicon:
     def __init__(self, counts: dict[str, tuple[int, int]], base: float):
         self.counts, self.base = counts, base
         self.sure = {w for w, (a, b) in counts.items() if _evidence(a, b, base) >= EVIDENCE}
+        self.starts = {w[:-1] for w in counts if w.endswith("*")}
 
     def odds(self, words: list[str], label: float | None) -> list[tuple[str, float]]:
         """The entries among the words, with smoothed log odds; ``label``: of a document that the counts include."""
-        found, counts = [], self.counts
-        for w in words:
+        found, counts, starts = [], self.counts, self.starts
+        for w in [w for w in words if w in counts or w[:4] in starts]:
             for unit in (w, w[:4] + "*") if len(w) > 5 else (w,):
                 if (c := counts.get(unit)) is None:
                     continue
@@ -103,8 +115,8 @@ def describe(text: str | None, lexicon: Lexicon, label: float | None = None) ->
     n, chars = max(len(words), 1), max(len(text), 1)
     learned = lexicon.odds(words, label)
     bad = {w for w, _ in learned}
-    hits = [i for i, w in enumerate(words) if w in INSULTS]
-    you = [i for i, w in enumerate(words) if w in YOU]
+    marked = [i for i, w in enumerate(words) if w in MARKED]
+    hits, you = [i for i in marked if words[i] in INSULTS], [i for i in marked if words[i] in YOU]
     near = 0
     if you and (hits or bad):
         rude = np.array([i for i, w in enumerate(words) if w in INSULTS or w in bad])
@@ -112,7 +124,7 @@ def describe(text: str | None, lexicon: Lexicon, label: float | None = None) ->
         after = np.searchsorted(at, rude)
         gap = np.minimum(np.abs(at[np.minimum(after, len(at) - 1)] - rude), np.abs(at[np.maximum(after - 1, 0)] - rude))
         near = int((gap <= 5).sum())
-    hidden = sum(map(_uncovers, _HIDDEN.findall(low)))
+    hidden = _hidden(low)
     upper = sum(map(str.isupper, text.split()))
     count = text.count
     points = sum(map(count, ".,;:!?"))
