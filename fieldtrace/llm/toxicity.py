@@ -45,7 +45,7 @@ FEATURES = ["learned", "learned_rate", "learned_kinds", "strongest", "hits", "de
 _PLAIN = bytes(32 if chr(c) in ".,;:!?\"()[]{}<>|#%&*$\n\t\r\x0b\x0c" else c for c in range(256))
 _LEET = [str.maketrans("013457@$!|", f"o{one}eastas{one}l") for one in "il"]
 _SPACED = re.compile(r"(?<=[ \n])\w[ .\-_*]\w[ .\-_*]\w[ .\-_*](?:\w[ .\-_*])*\w\b")
-_DISGUISED = re.compile(r"[*@$!|0-9]|[^\W\d_][._\-][^\W\d_]").search
+_DISGUISED = re.compile(r"[^\W\d_][*@$!|0-9._\-]+[^\W\d_]|^[0-9@$!|]+[^\W\d_]").search
 
 
 def _masked() -> frozenset:
