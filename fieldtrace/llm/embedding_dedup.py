@@ -18,7 +18,7 @@ from fieldtrace.llm.common import materialise
 from fieldtrace.llm.components import components
 
 COSINE = 0.93
-PARTS, SIZE, HEIGHT, SEED = 4, 17, 3.25, 7
+PARTS, SIZE, HEIGHT, SEED = 2, 512, 3.35, 7
 
 
 def code(dim: int, parts: int, size: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -65,7 +65,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
     ``kept`` (vec_id = component_id). Vectors without a label, null, all zero, or with a null or non-finite component
     link with nothing; so do vectors of unequal length. An empty table gives an empty table; of rows that share a
     vec_id the one with the largest label and vector counts. Equal vectors are one class with a count. Links found
-    are exact; a pair right at the threshold shares a direction with a chance of well over 0.9.
+    are exact; a pair right at the threshold shares a direction with a chance of about 0.97.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("x")).select("vec_id", F.col("x.label").alias("label"), F.col("x.embedding").alias("embedding"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
