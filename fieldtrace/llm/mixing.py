@@ -123,7 +123,8 @@ def mix_sources(
     at_start = F.col("f0") + (F.col("start") - F.col("b0") * block_words) * F.col("t0")
     at_end = F.col("f1") + (F.col("end") - F.col("b1") * block_words) * F.col("t1")
     return (
-        spans.join(low, ["src", "shard", "b0"], "left").join(high, ["src", "shard", "b1"], "left")
+        # A side of blocks comes out of few rows, so its size is guessed far too low: without the hint it is broadcast.
+        spans.join(low.hint("merge"), ["src", "shard", "b0"], "left").join(high.hint("merge"), ["src", "shard", "b1"], "left")
         .withColumn("taken", F.when(F.col("size") > 0, at_end - at_start).otherwise(F.lit(0)).cast("long"))
         .withColumn("repeats", F.when(F.col("size") > 0, F.col("rounds")).otherwise(F.lit(0)).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "taken", "repeats")
