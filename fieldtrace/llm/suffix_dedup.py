@@ -22,10 +22,10 @@ from fieldtrace.llm.common import materialise, shuffle_partitions
 from fieldtrace.llm.ngram_join import _unzip, _zip
 
 LENGTH, ANCHOR = 50, 32
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_500_000
 #: Cells of the table that marks shared anchors: a fixed size; where anchors outnumber cells, more contexts are sent.
 CELLS = 1 << 26
-SHARDS = 4
+SHARDS = 12
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -248,8 +248,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             yield pa.RecordBatch.from_pydict({"cells": pa.array([_zip(np.diff(cell, prepend=np.uint64(0)).astype("<u8"))], pa.binary())})
 
     marked = np.zeros(cells, bool)
-    for row in table.mapInArrow(hashes, "bucket int, steps binary, many binary").repartition(buckets, "bucket").mapInArrow(shared, "cells binary").toLocalIterator():
-        marked[np.cumsum(_unzip(bytes(row["cells"]), "<u8"), dtype=np.uint64).astype(np.int64)] = True
+    # A share of the table from each bucket: never more than its cells, however many anchors there are.
+    for part in table.mapInArrow(hashes, "bucket int, steps binary, many binary").repartition(buckets, "bucket").mapInArrow(shared, "cells binary").toArrow().column(0):
+        marked[np.cumsum(_unzip(part.as_py(), "<u8"), dtype=np.uint64).astype(np.int64)] = True
     sent = spark.sparkContext.broadcast(np.packbits(marked))
     del marked
     reach = length - anchor
