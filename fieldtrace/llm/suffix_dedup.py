@@ -3,7 +3,7 @@
 A window of ``length`` bytes always holds an anchor: the k-gram with the lowest hash among its k-grams. Anchors that
 occur in two documents or more are found by one shuffle of hashes. For these the context (all windows that hold the
 anchor) goes to the shard of the anchor's hash, once per chunk for equal contexts. A shard concatenates its distinct
-contexts and builds their suffix array by induced sorting: suffixes are classed as smaller or larger than the next one,
+contexts (those that share their anchor with another) and builds their suffix array by induced sorting: suffixes are classed as smaller or larger than the next one,
 the leftmost-smaller substrings are sorted by induction and named, the string of names is sorted, and two linear passes
 induce the whole array. Permuted common prefixes then part it into runs of equal windows, and the lowest document of a
 run decides which windows of which documents go.
@@ -11,6 +11,7 @@ run decides which windows of which documents go.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,7 +257,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     reach = length - anchor
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits, leads = sent.value, [bytes([k]) for k in range(reach + 1)]
         for ids, begin, raw in _texts(batches, chunk_bytes):
             pos, h, doc = _found(begin, raw, length, anchor)
             cell = (h >> shift).astype(np.int64)
@@ -266,17 +267,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
             seen: dict[bytes, list] = {}
             data = raw.tobytes()
             for g, p, i, j, d in zip(h.tolist(), pos.tolist(), left.tolist(), right.tolist(), ids[doc].tolist(), strict=True):
-                x = seen.setdefault(data[i:j], [g, p - i, []])
-                x[2].append((d, i))
+                x = seen.setdefault(leads[p - i] + data[i:j], [g, []])  # the anchor's place, then the context
+                x[1].append((d, i))
             own_begin = dict(zip(ids.tolist(), begin[:-1].tolist(), strict=True))
             rows: dict[int, list] = {}
-            for text, (g, lead, where) in seen.items():
-                rows.setdefault(g * shards >> 64, []).append((text, lead, where))
+            for text, (g, where) in seen.items():
+                rows.setdefault(g * shards >> 64, []).append((text, where))
             for bucket, found in rows.items():
-                low, much, places, owners, texts = [], [], [], [], []
-                for text, lead, where in found:
+                much, places, owners, texts = [], [], [], []
+                for text, where in found:
                     texts.append(text)
-                    low.append(min(w[0] for w in where))
                     much.append(len(where))
                     for d, i in where:
                         owners.append(d)
@@ -302,18 +302,27 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
                 owner.append(_unzip(r["owners"], "<i8"))
                 place.append(_unzip(r["places"], "<i4"))
             context, owner, place = map(np.concatenate, (context, owner, place))
-            sizes = np.fromiter(map(len, number), np.int64, len(number))
-            lowest = np.full(len(sizes), np.iinfo(np.int64).max)
+            windows = np.fromiter(map(len, number), np.int64, len(number)) - length
+            lowest = np.full(len(windows), np.iinfo(np.int64).max)
             np.minimum.at(lowest, context, owner)
-            windows = sizes - length + 1
-            cut = np.cumsum(windows) - windows
-            which = np.repeat(np.arange(len(sizes)), windows)
-            offset = np.arange(len(which)) - cut[which]
-            equal = equal_windows(np.frombuffer(b"".join(number), np.uint8), (np.cumsum(sizes) - sizes)[which] + offset, length)
-            first = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, equal, lowest[which])
-            # The lowest document of a context loses the windows that a lower one holds elsewhere; all others lose all.
-            bits = np.add.reduceat((first[equal] < lowest[which]).astype(np.int64) << offset, cut)
+            # Equal windows have equal anchors, so a context that no other shares its anchor with needs no comparing.
+            held = [x[1 + x[0] : 1 + x[0] + anchor] for x in number]
+            often = Counter(held)
+            rivals = np.flatnonzero(np.fromiter((often[x] > 1 for x in held), bool, len(held)))
+            bits = np.zeros(len(windows), np.int64)
+            if len(rivals):
+                keys = list(number)
+                texts = [keys[k][1:] for k in rivals.tolist()]
+                sizes = windows[rivals] + length - 1
+                cut = np.cumsum(windows[rivals]) - windows[rivals]
+                which = np.repeat(np.arange(len(rivals)), windows[rivals])
+                offset = np.arange(len(which)) - cut[which]
+                equal = equal_windows(np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[which] + offset, length)
+                mine = lowest[rivals][which]
+                first = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, equal, mine)
+                # The lowest document of a context loses the windows that a lower one holds elsewhere; all others lose all.
+                bits[rivals] = np.add.reduceat((first[equal] < mine).astype(np.int64) << offset, cut)
             mask = np.where(owner > lowest[context], (np.int64(1) << windows[context]) - 1, bits[context])
             gone = mask != 0
             for k in range(0, int(gone.sum()), 200_000):
