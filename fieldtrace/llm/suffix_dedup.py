@@ -350,14 +350,13 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
             out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
             for doc, text, starts, masks in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), b.column(3), strict=True):
                 raw = text.as_py() or b""
-                gone = np.zeros(len(raw) + 1, np.int32)
+                gone = np.zeros(len(raw) + 1, np.int64)
                 if starts.is_valid:
                     s, m = starts.values.to_numpy().astype(np.int64), masks.values.to_numpy()
-                    for bit in range(length):
-                        at = s[(m >> bit) & 1 == 1] + bit
-                        at = at[at + length <= len(raw)]
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + length, -1)
+                    bit = np.arange(int(m.max()).bit_length())
+                    at = (s[:, None] + bit)[(m[:, None] >> bit) & 1 == 1]
+                    at = at[at + length <= len(raw)]
+                    gone = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + length, minlength=len(raw) + 1)
                 hole = np.cumsum(gone[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hole.astype(np.int8), [0]])))
                 out["doc_id"].append(doc)
