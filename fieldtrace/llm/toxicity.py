@@ -44,8 +44,10 @@ FEATURES = ["learned", "learned_rate", "learned_kinds", "strongest", "hits", "de
 
 _PLAIN = bytes(32 if chr(c) in ".,;:!?\"()[]{}<>|#%&*$\n\t\r\x0b\x0c" else c for c in range(256))
 _LEET = [str.maketrans("013457@$!|", f"o{one}eastas{one}l") for one in "il"]
-_SPACED = re.compile(r"(?<=[ \n])\w[ .\-_*]\w[ .\-_*]\w[ .\-_*](?:\w[ .\-_*])*\w\b")
-_DISGUISED = re.compile(r"[^\W\d_][*@$!|0-9._\-]+[^\W\d_]|^[0-9@$!|]+[^\W\d_]").search
+_MARKS = "…«»¡¿"
+_SPACED = re.compile(r"(?<!\w)\w[ .\-_*]\w[ .\-_*]\w[ .\-_*](?:\w[ .\-_*])*\w\b")
+_DISGUISED = re.compile(r"[*@$!|0-9]|[^\W\d_][._\-]+[^\W\d_]").search
+_LETTER = re.compile(r"[^\W\d_]").search
 
 
 def _masked() -> frozenset:
@@ -61,18 +63,25 @@ def _uncovers(token: str) -> bool:
     return any(re.sub(r"[ .\-_]", "", token.translate(t)).strip("*!?,;:") in INSULTS for t in _LEET) or re.sub(r"[ .\-_]", "", token).strip(".!?,;:") in MASKED
 
 
+def _parted(low: str) -> str:
+    """Spaces for marks of more than a byte, which the byte table leaves."""
+    for mark in _MARKS:
+        low = low.replace(mark, " ")
+    return low
+
+
 def _hidden(low: str) -> int:
     """Insults under other characters: hidden inside a word, or spelled letter by letter."""
-    found = 0
+    found, low = 0, _parted(low)
     if any(c in low for c in "*@$!|-_0123456789") or low.count(".") > low.count(". ") + low.count(".\n") + low.endswith("."):
-        found += sum(map(_uncovers, filter(_DISGUISED, low.split())))
+        found += sum(map(_uncovers, filter(_LETTER, filter(_DISGUISED, low.split()))))
     if _SPACED.search(low):
         found += sum(map(_uncovers, _SPACED.findall(low)))
     return found
 
 
 def _words(low: str) -> list[str]:
-    return low.encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass").split()
+    return _parted(low).encode("utf-8", "surrogatepass").translate(_PLAIN).decode("utf-8", "surrogatepass").split()
 
 
 def _evidence(a: float, b: float, base: float) -> float:

@@ -212,6 +212,17 @@ def test_toxicity(spark, nothing):
     assert toxicity._uncovers("st*pid") and toxicity._uncovers("1d1ot") and not toxicity._uncovers("a-b")
 
 
+def test_toxicity_finds_signs_at_ends_and_marks():
+    none = toxicity.Lexicon({}, 0.5)
+    of = lambda text: dict(zip(toxicity.FEATURES, toxicity.describe(text, none), strict=True))
+    for w in ("worthle$$", "usele$$", "dumba$$", "jacka$$", "whor3", "imbecil3", "moron5", "1d1ot", "st*pid", "i.d.i.o.t", "«whor3»"):
+        assert of(f"a {w} here")["hidden"] > 0, w
+    assert not any(of(t)["hidden"] for t in ("at 5 pm for $5!", "a well-known co-op, e.g. b2b", "2024!", "x" * 30_000))
+    for t in ("you idiot… no", "you «crétin» no", "tú ¡idiota! no", "tú ¿idiota? no"):
+        assert of(t)["hits"] > 0 and of(t)["density"] > 0 and of(t)["near_you"] > 0, t
+    assert all(of(t)["hidden"] > 0 for t in ("i d i o t", "so (i d i o t)", "so\ti d i o t"))
+
+
 def test_quality_rules(spark, docs, nothing):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, least_rows=5).collect()}
     for k, t in enumerate(texts()):
