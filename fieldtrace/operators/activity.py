@@ -110,21 +110,39 @@ def fit_gmm(x: np.ndarray, max_iter: int = 200, tol: float = 1e-5) -> dict:
 
 def forward_backward(log_e: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors, expected transitions and log likelihood of one sequence."""
-    n, e = len(log_e), np.exp(log_e - log_e.max(1, keepdims=True))
-    t, alpha, scale = np.exp(log_t), np.empty_like(e), np.empty(n)
-    a = np.exp(log_s) * e[0]
-    for i in range(n):
-        if i:
-            a = (alpha[i - 1] @ t) * e[i]
-        scale[i] = max(a.sum(), 1e-300)
-        alpha[i] = a / scale[i]
-    beta, xi = np.ones_like(e), np.zeros_like(t)
-    for i in range(n - 2, -1, -1):
-        b = e[i + 1] * beta[i + 1] / scale[i + 1]
-        beta[i] = t @ b
-        xi += alpha[i][:, None] * t * b[None]
+    n, k = log_e.shape
+    e, t = np.exp(log_e - log_e.max(1, keepdims=True)), np.exp(log_t)
+    # Pieces of about sqrt(n) rows go side by side; the products of their steps carry the ends of pieces over.
+    width = int(np.ceil(np.sqrt(n)))
+    m = -(-n // width)
+    step = np.broadcast_to(np.eye(k), (m * width, k, k)).copy()
+    step[1:n] = t[None] * e[1:, None, :]
+    step = step.reshape(m, width, k, k)
+    product = step[:, 0]
+    for i in range(1, width):
+        product = product @ step[:, i]
+        product = product / product.sum((1, 2), keepdims=True)
+    first, last = np.empty((m, k)), np.ones((m, k))
+    first[0] = np.exp(log_s) * e[0]
+    for j in range(1, m):
+        first[j] = first[j - 1] @ product[j - 1]
+        first[j] /= first[j].sum()
+    for j in range(m - 2, -1, -1):
+        last[j] = product[j + 1] @ last[j + 1]
+        last[j] /= last[j].sum()
+    alpha, beta, scale = np.empty((m, width, k)), np.empty((m, width, k)), np.empty((m, width))
+    for i in range(width):
+        first = (first[:, None] @ step[:, i])[:, 0]
+        scale[:, i] = np.maximum(first.sum(1), 1e-300)
+        alpha[:, i] = first = first / scale[:, i, None]
+    for i in range(width - 1, -1, -1):
+        beta[:, i] = last
+        last = (step[:, i] @ last[:, :, None])[:, :, 0]
+        last = last / last.sum(1, keepdims=True)
+    alpha, beta, step = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n], step.reshape(-1, k, k)[:n]
+    xi = alpha[:-1, :, None] * step[1:] * beta[1:, None, :]
     post = alpha * beta
-    return post / post.sum(1, keepdims=True), xi, float(np.log(scale).sum() + log_e.max(1).sum())
+    return post / post.sum(1, keepdims=True), (xi / xi.sum((1, 2), keepdims=True)).sum(0), float(np.log(scale).sum() + log_e.max(1).sum())
 
 
 def viterbi(log_e: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> np.ndarray:
@@ -189,7 +207,7 @@ def gps_activity_state(
     for c in names:
         valid = valid & is_finite(F.col(c))
     rows = rows.withColumn("_ok", valid)
-    sample = rows.filter("_ok").select(*names, "datetime", order_col).orderBy(F.xxhash64(F.lit(seed), order_col)).limit(fit_max_rows).toPandas().sort_values(["datetime", order_col])
+    sample = rows.filter("_ok").select(*grp, *names, "datetime", order_col).orderBy(F.xxhash64(F.lit(seed), order_col)).limit(fit_max_rows).toPandas().sort_values([*grp, "datetime", order_col])
     x = sample[names].to_numpy(float)
     if len(x) < MIN_ROWS:
         raise ValueError(f"only {len(x)} rows have all features; {MIN_ROWS} are needed")

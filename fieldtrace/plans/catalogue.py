@@ -112,7 +112,7 @@ QUERIES: dict[str, Query] = {
     "hotspots": Query(lambda s, d: spatial.gps_hotspots(fixes(s, d), 200, 0.9, epoch="week", metric_crs=3857), ANIMAL | EPOCH | {"cell_x": "n", "cell_y": "n", "n_fixes": "n", "total_fixes": "n", "prop_fixes": "r", "hotspot_count_threshold": "r", "cell_centre_lon": "r", "cell_centre_lat": "r"}, O.hotspots(200, 0.9)),
     "spatial_week": Query(lambda s, d: spatial.gps_spatial(fixes(s, d), "week"), ANIMAL | EPOCH | {"n_fixes": "n", "span_hours": "r", "lon_min": "r", "lat_max": "r", "centroid_lon": "r", "centroid_lat": "r", "mcp100_area_ha": "r", "mcp95_area_ha": "r", "metric_crs": "k"}),
     "mcp_area": Query(lambda s, d: spatial.gps_mcp(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"percent": "r", "n_fixes": "n", "n_fixes_used": "n", "area_ha": "r"}),
-    "kde_cells": Query(lambda s, d: spatial.gps_kde(fixes(s, d), max_cells=400, epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"density_rank": "n", "kde_density": "k", "cell_probability": "r", "cumulative_probability": "r", "in_kde50": "b"}),
+    "kde_cells": Query(lambda s, d: spatial.gps_kde(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"density_rank": "n", "kde_density": "k", "cell_probability": "r", "cumulative_probability": "r", "in_kde50": "b"}),
     "epoch_merge": Query(lambda s, d: summary.gps_epoch(hourly_fixes(s, d), "day", include=["movement", "social"], thresholds_m=REACH), ANIMAL | MOVED | {"social_n_fixes": "n"} | SOCIAL, O.epoch_merge()),
     "animal_summary": Query(lambda s, d: summary.gps_animal_summary(fixes(s, d), "week"), ANIMAL | MOVED, O.movement("week", None, ["deployment_id", "animal_id", "sensor_id"])),
     "group_summary": Query(lambda s, d: summary.gps_group_summary(fixes(s, d), "week", group_cols=["deployment_id", "treatment"]), {"deployment_id": "k", "treatment": "k"} | EPOCH | {"n_animal_epochs": "n", "n_animals": "n", "n_sensors": "n", "n_fixes": "n", "total_distance_m": "m", "mean_total_distance_m": "m", "mean_speed_mps": "r"}, O.group_summary()),
@@ -121,7 +121,7 @@ QUERIES: dict[str, Query] = {
     "activity_features": Query(lambda s, d: activity.add_features(fixes(s, d), "step_turn")[0], {"order_col": "n", "_f_step": "r", "_f_turn": "r"}, O.activity_features()),
     "activity_gmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "gmm", feature_set="step_turn").data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}),
     "activity_gmm_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d)).data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}),
-    "activity_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "hmm", feature_set="step_turn", fit_max_rows=5000).data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_id": "n"}),
+    "activity_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "hmm", feature_set="step_turn").data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_id": "n"}),
     "map_points": Query(lambda s, d: maps.gps_map(fixes(s, d), state_col="state", state_colors={"view": "#1a9641"}), {"map_group": "k", "seq": "n", "order_col": "n", "color": "k", "popup": "k"}, O.map_points()),
     "playback_points": Query(lambda s, d: maps.gps_playback(fixes(s, d), align=False)[0], {"map_group": "k", "seq": "n", "start_time": "t", "end_time": "t"}, O.playback("points")),
     "playback_tails": Query(lambda s, d: maps.gps_playback(fixes(s, d), align=False)[1], {"map_group": "k", "seq": "n", "start_time": "t", "end_time": "t"}, O.playback("tails")),

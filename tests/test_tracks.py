@@ -272,3 +272,43 @@ def test_read_fixes(spark, tmp_path):
 
     (tmp_path / "f.csv").write_text("sensor_id,datetime,lon,lat\nA,2024-01-01 00:00:00,150,-30\n")
     assert read_fixes(spark, str(tmp_path / "f.csv"), "sensor_id string, datetime string, lon double, lat double").count() == 1
+
+
+def test_forward_backward_in_pieces_equals_a_loop():
+    g = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 1000):
+        log_e, log_t, log_s = g.normal(size=(n, 2)) * 3, np.log([[0.9, 0.1], [0.3, 0.7]]), np.log([0.4, 0.6])
+        e, t = np.exp(log_e), np.exp(log_t)
+        alpha, beta, total, xi = np.empty((n, 2)), np.ones((n, 2)), 0.0, np.zeros((2, 2))
+        for i in range(n):
+            a = (np.exp(log_s) if not i else alpha[i - 1] @ t) * e[i]
+            total += np.log(a.sum())
+            alpha[i] = a / a.sum()
+        for i in range(n - 2, -1, -1):
+            both = alpha[i][:, None] * t * (e[i + 1] * beta[i + 1])[None]
+            xi += both / both.sum()
+            beta[i] = t @ (e[i + 1] * beta[i + 1])
+            beta[i] /= beta[i].sum()
+        post = alpha * beta / (alpha * beta).sum(1, keepdims=True)
+        got = activity.forward_backward(log_e, log_t, log_s)
+        assert np.allclose(got[0], post) and np.allclose(got[1], xi) and got[2] == pytest.approx(total)
+
+
+def test_registered_queries_use_all_rows_and_cells(spark, monkeypatch):
+    from fieldtrace.plans import catalogue
+
+    seen, fit = [], activity.fit_hmm
+    monkeypatch.setattr(activity, "fit_hmm", lambda x: seen.append(len(x)) or fit(x))
+    got = catalogue.queries()["activity_hmm"](spark, "/root/testdata/sf0.01")
+    assert seen == [got.filter("inactive_prob is not null").count()] and seen[0] > 5000
+    cells = catalogue.queries()["kde_cells"](spark, "/root/testdata/sf0.001")
+    assert cells.agg(F.max("density_rank")).first()[0] > 400
+
+
+def test_hmm_fit_follows_tracks(spark, monkeypatch):
+    seen, fit = [], activity.fit_hmm
+    monkeypatch.setattr(activity, "fit_hmm", lambda x: seen.append(x) or fit(x))
+    moves = lambda s, i: (150 + 1e-3 * i * (s == "B"), -30 + 1e-5 * i + 2e-5 * (i % 3))
+    activity.gps_activity_state(table(spark, [("D", s, 60 * i, *moves(s, i)) for i in range(60) for s in "AB"]), "hmm", feature_set="step_turn")
+    far = seen[0][:, 0] > 3
+    assert far.any() and (np.diff(far.astype(int)) != 0).sum() == 1
