@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +54,34 @@ KNOWN_LICENSES = [
     ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 ]
 
-#: A line that begins with "copyright", "(c)" or the sign; what it says differs with each work.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: Title lines that whole texts are published under, by identifier; "" stands for none.
+TITLES = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["", "ISC License", "The ISC License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["", "BSD 3-Clause License", "The 3-Clause BSD License"], "Zlib": ["", "zlib License", "The zlib License"],
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole licences by identifier, as published: with and without title, end-of-licence appendix and bullets for numbers."""
+    folder = files("fieldtrace.llm") / "license_texts"
+    found = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in folder.iterdir() if f.name.endswith(".txt")]
+    found += [(i, re.sub(r"^MIT License\n+", "", t)) for i, t in KNOWN_LICENSES if i in ("MIT", "ISC") and len(t) > 500]
+    out = []
+    for i, text in sorted(found):
+        bodies = [text]
+        if "END OF TERMS AND CONDITIONS" in text:
+            bodies += [text[: text.index("END OF TERMS AND CONDITIONS")], text[: text.index("END OF TERMS AND CONDITIONS") + 27]]
+        if i.startswith("BSD"):
+            bodies += [re.sub(r"(?m)^[123]\. ", "* ", t) for t in bodies]
+            bodies += ["All rights reserved.\n" + t for t in bodies]
+        out += [(i, f"{title}\n\n{body}") for title in TITLES.get(i, [""]) for body in bodies]
+    return out
+
+
+#: Words after "copyright" or "(c)" at the start of a line by which it is a sentence of a licence, not a notice of a work.
+_PROSE = "and|or|in|of|on|to|if|is|are|as|by|for|from|under|that|which|with|within|this|these|you|your|any|all|such|must|may|shall|not|no|notices?|holders?|owners?|owned|laws?|licen[cs]es?|licensed|interests?|rights?|statements?|disclaimers?|protection|permission|claims?|treaty|treaties|ownership|status"
+#: A line that begins with "copyright", "(c)" or the sign, and a year, sign or holder after it; what it says differs with each work.
+COPYRIGHT_LINE = rf"(^|\n)[ \t]*((copyright(?!ed\b|able\b|s\b)|\(c\))(?![.;)])(?![ \t]*(\n|$))(?![ \t,]+({_PROSE})\b)|©)[^\n]*"
 #: Control characters but the line feed, space and ASCII punctuation, the typographic quotes and dashes, the fixed space.
 PUNCTUATION = "".join(chr(c) for c in range(1, 128) if c != 10 and not chr(c).isalnum()) + "“”‘’–—\xa0"
 
@@ -87,7 +116,7 @@ def digest(unit: Column) -> Column:
 
 def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest, license_id, n_words`` of known licence texts; of texts with one digest the first identifier counts."""
-    rows = spark.createDataFrame(licenses or KNOWN_LICENSES, "license_id string, license_text string")
+    rows = spark.createDataFrame(licenses or KNOWN_LICENSES + whole_texts(), "license_id string, license_text string")
     unit = one_line(plain(F.lower("license_text")))
     return rows.select(digest(unit).alias("digest"), "license_id", n_words(unit).alias("n_words")).groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("n_words").alias("n_words"))
 
