@@ -8,6 +8,7 @@ inside a shard every block is taken the same number of times, and a seeded choic
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,14 +136,27 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken.
 
     A document is repeated as often as its taken words fill it; what is left over, words that a block edge cut off,
-    is made whole by a seeded draw with the left-over share as its chance, so texts stay whole and each source stays
-    near its target. Documents that the mix does not take go. Equal ``doc_id`` rows share one plan row.
+    is made whole or dropped along the seeded order of its source and shard, with what earlier documents got too much
+    or too little carried on. So texts stay whole, and the words emitted for a source and shard differ from those that
+    its blocks take by half of its longest cut document at most. Documents that the mix does not take go. Equal
+    ``doc_id`` rows share one plan row.
     """
-    seed = options.get("seed", 20)
-    plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    share = F.col("_taken") / F.col("_size")
-    draw = F.pmod(_seeded(seed + 3, F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    times = (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")
-    plan = plan.filter("_size > 0").select("doc_id", times.alias("_times")).filter("_times > 0")
+    seed, shard_words = options.get("seed", 20), options.get("shard_words", SHARD_WORDS)
+    plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("source_size").alias("source_size"), F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    shards = F.greatest(F.ceil(F.col("source_size") / F.lit(shard_words)), F.lit(1)).cast("long")
+    plan = plan.filter("_taken > 0").select("doc_id", "source", F.pmod(_seeded(seed, F.col("doc_id")), shards).alias("_shard"), _seeded(seed + 1, F.col("doc_id")).alias("_order"), "_taken", "_size")
+
+    def rounded(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_order", "doc_id"])
+        times, owed = [], 0
+        for taken, size in zip(part["_taken"].tolist(), part["_size"].tolist(), strict=True):
+            whole, cut = divmod(taken, size)
+            more = int(cut > 0 and 2 * (owed + cut) >= size)
+            owed += cut - more * size
+            times.append(whole + more)
+        return pd.DataFrame({"doc_id": part["doc_id"], "_times": times})
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _times int"
+    plan = plan.groupBy("source", "_shard").applyInPandas(rounded, schema).filter("_times > 0")
     joined = docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return joined.select(*docs.columns)

@@ -290,6 +290,28 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix_sources(docs.unionByName(docs)).count() == 2 * docs.count()
 
 
+def test_mixed_documents_emit_what_blocks_take(spark):
+    r = random.Random(8)
+    rows = [(k, prose(k, 9_000 if k == 7 else r.randint(20, 120)), [None, "a", "b", "c"][k % 4]) for k in range(1200)]
+    size = {k: len(t.split()) for k, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shard_words in (mixing.SHARD_WORDS, 8_000):
+        taken, target, emitted, share = collections.Counter(), {}, collections.Counter(), {}
+        for p in mixing.mix_sources(docs, shard_words=shard_words).collect():
+            taken[p.source] += p.taken
+            target[p.source], share[p.doc_id] = p.target, p.taken / p.size
+        out = mixing.mixed_documents(docs, shard_words=shard_words).collect()
+        copies = collections.Counter(d.doc_id for d in out)
+        assert all(int(share[k]) <= copies[k] <= -int(-share[k] // 1) for k in size)
+        for d in out:
+            emitted[d.source] += size[d.doc_id]
+        for s in taken:
+            longest = max(size[k] for k, _, own in rows if own == s)
+            shards = max(-(-sum(size[k] for k, _, own in rows if own == s) // shard_words), 1)
+            assert abs(emitted[s] - taken[s]) <= shards * longest / 2, s
+            assert shards > 1 or abs(emitted[s] - target[s]) <= longest / 2 + mixing.BLOCK_WORDS * 2, s
+
+
 def test_highest_quotients(spark):
     cells = [("g", k, float(w), 40) for k, w in enumerate([1000, 3, 3, 3, 2, 1, 0.5, 250, 7])]
     got = {r.cell: r.quota for r in mixing.sainte_lague(spark.createDataFrame(cells, "grp string, cell int, w double, seats int"), "w", "seats", ["grp"], "cell").collect()}
