@@ -21,11 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise, shuffle_partitions
+from fieldtrace.llm.common import NO_ID, materialise, pack, shuffle_partitions, unzipped, zipped
 from fieldtrace.llm.components import components
 
 CHUNK_BYTES = 6_000_000
@@ -52,47 +51,10 @@ def shingles(text: bytes, width: int = 3) -> np.ndarray:
     return np.unique(s)
 
 
-def _zip(a: np.ndarray) -> bytes:
-    """Bytes of an array, plane after plane, compressed: the empty high bytes of small numbers vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) if len(a) else b""
-
-
-def _unzip(b: bytes, dtype: str) -> np.ndarray:
-    if not b:
-        return np.empty(0, dtype)
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
-
-
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Texts in chunks of about ``chunk_bytes``: ``chunk, ids, sizes, texts`` (null texts as empty)."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def row() -> pa.RecordBatch:
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            return pa.RecordBatch.from_pydict({"chunk": [f"{task}-{made}"], "ids": pa.array([_zip(np.array(ids, "<i8"))], pa.binary()), "sizes": pa.array([_zip(np.array([len(t) for t in texts], "<u4"))], pa.binary()), "texts": pa.array([blob], pa.binary())})
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                ids.append(doc)
-                texts.append(text.as_py() or b"")
-                held += len(texts[-1]) + 8
-                if held >= chunk_bytes:
-                    yield row()
-                    made, ids, texts, held = made + 1, [], [], 0
-        if ids:
-            yield row()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, "chunk string, ids binary, sizes binary, texts binary")
-
-
 def _sets(row: dict, width: int) -> Iterator[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(row["texts"])
     end = 0
-    for size in _unzip(row["sizes"], "<u4").tolist():
+    for size in unzipped(row["sizes"], "<u4").tolist():
         yield shingles(raw[end : end + size], width)
         end += size
 
@@ -121,7 +83,7 @@ def rare_prefixes(chunks: DataFrame, tenths: int, width: int) -> DataFrame:
                     part = short[cuts[k] : cuts[k + 1]]
                     if len(part):
                         step = np.diff(part, prepend=np.uint64(0)).astype("<u8")
-                        out.append((k, len(part), _zip(step), _zip(np.minimum(counts[cuts[k] : cuts[k + 1]], 65535).astype("<u2"))))
+                        out.append((k, len(part), zipped(step), zipped(np.minimum(counts[cuts[k] : cuts[k + 1]], 65535).astype("<u2"))))
                 if out:
                     yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]] * len(out), "bucket": pa.array([x[0] for x in out], pa.int32()), "steps": pa.array([x[2] for x in out], pa.binary()), "held": pa.array([x[3] for x in out], pa.binary())})
 
@@ -131,26 +93,26 @@ def rare_prefixes(chunks: DataFrame, tenths: int, width: int) -> DataFrame:
         by_bucket: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
-                by_bucket.setdefault(r["bucket"], []).append((r["chunk"], np.cumsum(_unzip(r["steps"], "<u8"), dtype=np.uint64), _unzip(r["held"], "<u2")))
+                by_bucket.setdefault(r["bucket"], []).append((r["chunk"], np.cumsum(unzipped(r["steps"], "<u8"), dtype=np.uint64), unzipped(r["held"], "<u2")))
         for bucket, parts in by_bucket.items():
             tokens, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
             total = np.bincount(inverse, weights=np.concatenate([p[2] for p in parts]), minlength=len(tokens)).astype("<u4")
             end = 0
             for chunk, part, _ in parts:
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bucket": pa.array([bucket], pa.int32()), "totals": pa.array([_zip(total[inverse[end : end + len(part)]])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bucket": pa.array([bucket], pa.int32()), "totals": pa.array([zipped(total[inverse[end : end + len(part)]])], pa.binary())})
                 end += len(part)
 
     answers = asked.mapInArrow(answer, "chunk string, bucket int, totals binary")
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        total = np.concatenate([np.empty(0, np.uint32), *(_unzip(x.as_py(), "<u4") for x in right.sort_by("bucket").column("totals"))])
+        total = np.concatenate([np.empty(0, np.uint32), *(unzipped(x.as_py(), "<u4") for x in right.sort_by("bucket").column("totals"))])
         out: dict[str, list] = {"doc_id": [], "n": [], "digest": [], "tokens": [], "places": []}
         for row in left.to_pylist():
             sets = list(_sets(row, width))
             found = _asked(sets, buckets)[0]
             if len(found) != len(total):
                 raise ValueError("a chunk and the answers to it differ")
-            for doc, s in zip(_unzip(row["ids"], "<i8").tolist(), sets, strict=True):
+            for doc, s in zip(unzipped(row["ids"], "<i8").tolist(), sets, strict=True):
                 n = len(s)
                 held = total[np.searchsorted(found, s)]
                 prefix = n - -(-tenths * n // 10) + 1
@@ -226,14 +188,14 @@ def join(docs: DataFrame, tenths: int = 9, width: int = 3) -> DataFrame:
     ``doc_id`` but not a text each have a row, under the one id, and are compared by the greatest of the texts. Other columns are ignored. Shingles compare by
     64-bit hash.
     """
-    chunks = materialise(pack(docs), "join-chunks")
+    chunks = materialise(pack(docs, CHUNK_BYTES), "join-chunks")
     found = materialise(rare_prefixes(chunks, tenths, width), "join-prefixes")
     some = found.filter("n > 0")
     classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "tokens", "places")).alias("x")).select("digest", F.col("x.doc_id").alias("cls"), F.col("x.n").alias("n"), F.col("x.tokens").alias("tokens"), F.col("x.places").alias("places"))
     classes = materialise(classes, "join-classes")
     posts = materialise(_postings(classes), "join-postings")
     ids = posts.select("cls").distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(ids, "cls").groupBy("cls").agg(F.max("text").alias("text")), "join-texts")
+    texts = materialise(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("cls"), "text").join(ids, "cls").groupBy("cls").agg(F.max("text").alias("text")), "join-texts")
 
     # Answers: each member against the central set with which it shares most lists.
     head = posts.groupBy("token").agg(F.min(F.struct("pos", "cls", "n")).alias("h")).select("token", F.col("h.cls").alias("hc"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"))
@@ -262,14 +224,11 @@ def join(docs: DataFrame, tenths: int = 9, width: int = 3) -> DataFrame:
     rest = materialise(_verify(pairs, texts, tenths, width), "join-rest")
     final = components(links.union(rest))
     named = classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("digest", "cls", F.coalesce("component", "cls").alias("component"))
-    return found.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    own = lambda c: F.nullif(F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")), F.lit(NO_ID))
+    return found.join(named, "digest", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), own("cls").alias("class_id"), own("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, tenths: int = 9, width: int = 3) -> DataFrame:
     """One document of each linked group, the one with the smallest doc_id; documents without words stay."""
-    kept = join(docs, tenths, width).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = join(docs, tenths, width).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)

@@ -1,52 +1,59 @@
 """Exact substring dedup by suffix arrays over shards of contexts.
 
-A window of ``length`` bytes always holds an anchor: the k-gram with the lowest hash among its k-grams. Anchors that
-occur in two documents or more are found by one shuffle of hashes. For these the context (all windows that hold the
-anchor) goes to the shard of the anchor's hash, once per chunk for equal contexts. A shard concatenates its distinct
-contexts (those that share their anchor with another) and builds their suffix array by induced sorting: suffixes are classed as smaller or larger than the next one,
-the leftmost-smaller substrings are sorted by induction and named, the string of names is sorted, and two linear passes
-induce the whole array. Permuted common prefixes then part it into runs of equal windows, and the lowest document of a
-run decides which windows of which documents go.
+A window of ``length`` bytes always holds an anchor: the k-gram with the lowest hash among its k-grams, the leftmost of
+equals. Equal windows have equal anchors. Consecutive windows with one anchor are a run, and the bytes that a run covers
+are its context; each window belongs to one run.
+
+Texts are packed into chunks. A chunk asks hash buckets, each distinct anchor once, which of its anchors a second
+document holds. The contexts of those, each distinct one once a chunk with the lowest document that holds it, go to the
+shard of the anchor's hash. A shard builds the suffix array of its distinct contexts by induced sorting; permuted
+common prefixes, cut at ``length``, part it into runs of equal windows, and the lowest document of each such run tells
+which windows begin in a smaller document. Chunks get one mask back for each context that they sent.
+
+What goes over the network is bounded by distinct anchors and contexts of chunks: a passage that fills the corpus costs
+one entry a chunk, and nothing is gathered on the driver or sent to all tasks.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise, shuffle_partitions
-from fieldtrace.llm.ngram_join import _unzip, _zip
+from fieldtrace.llm.common import NO_ID, materialise, pack, shuffle_partitions, unzipped, zipped
 
-LENGTH, ANCHOR = 50, 32
-CHUNK_BYTES = 2_500_000
-#: Cells of the table that marks shared anchors: a fixed size; where anchors outnumber cells, more contexts are sent.
-CELLS = 1 << 26
+LENGTH, ANCHOR = 50, 16
+CHUNK_BYTES = 4_000_000
+#: Shards for each shuffle partition: a task builds its suffix arrays one after the other.
 SHARDS = 12
+#: Windows are found block by block, so that a block's hashes stay in the processor's cache.
+_BLOCK = 1 << 16
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def induced(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of ``text`` (small non-negative integers, 0 lowest), exact in the first ``depth`` places.
+    """Suffix array of ``text`` (numbers up to 255, 0 lowest), exact in the first ``depth`` places.
 
-    Induced sorting, each pass bucket by bucket with whole runs at a time. The string of names has too many letters
-    for buckets and is sorted by doubling, up to ``depth``.
+    Suffixes are classed as smaller or larger than the next one; the leftmost-smaller substrings are sorted by
+    induction and named; the string of names is sorted; two linear passes induce the whole array. Each pass goes bucket
+    by bucket with whole runs at a time. The string of names has too many letters for buckets and is sorted by
+    doubling; a name covers two places at least, so half of ``depth`` names decide.
     """
     n = len(text)
-    t = np.append(text.astype(np.int32) + 1, 0)  # a sentinel below all
-    step = np.sign(t[1:] - t[:-1])
+    t = np.append(text.astype(np.uint16) + np.uint16(1), np.uint16(0))
+    step = np.sign(t[1:].astype(np.int32) - t[:-1]).astype(np.int8)
     at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
-    smaller = np.append(np.append(step, -1)[nearest] > 0, True)  # the suffix is smaller than the next one
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    smaller = np.append(np.append(step, np.int8(-1))[nearest] > 0, True)  # the suffix is smaller than the next one
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + np.int32(1)
     size = int(t.max()) + 1
     counts = np.bincount(t, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
+    used = np.flatnonzero(counts).tolist()
+    larger_before, smaller_before = np.append(False, ~smaller[:-1]), np.append(False, smaller[:-1])
 
     def induce(order: np.ndarray) -> np.ndarray:
         sa = np.full(n + 1, -1, np.int32)
@@ -57,44 +64,45 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
         sa[np.repeat(ends - held, held) + place] = order[by]
         head = starts.copy()
 
-        def push(seg: np.ndarray) -> None:
-            j = seg[seg > 0] - 1
-            j = j[~smaller[j]]
-            if len(j):
-                c = t[j]
-                k = np.argsort(c, kind="stable")
-                got, first, much = np.unique(c[k], return_index=True, return_counts=True)
-                sa[np.repeat(head[got] - first, much) + np.arange(len(j))] = j[k]
-                head[got] += much
-
-        for c in np.flatnonzero(counts):
+        def put(j: np.ndarray, heads: np.ndarray, sign: int) -> None:
+            c = t[j]
+            k = np.argsort(c, kind="stable")
+            much = np.bincount(c, minlength=size)
+            got = np.flatnonzero(much)
+            m = much[got]
+            first = np.cumsum(m) - m
+            if sign > 0:
+                sa[np.repeat(heads[got] - first, m) + np.arange(len(j))] = j[k]
+            else:
+                sa[np.repeat(heads[got] - 1 + first, m) - np.arange(len(j))] = j[k]
+            heads += sign * much
+
+        for c in used:
             i = starts[c]
             while i < head[c]:
                 seg = sa[i : head[c]]
                 i = head[c]
-                push(seg)
-            push(sa[ends[c] - held[c] : ends[c]])
-        # The smaller suffixes are placed anew, from the right.
-        sa[0] = n
-        tail = ends.copy()
-
-        def pull(seg: np.ndarray) -> None:
-            j = seg[seg > 0] - 1
-            j = j[smaller[j]]
+                j = seg[larger_before[seg]] - 1
+                if len(j):
+                    put(j, head, 1)
+            seg = sa[ends[c] - held[c] : ends[c]]
+            j = seg[larger_before[seg]] - 1
             if len(j):
-                c = t[j]
-                k = np.argsort(c, kind="stable")
-                got, first, much = np.unique(c[k], return_index=True, return_counts=True)
-                sa[np.repeat(tail[got] - 1 + first, much) - np.arange(len(j))] = j[k]
-                tail[got] -= much
-
-        for c in np.flatnonzero(counts)[::-1]:
+                put(j, head, 1)
+        sa[0] = n  # the smaller suffixes are placed anew, from the right
+        tail = ends.copy()
+        for c in used[::-1]:
             i = ends[c]
             while i > tail[c]:
                 seg = sa[tail[c] : i][::-1]
                 i = tail[c]
-                pull(seg)
-            pull(sa[starts[c] : head[c]][::-1])
+                j = seg[smaller_before[seg]] - 1
+                if len(j):
+                    put(j, tail, -1)
+            seg = sa[starts[c] : head[c]][::-1]
+            j = seg[smaller_before[seg]] - 1
+            if len(j):
+                put(j, tail, -1)
         return sa
 
     if len(lms) > 1:
@@ -102,9 +110,10 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
         is_lms = np.zeros(n + 1, bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
-        rank = np.zeros(n + 1, np.int64)
-        rank[lms] = np.arange(len(lms))
-        size_of = np.append(np.diff(lms), 1)[rank[order]]
+        rank = np.zeros(n + 1, np.int32)
+        rank[lms] = np.arange(len(lms), dtype=np.int32)
+        size_of = np.append(np.diff(lms), 1).astype(np.int32)[rank[order]]
+        both = (t << np.uint16(1)) | smaller
         same = np.append(False, size_of[1:] == size_of[:-1])
         live = np.flatnonzero(same)
         for k in range(int(size_of.max()) + 1):
@@ -112,17 +121,20 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
                 break
             live = live[k <= size_of[live]]
             a, b = np.minimum(order[live] + k, n), np.minimum(order[live - 1] + k, n)
-            equal = (t[a] == t[b]) & (smaller[a] == smaller[b])
+            equal = both[a] == both[b]
             same[live[~equal]] = False
             live = live[equal]
         names = np.empty(len(lms), np.int64)
         names[rank[order]] = np.cumsum(~same) - 1
         reach = 1
-        while reach < depth and names.max() + 1 < len(names):
+        while 2 * reach < depth and names.max() + 1 < len(names):
             key = (names << np.int64(32)) | np.append(names[reach:] + 1, np.zeros(min(reach, len(names)), np.int64))[: len(names)]
-            _, names = np.unique(key, return_inverse=True)
+            o = np.argsort(key)
+            s = key[o]
+            names = np.empty(len(lms), np.int64)
+            names[o] = np.cumsum(np.append(False, s[1:] != s[:-1]))
             reach *= 2
-        lms = lms[np.argsort(names, kind="stable")]
+        lms = lms[np.argsort(names)]
     return induce(lms)[1:]
 
 
@@ -137,30 +149,29 @@ def _words(b: np.ndarray) -> np.ndarray:
 def equal_windows(text: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
     """A class number for each window start in ``begins`` (ascending): equal for equal windows.
 
-    From the suffix array of the text and its permuted common prefixes, cut at ``length``.
+    From the suffix array of the text and its permuted common prefixes, cut at ``length`` and compared eight bytes at a
+    time.
     """
     sa = induced(text, length)
     wanted = np.zeros(len(text), bool)
     wanted[begins] = True
     order = sa[wanted[sa]]
     w = _words(text)
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]  # the window before each one, in text order
     p, q = begins, before[begins]
-    full = q >= 0
+    full = np.flatnonzero(q >= 0)
     for k in [*range(0, length - 7, 8), length - 8]:
-        full[full] = w[p[full] + k] == w[q[full] + k]
+        full = full[w[p[full] + k] == w[q[full] + k]]
     shared = np.zeros(len(text), bool)
-    shared[begins] = full
-    number = np.empty(len(text), np.int64)
+    shared[begins[full]] = True
+    number = np.empty(len(text), np.int32)
     number[order] = np.cumsum(~shared[order]) - 1
     return number[begins]
 
 
-def anchors(text: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k-grams that are lowest in some window, and their hashes (k a power of two)."""
-    if len(text) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+def _grams(text: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-grams (k a power of two)."""
     with np.errstate(over="ignore"):
         h = (text.astype(np.uint64) + np.uint64(1)) * _M
         h ^= h >> np.uint64(32)
@@ -169,204 +180,221 @@ def anchors(text: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
             h = h[: len(h) - width] * _P + (h[width:] ^ (h[width:] >> np.uint64(29))) * _M
             h ^= h >> np.uint64(31)
             width *= 2
+    return h
+
 
-    def spread(x: np.ndarray, span: int, f) -> np.ndarray:
-        done = 1
+def runs(raw: np.ndarray, begin: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: first window, number of windows, 48-bit hash of the anchor.
+
+    ``raw`` holds documents end to end, ``begin`` where each begins and the end; windows that cross documents don't count.
+    """
+    n = len(raw) - length + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    anchor, gram, low = np.empty(n, np.int64), np.empty(n, np.uint64), np.uint64(0xFFFFF)
+    for a in range(0, n, _BLOCK):
+        b = min(a + _BLOCK, n)
+        h = _grams(raw[a : b + length - 1], k)
+        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # the place in the low bits: the leftmost of equals
+        done, span = 1, length - k + 1
         while done < span:
             by = min(done, span - done)
-            x = f(x[: len(x) - by], x[by:])
+            least = np.minimum(least[: len(least) - by], least[by:])
             done += by
-        return x
-
-    span = length - k + 1
-    low = spread(h, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    high = spread(np.concatenate([pad, low, pad]), span, np.maximum)
-    found = np.flatnonzero(high == h)
-    return found, h[found]
-
-
-def _texts(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of documents: ids, where each begins, and their bytes one after the other (with the end as last begin)."""
-    ids, texts, held = [], [], 0
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-            raw = text.as_py() or b""
-            ids.append(doc)
-            texts.append(raw)
-            held += len(raw)
-            if held >= chunk_bytes:
-                yield np.array(ids), np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
-                ids, texts, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
-
-
-def _found(begin: np.ndarray, raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a chunk that lie inside one document with at least one window: positions, hashes, documents."""
-    pos, h = anchors(raw, length, k)
-    doc = np.searchsorted(begin, pos, side="right") - 1
-    ok = (pos + k <= begin[doc + 1]) & (begin[doc + 1] - begin[doc] >= length)
-    return pos[ok], h[ok], doc[ok]
-
-
-def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, cells: int = CELLS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, starts array<int>, masks array<long>``: windows of a document that also start in a smaller document.
-
-    Bit b of a mask stands for the window that begins b bytes after the start beside it.
-    """
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    shards = SHARDS * buckets  # the suffix arrays of a task are built one after the other
-    shift = np.uint64(64 - int(cells).bit_length() + 1)
-    table = docs.select(F.col("doc_id").cast("long"), "text")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, begin, raw in _texts(batches, chunk_bytes):
-            _, h, doc = _found(begin, raw, length, anchor)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
-            other = np.append(False, doc[1:] != doc[:-1]) & ~new if len(h) else new
-            many = np.logical_or.reduceat(other, np.flatnonzero(new)) if len(h) else new
-            h = h[new] >> np.uint64(16)
-            cut = np.searchsorted(h, np.array([(b << 48) // buckets for b in range(buckets + 1)], np.uint64))
-            rows = [(b, _zip(np.diff(h[x:y], prepend=np.uint64(0)).astype("<u8")), np.packbits(many[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "steps": pa.array([r[1] for r in rows], pa.binary()), "many": pa.array([r[2] for r in rows], pa.binary())})
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                h = np.cumsum(_unzip(r["steps"], "<u8"), dtype=np.uint64)
-                by_bucket.setdefault(r["bucket"], []).append((h, np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(h)).astype(bool)))
-        for parts in by_bucket.values():
-            h, much = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-            more = np.unique(np.concatenate([p[0][p[1]] for p in parts]))
-            got = np.union1d(h[much > 1], more)
-            cell = np.unique(got >> (shift - np.uint64(16)))
-            yield pa.RecordBatch.from_pydict({"cells": pa.array([_zip(np.diff(cell, prepend=np.uint64(0)).astype("<u8"))], pa.binary())})
-
-    marked = np.zeros(cells, bool)
-    # A share of the table from each bucket: never more than its cells, however many anchors there are.
-    for part in table.mapInArrow(hashes, "bucket int, steps binary, many binary").repartition(buckets, "bucket").mapInArrow(shared, "cells binary").toArrow().column(0):
-        marked[np.cumsum(_unzip(part.as_py(), "<u8"), dtype=np.uint64).astype(np.int64)] = True
-    sent = spark.sparkContext.broadcast(np.packbits(marked))
-    del marked
-    reach = length - anchor
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, leads = sent.value, [bytes([k]) for k in range(reach + 1)]
-        for ids, begin, raw in _texts(batches, chunk_bytes):
-            pos, h, doc = _found(begin, raw, length, anchor)
-            cell = (h >> shift).astype(np.int64)
-            hit = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            pos, h, doc = pos[hit], h[hit], doc[hit]
-            left, right = np.maximum(begin[doc], pos - reach), np.minimum(begin[doc + 1], pos + length)
-            seen: dict[bytes, list] = {}
-            data = raw.tobytes()
-            for g, p, i, j, d in zip(h.tolist(), pos.tolist(), left.tolist(), right.tolist(), ids[doc].tolist(), strict=True):
-                x = seen.setdefault(leads[p - i] + data[i:j], [g, []])  # the anchor's place, then the context
-                x[1].append((d, i))
-            own_begin = dict(zip(ids.tolist(), begin[:-1].tolist(), strict=True))
-            rows: dict[int, list] = {}
-            for text, (g, where) in seen.items():
-                rows.setdefault(g * shards >> 64, []).append((text, where))
-            for bucket, found in rows.items():
-                much, places, owners, texts = [], [], [], []
-                for text, where in found:
-                    texts.append(text)
-                    much.append(len(where))
-                    for d, i in where:
-                        owners.append(d)
-                        places.append(i - own_begin[d])
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([bucket], pa.int32()), "sizes": pa.array([_zip(np.array([len(x) for x in texts], "<u4"))], pa.binary()), "texts": pa.array([_zip(np.frombuffer(b"".join(texts), np.uint8))], pa.binary()),
-                    "much": pa.array([_zip(np.array(much, "<u4"))], pa.binary()), "owners": pa.array([_zip(np.array(owners, "<i8"))], pa.binary()), "places": pa.array([_zip(np.array(places, "<i4"))], pa.binary()),
-                })
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                waiting.setdefault(r.pop("bucket"), []).append(r)
-        while waiting:
-            number: dict[bytes, int] = {}
-            context, owner, place = [], [], []
-            for r in waiting.popitem()[1]:
-                raw = _unzip(r["texts"], "u1").tobytes()
-                ends = np.cumsum(_unzip(r["sizes"], "<u4").astype(np.int64)).tolist()
-                own = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
-                context.append(np.repeat(own, _unzip(r["much"], "<u4")))
-                owner.append(_unzip(r["owners"], "<i8"))
-                place.append(_unzip(r["places"], "<i4"))
-            context, owner, place = map(np.concatenate, (context, owner, place))
-            windows = np.fromiter(map(len, number), np.int64, len(number)) - length
-            lowest = np.full(len(windows), np.iinfo(np.int64).max)
-            np.minimum.at(lowest, context, owner)
-            # Equal windows have equal anchors, so a context that no other shares its anchor with needs no comparing.
-            held = [x[1 + x[0] : 1 + x[0] + anchor] for x in number]
-            often = Counter(held)
-            rivals = np.flatnonzero(np.fromiter((often[x] > 1 for x in held), bool, len(held)))
-            bits = np.zeros(len(windows), np.int64)
-            if len(rivals):
-                keys = list(number)
-                texts = [keys[k][1:] for k in rivals.tolist()]
-                sizes = windows[rivals] + length - 1
-                cut = np.cumsum(windows[rivals]) - windows[rivals]
-                which = np.repeat(np.arange(len(rivals)), windows[rivals])
-                offset = np.arange(len(which)) - cut[which]
-                equal = equal_windows(np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[which] + offset, length)
-                mine = lowest[rivals][which]
-                first = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(first, equal, mine)
-                # The lowest document of a context loses the windows that a lower one holds elsewhere; all others lose all.
-                bits[rivals] = np.add.reduceat((first[equal] < mine).astype(np.int64) << offset, cut)
-            mask = np.where(owner > lowest[context], (np.int64(1) << windows[context]) - 1, bits[context])
-            gone = mask != 0
-            for k in range(0, int(gone.sum()), 200_000):
-                part = np.flatnonzero(gone)[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(place[part].astype(np.int32)), pa.array(mask[part])], ["doc_id", "start", "mask"])
-
-    hits = table.mapInArrow(contexts, "bucket int, sizes binary, texts binary, much binary, owners binary, places binary").repartition(buckets, "bucket").mapInArrow(decide, "doc_id long, start int, mask long")
-    return materialise(hits.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks")), "suffix-windows")
-
-
-def removed_bytes(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+        at = (least & low).astype(np.int64)
+        anchor[a:b], gram[a:b] = at + a, h[at]
+    inside = np.ones(n, bool)
+    for e in begin[1:-1].tolist():
+        inside[max(e - length + 1, 0) : e] = False
+    start = np.flatnonzero(inside)
+    own = anchor[start]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1))[: len(start)])
+    return start[first], np.diff(np.append(first, len(start))), gram[start[first]] >> np.uint64(16)
+
+
+def _prints(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings that begin at ``starts``: a difference of running sums, brought to one place."""
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(len(text) + 1, _P))
+        inverse = np.multiply.accumulate(np.full(len(text) + 1, np.uint64(pow(int(_P), -1, 2**64))))
+        total = np.append(np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+        h = (total[starts + sizes] - total[starts]) * inverse[starts]
+        h = (h ^ (h >> np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(52))) * _M
+        return h ^ (h >> np.uint64(29))
+
+
+def _gathered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The strings that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    return text[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Chunk:
+    """A chunk's texts and their runs; ``found`` are its distinct anchors, in order, ``inverse`` the place of each run's anchor there."""
+
+    def __init__(self, row: dict, length: int, k: int):
+        self.ids, self.length = unzipped(row["ids"], "<i8"), length
+        self.begin = np.concatenate([[0], np.cumsum(unzipped(row["sizes"], "<u4").astype(np.int64))])
+        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
+        self.start, self.windows, self.gram = runs(self.raw, self.begin, length, k)
+        self.owner = self.ids[np.searchsorted(self.begin, self.start, side="right") - 1]
+        self.found, self.inverse = np.unique(self.gram, return_inverse=True)
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        return np.searchsorted(self.found, np.array([(b << 48) // buckets for b in range(buckets)] + [1 << 48], np.uint64))
+
+    def often(self) -> np.ndarray:
+        """Whether two documents of the chunk hold an anchor."""
+        order = np.argsort(self.inverse, kind="stable")
+        owner, edges = self.owner[order], np.searchsorted(self.inverse[order], np.arange(len(self.found)))
+        return np.minimum.reduceat(owner, edges) != np.maximum.reduceat(owner, edges) if len(owner) else np.empty(0, bool)
+
+    def keep(self, shared: np.ndarray, shards: int) -> None:
+        """Contexts of the shared anchors, each distinct one once, in the order of shards: ``which`` run is the first, ``lowest`` document, ``shard``; ``context`` of each hit."""
+        if len(shared) != len(self.found):
+            raise ValueError("a chunk and the answers to it differ")
+        self.hits = np.flatnonzero(shared[self.inverse])
+        sizes = self.windows[self.hits] + self.length - 1
+        _, first, context = np.unique(_prints(self.raw, self.start[self.hits], sizes), return_index=True, return_inverse=True)
+        shard = ((self.gram[self.hits[first]] * np.uint64(shards)) >> np.uint64(48)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which, self.shard, self.context = self.hits[first[order]], shard[order], place[context]
+        self.lowest = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.lowest, self.context, self.owner[self.hits])
+
+
+def _shared(answers: list[dict]) -> np.ndarray:
+    parts = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in sorted(answers, key=lambda r: r["part"])]
+    return np.concatenate([np.empty(0, np.uint8), *parts]).astype(bool)
+
+
+def removed_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans array<array<int>>, kept binary`` of every row of ``docs``.
 
     Each byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id goes; strings
     are judged on the input and never cross documents. Texts count as UTF-8 bytes, null as empty; other columns are
     ignored. ``spans`` are the maximal removed runs (begin, end). Rows that share a doc_id are the same document: what
-    one of them repeats of the other stays, and what a smaller document holds goes from both where both hold it at one
-    place. An empty table gives an empty table.
+    one of them repeats of the other stays, and what a smaller document holds goes from both. Rows without an id are one
+    document, lower than all. An empty table gives an empty table. ``length`` is 2 to 63 more than ``anchor``, a power of
+    two. Contexts of one chunk or shard are told apart by length and 64-bit hash, windows by their bytes.
     """
-    found = repeated_windows(docs, length, **options)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    buckets = shuffle_partitions(docs.sparkSession)
+    shards = SHARDS * buckets
+    chunks = materialise(pack(docs, chunk_bytes), "suffix-chunks")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches):
         for b in batches:
-            out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
-            for doc, text, starts, masks in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2), b.column(3), strict=True):
-                raw = text.as_py() or b""
-                gone = np.zeros(len(raw) + 1, np.int64)
-                if starts.is_valid:
-                    s, m = starts.values.to_numpy().astype(np.int64), masks.values.to_numpy()
-                    bit = np.arange(int(m.max()).bit_length())
-                    at = (s[:, None] + bit)[(m[:, None] >> bit) & 1 == 1]
-                    at = at[at + length <= len(raw)]
-                    gone = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + length, minlength=len(raw) + 1)
-                hole = np.cumsum(gone[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hole.astype(np.int8), [0]])))
-                out["doc_id"].append(doc)
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int(hole.sum()))
-                out["spans"].append(edge.reshape(-1, 2).tolist())
-                out["kept"].append(np.frombuffer(raw, np.uint8)[~hole].tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.binary()), strict=True)})
-
-    return rows.select("doc_id", "text", "starts", "masks").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
+            for row in b.to_pylist():
+                chunk = _Chunk(row, length, anchor)
+                cuts, many = chunk.cuts(buckets), chunk.often()
+                parts = [(k, x, y) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([row["chunk"]] * len(parts), pa.string()), "bucket": pa.array([k for k, _, _ in parts], pa.int32()), "n": pa.array([y - x for _, x, y in parts], pa.int32()),
+                    "steps": pa.array([zipped(np.diff(chunk.found[x:y], prepend=np.uint64(0)).astype("<u8")) for _, x, y in parts], pa.binary()), "many": pa.array([np.packbits(many[x:y]).tobytes() for _, x, y in parts], pa.binary()),
+                })
+
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        parts = [np.cumsum(unzipped(r["steps"], "<u8"), dtype=np.uint64) for r in rows]
+        many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=r["n"]) for r in rows])
+        found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        # an anchor is shared if two chunks hold it, or two documents of one
+        shared = np.bincount(inverse, minlength=len(found)) + np.bincount(inverse, weights=many, minlength=len(found)) > 1
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        bits = [np.packbits(shared[inverse[x:y]]).tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.string()), "part": pa.array([r["bucket"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    asked = chunks.mapInArrow(ask, "chunk string, bucket int, n int, steps binary, many binary")
+    known = materialise(asked.groupBy("bucket").applyInArrow(answer, "chunk string, part int, n int, bits binary"), "suffix-anchors")
+
+    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"chunk": [], "shard": [], "windows": [], "lowest": [], "texts": []}
+        for row in left.to_pylist():
+            chunk = _Chunk(row, length, anchor)
+            chunk.keep(_shared(right.to_pylist()), shards)
+            windows, starts = chunk.windows[chunk.which], chunk.start[chunk.which]
+            at, first = np.unique(chunk.shard, return_index=True)
+            edges = np.append(first, len(chunk.shard)).tolist()
+            for shard, x, y in zip(at.tolist(), edges[:-1], edges[1:], strict=True):
+                out["chunk"].append(row["chunk"])
+                out["shard"].append(shard)
+                out["windows"].append(zipped(windows[x:y].astype("<u1")))
+                out["lowest"].append(zipped(chunk.lowest[x:y].astype("<i8")))
+                out["texts"].append(zipped(_gathered(chunk.raw, starts[x:y], windows[x:y] + length - 1)))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
+
+    def decide(sent: pa.Table) -> pa.Table:
+        rows = sent.select(["chunk", "shard"]).to_pylist()
+        part = lambda c, kind: [unzipped(x.as_py(), kind) for x in sent.column(c)]
+        windows, lowest = part("windows", "<u1"), np.concatenate(part("lowest", "<i8"))
+        ends = np.cumsum([len(x) for x in windows]).tolist()
+        windows = np.concatenate(windows).astype(np.int64)
+        text, sizes = np.concatenate(part("texts", "u1")), windows + length - 1
+        starts = np.cumsum(sizes) - sizes
+        _, first, context = np.unique(_prints(text, starts, sizes), return_index=True, return_inverse=True)
+        low = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(low, context, lowest)
+        text, windows_of = _gathered(text, starts[first], sizes[first]), windows[first]
+        cut = np.cumsum(windows_of) - windows_of
+        which = np.repeat(np.arange(len(first)), windows_of)
+        offset = np.arange(len(which)) - cut[which]
+        equal = equal_windows(text, (np.cumsum(sizes[first]) - sizes[first])[which] + offset, length)
+        least = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, equal, low[which])
+        bits = np.add.reduceat((least[equal] < low[which]).astype(np.int64) << offset, cut)
+        # A chunk whose lowest document isn't the lowest of the context loses every window of it.
+        mask = np.where(lowest > low[context], (np.int64(1) << windows) - 1, bits[context])
+        masks = [zipped(mask[x:y].astype("<i8")) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.string()), "part": pa.array([r["shard"] for r in rows], pa.int32()), "n": pa.array([-1] * len(rows), pa.int32()), "bits": pa.array(masks, pa.binary())})
+
+    by_chunk = chunks.groupBy("chunk")
+    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(contexts, "chunk string, shard int, windows binary, lowest binary, texts binary")
+    decided = sent.groupBy("shard").applyInArrow(decide, "chunk string, part int, n int, bits binary")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables, answers = [], right.to_pylist()
+        for row in left.to_pylist():
+            chunk = _Chunk(row, length, anchor)
+            chunk.keep(_shared([r for r in answers if r["n"] >= 0]), shards)
+            masks = np.concatenate([np.empty(0, np.int64), *(unzipped(r["bits"], "<i8") for r in sorted((r for r in answers if r["n"] < 0), key=lambda r: r["part"]))])
+            if len(masks) != len(chunk.which):
+                raise ValueError("a chunk and the answers to it differ")
+            # Within the chunk, documents above the lowest that holds a context lose all of it.
+            mask = np.where(chunk.owner[chunk.hits] > chunk.lowest[chunk.context], (np.int64(1) << chunk.windows[chunk.hits]) - 1, masks[chunk.context])
+            size, gone = len(chunk.raw), np.zeros(len(chunk.raw) + 1, np.int32)
+            for bit in range(length - anchor + 1):
+                at = chunk.start[chunk.hits[(mask >> bit) & 1 == 1]] + bit
+                gone[at] += 1
+                gone[at + length] -= 1
+            hole = np.cumsum(gone[:-1]) > 0
+            edge = hole.copy()
+            edge[1:] &= ~hole[:-1]
+            inner = chunk.begin[:-1][chunk.begin[:-1] < size]
+            edge[inner] = hole[inner]
+            stop = hole.copy()
+            stop[:-1] &= ~hole[1:]
+            last = chunk.begin[1:][chunk.begin[1:] > 0] - 1
+            stop[last] = hole[last]
+            x, y = np.flatnonzero(edge), np.flatnonzero(stop) + 1
+            doc = np.searchsorted(chunk.begin, x, side="right") - 1
+            spans = np.column_stack([x, y]) - chunk.begin[doc][:, None]
+            n_spans = np.bincount(doc, minlength=len(chunk.ids))
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 2), pa.array(spans.reshape(-1).astype(np.int32)))
+            total = np.concatenate([[0], np.cumsum(hole)])
+            removed = total[chunk.begin[1:]] - total[chunk.begin[:-1]]
+            kept, left_at = chunk.raw[~hole].tobytes(), (chunk.begin - total[chunk.begin]).tolist()
+            tables.append(pa.table({
+                "doc_id": pa.array(chunk.ids), "n_bytes": pa.array(np.diff(chunk.begin)), "n_removed": pa.array(removed),
+                "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), pairs), "kept": pa.array([kept[a:b] for a, b in zip(left_at[:-1], left_at[1:], strict=True)], pa.binary()),
+            }))
+        return pa.concat_tables(tables)
+
+    answers = known.unionByName(decided)
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept binary")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -146,8 +146,8 @@ def test_suffix_array():
         assert suffix_dedup.induced(t, 10**6).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
 
 
-@pytest.mark.parametrize("cells", [1 << 26, 1 << 8])
-def test_suffix_dedup(docs, nothing, cells):
+@pytest.mark.parametrize("chunk_bytes", [5_000, 4_000_000])
+def test_suffix_dedup(docs, nothing, chunk_bytes):
     seen, want = {}, {}
     for k, t in enumerate(texts()):
         b = (t or "").encode()
@@ -158,7 +158,7 @@ def test_suffix_dedup(docs, nothing, cells):
             mine.add(b[i : i + 50])
         seen.update(dict.fromkeys(mine))
         want[k] = (len(b), int(gone.sum()), np.frombuffer(b, np.uint8)[~gone].tobytes())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.removed_bytes(docs, cells=cells, chunk_bytes=20_000).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.removed_bytes(docs, chunk_bytes=chunk_bytes).collect()}
     assert got == want
     assert suffix_dedup.removed_bytes(nothing).count() == 0
 
