@@ -139,11 +139,8 @@ def induced(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _words(b: np.ndarray) -> np.ndarray:
-    """The eight bytes that begin at each position, as one number (bytes beyond the end count as 0)."""
-    w = np.append(b, np.zeros(8, np.uint8)).astype(np.uint64)
-    for k in (1, 2, 4):
-        w = (w[: len(w) - k] << np.uint64(8 * k)) | w[k:]
-    return w[: len(b)]
+    """A view of the eight bytes that begin at each position, as one number (bytes beyond the end count as 0)."""
+    return np.ndarray((len(b),), "<u8", np.append(b, np.zeros(8, np.uint8)), strides=(1,))
 
 
 def equal_windows(text: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
@@ -188,10 +185,11 @@ def runs(raw: np.ndarray, begin: np.ndarray, length: int, k: int) -> tuple[np.nd
 
     ``raw`` holds documents end to end, ``begin`` where each begins and the end; windows that cross documents don't count.
     """
-    n = len(raw) - length + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    anchor, gram, low = np.empty(n, np.int64), np.empty(n, np.uint64), np.uint64(0xFFFFF)
+    n, low = len(raw) - length + 1, np.uint64(0xFFFFF)
+    inside = np.ones(max(n, 0), bool)
+    for e in begin[1:-1].tolist():
+        inside[max(e - length + 1, 0) : e] = False
+    starts, ranks, grams, valid, last = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0, -1
     for a in range(0, n, _BLOCK):
         b = min(a + _BLOCK, n)
         h = _grams(raw[a : b + length - 1], k)
@@ -201,26 +199,30 @@ def runs(raw: np.ndarray, begin: np.ndarray, length: int, k: int) -> tuple[np.nd
             by = min(done, span - done)
             least = np.minimum(least[: len(least) - by], least[by:])
             done += by
-        at = (least & low).astype(np.int64)
-        anchor[a:b], gram[a:b] = at + a, h[at]
-    inside = np.ones(n, bool)
-    for e in begin[1:-1].tolist():
-        inside[max(e - length + 1, 0) : e] = False
-    start = np.flatnonzero(inside)
-    own = anchor[start]
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1))[: len(start)])
-    return start[first], np.diff(np.append(first, len(start))), gram[start[first]] >> np.uint64(16)
+        at = np.where(inside[a:b], (least & low).astype(np.int64) + a, -1)
+        new = np.flatnonzero((at != np.append(last, at[:-1])) & (at >= 0))
+        rank = np.cumsum(at >= 0)
+        starts.append(new + a)
+        ranks.append(valid + rank[new] - 1)
+        grams.append(h[at[new] - a])
+        valid, last = valid + int(rank[-1]), at[-1]
+    gram = np.concatenate(grams)
+    with np.errstate(over="ignore"):  # the lowest hashes were chosen: mixed anew, they spread over buckets and shards
+        gram = (gram ^ (gram >> np.uint64(31))) * _P
+        gram = (gram ^ (gram >> np.uint64(29))) * _M
+    return np.concatenate(starts), np.diff(np.append(np.concatenate(ranks), valid)), gram >> np.uint64(16)
 
 
 def _prints(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the strings that begin at ``starts``: a difference of running sums, brought to one place."""
+    """64-bit hashes of the strings that begin at ``starts``, eight bytes at a time."""
+    words, h = _words(text), sizes.astype(np.uint64) * _P
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.full(len(text) + 1, _P))
-        inverse = np.multiply.accumulate(np.full(len(text) + 1, np.uint64(pow(int(_P), -1, 2**64))))
-        total = np.append(np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:-1]))
-        h = (total[starts + sizes] - total[starts]) * inverse[starts]
-        h = (h ^ (h >> np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(52))) * _M
-        return h ^ (h >> np.uint64(29))
+        for k in range(0, int(sizes.max(initial=0)), 8):
+            live = np.flatnonzero(sizes > k)
+            beyond = np.maximum(8 - (sizes[live] - k), 0).astype(np.uint64) * np.uint64(8)
+            x = (h[live] ^ ((words[starts[live] + k] << beyond) >> beyond)) * _M
+            h[live] = (x ^ (x >> np.uint64(29))) * _P
+        return h ^ (h >> np.uint64(32))
 
 
 def _gathered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -256,7 +258,7 @@ class _Chunk:
         self.hits = np.flatnonzero(shared[self.inverse])
         sizes = self.windows[self.hits] + self.length - 1
         _, first, context = np.unique(_prints(self.raw, self.start[self.hits], sizes), return_index=True, return_inverse=True)
-        shard = ((self.gram[self.hits[first]] * np.uint64(shards)) >> np.uint64(48)).astype(np.int32)
+        shard = (((self.gram[self.hits[first]] >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -364,12 +366,12 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, c
                 raise ValueError("a chunk and the answers to it differ")
             # Within the chunk, documents above the lowest that holds a context lose all of it.
             mask = np.where(chunk.owner[chunk.hits] > chunk.lowest[chunk.context], (np.int64(1) << chunk.windows[chunk.hits]) - 1, masks[chunk.context])
-            size, gone = len(chunk.raw), np.zeros(len(chunk.raw) + 1, np.int32)
+            size, gone = len(chunk.raw), np.zeros(len(chunk.raw) + 1, np.int16)
             for bit in range(length - anchor + 1):
                 at = chunk.start[chunk.hits[(mask >> bit) & 1 == 1]] + bit
                 gone[at] += 1
                 gone[at + length] -= 1
-            hole = np.cumsum(gone[:-1]) > 0
+            hole = np.cumsum(gone[:-1], dtype=np.int16) > 0
             edge = hole.copy()
             edge[1:] &= ~hole[:-1]
             inner = chunk.begin[:-1][chunk.begin[:-1] < size]
@@ -383,11 +385,11 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, c
             spans = np.column_stack([x, y]) - chunk.begin[doc][:, None]
             n_spans = np.bincount(doc, minlength=len(chunk.ids))
             pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 2), pa.array(spans.reshape(-1).astype(np.int32)))
-            total = np.concatenate([[0], np.cumsum(hole)])
+            total = np.append(np.int32(0), np.cumsum(hole, dtype=np.int32))
             removed = total[chunk.begin[1:]] - total[chunk.begin[:-1]]
             kept, left_at = chunk.raw[~hole].tobytes(), (chunk.begin - total[chunk.begin]).tolist()
             tables.append(pa.table({
-                "doc_id": pa.array(chunk.ids), "n_bytes": pa.array(np.diff(chunk.begin)), "n_removed": pa.array(removed),
+                "doc_id": pa.array(chunk.ids), "n_bytes": pa.array(np.diff(chunk.begin)), "n_removed": pa.array(removed.astype(np.int64)),
                 "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), pairs), "kept": pa.array([kept[a:b] for a, b in zip(left_at[:-1], left_at[1:], strict=True)], pa.binary()),
             }))
         return pa.concat_tables(tables)
