@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import geo
 from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, with_epochs
 from fieldtrace.operators.spatial import checked, metric_crs, project, project_point
-from fieldtrace.operators.tracks import ORDER, summary_groups, with_order
+from fieldtrace.operators.tracks import ORDER, numbered, summary_groups, with_order
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,10 @@ def gps_resource_use(df: DataFrame, resources: list[Resource], radius_m: float =
 def gps_resource_visits(
     df: DataFrame, resources: list[Resource], radius_m: float = 25, max_gap_mins: float = 30, min_fixes: int = 1, min_duration_mins: float = 0, groups: list[str] | None = None, metric_crs: int | None = None, order_col: str = ORDER,
 ) -> DataFrame:
-    """Bouts near the nearest resource: one begins where the last fix was not near, near another, or too long ago."""
+    """Bouts near the nearest resource: one begins where the last fix was not near, near another, or too long ago.
+
+    ``visit_id`` numbers the visits of all groups in one sequence, by group and time.
+    """
     df = with_order(gps_resource_distance(df, resources, metric_crs), order_col)
     grp = summary_groups(df, groups)
     w = Window.partitionBy(*grp).orderBy("datetime", order_col)
@@ -78,4 +81,4 @@ def gps_resource_visits(
         F.first("nearest_resource_type").alias("resource_type"), F.min("datetime").alias("visit_start"), F.max("datetime").alias("visit_end"), F.count(F.lit(1)).alias("n_fixes"), F.min("resource_distance_m").alias("min_distance_m"), F.avg("resource_distance_m").alias("mean_distance_m"), F.first("metric_crs").alias("metric_crs"),
     )
     out = out.withColumns({"duration_mins": (F.unix_micros("visit_end") - F.unix_micros("visit_start")) / 60e6, "radius_m": F.lit(float(radius_m))}).filter((F.col("n_fixes") >= min_fixes) & (F.col("duration_mins") >= min_duration_mins))
-    return out.withColumn("visit_id", F.row_number().over(Window.partitionBy(*grp).orderBy("_visit"))).drop("_visit")
+    return numbered(out, grp, ["_visit"], "visit_id").drop("_visit")

@@ -6,7 +6,7 @@ operator speaks of input order it uses ``order_col``, a column whose values are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,21 @@ def with_order(df: DataFrame, order_col: str = ORDER) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame, groups: list[str], within: list[str | Column], name: str) -> DataFrame:
+    """Add one sequence from 1 over all rows: group after group, nulls first, then by ``within``.
+
+    Rows are ordered inside their groups only; what is ordered as a whole has one row a group.
+    """
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], before.alias("_before"))
+    same = F.lit(True)
+    for i, c in enumerate(groups):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    own = df.withColumn("_own", F.row_number().over(Window.partitionBy(*groups).orderBy(*within)))
+    return own.join(offsets, same).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", *[f"_g{i}" for i in range(len(groups))])
+
+
 def blank(x: Column) -> Column:
     return F.coalesce(F.trim(x.cast("string")) == "", F.lit(True))
 

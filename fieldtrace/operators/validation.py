@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import stats
-from fieldtrace.operators.tracks import FLAGS, ORDER, REQUIRED, blank, invalid_reason, prepare, row_flags, track_groups, with_order
+from fieldtrace.functions.geo import is_finite
+from fieldtrace.operators.tracks import FLAGS, ORDER, REQUIRED, blank, invalid_reason, numbered, prepare, row_flags, track_groups, with_order
 
 
 @dataclass
@@ -134,14 +135,34 @@ def _hints(df: DataFrame) -> dict[str, list[str]]:
     return {need: [c for c, x in low.items() if any(p == x or (len(p) > 1 and p in x) for p in parts)] for need, parts in looks.items() if need not in df.columns}
 
 
+def _unusable(df: DataFrame, typed: DataFrame) -> dict[str, str]:
+    """Required columns without a single usable value, and why. Reads the table once; an empty table has none."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    given = df.agg(some(~blank(F.col("datetime"))).alias("given"))
+    good = typed.agg(
+        some(~blank(F.col("sensor_id"))).alias("sensor_id"), some(F.col("datetime").isNotNull()).alias("datetime"),
+        some(is_finite(F.col("lon")) & F.col("lon").between(-180, 180)).alias("lon"), some(is_finite(F.col("lat")) & F.col("lat").between(-90, 90)).alias("lat"),
+    )
+    one = good.first()
+    why = {"sensor_id": "no value that isn't blank", "lon": "no value from -180 to 180", "lat": "no value from -90 to 90"}
+    if not one["datetime"]:
+        why["datetime"] = "no value is a time" if given.first()["given"] else "no value"
+    return {c: why[c] for c in REQUIRED if not one[c]}
+
+
 def gps_validate(df: DataFrame, drop_invalid: bool = False, large_gap_mins: float = 60, groups: list[str] | None = None, check_zero_zero: bool = False, order_col: str = ORDER) -> Validation:
-    """Check the schema and describe the rows. A bad schema gives a verdict with hints, not an error."""
+    """Check the schema and describe the rows. A bad schema gives a verdict with hints, not an error.
+
+    A required column that is there but holds no usable value is as bad as one that isn't.
+    """
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         hints = _hints(df)
         said = "; ".join(f"{c}: perhaps {', '.join(h)}" for c, h in hints.items() if h)
         return Validation(False, "missing columns: " + ", ".join(missing) + (f" ({said})" if said else ""), hints=hints)
     typed = with_order(prepare(df), order_col)
+    if unusable := _unusable(df, typed):
+        return Validation(False, "; ".join(f"{c}: {why}" for c, why in unusable.items()))
     grp = track_groups(typed, groups)
     bad = invalid_rows(typed, check_zero_zero)
     data = row_flags(typed, check_zero_zero).filter("not bad_row").drop(*FLAGS) if drop_invalid else typed
@@ -156,7 +177,7 @@ def gps_qc_summary(df: DataFrame, large_gap_mins: float = 60, groups: list[str]
     typed = verdict.data
     grp = track_groups(typed, groups)
     twins = duplicate_flags(typed, grp, order_col).filter("duplicate_record or duplicate_fix")
-    large = verdict.intervals.filter("is_large_gap").withColumn("gap_id", F.row_number().over(Window.orderBy(*grp, "row_id")))
+    large = numbered(verdict.intervals.filter("is_large_gap"), grp, ["row_id"], "gap_id")
     sides = large.select("gap_id", "interval_mins", F.explode(F.array(F.struct(F.lit("before").alias("gap_side"), F.col("previous_row_id").alias("row_id")), F.struct(F.lit("after").alias("gap_side"), F.col("row_id").alias("row_id")))).alias("s"))
     at = typed.select(F.col(order_col).alias("row_id"), *grp, "datetime", "lon", "lat")
     gap_rows = sides.select("gap_id", "s.gap_side", "s.row_id", F.col("interval_mins").alias("gap_mins")).join(at, "row_id").select("gap_id", "gap_side", "row_id", *grp, "datetime", "lon", "lat", "gap_mins")

@@ -104,7 +104,7 @@ QUERIES: dict[str, Query] = {
     "nearest_neighbour": Query(lambda s, d: social.gps_nearest_neighbour(hourly_fixes(s, d)), {"order_col": "n", "social_group_size": "n", "nearest_animal_id": "k", "nearest_neighbour_m": "m"}, O.social_rows()),
     "neighbours_within": Query(lambda s, d: social.gps_neighbours_within_range(hourly_fixes(s, d), REACH), {"order_col": "n", "n_valid_fixes": "n", "n_neighbours_within_250m": "n", "n_neighbours_within_1000m": "n", "any_neighbour_within_250m": "b"}, O.social_rows()),
     "social_rows": Query(lambda s, d: social.gps_social(hourly_fixes(s, d), REACH), {"order_col": "n", "social_group_size": "n", "nearest_animal_id": "k", "nearest_neighbour_m": "m", "mean_distance_to_others_m": "m", "n_neighbours_within_250m": "n", "n_neighbours_within_1000m": "n"}, O.social_rows()),
-    "contacts": Query(lambda s, d: social.gps_contacts(hourly_fixes(s, d), 1000, max_gap_mins=2880), {"deployment_id": "k", "pair_id": "k", "contact_id": "n", "contact_start": "t", "contact_end": "t", "duration_s": "r", "n_contact_fixes": "n", "min_distance_m": "m", "mean_distance_m": "m", "max_distance_m": "m"}, O.contacts(1000, 2880)),
+    "contacts": Query(lambda s, d: social.gps_contacts(hourly_fixes(s, d), 1000, max_gap_mins=2880), {"deployment_id": "k", "pair_id": "k", "contact_event_id": "n", "contact_start": "t", "contact_end": "t", "duration_s": "r", "n_contact_fixes": "n", "min_distance_m": "m", "mean_distance_m": "m", "max_distance_m": "m"}, O.contacts(1000, 2880)),
     "social_day": Query(lambda s, d: social.gps_social_summary(hourly_fixes(s, d), "day", thresholds_m=REACH), ANIMAL | EPOCH | {"n_fixes": "n"} | SOCIAL, O.social_day()),
     "resource_distance": Query(lambda s, d: resources.gps_resource_distance(fixes(s, d), RESOURCES, 3857), {"order_col": "n", "nearest_resource_id": "k", "nearest_resource_type": "k", "resource_distance_m": "m", "metric_crs": "k"}, O.resource_distance()),
     "resource_use": Query(lambda s, d: resources.gps_resource_use(fixes(s, d), RESOURCES, 150, "day", metric_crs=3857), ANIMAL | EPOCH | {"resource_id": "k", "n_total_fixes": "n", "n_fixes_near": "n", "prop_fixes_near": "r", "mean_distance_m": "m", "median_distance_m": "m", "min_distance_m": "m"}, O.resource_use(150)),

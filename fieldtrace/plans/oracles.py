@@ -294,7 +294,7 @@ def resource_visits(radius: float, gap: float) -> str:
 b AS (SELECT *, resource_distance_m <= {radius} AS near, lag(resource_distance_m <= {radius}) OVER {w} AS was, lag(nearest_resource_id) OVER {w} AS other, (epoch_us(datetime)-epoch_us(lag(datetime) OVER {w}))/60e6 AS gap FROM nearest),
 c AS (SELECT *, sum(CASE WHEN near AND NOT coalesce(was AND other = nearest_resource_id AND gap <= {gap}, false) THEN 1 ELSE 0 END) OVER {w} AS v FROM b),
 d2 AS (SELECT {ANIMAL}, v, nearest_resource_id AS resource_id, min(datetime) AS visit_start, max(datetime) AS visit_end, count(*) AS n_fixes, min(resource_distance_m) AS min_distance_m, avg(resource_distance_m) AS mean_distance_m FROM c WHERE near GROUP BY {ANIMAL}, v, nearest_resource_id)
-SELECT *, (epoch_us(visit_end)-epoch_us(visit_start))/60e6 AS duration_mins, row_number() OVER (PARTITION BY {ANIMAL} ORDER BY v) AS visit_id FROM d2"""
+SELECT *, (epoch_us(visit_end)-epoch_us(visit_start))/60e6 AS duration_mins, row_number() OVER (ORDER BY {ANIMAL}, v) AS visit_id FROM d2"""
 
 
 def _grid(step_us: int, groups: str) -> str:
@@ -345,7 +345,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ANIMAL}, k ORDER BY {o
 
 
 _LESS = "(a.animal_id, a.sensor_id, a.order_col) < (b.animal_id, b.sensor_id, b.order_col)"
-_PAIRS = f"pairs AS (SELECT a.deployment_id, a.datetime, a.animal_id || ':' || b.animal_id AS pair_id, {_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS distance_m FROM fixes a JOIN fixes b ON a.deployment_id = b.deployment_id AND a.datetime = b.datetime AND {_LESS})"
+_PAIRS = f"pairs AS (SELECT a.deployment_id, a.datetime, a.sensor_id || ':' || b.sensor_id AS pair_id, {_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS distance_m FROM fixes a JOIN fixes b ON a.deployment_id = b.deployment_id AND a.datetime = b.datetime AND {_LESS})"
 
 
 def proximity() -> str:
@@ -369,9 +369,9 @@ def social_rows() -> str:
 def contacts(limit: float, gap: float) -> str:
     w = "(PARTITION BY deployment_id, pair_id ORDER BY datetime)"
     return f"""WITH {HOURLY}, {_PAIRS}, near AS (SELECT *, (epoch_us(datetime)-epoch_us(lag(datetime) OVER {w}))/60e6 AS gap FROM pairs WHERE distance_m <= {limit}),
-runs AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY deployment_id, pair_id ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS contact_id FROM near)
-SELECT deployment_id, pair_id, contact_id, min(datetime) AS contact_start, max(datetime) AS contact_end, (epoch_us(max(datetime))-epoch_us(min(datetime)))/1e6 AS duration_s, count(*) AS n_contact_fixes, min(distance_m) AS min_distance_m, avg(distance_m) AS mean_distance_m, max(distance_m) AS max_distance_m
-FROM runs GROUP BY deployment_id, pair_id, contact_id"""
+runs AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY deployment_id, pair_id ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS contact_event_id FROM near)
+SELECT deployment_id, pair_id, contact_event_id, min(datetime) AS contact_start, max(datetime) AS contact_end, (epoch_us(max(datetime))-epoch_us(min(datetime)))/1e6 AS duration_s, count(*) AS n_contact_fixes, min(distance_m) AS min_distance_m, avg(distance_m) AS mean_distance_m, max(distance_m) AS max_distance_m
+FROM runs GROUP BY deployment_id, pair_id, contact_event_id"""
 
 
 def _social_day() -> str:

@@ -162,7 +162,7 @@ def herd(spark):
 
 def test_pairs_and_nearest(spark):
     pairs = {(r.pair_id, r.datetime): r.distance_m for r in social.gps_proximity(herd(spark)).collect()}
-    assert pairs["cow_a:cow_b", T0] == pytest.approx(11.119, abs=0.01) and pairs["cow_a:cow_c", T0] == pytest.approx(111.195, abs=0.01)
+    assert pairs["A:B", T0] == pytest.approx(11.119, abs=0.01) and pairs["A:C", T0] == pytest.approx(111.195, abs=0.01)
     r = rows(social.gps_social(herd(spark), (20, 105)))
     assert r[2].nearest_animal_id == "cow_b" and r[2].nearest_neighbour_m == pytest.approx(100.075, abs=0.01) and r[2].n_neighbours_within_105m == 1
     assert (r[8].social_group_size, r[8].n_valid_fixes, r[8].nearest_neighbour_m) == (3, 2, None)
@@ -174,7 +174,7 @@ def test_contact_event(spark):
     lat = {"A": [0, 0, 0], "B": [1e-4, 1e-4, 1e-2]}
     df = table(spark, [("D", s, 60 * m, 0.0, lat[s][m]) for m in range(3) for s in "AB"])
     (c,) = social.gps_contacts(df, 20, max_gap_mins=2).collect()
-    assert (c.n_contact_fixes, c.duration_s) == (2, 60) and c.min_distance_m == pytest.approx(11.119, abs=0.01)
+    assert (c.pair_id, c.contact_event_id, c.n_contact_fixes, c.duration_s) == ("A:B", 1, 2, 60) and c.min_distance_m == pytest.approx(11.119, abs=0.01)
 
 
 RES = [Resource("water", ((150.0, -30.0),), "water"), Resource("shade", ((150.001, -30.0),), "shade")]
