@@ -99,8 +99,8 @@ def utm_inverse(x: Column, y: Column, zone: Column, north: Column) -> tuple[Colu
     return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))), F.degrees(phi)
 
 
-def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """True inside a ring or on its edge (planar ray casting with literal vertices)."""
+def ring_tests(x: Column, y: Column, ring: list[tuple[float, float]]) -> tuple[Column, Column]:
+    """Whether a point is inside a ring (planar ray casting with literal vertices), and whether it is on its edge."""
     inside, edge = F.lit(False), F.lit(False)
     for (x1, y1), (x2, y2) in _edges(ring):
         crosses = (F.lit(y1) > y) != (F.lit(y2) > y)
@@ -108,7 +108,7 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
         inside = inside != (crosses & (x < F.lit(x1) + (y - F.lit(y1)) * slope))
         cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
         edge = edge | ((F.abs(cross) <= 1e-15) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
-    return F.coalesce(inside | edge, F.lit(False))
+    return inside, edge
 
 
 def segment_distance(x: Column, y: Column, path: list[tuple[float, float]]) -> Column:
@@ -129,12 +129,6 @@ def _edges(ring: list[tuple[float, float]]) -> list:
     return list(zip(closed, closed[1:], strict=False))
 
 
-def polygon_distance(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Planar distance to a polygon, 0 inside."""
-    closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    return F.when(in_ring(x, y, ring), F.lit(0.0)).otherwise(segment_distance(x, y, closed))
-
-
 def mercator_point(lon: float, lat: float) -> tuple[float, float]:
     """EPSG:3857 metres of one point, for vertices given when a plan is built."""
     return WGS84_A * math.radians(lon), WGS84_A * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import geo, stats
 from fieldtrace.functions.epochs import _UNSET, resolve_epoch, with_epochs
+from fieldtrace.functions.shapes import Shape, distance, holds, polygon
+from fieldtrace.operators.spatial import metric_crs as zone
+from fieldtrace.operators.spatial import project, project_point
 from fieldtrace.operators.tracks import ORDER, blank, prepare, require, time_groups, track_groups, with_order
 
+#: States in which an animal doesn't move.
 INACTIVE = ("inactive", "rest", "resting", "idle", "stationary", "lying", "ruminating")
 
 
@@ -78,9 +82,8 @@ def gps_clean_errors(
         outside = outside | F.coalesce(F.col("datetime") > F.lit(window_end).cast("timestamp"), F.lit(False))
     if deployment_windows is not None:
         keys = deployment_groups or [c for c in ("deployment_id", "sensor_id") if c in df.columns and c in deployment_windows.columns]
-        if deployment_windows.groupBy(*keys).count().filter("count > 1").limit(1).count():
-            raise ValueError("deployment windows repeat a key")
-        bounds = deployment_windows.select(*keys, F.col("start_datetime").cast("timestamp").alias("_start"), F.col("end_datetime").cast("timestamp").alias("_end"), F.lit(True).alias("_known"))
+        once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1, F.raise_error(F.lit("deployment windows repeat a key")).cast("boolean")).otherwise(F.lit(True))
+        bounds = deployment_windows.select(*keys, F.col("start_datetime").cast("timestamp").alias("_start"), F.col("end_datetime").cast("timestamp").alias("_end"), once.alias("_known"))
         marked = marked.join(bounds, keys, "left")
         checks.append(("missing_deployment_window", F.col("_known").isNull()))
         outside = outside | F.coalesce((F.col("datetime") < F.col("_start")) | (F.col("datetime") > F.col("_end")), F.lit(False))
@@ -139,32 +142,39 @@ def gps_clean_speed_stat(
     return _finish(marked, "speed_stat", action, flag_col, columns, threshold=F.col("threshold_mps"), method=method, k=k, prob=prob)
 
 
-#: A polygon layer is a list of (name, ring), a ring being (lon, lat) vertices: a small dimension, part of the plan.
-Polygons = list[tuple[str, list[tuple[float, float]]]]
+#: A polygon layer is a list of (name, ring or Shape), a ring being (lon, lat) vertices: a small dimension, part of the plan.
+Polygons = list[tuple[str, list[tuple[float, float]] | Shape]]
 
 
-def first_polygon(lon: Column, lat: Column, polygons: Polygons, buffer_m: float = 0) -> Column:
-    """Name of the first polygon in layer order that holds a point, edges included; with a buffer, in EPSG:3857 metres."""
+def first_polygon(lon: Column, lat: Column, polygons: Polygons, buffer_m: float = 0, crs: int = 3857) -> Column:
+    """Name of the first polygon in layer order that holds a point, edges included; with a buffer, in metres of EPSG:``crs``."""
     out = None
     if buffer_m > 0:
-        x, y = geo.web_mercator(lon, lat)
-    for name, ring in polygons:
-        hit = geo.polygon_distance(x, y, [geo.mercator_point(*p) for p in ring]) <= buffer_m if buffer_m > 0 else geo.in_ring(lon, lat, ring)
+        x, y = project(lon, lat, crs)
+    for name, area in polygons:
+        area = area if isinstance(area, Shape) else polygon(area)
+        hit = F.coalesce(distance(x, y, area.moved(lambda a, b: project_point(a, b, crs))) <= buffer_m, F.lit(False)) if buffer_m > 0 else holds(lon, lat, area)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out if out is not None else F.lit(None).cast("string")
 
 
 def gps_append_paddock_names(
     df: DataFrame, polygons: Polygons, paddock_col: str = "assigned_paddock", buffer_m: float = 0, epoch=_UNSET, epoch_mins: float | None = None, groups: list[str] | None = None, min_prop: float = 0.7, min_fixes: int = 1,
+    metric_crs: int | None = None,
 ) -> DataFrame:
-    """The paddock that holds most fixes of a track and epoch, if at least ``min_prop`` of them; ties by name."""
+    """The paddock that holds most fixes of a track and epoch, if at least ``min_prop`` of them; ties by name.
+
+    A buffer is in metres of EPSG:``metric_crs``, by default the UTM zone of the fixes.
+    """
+    if buffer_m < 0 or not 0 < min_prop <= 1 or min_fixes < 1:
+        raise ValueError("buffer_m must not be negative, min_prop in (0, 1], min_fixes 1 or more")
     level, mins = resolve_epoch(epoch, epoch_mins)
     df = prepare(df)
     grp = [c for c in (groups or time_groups(df)) if c != "segment_id"]
     ok = geo.valid_coordinate(F.col("lon"), F.col("lat")) & F.col("datetime").isNotNull()
     checked = df.withColumn("lon", F.when(ok, F.col("lon")).otherwise(F.raise_error(F.lit("invalid time or coordinate")).cast("double")))
     epochs = with_epochs(checked, level, mins).withColumnRenamed("epoch", "_epoch").drop("epoch_start", "epoch_end", "epoch_mins")
-    at = epochs.withColumn("_p", first_polygon(F.col("lon"), F.col("lat"), polygons, buffer_m))
+    at = epochs.withColumn("_p", first_polygon(F.col("lon"), F.col("lat"), polygons, buffer_m, zone(df, metric_crs) if buffer_m > 0 else 3857))
     counts = at.groupBy(*grp, "_epoch", "_p").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*grp, "_epoch")
     ranked = counts.withColumn("total", F.sum("n").over(w)).filter("_p is not null").withColumn("r", F.row_number().over(w.orderBy(F.col("n").desc(), "_p")))

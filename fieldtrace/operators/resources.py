@@ -7,20 +7,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.functions import geo
 from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, with_epochs
+from fieldtrace.functions.shapes import Shape, distance
 from fieldtrace.operators.spatial import checked, metric_crs, project, project_point
 from fieldtrace.operators.tracks import ORDER, numbered, summary_groups, with_order
 
 
 @dataclass(frozen=True)
 class Resource:
-    """A named place: one vertex is a point, an open path a line, with ``polygon`` an area (lon, lat vertices)."""
+    """A named place: one vertex is a point, an open path a line, with ``polygon`` an area (lon, lat vertices); or any ``shape``."""
 
     resource_id: str
     vertices: tuple[tuple[float, float], ...]
     resource_type: str | None = None
     polygon: bool = False
+    shape: Shape | None = None
+
+    def geometry(self) -> Shape:
+        return self.shape or Shape("polygon" if self.polygon else "line" if len(self.vertices) > 1 else "point", ((tuple(self.vertices),),))
 
 
 def _distances(df: DataFrame, resources: list[Resource], crs: int) -> Column:
@@ -28,8 +32,7 @@ def _distances(df: DataFrame, resources: list[Resource], crs: int) -> Column:
     x, y = project(F.col("lon"), F.col("lat"), crs)
     found = []
     for k, r in enumerate(resources):
-        pts = [project_point(*p, crs) for p in r.vertices]
-        d = geo.polygon_distance(x, y, pts) if r.polygon else geo.segment_distance(x, y, pts)
+        d = distance(x, y, r.geometry().moved(lambda lon, lat: project_point(lon, lat, crs)))
         found.append(F.struct(d.alias("d"), F.lit(k).alias("k"), F.lit(r.resource_id).alias("id"), F.lit(r.resource_type).cast("string").alias("type")))
     return F.array(*found)
 
