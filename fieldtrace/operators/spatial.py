@@ -91,8 +91,8 @@ def gps_mcp(df: DataFrame, percent: tuple[float, ...] = (100, 95), epoch=_UNSET,
     pts, by, crs = _points(df, level, mins, groups, metric_crs)
     w = Window.partitionBy(*by)
     pts = pts.withColumns({"n_fixes": F.count(F.lit(1)).over(w), "_d": F.hypot(F.col("_x") - F.avg("_x").over(w), F.col("_y") - F.avg("_y").over(w))})
+    pts = pts.withColumn("_cut", F.percentile("_d", F.array(*[F.lit(p / 100) for p in percent])).over(w))
     pts = pts.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percent])))
-    pts = pts.withColumn("_cut", F.percentile("_d", F.array(*[F.lit(p / 100) for p in percent])).over(Window.partitionBy(*by)))
     cut = F.element_at(F.map_from_arrays(F.array(*[F.lit(float(p)) for p in percent]), F.col("_cut")), F.col("percent"))
     kept = pts.filter((F.col("percent") >= 100) | (F.col("_d") <= cut)).groupBy(*by, "percent", "n_fixes", "_x", "_y").agg(F.lit(1).alias("_one")).drop("_one")
 

@@ -405,6 +405,64 @@ SELECT c.*, total_fixes, hotspot_count_threshold, n_fixes/total_fixes AS prop_fi
 FROM c JOIN t USING ({ANIMAL}, {EPOCH}) WHERE n_fixes >= hotspot_count_threshold"""
 
 
+def _utm(zone: str, north: str) -> str:
+    """Easting and northing by Krueger's series, from the axis and flattening of WGS84."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    east = "+".join(["eta", *[f"{c!r}*cos({2 * k}*xi)*cast(sinh({2 * k}*eta) as double)" for k, c in enumerate(alpha, 1)]])
+    up = "+".join(["xi", *[f"{c!r}*sin({2 * k}*xi)*cast(cosh({2 * k}*eta) as double)" for k, c in enumerate(alpha, 1)]])
+    return f"""u1 AS (SELECT fixes.*, {zone} AS zone, {north} AS north, sinh(atanh(sin(radians(lat)))-{e!r}*atanh({e!r}*sin(radians(lat)))) AS t, radians(lon-({zone}*6-183)) AS lam FROM fixes, z),
+u2 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta FROM u1),
+p AS (SELECT *, 500000+{a!r}*({east}) AS x, CASE WHEN north THEN 0 ELSE 10000000 END+{a!r}*({up}) AS y FROM u2)"""
+
+
+def _hulls(level: str) -> str:
+    """Hull areas by the edge test: an edge has every point on its left or on it, and none between its ends."""
+    by = f"{ANIMAL}, {EPOCH}"
+    return f"""dated AS (SELECT *, {_epoch(level)} FROM p),
+middle AS (SELECT *, count(*) OVER w AS n_fixes, sqrt(pow(x-avg(x) OVER w, 2)+pow(y-avg(y) OVER w, 2)) AS d, min(x) OVER w AS x0, min(y) OVER w AS y0 FROM dated WINDOW w AS (PARTITION BY {by})),
+wanted AS (SELECT {by}, 100.0e0 AS percent, max(d) AS cut FROM middle GROUP BY {by} UNION ALL SELECT {by}, 95.0e0, quantile_cont(d, 0.95) FROM middle GROUP BY {by}),
+corner AS (SELECT DISTINCT {by}, percent, n_fixes, x-x0 AS x, y-y0 AS y FROM middle JOIN wanted USING ({by}) WHERE percent >= 100 OR d <= cut),
+edge AS (SELECT {by}, a.percent, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, min((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) AS left_of,
+  count(*) FILTER (WHERE (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) = 0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y) < 0) AS between_
+  FROM corner a JOIN corner b USING ({by}, percent) JOIN corner c USING ({by}, percent) WHERE a.x <> b.x OR a.y <> b.y GROUP BY {by}, a.percent, a.x, a.y, b.x, b.y),
+enclosed AS (SELECT {by}, percent, sum(ax*b_y-ay*bx)/2/1e4 AS area_ha FROM edge WHERE left_of >= 0 AND between_ = 0 GROUP BY {by}, percent),
+hulls AS (SELECT c.*, CASE WHEN n_fixes >= 5 AND n_fixes_used >= 3 AND area_ha > 0 THEN area_ha END AS area_ha FROM (SELECT {by}, percent, n_fixes, count(*) AS n_fixes_used FROM corner GROUP BY ALL) c LEFT JOIN enclosed USING ({by}, percent))"""
+
+
+def mcp_area() -> str:
+    return f"WITH {FIXES}, p AS (SELECT *, {_XY} FROM fixes), {_hulls('month')} SELECT * FROM hulls"
+
+
+def spatial_week() -> str:
+    by = f"{ANIMAL}, {EPOCH}"
+    return f"""WITH {FIXES}, z AS (SELECT CAST(floor((avg(lon)+180)/6) AS INTEGER)+1 AS zone_, avg(lat) >= 0 AS north_ FROM fixes), {_utm('zone_', 'north_')}, {_hulls('week')},
+basic AS (SELECT {by}, count(*) AS n_fixes, (epoch_us(max(datetime))-epoch_us(min(datetime)))/3.6e9 AS span_hours, min(lon) AS lon_min, max(lat) AS lat_max, avg(lon) AS centroid_lon, avg(lat) AS centroid_lat, any_value('EPSG:' || (CASE WHEN north THEN 32600 ELSE 32700 END+zone)) AS metric_crs FROM dated GROUP BY {by})
+SELECT basic.*, h.area_ha AS mcp100_area_ha, k.area_ha AS mcp95_area_ha FROM basic JOIN hulls h USING ({by}) JOIN hulls k USING ({by}) WHERE h.percent = 100 AND k.percent = 95"""
+
+
+def kde_cells(max_cells: int = 10000) -> str:
+    by = f"{ANIMAL}, {EPOCH}"
+    low = lambda v: f"coalesce(nullif(least(sd_{v}, (quantile_cont({v}, 0.75)-quantile_cont({v}, 0.25))/1.34), 0), nullif(sd_{v}, 0), nullif(abs(first_{v}), 0), 1)"
+    band = lambda v: f"greatest(0.9*{low(v)}*pow(count(*), -0.2), 1)"
+    count = lambda v, c: f"CAST(floor((hi_{v}-lo_{v}+6*w{v})/{c}+1e-9) AS BIGINT)+1"
+    bell = lambda v: f"exp(-0.5*pow((g{v}-{v})/w{v}, 2))/(w{v}*sqrt(2*pi()))"
+    return f"""WITH {FIXES}, p AS (SELECT *, {_XY}, {_epoch('month')} FROM fixes),
+spread AS (SELECT *, stddev_samp(x) OVER w AS sd_x, stddev_samp(y) OVER w AS sd_y, first_value(x) OVER (PARTITION BY {by} ORDER BY order_col) AS first_x, first_value(y) OVER (PARTITION BY {by} ORDER BY order_col) AS first_y FROM p WINDOW w AS (PARTITION BY {by})),
+bands AS (SELECT {by}, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, {band('x')} AS wx, {band('y')} AS wy FROM spread GROUP BY {by}, sd_x, sd_y, first_x, first_y HAVING count(*) >= 5),
+c1 AS (SELECT *, greatest(1.0, least(wx, wy)/2) AS c FROM bands),
+c2 AS (SELECT *, ({count('x', 'c')}) * ({count('y', 'c')}) AS much FROM c1),
+c3 AS (SELECT * EXCLUDE (c), CASE WHEN much > {max_cells} THEN c*sqrt(much/{max_cells}.0e0) ELSE c END AS c FROM c2),
+gx AS (SELECT {by}, order_col, ix, gx, {bell('x')} AS ex FROM (SELECT *, ix*c+lo_x-3*wx AS gx FROM (SELECT *, unnest(generate_series(0, {count('x', 'c')}-1)) AS ix FROM c3) q) g JOIN p USING ({by})),
+gy AS (SELECT {by}, order_col, iy, gy, {bell('y')} AS ey FROM (SELECT *, iy*c+lo_y-3*wy AS gy FROM (SELECT *, unnest(generate_series(0, {count('y', 'c')}-1)) AS iy FROM c3) q) g JOIN p USING ({by})),
+z AS (SELECT {by}, gx, gy, sum(ex*ey)/count(*) AS kde_density FROM gx JOIN gy USING ({by}, order_col) GROUP BY {by}, ix, iy, gx, gy),
+shares AS (SELECT *, kde_density/sum(kde_density) OVER (PARTITION BY {by}) AS cell_probability, row_number() OVER (PARTITION BY {by} ORDER BY kde_density DESC, gx, gy) AS density_rank FROM z),
+summed AS (SELECT *, sum(cell_probability) OVER (PARTITION BY {by} ORDER BY density_rank ROWS UNBOUNDED PRECEDING) AS cumulative_probability FROM shares)
+SELECT *, cumulative_probability-cell_probability < 0.5 AS in_kde50 FROM summed WHERE cumulative_probability-cell_probability < 0.95"""
+
+
 def activity_features() -> str:
     return f"WITH {FIXES}, {_steps()} SELECT order_col, ln(1+step_m) AS _f_step, abs(turn_rad) AS _f_turn FROM steps"
 

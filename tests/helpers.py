@@ -22,3 +22,7 @@ def table(spark: SparkSession, rows: list[tuple], extra: str = "") -> DataFrame:
 def track_6(spark: SparkSession) -> DataFrame:
     lon, lat = (0, 1, 2, 3, 3, 4), (0, 0, 1, 1, 2, 2)
     return table(spark, [("D1", "A", 60 * i, 150 + lon[i] * 1e-4, -30 + lat[i] * 1e-4) for i in range(6)])
+
+
+def rows_of(df: DataFrame, by: str = "order_col") -> list:
+    return df.orderBy(by).collect()
