@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import stats
@@ -50,8 +50,12 @@ def gps_turning(df: DataFrame, groups: list[str] | None = None, unit: str = "rad
     return out.drop("turn_rad") if unit == "degrees" else out
 
 
-def gps_movement_summary(df: DataFrame, epoch=_UNSET, epoch_mins: float | None = None, groups: list[str] | None = None, order_col: str = ORDER) -> DataFrame:
-    """Movement by group and epoch. Steps into an epoch don't count in it; nor do turns at its first two fixes."""
+def gps_movement_summary(df: DataFrame, epoch=_UNSET, epoch_mins: float | None = None, groups: list[str] | None = None, order_col: str = ORDER, also: dict[str, Column] | None = None, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Movement by group and epoch. Steps into an epoch don't count in it; nor do turns at its first two fixes.
+
+    ``also``: more aggregates over the same rows, by name, so that another block needs no pass of its own; the columns
+    that they read are ``apart`` from those that describe a track.
+    """
     level, mins = resolve_epoch(epoch, epoch_mins)
     df = prepare(df)
     grp = track_groups(df, groups)
@@ -63,7 +67,7 @@ def gps_movement_summary(df: DataFrame, epoch=_UNSET, epoch_mins: float | None =
     moved = moved.withColumns({
         "_step": F.when(F.col("_row") > 1, finite(F.col("step_m"))), "_speed": F.when(F.col("_row") > 1, finite(F.col("speed_mps"))), "_turn": F.when(F.col("_row") > 2, finite(F.col("turn_rad"))),
     })
-    own = {*by, *STEP_COLUMNS, "turn_deg", "datetime", "lon", "lat", "_row", "_step", "_speed", "_turn", order_col, *steps}
+    own = {*apart, *by, *STEP_COLUMNS, "turn_deg", "datetime", "lon", "lat", "_row", "_step", "_speed", "_turn", order_col, *steps}
     simple = {f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary")}
     meta = [c for c in df.columns if c not in own and c in simple]
     at = F.struct("lon", "lat")
@@ -74,8 +78,9 @@ def gps_movement_summary(df: DataFrame, epoch=_UNSET, epoch_mins: float | None =
         F.sum("_step").alias("total_distance_m"), F.min_by(at, "_row").alias("_first"), F.max_by(at, "_row").alias("_last"),
         F.avg("_step").alias("mean_step_m"), stats.quantile(F.col("_step"), 0.5).alias("median_step_m"), stats.quantile(F.col("_step"), 0.95).alias("p95_step_m"),
         F.avg("_speed").alias("mean_speed_mps"), F.max("_speed").alias("max_speed_mps"), stats.quantile(F.col("_speed"), 0.95).alias("p95_speed_mps"), F.avg("_turn").alias("mean_abs_turn_rad"),
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
     net = F.when(F.col("n_fixes") >= 2, haversine_m(F.col("_first.lon"), F.col("_first.lat"), F.col("_last.lon"), F.col("_last.lat")))
     out = out.withColumn("net_displacement_m", net).withColumn("straightness_index", F.when(F.col("total_distance_m") > 0, F.col("net_displacement_m") / F.col("total_distance_m")))
     metrics = ["n_fixes", "n_steps", "start_datetime", "end_datetime", "span_s", "total_distance_m", "net_displacement_m", "mean_step_m", "median_step_m", "p95_step_m", "mean_speed_mps", "max_speed_mps", "p95_speed_mps", "mean_abs_turn_rad", "straightness_index"]
-    return out.select(*by, *meta, *metrics)
+    return out.select(*by, *meta, *metrics, *(also or {}))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch
 from fieldtrace.operators.movement import gps_movement_summary
-from fieldtrace.operators.social import THRESHOLDS, gps_social_summary
+from fieldtrace.operators.social import THRESHOLDS, gps_social, gps_social_summary, social_metrics
 from fieldtrace.operators.spatial import gps_spatial
 from fieldtrace.operators.tracks import ORDER, require, summary_groups
 
@@ -48,13 +48,22 @@ def gps_epoch(
     df: DataFrame | None = None, epoch=_UNSET, epoch_mins: float | None = None, include: list[str] | None = None, groups: list[str] | None = None, movement: DataFrame | None = None, social: DataFrame | None = None, spatial: DataFrame | None = None,
     resource_use: DataFrame | None = None, thresholds_m: tuple[float, ...] = THRESHOLDS, herd_groups: list[str] | None = None, interpolate: bool = False, align_interval_mins: float | str = "base", min_fixes: int = 5, metric_crs: int | None = None, order_col: str = ORDER,
 ) -> DataFrame:
-    """Metric blocks by epoch, computed from fixes or given as tables, merged into one."""
+    """Metric blocks by epoch, computed from fixes or given as tables, merged into one.
+
+    Movement and social blocks of the same fixes are aggregated together, in one grouping.
+    """
     level, mins = resolve_epoch(epoch, epoch_mins)
     given = {"movement": movement, "social": social, "spatial": spatial, "resource_use": resource_use}
     chosen = include or [b for b in BLOCKS if given[b] is not None] or ["movement"]
     if bad := [b for b in chosen if b not in BLOCKS]:
         raise ValueError("unknown blocks: " + ", ".join(bad))
     tables = {}
+    fresh = df is not None and movement is None and social is None and not interpolate and not {"total_distance_m", "mean_nearest_neighbour_m", "social_group_size"} & set(df.columns)
+    if fresh and {"movement", "social"} <= set(chosen) and set(summary_groups(df, groups)) <= set(KEYS):
+        rows = gps_social(df, thresholds_m, herd_groups, order_col=order_col)
+        more = {"social_n_fixes": F.count(F.lit(1)), **social_metrics(sorted(set(thresholds_m)))}
+        tables["movement"] = gps_movement_summary(rows, level, mins, summary_groups(df, groups), order_col, more, tuple(set(rows.columns) - set(df.columns)))
+        chosen = [b for b in chosen if b not in ("movement", "social")]
     for block in [b for b in BLOCKS if b in chosen]:
         source = given[block] if given[block] is not None else df
         if source is None:

@@ -79,7 +79,9 @@ def duplicate_flags(df: DataFrame, groups: list[str], order_col: str = ORDER) ->
     complete = F.lit(True)
     for c in key:
         complete = complete & (~blank(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).isNotNull())
-    record = F.row_number().over(Window.partitionBy(*columns).orderBy(order_col)) > 1
+    # Rows are told apart by two hashes, each with the places of nulls: two numbers are sorted, not all columns.
+    whole = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    record = F.row_number().over(Window.partitionBy(F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)).orderBy(order_col)) > 1
     fix = complete & (F.row_number().over(Window.partitionBy(*key).orderBy(order_col)) > 1)
     return df.withColumns({"duplicate_record": record, "duplicate_fix": fix})
 
@@ -104,7 +106,7 @@ def qc_table(df: DataFrame, groups: list[str], large_gap_mins: float = 60, check
         F.count(F.lit(1)).alias("n_intervals"), F.min(s).alias("i_min"), stats.quantile(s, 0.25).alias("i_q25"), stats.quantile(s, 0.5).alias("i_med"), F.avg(s).alias("i_mean"),
         stats.quantile(s, 0.75).alias("i_q75"), F.max(s).alias("i_max"), count("is_non_positive_interval").alias("non_positive"), count("is_large_gap").alias("large"),
     )
-    one = main.join(twins).join(gaps)  # one row each
+    one = main.join(F.broadcast(twins)).join(F.broadcast(gaps))  # one row each
     n, none = F.col("n_rows"), F.lit(None)
 
     def row(metric, c=none, p=none, v=none, t=none, threshold=none):
