@@ -1,23 +1,32 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
-The tokens of a line are its word shingles. Lines with equal sets are one class. A class posts a prefix of its tokens:
-out of the tokens with the lowest hashes (a pool that two similar lines are bound to share part of), the rarest ones
-first, rarity being the number of classes whose pools hold the token. Tokens of one class alone lead the order but post
-nothing. Length and positional filters thin the lists, intersections verify what is left.
+The tokens of a line are its word shingles. Lines with equal sets are one class, and classes are joined in two steps.
+
+* Which lines can have a partner at all: of each class a pool, the tokens with the lowest hashes, is counted. Two similar
+  lines are bound to share several tokens of their pools, so a line with fewer tokens that other pools hold too is out.
+* The join itself, over whole sets of the lines left: tokens are ordered by rarity, tokens of one line alone first; a
+  line posts its prefix; lists are thinned by length and position, first against a list's earliest and most central
+  line (one match settles a line), then block by block; intersections verify.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise, words
+from fieldtrace.llm.common import SPACES, materialise
 
 WIDTH, TENTHS = 5, 8
-#: Bits of a token's hash in the lists: a clash only adds a candidate, as whole sets verify.
+#: Bits of a token's hash while pools are counted: a clash only keeps a line that could go.
 TOKEN_BITS = 40
-#: Up to so many documents the places of candidate lines are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_DOCS = 500_000
+#: The numbers of lines to read again are broadcast up to so many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 64_000_000
+#: Positions of a list that make one block.
+BLOCK = 8
+#: Rounds go on while each settles a line, until a line left shares a list with so many others left at the mean.
+ROUNDS_UNTIL = 4
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -31,20 +40,20 @@ def _ceil(num: int, x: str, den: int) -> str:
 
 def _sets(lines: DataFrame, width: int) -> DataFrame:
     """Replace ``line`` by ``sh``, the sorted distinct hashes of its word shingles (with fewer words, of all its words), and ``n``, their number."""
-    df = _once(lines, "wh", F.transform(words(F.lower("line")), lambda w: F.xxhash64(w))).drop("line")
+    df = _once(lines, "wh", F.transform(F.array_remove(F.split(F.lower("line"), SPACES), ""), lambda w: F.xxhash64(w))).drop("line")
     many = F.transform(F.sequence(F.lit(0), F.size("wh") - width), lambda i: F.xxhash64(*[F.get("wh", i + k) for k in range(width)]))
     sh = F.when(F.size("wh") >= width, F.sort_array(F.array_distinct(many))).when(F.size("wh") > 0, F.array(F.xxhash64("wh"))).otherwise(F.array().cast("array<bigint>"))
     return _once(df, "sh", sh).drop("wh").withColumn("n", F.size("sh"))
 
 
 def _may(tenths: int) -> str:
-    """Length and positional filters for postings x and y: what their pools can still share reaches what they must."""
-    need = _ceil(tenths, "nx + ny", 10 + tenths)
-    return f"{tenths} * nx <= 10 * ny and {tenths} * ny <= 10 * nx and least(sx - px, sy - py) >= least(sx - nx + {need}, sy - ny + {need})"
+    """Length and positional filter for postings x and y: the overlap that positions leave reaches what the pair needs."""
+    w = 10 + tenths
+    return f"{tenths} * nx <= 10 * ny and {tenths} * ny <= 10 * nx and {w} * (nx - px) >= {tenths} * (nx + ny) and {w} * (ny - py) >= {tenths} * (nx + ny)"
 
 
 def earlier_matches(docs: DataFrame, tenths: int = TENTHS, width: int = WIDTH) -> DataFrame:
-    """``doc_id, line_no, first_doc_id, first_line_no``: lines to remove, and the first line that each matches.
+    """``doc_id, line_no, first_doc_id, first_line_no``: lines to remove, and for each an earlier line that it matches.
 
     A line matches an earlier one, by (doc_id, line_no), if their sets of ``width``-word shingles (lower case) have a
     Jaccard similarity of ``tenths``/10 or more. Earlier lines count whether or not they are removed themselves.
@@ -61,39 +70,59 @@ def earlier_matches(docs: DataFrame, tenths: int = TENTHS, width: int = WIDTH) -
 
     # The rows of this shuffle are the most: a token and the place of a line, nothing else.
     held = classes.select("cls.doc_id", "cls.line_no", F.explode("pool").alias("token"))
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    listed = held.join(df, "token").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most a line's own pool
-    shared = listed.withColumn("cls", F.struct("doc_id", "line_no")).join(classes.select("cls", "n", "s"), "cls")
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    shared = held.join(df, "token").groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("shared"))
     # Partners are at least tenths/10 as long; the pools of both are bound to share their extra tokens and one more.
-    least = _ceil(1, _ceil(tenths, "n", 10), 20)
-    shared = shared.withColumn("alone", F.col("s") - F.size("t")).withColumn("reach", F.col("s") - F.expr(least)).filter("reach > alone")
-    posts = shared.select("cls", "n", "s", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("reach") - F.col("alone"))).alias("k", "x")).select("cls", "n", "s", (F.col("alone") + F.col("k")).alias("p"), "x.token")
-    posts = materialise(posts, "line-postings")
-
-    wanted = posts.groupBy("cls").agg(F.first("n").alias("n"))
-    asked = materialise(wanted.groupBy(F.col("cls.doc_id").alias("doc_id")).agg(F.collect_list("cls.line_no").alias("nos")), "line-places")  # at most a document's own lines
-    if asked.count() <= BROADCAST_DOCS:
+    able = shared.join(classes.select("cls.*", "n"), ["doc_id", "line_no"]).filter(F.col("shared") > F.expr(_ceil(1, _ceil(tenths, "n", 10), 20)))
+    asked = materialise(able.groupBy("doc_id").agg(F.collect_list("line_no").alias("nos")), "line-places")  # at most a document's own lines
+    if (asked.agg(F.sum(24 + 4 * F.size("nos"))).first()[0] or 0) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
     texts = docs.select("doc_id", "text").join(asked, "doc_id")
     texts = texts.select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("all"), "nos").select("doc_id", F.explode("nos").alias("line_no"), "all").select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line"))
-    own = materialise(_sets(texts.filter("line is not null"), width).groupBy("doc_id", "line_no").agg(F.max("sh").alias("sh")).select(F.struct("doc_id", "line_no").alias("cls"), "sh"), "line-sets")
+    own = _sets(texts.filter("line is not null"), width).groupBy("doc_id", "line_no").agg(F.max("sh").alias("sh"))
+    own = materialise(own.select(F.struct("doc_id", "line_no").alias("cls"), "sh", F.size("sh").alias("n")), "line-sets")
+
+    held = own.select("cls", "n", F.explode("sh").alias("token"))
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    listed = held.join(df, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most a line's own set
+    # Tokens of one line alone lead the order and post nothing.
+    alone, prefix = F.col("n") - F.size("t"), F.col("n") - F.expr(_ceil(tenths, "n", 10)) + 1
+    posts = listed.filter(prefix > alone).select("cls", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), prefix - alone)).alias("k", "x"))
+    posts = materialise(posts.select("cls", "n", (F.col("alone") + F.col("k")).alias("p"), "x.token"), "line-postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = own.select(F.col("cls").alias("x"), F.col("sh").alias("a")), own.select(F.col("cls").alias("y"), F.col("sh").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
         return pairs.join(x, "x").join(y, "y").filter((10 + tenths) * both >= tenths * (F.size("a") + F.size("b"))).select("x", "y")
 
-    me = posts.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("p").alias("px"))
-    # First against the earliest and the most central line of each list: one match settles a line.
-    heads = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "s", "p")).alias("e"), F.min(F.struct("p", "cls", "n", "s")).alias("m"))
-    heads = heads.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}").alias(c) for c in ("cls", "n", "s", "p")]) for h in "em"]))).alias("h"))
-    heads = heads.select("token", F.col("h.cls").alias("y"), F.col("h.n").alias("ny"), F.col("h.s").alias("sy"), F.col("h.p").alias("py"))
-    tried = me.join(heads, "token").filter("x != y").filter(_may(tenths)).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    settled = materialise(verified(tried), "line-first")
-    # What no head settles is compared with every earlier line of its lists.
-    open_ = me.join(settled.select("x").distinct(), "x", "left_anti")
-    others = posts.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("p").alias("py"))
-    pairs = open_.join(others, "token").filter("y < x").filter(_may(tenths)).select("x", "y").distinct()
+    me = posts.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    # Rounds: lines not settled yet against the earliest and the most central of them in each list; one match settles a line.
+    settled, found, open_ = None, -1, me
+    while True:
+        heads = open_.groupBy("token").agg(F.min(F.struct("x", "nx", "px")).alias("e"), F.min(F.struct("px", "x", "nx")).alias("m"))
+        heads = heads.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}x").alias(f"{c}y") for c in ("", "n", "p")]) for h in "em"]))).alias("h"))
+        heads = heads.select("token", F.col("h.y").alias("y"), F.col("h.ny").alias("ny"), F.col("h.py").alias("py"))
+        tried = open_.join(heads, "token").filter("x != y").filter(_may(tenths)).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        got = materialise(verified(tried), "line-settled")
+        settled = got if settled is None else settled.union(got)
+        before, found = found, settled.select("x").distinct().count()
+        open_ = me.join(settled.select("x").distinct(), "x", "left_anti")
+        left = open_.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+        if found == before or (left[0] or 0) <= ROUNDS_UNTIL * (left[1] or 0):
+            break
+    # What no head settles probes the blocks of its lists that can hold a partner; a band holds sizes up to 10/tenths times its least.
+    step = log(10 / tenths)
+    banded = me.withColumn("band", F.floor(F.log("nx") / step).cast("int")).withColumn("block", F.floor(F.col("px") / BLOCK).cast("int"))
+    probes = (
+        open_.withColumn("band", F.floor(F.log("nx") / step).cast("int")).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+        .withColumn("least", F.greatest(F.ceil(F.exp(F.col("band") * step) - 1e-6), F.ceil(F.col("nx") * tenths / 10.0 - 1e-6)))
+        .withColumn("most", F.least(F.floor(F.exp((F.col("band") + 1) * step) + 1e-6), F.floor(F.col("nx") * 10.0 / tenths + 1e-6)))
+        .filter(f"least <= most and {10 + tenths} * (nx - px) >= {tenths} * (nx + least)")
+        .withColumn("far", F.floor((10 * F.col("most") - tenths * F.col("nx")) / (10.0 + tenths) + 1e-6)).filter("far >= 0")
+        .select("token", "x", "nx", "px", "band", F.explode(F.sequence(F.lit(0), F.floor(F.col("far") / BLOCK).cast("int"))).alias("block"))
+    )
+    others = banded.select("token", "band", "block", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))
+    pairs = probes.join(others, ["token", "band", "block"]).filter("y < x").filter(_may(tenths)).select("x", "y").distinct()
     matches = materialise(settled.union(verified(pairs)), "line-matches")
     first = matches.groupBy("x").agg(F.min("y").alias("w")).withColumnRenamed("x", "cls")
     witness = classes.join(first, "cls", "left").select("h1", "h2", "c", "cls", F.coalesce("w", "cls").alias("w")).filter("c > 1 or w < cls").drop("c", "cls")
