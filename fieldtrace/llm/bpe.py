@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-Texts are gathered into chunks. A chunk lists its pre-tokens by position as numbers of its own distinct words, and
-sends each distinct word once to the bucket of its hash. A bucket merges what all chunks sent, encodes each distinct
+Texts are gathered into chunks, written as a table. A chunk lists its pre-tokens by position as numbers of its own
+distinct words, and sends each distinct word once to the bucket of its hash. A bucket merges what all chunks sent, encodes each distinct
 word once, and answers every chunk in the order asked. The chunk then puts ids in place of word numbers, in order of
 position. So a word that fills the corpus costs one entry a chunk, and no dictionary is sent to all tasks.
 """
@@ -20,11 +20,11 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import shuffle_partitions
+from fieldtrace.llm.common import NO_ID, materialise, shuffle_partitions, unzipped, zipped
 
 CHUNK_CHARS = 6_000_000
 #: The characters of Unicode's White_Space.
@@ -68,18 +68,6 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of an array, plane after plane, compressed: the high bytes of small numbers vanish."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) if len(a) else b""
-
-
-def _unpack(b: bytes, dtype: str) -> np.ndarray:
-    if not b:
-        return np.empty(0, dtype)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
-
-
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = np.array([len(w) for w in words], "<u4")
     return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(words))
@@ -94,12 +82,11 @@ def _unpack_words(blob: bytes, n: int) -> list[bytes]:
 CHUNKS = "chunk string, bucket int, n int, words binary, docs binary, lengths binary, tokens binary"
 
 
-def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_chars: int, texts: bool) -> DataFrame:
+def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_chars: int) -> DataFrame:
     """Chunks of texts, cut into pre-tokens.
 
-    ``texts`` false: a row for each bucket that a chunk asks, with its ``words``. ``texts`` true: a row for each chunk,
-    with the numbers of its pre-tokens by position and where each number's answer will be. Both are computed from
-    the same rows in the same order, which is far less than writing down either.
+    For each chunk a row for each bucket that it asks, with its ``words``, and one with bucket -1: the numbers of its
+    pre-tokens by position, and in ``words`` where each number's answer will be.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,21 +112,17 @@ def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_char
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)  # answers come in this order
-            rows = []
-            if texts:
-                stream, each = np.concatenate(tokens).astype(np.int64), np.array(sizes, np.int64)
-                begin, ends = np.cumsum(each) - each, np.cumsum(each[stream])
-                cut_at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-                stream = np.array(flat, "<u4")[np.repeat(begin[stream] - (ends - each[stream]), each[stream]) + np.arange(cut_at[-1])]
-                rows.append((-1, len(words), _pack(place), _pack(np.array(ids, "<i8")), _pack(np.diff(cut_at).astype("<u4")), _pack(stream)))
-            else:
-                used, starts = np.unique(bucket[order], return_index=True)
-                for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
-                    rows.append((k, b - a, _pack_words([words[j] for j in order[a:b].tolist()]), b"", b"", b""))
+            stream, each = np.concatenate(tokens).astype(np.int64), np.array(sizes, np.int64)
+            begin, ends = np.cumsum(each) - each, np.cumsum(each[stream])
+            cut_at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+            stream = np.array(flat, "<u4")[np.repeat(begin[stream] - (ends - each[stream]), each[stream]) + np.arange(cut_at[-1])]
+            rows = [(-1, len(words), zipped(place, 3), zipped(np.array(ids, "<i8"), 3), zipped(np.diff(cut_at).astype("<u4"), 3), zipped(stream, 3))]
+            used, starts = np.unique(bucket[order], return_index=True)
+            for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)][: len(used)], strict=True):
+                rows.append((k, b - a, _pack_words([words[j] for j in order[a:b].tolist()]), b"", b"", b""))
             name = f"{task}-{made}"
             made += 1
-            if rows:
-                yield pa.RecordBatch.from_pydict({"chunk": [name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", "docs", "lengths", "tokens"), 2)}})
+            yield pa.RecordBatch.from_pydict({"chunk": [name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", "docs", "lengths", "tokens"), 2)}})
             number.clear()
             ids.clear(), lengths.clear(), tokens.clear()
             chars = 0
@@ -149,7 +132,7 @@ def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_char
                 text = text.as_py() or ""
                 found = find(text)
                 tokens.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-                ids.append(doc)
+                ids.append(NO_ID if doc is None else doc)
                 lengths.append(len(found))
                 chars += len(text) + 1
                 if chars >= chunk_chars:
@@ -164,43 +147,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
 
     Ids are those of the ranks, each match of ``pattern`` by itself, no special tokens; no match of ``pattern`` may
     cross the matches of ``pieces``, which are cut first. Null and empty texts have no
-    ids. Repeated rows, and rows that share a ``doc_id``, are encoded each for itself. An empty table gives an empty
-    table. Other columns are ignored. ``docs`` must come from a table: its rows are read twice and must come in the same
-    order. ``ranks_path`` is read on the driver and sent to the tasks: its size is that of
-    the vocabulary.
+    ids. Repeated rows, and rows that share a ``doc_id`` or have none, are encoded each for itself. An empty table gives an
+    empty table. Other columns are ignored. ``ranks_path`` is read on the driver and sent to the tasks: its size is that
+    of the vocabulary.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
     buckets = shuffle_partitions(spark)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, known = sent.value, {}  # the partition's buckets: a share of the distinct words
-        for b in batches:
-            for r in b.to_pylist():
-                sizes, out = [], []
-                for w in _unpack_words(r["words"], r["n"]):
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = known[w] = np.array(encode_word(w, ranks), "<u4").tobytes()
-                    sizes.append(len(ids) // 4)
-                    out.append(ids)
-                yield pa.RecordBatch.from_pydict({"chunk": [r["chunk"]], "bucket": pa.array([r["bucket"]], pa.int32()), "n": pa.array([r["n"]], pa.int32()), "sizes": pa.array([_pack(np.array(sizes, "<u4"))], pa.binary()), "ids": pa.array([_pack(np.frombuffer(b"".join(out), "<u4"))], pa.binary())})
-
-    asked = _chunks(docs, pattern, pieces, buckets, chunk_chars, False).select("chunk", "bucket", "n", "words").repartition(buckets, "bucket")
-    answers = asked.mapInArrow(answer, "chunk string, bucket int, n int, sizes binary, ids binary")
-    texts = _chunks(docs, pattern, pieces, buckets, chunk_chars, True).select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
+    chunks = materialise(_chunks(docs, pattern, pieces, buckets, chunk_chars), "bpe-chunks")
+
+    def answer(asked: pa.Table) -> pa.Table:
+        ranks, known, rows = sent.value, {}, asked.to_pylist()  # known: the distinct words of one bucket
+        sizes, found = [], []
+        for r in rows:
+            out = []
+            for w in _unpack_words(r["words"], r["n"]):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = np.array(encode_word(w, ranks), "<u4").tobytes()
+                out.append(ids)
+            sizes.append(zipped(np.array([len(x) // 4 for x in out], "<u4"), 3))
+            found.append(zipped(np.frombuffer(b"".join(out), "<u4"), 3))
+        return pa.table({"chunk": [r["chunk"] for r in rows], "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(found, pa.binary())})
+
+    asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "n", "words")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, sizes binary, ids binary")
+    texts = chunks.filter("bucket = -1").select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        sizes = np.concatenate([np.empty(0, np.uint32), *(_unpack(x.as_py(), "<u4") for x in right.column("sizes"))]).astype(np.int64)
-        flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x.as_py(), "<u4") for x in right.column("ids"))])
+        sizes = np.concatenate([np.empty(0, np.uint32), *(unzipped(x.as_py(), "<u4") for x in right.column("sizes"))]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, np.uint32), *(unzipped(x.as_py(), "<u4") for x in right.column("ids"))])
         starts = np.cumsum(sizes) - sizes
         tables = []
         for r in left.to_pylist():
             if len(sizes) != r["n"]:
-                raise ValueError("a chunk and the answers to it differ: its rows must come from a table that reads the same each time")
-            docs_, lengths = _unpack(r["docs"], "<i8"), _unpack(r["lengths"], "<u4")
-            tokens = _unpack(r["places"], "<u4")[_unpack(r["tokens"], "<u4")].astype(np.int64)
+                raise ValueError("a chunk and the answers to it differ")
+            docs_, lengths = unzipped(r["docs"], "<i8"), unzipped(r["lengths"], "<u4")
+            tokens = unzipped(r["places"], "<u4")[unzipped(r["tokens"], "<u4")].astype(np.int64)
             each = sizes[tokens]
             ends = np.cumsum(each)
             ids = flat[np.repeat(starts[tokens] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
@@ -208,25 +192,35 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
             tables.append(pa.table({"doc_id": pa.array(docs_, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))}))
         return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def _token_bytes(spark: SparkSession, ranks_path: str) -> Broadcast:
+    """The token-byte table of a vocabulary, by id: its size is that of the vocabulary, whatever the texts."""
+    table = {i: token for token, i in load_ranks(ranks_path).items()}
+    return spark.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
+
+
+def _joined(tokens: list[bytes], ids: pa.ListScalar) -> bytes:
+    """The bytes of a list of ids, each looked up in the token-byte table."""
+    return b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b""
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Add ``decoded binary``: the bytes of the ids, joined from the token-byte table of the vocabulary.
 
-    Null id lists decode to no bytes; an id that the vocabulary lacks is an error.
+    The join is a broadcast one by position: the table is a list, and an id is a place in it. Null id lists decode to
+    no bytes; an id that the vocabulary lacks is an error.
     """
-    table = {i: token for token, i in load_ranks(ranks_path).items()}
-    sent = encoded.sparkSession.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
-    at = encoded.columns.index("ids")
+    sent, at = _token_bytes(encoded.sparkSession, ranks_path), encoded.columns.index("ids")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = sent.value
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                texts = [b"".join([tokens[i] for i in x.values.to_numpy()]) if x.is_valid else b"" for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_joined(tokens, x) for x in part.column(at)], pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(decoded, _schema(encoded) + ", decoded binary")
 
@@ -235,15 +229,23 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ids count as little-endian unsigned 32-bit integers."""
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded texts, decoded as ``decode`` does.
+
+    Ids count as little-endian unsigned 32-bit integers. Decoding and digests are one pass, so decoded bytes stay in
+    the task.
+    """
+    sent = _token_bytes(encoded.sparkSession, ranks_path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sent.value
         for b in batches:
-            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column(2)])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            sizes, ids, decoded = [], [], []
+            for x in b.column(1):
+                raw = x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b""
+                sizes.append(len(raw) // 4)
+                ids.append(hashlib.sha256(raw).hexdigest())
+                decoded.append(hashlib.sha256(_joined(tokens, x)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode and digest every text of ``docs``."""
     ranks = public_tokenizers.path(RANKS)
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
