@@ -3,6 +3,8 @@
 A direction of the filter code is a choice of one random vector in each of ``parts`` parts of the rotated space, so
 ``size ** parts`` directions need only ``parts * size`` small products. A vector is decoded to the list of all
 directions whose inner product with it exceeds the threshold; vectors that share a direction are compared exactly.
+The threshold rises with the number of vectors, and the number of directions with it: unrelated vectors then share a
+direction about as seldom as there are vectors more, while a pair at the cosine asked for shares as many as before.
 """
 
 from __future__ import annotations
@@ -18,7 +20,33 @@ from fieldtrace.llm.common import materialise
 from fieldtrace.llm.components import components
 
 COSINE = 0.93
-PARTS, SIZE, HEIGHT, SEED = 2, 512, 3.35, 7
+PARTS, SEED = 2, 7
+#: Directions that a pair right at the cosine shares, and unrelated vectors that a vector is compared with, at the mean.
+SHARED, UNRELATED = 31, 17
+
+
+def both(t: float, cosine: float, dim: int) -> float:
+    """The chance that a random direction has a product over ``t`` with both of two unit vectors at ``cosine``."""
+    half = np.arccos(cosine) / 2
+    top = np.arccos(t) - half
+    if top <= 0:
+        return 0.0
+    angle = (np.arange(500) + 0.5) / 500 * top
+    return float(np.mean(np.maximum(1 - (t / np.cos(angle + half)) ** 2, 0) ** ((dim - 2) / 2)) * top / np.pi)
+
+
+def sized(vectors: int, cosine: float, dim: int, parts: int) -> tuple[int, int, float]:
+    """Parts, vectors a part and threshold of the code for so many vectors with one label.
+
+    The lowest threshold at which a vector meets UNRELATED others at most, and as many directions as give a pair at
+    ``cosine`` SHARED of them. Few dimensions are one part.
+    """
+    parts = parts if dim >= 8 * parts else 1
+    for t in np.arange(0.05, 0.9, 0.01):
+        size = max(int(np.ceil((SHARED / both(t, cosine, dim)) ** (1 / parts))), 2)
+        if vectors * size**parts * both(t, 0.0, dim) <= UNRELATED:
+            break
+    return parts, size, float(t)
 
 
 def code(dim: int, parts: int, size: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -32,8 +60,8 @@ def code(dim: int, parts: int, size: int, seed: int) -> tuple[np.ndarray, list[n
     return rotation, books
 
 
-def decode(x: np.ndarray, rotation: np.ndarray, books: list[np.ndarray], height: float) -> np.ndarray:
-    """All directions (numbers in mixed radix) whose product with the unit vector ``x`` exceeds height / sqrt(dim).
+def decode(x: np.ndarray, rotation: np.ndarray, books: list[np.ndarray], threshold: float) -> np.ndarray:
+    """All directions (numbers in mixed radix) whose product with the unit vector ``x`` exceeds ``threshold``.
 
     The sums of the first and of the last parts are tabled apart; for each of the first, the sorted last ones that
     lift it over the threshold are a run from the top.
@@ -52,12 +80,12 @@ def decode(x: np.ndarray, rotation: np.ndarray, books: list[np.ndarray], height:
 
     first, last = table(sums[:half]), table(sums[half:])
     order = np.argsort(-last, kind="stable")
-    runs = np.searchsorted(-last[order], first - height / np.sqrt(len(x)), side="right")
+    runs = np.searchsorted(-last[order], first - threshold, side="right")
     starts = np.repeat(np.cumsum(runs) - runs, runs)
     return np.repeat(np.arange(len(first)), runs) * len(last) + order[np.arange(runs.sum()) - starts]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, size: int = SIZE, height: float = HEIGHT, seed: int = SEED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PARTS, seed: int = SEED) -> DataFrame:
     """Vectors with a cosine of ``cosine`` or more, linked within equal labels.
 
     ``vectors`` has ``vec_id, embedding, label``; other columns are ignored. One row per vec_id: ``vec_id, n_links``
@@ -65,7 +93,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
     ``kept`` (vec_id = component_id). Vectors without a label, null, all zero, or with a null or non-finite component
     link with nothing; so do vectors of unequal length. An empty table gives an empty table; of rows that share a
     vec_id the one with the largest label and vector counts. Equal vectors are one class with a count. Links found
-    are exact; a pair right at the threshold shares a direction with a chance of about 0.97.
+    are exact; a pair right at the cosine shares a direction with a chance of about 0.97.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("x")).select("vec_id", F.col("x.label").alias("label"), F.col("x.embedding").alias("embedding"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -76,6 +104,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
         "vector-classes",
     )
 
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # a number, whatever the vectors
+
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict = {}
         for b in batches:
@@ -84,8 +114,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
                 x = v.values.to_numpy().astype(float)
                 x = x / np.abs(x).max()
                 if len(x) not in codes:
-                    codes[len(x)] = code(len(x), parts, size, seed)
-                got = decode(x / np.linalg.norm(x), *codes[len(x)], height)
+                    some, size, threshold = sized(most, cosine, len(x), parts)
+                    codes[len(x)] = (*code(len(x), some, size, seed), threshold)
+                got = decode(x / np.linalg.norm(x), *codes[len(x)])
                 ids.append(np.full(len(got), cls))
                 dims.append(np.full(len(got), len(x), np.int32))
                 found.append(got)

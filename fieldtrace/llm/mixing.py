@@ -2,8 +2,8 @@
 
 Sources get word targets by weight (capped at a number of repeats, the excess reshared). Each source is dealt
 into hash shards; a shard lays its documents end to end in a seeded order and cuts them into blocks of
-``block_words``. Highest quotients turn the targets into whole numbers of blocks per source and then per shard;
-inside a shard every block is taken the same number of times, and a seeded choice of blocks once more.
+``block_words``. Highest quotients turn the targets into whole numbers of blocks per source, then per group of shards
+and per shard; inside a shard every block is taken the same number of times, and a seeded choice of blocks once more.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from fieldtrace.llm.common import materialise, shuffle_partitions, words
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 1_000_000
+#: Shards of a source that share one apportionment; groups of shards share another, so no window holds all shards.
+GROUP_SHARDS = 1000
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -100,11 +102,14 @@ def mix_sources(
     spans = placed.withColumn("end", F.sum("size").over(laid)).withColumn("start", F.col("end") - F.col("size"))
 
     cells = placed.groupBy("src", "shard").agg(F.sum("size").alias("cell_words"), F.first("target").alias("target"), F.first("source_size").alias("source_size")).filter("cell_words > 0")
-    cells = cells.withColumn("blocks", F.ceil(F.col("cell_words") / F.lit(block_words)).cast("long"))
+    cells = cells.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS)).withColumn("blocks", F.ceil(F.col("cell_words") / F.lit(block_words)).cast("long"))
     sources = cells.groupBy("src").agg(F.sum("blocks").alias("src_blocks"), (F.first("target") * F.sum("blocks") / F.first("source_size")).alias("want"))
     sources = sources.withColumn("one", F.lit(1)).withColumn("seats", F.round(F.sum("want").over(Window.partitionBy("one"))).cast("long"))
     per_source = sainte_lague(sources, "want", "seats", ["one"], "src").select("src", F.least(F.col("quota"), F.col("src_blocks") * max_repeat).alias("seats"))
-    per_cell = sainte_lague(cells.join(per_source, "src").withColumn("blocks_w", F.col("blocks").cast("double")).select("src", "shard", "cell_words", "blocks", "blocks_w", "seats"), "blocks_w", "seats", ["src"], "shard")
+    groups = cells.groupBy("src", "group").agg(F.sum("blocks").alias("group_blocks")).join(per_source, "src").withColumn("blocks_w", F.col("group_blocks").cast("double"))
+    per_group = sainte_lague(groups, "blocks_w", "seats", ["src"], "group").select("src", "group", F.least(F.col("quota"), F.col("group_blocks") * max_repeat).alias("seats"))
+    cells = cells.withColumn("blocks_w", F.col("blocks").cast("double")).join(per_group, ["src", "group"])
+    per_cell = sainte_lague(cells.select("src", "group", "shard", "cell_words", "blocks", "blocks_w", "seats"), "blocks_w", "seats", ["src", "group"], "shard")
     per_cell = per_cell.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * max_repeat))
 
     per_cell = per_cell.repartition(shuffle_partitions(docs.sparkSession), "src", "shard")  # before the blocks come out, not after

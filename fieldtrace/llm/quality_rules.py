@@ -17,7 +17,9 @@ SYMBOLS = "#*$%&|<>"
 STATISTICS = {"word_length": 0.08, "symbol_rate": 0.6, "dup_line_rate": 0.6, "repeat_rate": 0.5}
 #: Fixed values for four statistics: the 0.999999 quantile of chi-square, and the factor that makes the covariance of the nearest 75 % consistent for normal data.
 CUTOFF, CONSISTENCY = 33.38, 1.48
-SHARE, STEPS, LEAST_ROWS = 0.75, 3, 40
+SHARE, STEPS, LEAST_ROWS = 0.75, 5, 40
+#: Up to so many groups their estimates (a row of under 300 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -79,19 +81,24 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE,
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. Rows that pass are judged
     against the robust mean and covariance of their (lang, source) group, null a value of its own; groups with fewer
-    than ``least_rows`` such rows are judged together. ``kept`` is false for base failures and for d2 > cutoff.
+    than ``least_rows`` such rows are judged with the other small groups of their language, and where those have too few
+    rows as well, with those of all languages. ``kept`` is false for base failures and for d2 > cutoff.
     Null and empty texts fail the base rules. An empty table gives an empty table; repeated rows count as often as
     they occur.
     """
     names = list(STATISTICS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    key = F.concat(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) if c else F.lit("\u0001") for c in ("lang", None, "source")])
-    stats = materialise(text_counts(docs).withColumn("base_failed", failed).withColumn("grp", key), "quality-counts")
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    stats = materialise(text_counts(docs).withColumn("base_failed", failed).withColumn("tongue", part("lang")).withColumn("grp", F.concat("tongue", F.lit("\u0001"), part("source"))), "quality-counts")
     some = F.greatest(F.col("n_words"), F.lit(1))
-    passing = stats.filter("not base_failed")
-    large = passing.groupBy("grp").count().filter(F.col("count") >= least_rows).select("grp", F.lit(True).alias("large"))
+    # Small groups are judged with the small groups of their language, and those of small languages together.
+    sizes = stats.filter("not base_failed").groupBy("tongue", "grp").agg(F.count(F.lit(1)).alias("c"))
+    rest = sizes.filter(F.col("c") < least_rows).groupBy("tongue").agg(F.sum("c").alias("rest"))
+    level = sizes.join(rest, "tongue", "left").select("grp", F.when(F.col("c") >= least_rows, F.col("grp")).when(F.col("rest") >= least_rows, F.col("tongue")).otherwise(F.lit("")).alias("pool"))
+    level = materialise(level, "quality-groups")
+    bounded = F.broadcast if level.count() <= BROADCAST_GROUPS else lambda df: df
     stats = (
-        stats.join(large, "grp", "left").withColumn("grp", F.when(F.col("large"), F.col("grp")).otherwise(F.lit("")))
+        stats.join(bounded(level), "grp", "left").withColumn("grp", F.coalesce("pool", F.lit(""))).drop("pool", "tongue")
         .withColumn("word_length", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / some))
         .withColumn("symbol_rate", F.log1p(100 * F.col("n_symbols") / some))
         .withColumn("dup_line_rate", F.log1p(20 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))))
@@ -101,7 +108,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE,
     passing = stats.filter("not base_failed").select("grp", *names)
 
     centre = passing.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names])
-    spread = passing.join(centre, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"l_{a}_{a}") for a in names])
+    spread = passing.join(bounded(centre), "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"l_{a}_{a}") for a in names])
     start = centre.join(spread, "grp")
     for i, a in enumerate(names):
         start = start.withColumn(f"l_{a}_{a}", F.sqrt((1.4826 * F.col(f"l_{a}_{a}")) ** 2 + F.lit(STATISTICS[a] ** 2)))
@@ -109,13 +116,13 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE,
             start = start.withColumn(f"l_{a}_{b}", F.lit(0.0))
     estimate = materialise(start, "quality-start")
     for step in range(steps):
-        near = _distance(passing.join(estimate, "grp"), names).withColumn("bin", F.floor(F.log2(F.col("d2") + F.lit(1e-9)) * 32))
+        near = _distance(passing.join(bounded(estimate), "grp"), names).withColumn("bin", F.floor(F.log2(F.col("d2") + F.lit(1e-9)) * 32))
         bins = near.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
         cum = bins.withColumn("below", F.sum("c").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))).withColumn("all", F.sum("c").over(Window.partitionBy("grp")))
         edge = cum.filter(F.coalesce(F.col("below"), F.lit(0)) < F.ceil(F.col("all") * share)).groupBy("grp").agg(F.max("bin").alias("edge"))
-        nearest = near.join(edge, "grp").filter("bin <= edge")
+        nearest = near.join(bounded(edge), "grp").filter("bin <= edge")
         sums = [F.count(F.lit(1)).alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names), *(F.sum(F.col(b) * F.col(a)).alias(f"p_{b}_{a}") for i, a in enumerate(names) for b in names[: i + 1])]
         estimate = materialise(_with_factor(nearest.groupBy("grp").agg(*sums), names), f"quality-step{step}")
-    judged = _distance(stats.join(estimate, "grp", "left"), names)
+    judged = _distance(stats.join(bounded(estimate), "grp", "left"), names)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("d2"), kept.alias("kept"))

@@ -17,14 +17,14 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import fold, materialise
 
 TRAIN_DOCS = 20_000
-#: The most entries of a learned lexicon, and the least evidence for one (a log likelihood ratio).
-LEXICON, EVIDENCE = 20_000, 8.0
+#: The least evidence for an entry of the learned lexicon (a log likelihood ratio).
+EVIDENCE = 8.0
 
 #: Words that insult, by language.
 INSULTS = frozenset(
@@ -98,7 +98,7 @@ class Lexicon:
         self.starts = {w[:-1] for w in counts if w.endswith("*")}
 
     def odds(self, words: list[str], label: float | None) -> list[tuple[str, float]]:
-        """The entries among the words, with smoothed log odds; ``label``: of a document that the counts include."""
+        """The entries among the words, with smoothed log odds; ``label``: what the counts include for this text, taken out again."""
         found, counts, starts = [], self.counts, self.starts
         for w in [w for w in words if w in counts or w[:4] in starts]:
             for unit in (w, w[:4] + "*") if len(w) > 5 else (w,):
@@ -109,7 +109,7 @@ class Lexicon:
                     if unit not in self.sure:
                         continue
                 else:
-                    a, b = (a - 1, b) if label else (a, b - 1)
+                    a, b = (max(a - 1, 0), b) if label else (a, max(b - 1, 0))
                     if _evidence(a, b, self.base) < EVIDENCE:
                         continue
                 found.append((w, log((a + 0.5) / (b + 0.5) * (1 - self.base) / self.base)))
@@ -145,7 +145,11 @@ def describe(text: str | None, lexicon: Lexicon, label: float | None = None) ->
 
 
 def learn(sample: DataFrame) -> Lexicon:
-    """The lexicon of a bounded labelled sample (``text, label``); equal texts count once."""
+    """The lexicon of a bounded labelled sample (``text, label``); equal texts count once, with the highest of their labels.
+
+    Entries need evidence, be it only without one of the other documents that hold them: such a document is described
+    by the lexicon that the rest gives. Their number is bounded by the words of the sample.
+    """
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,14 +162,14 @@ def learn(sample: DataFrame) -> Lexicon:
     n, a = distinct.agg(F.count(F.lit(1)), F.sum("label")).first()
     base = min(max(a / n, 1e-6), 1 - 1e-6)
     counts = distinct.select("text", "label").mapInArrow(units, "unit string, label double").groupBy("unit").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    weight = F.col("a") * F.log(F.col("a") / (F.col("a") + F.col("b")) / base)
-    rows = counts.filter((F.col("a") >= 3) & (weight >= EVIDENCE)).orderBy(weight.desc(), "unit").limit(LEXICON).collect()
+    weight = F.col("a") * F.log(F.col("a") / (F.col("a") + F.greatest(F.col("b") - 1, F.lit(0.0))) / base)
+    rows = counts.filter((F.col("a") > 0) & (weight >= EVIDENCE)).collect()
     return Lexicon({r["unit"]: (int(r["a"]), int(r["b"])) for r in rows}, base)
 
 
 def features(docs: DataFrame, lexicon: Lexicon, labelled: bool = False) -> DataFrame:
-    """``doc_id`` and one double per feature, for every row; ``labelled``: with the ``label`` that the lexicon has seen."""
-    carry = ("doc_id", "label") if labelled else ("doc_id",)
+    """``doc_id`` and one double per feature, for every row; ``labelled``: also ``label``, and ``counted``, what the lexicon counts for the text."""
+    carry = ("doc_id", "label", "counted") if labelled else ("doc_id",)
     carried = docs.select(*carry, "text")
     schema = ", ".join([f"`{c}` {carried.schema[c].dataType.simpleString()}" for c in carry] + [f"{f} double" for f in FEATURES])
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -173,7 +177,7 @@ def features(docs: DataFrame, lexicon: Lexicon, labelled: bool = False) -> DataF
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in batches:
-            own = b.column(1).to_pylist() if labelled else [None] * b.num_rows
+            own = b.column(2).to_pylist() if labelled else [None] * b.num_rows
             x = np.array([describe(t.as_py(), known, y) for t, y in zip(b.column(len(carry)), own, strict=True)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(carry))), *(pa.array(x[:, k]) for k in range(len(FEATURES)))], [*carry, *FEATURES])
 
@@ -185,7 +189,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
 
     At most ``train_docs`` labelled documents outside the fold crc32(doc_id) mod 5 = 0 (those with the lowest seeded
     hashes of their ids) train the trees (three quarters) and the isotonic calibration (one quarter). Neither labels
-    nor lang, source or id enter a score. Where the labels hold one class or none, every score is that class, or 0.
+    nor lang, source or id enter a score. Equal texts with different labels count as toxic in the lexicon, and each as
+    labelled for the trees. Where the labels hold one class or none, every score is that class, or 0.
     Null and empty texts have all-zero features; repeated rows come out as often as they come in.
     """
     chosen = (
@@ -194,7 +199,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_docs)
     )
     held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
-    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null"), "toxicity-texts")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
+    texts = materialise(texts.withColumn("counted", F.max("label").over(Window.partitionBy(F.sha2("text", 256)))), "toxicity-texts")
     classes = {r["label"] for r in texts.select("label").distinct().collect()}
     if len(classes) < 2:
         only = F.lit(float(max(classes, default=0.0)))

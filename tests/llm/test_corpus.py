@@ -134,7 +134,8 @@ def test_bpe(docs, nothing):
         got[r.doc_id].append((list(r.ids), bytes(r.decoded)))
     for k, t in enumerate(texts()):
         assert got[k] == [(theirs.encode_ordinary(t or ""), (t or "").encode())] * 2
-    digest = {r.doc_id: r for r in bpe.digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)).collect()}
+    digest = {r.doc_id: r for r in bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()}
+    assert all(r.n_tokens == len(got[k][0][0]) and r.decoded_sha256 == hashlib.sha256(got[k][0][1]).hexdigest() for k, r in digest.items())
     assert digest[0].n_tokens == 0 and digest[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.encode(nothing, path, public_tokenizers.PATTERN).count() == 0
 
@@ -374,3 +375,11 @@ def test_oracle(spark):
         got = queries()[name](spark, sf).toPandas()[list(want.columns)]
         clean = lambda df: sorted(tuple(map(str, r)) for r in df.fillna("-").itertuples(index=False))
         assert clean(got) == clean(want)
+
+
+def test_toxicity_with_equal_texts_and_conflicting_labels(spark):
+    docs, labels = labelled(spark)
+    twin = docs.filter("doc_id = 1").selectExpr("5000L as doc_id", *[c for c in docs.columns if c != "doc_id"])
+    both = docs.union(twin).union(twin)
+    got = toxicity.classify(both, labels.union(spark.createDataFrame([(5000, 1, 0)], labels.schema))).collect()
+    assert len(got) == 244 and len({r.score for r in got if r.doc_id in (1, 5000)}) == 1
