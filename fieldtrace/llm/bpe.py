@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-Texts are gathered into chunks, written as a table. A chunk lists its pre-tokens by position as numbers of its own
-distinct words, and sends each distinct word once to the bucket of its hash. A bucket merges what all chunks sent, encodes each distinct
+Texts are gathered into chunks. A chunk lists its pre-tokens by position as numbers of its own distinct words, and sends
+each distinct word once to the bucket of its hash. A bucket merges what all chunks sent, encodes each distinct
 word once, and answers every chunk in the order asked. The chunk then puts ids in place of word numbers, in order of
 position. So a word that fills the corpus costs one entry a chunk, and no dictionary is sent to all tasks.
 """
@@ -18,13 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import NO_ID, materialise, shuffle_partitions, unzipped, zipped
+from fieldtrace.llm.common import NO_ID, shuffle_partitions, unzipped, zipped
 
 CHUNK_CHARS = 6_000_000
 #: The characters of Unicode's White_Space.
@@ -154,7 +155,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(load_ranks(ranks_path))
     buckets = shuffle_partitions(spark)
-    chunks = materialise(_chunks(docs, pattern, pieces, buckets, chunk_chars), "bpe-chunks")
+    # One shuffle by chunk serves both: what the buckets are asked, and the texts that wait there for the answers.
+    chunks = _chunks(docs, pattern, pieces, buckets, chunk_chars).repartition(buckets, "chunk")
+
+    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.greater_equal(b.column("bucket"), 0)).select(["chunk", "bucket", "n", "words"])
 
     def answer(asked: pa.Table) -> pa.Table:
         ranks, known, rows = sent.value, {}, asked.to_pylist()  # known: the distinct words of one bucket
@@ -170,9 +176,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
             found.append(zipped(np.frombuffer(b"".join(out), "<u4"), 3))
         return pa.table({"chunk": [r["chunk"] for r in rows], "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(found, pa.binary())})
 
-    asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "n", "words")
+    # Rows are chosen inside functions: a filter would be pushed below the shuffle, and texts cut a second time.
+    asked = chunks.mapInArrow(questions, "chunk string, bucket int, n int, words binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "chunk string, bucket int, sizes binary, ids binary")
-    texts = chunks.filter("bucket = -1").select("chunk", "n", F.col("words").alias("places"), "docs", "lengths", "tokens")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
@@ -180,11 +186,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
         flat = np.concatenate([np.empty(0, np.uint32), *(unzipped(x.as_py(), "<u4") for x in right.column("ids"))])
         starts = np.cumsum(sizes) - sizes
         tables = []
-        for r in left.to_pylist():
+        for r in left.filter(pc.equal(left.column("bucket"), -1)).to_pylist():
             if len(sizes) != r["n"]:
                 raise ValueError("a chunk and the answers to it differ")
             docs_, lengths = unzipped(r["docs"], "<i8"), unzipped(r["lengths"], "<u4")
-            tokens = unzipped(r["places"], "<u4")[unzipped(r["tokens"], "<u4")].astype(np.int64)
+            tokens = unzipped(r["words"], "<u4")[unzipped(r["tokens"], "<u4")].astype(np.int64)
             each = sizes[tokens]
             ends = np.cumsum(each)
             ids = flat[np.repeat(starts[tokens] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
@@ -192,7 +198,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
             tables.append(pa.table({"doc_id": pa.array(docs_, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))}))
         return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
-    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -91,13 +91,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
     ``vectors`` has ``vec_id, embedding, label``; other columns are ignored. One row per vec_id: ``vec_id, n_links``
     (other vectors linked directly), ``component_id`` (smallest vec_id reachable by links, itself included) and
     ``kept`` (vec_id = component_id). Vectors without a label, null, all zero, or with a null or non-finite component
-    link with nothing; so do vectors of unequal length. An empty table gives an empty table; of rows that share a
+    link with nothing; so do vectors of unequal length, and vectors without a vec_id, which are one row. An empty table gives an empty table; of rows that share a
     vec_id the one with the largest label and vector counts. Equal vectors are one class with a count. Links found
     are exact; a pair right at the cosine shares a direction with a chance of about 0.97.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("x")).select("vec_id", F.col("x.label").alias("label"), F.col("x.embedding").alias("embedding"))
     good = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = materialise(rows.withColumn("key", F.when(good, F.sha2(F.to_json(F.struct("label", "embedding")), 256))), "vectors")
+    rows = materialise(rows.withColumn("key", F.when(good & F.col("vec_id").isNotNull(), F.sha2(F.to_json(F.struct("label", "embedding")), 256))), "vectors")
     classes = materialise(
         rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("x"), F.count(F.lit(1)).alias("copies"))
         .select("key", F.col("x.vec_id").alias("cls"), F.col("x.label").alias("label"), F.transform("x.embedding", lambda v: v.cast("double")).alias("v"), "copies"),
@@ -147,4 +147,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, parts: int = PAR
     named = classes.select("key", "cls", "copies").join(counts, "cls", "left").join(components(links).withColumnRenamed("id", "cls"), "cls", "left")
     out = rows.select("vec_id", "key").join(named, "key", "left")
     component = F.coalesce("component", "cls", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("near", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -58,8 +58,10 @@ def earlier_matches(docs: DataFrame, tenths: int = TENTHS, width: int = WIDTH) -
     A line matches an earlier one, by (doc_id, line_no), if their sets of ``width``-word shingles (lower case) have a
     Jaccard similarity of ``tenths``/10 or more. Earlier lines count whether or not they are removed themselves.
     Lines without words, null and empty texts match nothing. Rows that share a doc_id share its line numbers: lines
-    at one place don't remove each other. An empty table gives an empty table.
+    at one place don't remove each other. Rows without a doc_id have no place: they lose no line and remove none. An empty
+    table gives an empty table.
     """
+    docs = docs.filter("doc_id is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     sets = _sets(lines, width).filter("n > 0")
     extra = _ceil(1, "n", 20)

@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is made whole or dropped along the seeded order of its source and shard, with what earlier documents got too much
     or too little carried on. So texts stay whole, and the words emitted for a source and shard differ from those that
     its blocks take by half of its longest cut document at most. Documents that the mix does not take go. Equal
-    ``doc_id`` rows share one plan row.
+    ``doc_id`` rows, and rows without one, share one plan row.
     """
     seed, shard_words = options.get("seed", 20), options.get("shard_words", SHARD_WORDS)
     plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("source_size").alias("source_size"), F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
@@ -162,6 +162,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return pd.DataFrame({"doc_id": part["doc_id"], "_times": times})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _times int"
-    plan = plan.groupBy("source", "_shard").applyInPandas(rounded, schema).filter("_times > 0")
-    joined = docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    plan = plan.groupBy("source", "_shard").applyInPandas(rounded, schema).filter("_times > 0").withColumnRenamed("doc_id", "_id")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return joined.select(*docs.columns)

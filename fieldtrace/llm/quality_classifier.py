@@ -116,10 +116,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Learns from ``labels`` outside the fold crc32(doc_id) mod 3 = 1; neither labels nor lang, source or id enter a
-    score. Null and empty texts are scored by the bias. Repeated rows come out as often as they come in.
+    score. Null and empty texts are scored by the bias. Repeated rows come out as often as they come in;
+    rows without an id are scored and never held out.
     """
     scored = score(docs, train(docs, labels, **options))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bits: int = BITS, **options) -> DataFrame:

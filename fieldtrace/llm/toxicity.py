@@ -191,14 +191,15 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
     hashes of their ids) train the trees (three quarters) and the isotonic calibration (one quarter). Neither labels
     nor lang, source or id enter a score. Equal texts with different labels count as toxic in the lexicon, and each as
     labelled for the trees. Where the labels hold one class or none, every score is that class, or 0.
-    Null and empty texts have all-zero features; repeated rows come out as often as they come in.
+    Null and empty texts have all-zero features; repeated rows come out as often as they come in; rows without an id
+    are scored and never held out.
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
         .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(train_docs)
     )
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")
     texts = materialise(texts.withColumn("counted", F.max("label").over(Window.partitionBy(F.sha2("text", 256)))), "toxicity-texts")
     classes = {r["label"] for r in texts.select("label").distinct().collect()}
