@@ -13,9 +13,9 @@ EQUIVALENT_SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("calibre", "caliber"), ("cancelled", "canceled"),
     ("catalogue", "catalog"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"),
-    ("favourite", "favorite"), ("fulfil", "fulfill"), ("initialise", "initialize"), ("judgement", "judgment"),
+    ("favourite", "favorite"), ("fulfil", "fulfill"), ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"),
     ("labelling", "labeling"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"),
-    ("maximise", "maximize"), ("modelled", "modeled"), ("optimise", "optimize"), ("organisation", "organization"),
+    ("maximise", "maximize"), ("modelled", "modeled"), ("optimise", "optimize"), ("organisation", "organization"), ("owner", "holder"), ("owners", "holders"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 ]
@@ -51,13 +51,13 @@ KNOWN_LICENSES = [
         "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
         "PERFORMANCE OF THIS SOFTWARE.",
     ),
-    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 ]
 
 #: Title lines that whole texts are published under, by identifier; "" stands for none.
 TITLES = {
     "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["", "ISC License", "The ISC License"],
     "BSD-2-Clause": ["", "BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["", "BSD 3-Clause License", "The 3-Clause BSD License"], "Zlib": ["", "zlib License", "The zlib License"],
+    "0BSD": ["", "BSD Zero Clause License", "Zero-Clause BSD"], "BSL-1.0": ["", "Boost Software License 1.0"],
 }
 
 

@@ -2,7 +2,26 @@
 
 from __future__ import annotations
 
-from fieldtrace.llm import licenses
+import hashlib
+import re
+
+from fieldtrace.llm.licenses import EQUIVALENT_SPELLINGS, KNOWN_LICENSES, whole_texts
+
+#: Words after "copyright" by which a line is a sentence of a licence, not a notice of a work.
+_SENTENCE = "and or in of on to if is are as by for from under that which with within this these you your any all such must may shall not no notice notices holder holders owner owners owned law laws license licence licenses licences licensed interest interests right rights statement statements disclaimer disclaimers protection permission claim claims treaty treaties ownership status"
+_STARTS = r"^[ \t]*(copyright|\(c\))"
+#: What after the start makes a line no notice: another word, a stop, nothing, or a sentence.
+_NO_NOTICE = rf"^[ \t]*(copyright(ed|able|s)\b|(copyright|\(c\))([.;)]|[ \t]*$|[ \t,]+({'|'.join(_SENTENCE.split())})\b))"
+_SIGN = r"^[ \t]*©"
+_MARKS = "“”‘’–—\xa0"
+
+
+def _digest(text: str) -> str:
+    """The digest of a known licence, word by word."""
+    lines = [x for x in text.lower().split("\n") if not (re.search(_SIGN, x) or re.search(_STARTS, x) and not re.search(_NO_NOTICE, x))]
+    same = dict(EQUIVALENT_SPELLINGS)
+    words = re.sub(rf"[\x01-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f{_MARKS}]", " ", "\n".join(lines)).split()
+    return hashlib.sha256(" ".join(same.get(w, w) for w in words).encode()).hexdigest()
 
 
 def _quoted(s: str) -> str:
@@ -10,26 +29,25 @@ def _quoted(s: str) -> str:
 
 
 def _license_scan() -> str:
-    def plain(x: str) -> str:
-        x = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
-        return f"regexp_replace({x}, '[\\x01-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F“”‘’–—{chr(160)}]+', ' ', 'g')"
+    notice = f"regexp_matches(x, {_quoted(_SIGN)}) OR (regexp_matches(x, {_quoted(_STARTS)}) AND NOT regexp_matches(x, {_quoted(_NO_NOTICE)}))"
 
     def digest(x: str) -> str:
-        x = f"' ' || replace(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' '), ' ', '  ') || ' '"
-        for written, same in licenses.EQUIVALENT_SPELLINGS:
-            x = f"replace({x}, ' {written} ', ' {same} ')"
-        return f"sha256(trim(replace({x}, '  ', ' '), ' '))"
-
-    known = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.KNOWN_LICENSES)
+        cases = " ".join(f"WHEN {_quoted(written)} THEN {_quoted(same)}" for written, same in EQUIVALENT_SPELLINGS)
+        words = f"string_split(regexp_replace({x}, '[\\x01-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F{_MARKS}]', ' ', 'g'), ' ')"
+        return f"sha256(array_to_string([CASE x {cases} ELSE x END for x in {words} if x <> ''], ' '))"
+
+    found: dict[str, str] = {}
+    for name, text in sorted([*KNOWN_LICENSES, *whole_texts()]):
+        found.setdefault(_digest(text), name)
+    known = ", ".join(f"('{d}', {_quoted(i)})" for d, i in found.items())
     return f"""
-WITH known AS (
-  SELECT {digest(plain('t'))} AS digest, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1
-), plain AS (
-  SELECT doc_id, {plain('text')} AS x FROM documents
-), units AS (
-  SELECT doc_id, unnest(list_distinct(string_split(x, chr(10)))) AS line FROM plain
+WITH known(digest, license_id) AS (VALUES {known}),
+plain AS (
+  SELECT doc_id, [CASE WHEN {notice} THEN '' ELSE x END for x in string_split(lower(coalesce(text, '')), chr(10))] AS lines FROM documents
 ), texts AS (
-  SELECT p.doc_id, min(k.license_id) AS text_license FROM plain p LEFT JOIN known k ON {digest('p.x')} = k.digest GROUP BY 1
+  SELECT p.doc_id, min(k.license_id) AS text_license FROM plain p LEFT JOIN known k ON {digest("array_to_string(p.lines, chr(10))")} = k.digest GROUP BY 1
+), units AS (
+  SELECT DISTINCT doc_id, unnest(lines) AS line FROM plain
 ), lines AS (
   SELECT u.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS ids
   FROM units u LEFT JOIN known k ON {digest('u.line')} = k.digest GROUP BY 1

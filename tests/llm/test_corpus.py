@@ -182,10 +182,11 @@ def test_whole_licenses_with_published_line_breaks(spark):
     wrapped = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + isc.split("\n\n")[1]
     want, rows = {}, []
     published = {f.name.removesuffix(".txt"): f.read_text() for f in (files("fieldtrace.llm") / "license_texts").iterdir()}
-    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib"} <= set(published)
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib", "0BSD", "BSL-1.0", "WTFPL"} <= set(published)
     texts = [("ISC", "ISC License\n\nCopyright (c) 2004 Someone\n\n" + wrapped)]
     for i, t in published.items():
         texts += [(i, t), (i, "\n\n".join("\n".join(textwrap.wrap(p, 61)) for p in t.split("\n\n")) if i.startswith(("BSD", "Zlib", "Un")) else t.upper())]
+    texts.append(("MPL-2.0", published["MPL-2.0"].replace("http:", "https:")))
     texts.append(("BSD-3-Clause", "Copyright 2020 Some Holder\nAll rights reserved.\n\n" + published["BSD-3-Clause"].split("\n\n", 1)[1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")))
     texts += [(None, wrapped.replace("copyright notice and this permission notice appear in all copies", "")), (None, published["GPL-3.0-only"] + "\nmore")]
     for k, (i, t) in enumerate(texts):

@@ -319,3 +319,19 @@ def test_pipeline_without_documents(spark, folder):
     for _, stage in p.STAGES:
         at = stage(spark, at, folder)
     assert at.count() == 0
+
+
+def test_license_query_and_oracle_find_whole_texts(spark, tmp_path):
+    import duckdb
+
+    from fieldtrace.llm.oracles import oracle_sql
+
+    known = licenses.whole_texts() + [(i, t) for i, t in licenses.KNOWN_LICENSES]
+    rows = [(k, f"Copyright (c) {1990 + k} Someone\n" + t.replace(" license ", " Licence ").replace("\n", " \n") if k % 2 else t) for k, (_, t) in enumerate(known)]
+    rows += [(5000, known[0][1] + "\nand more"), (5001, None), (5002, ""), (5003, "copyright\nCopyrights matter.\n© all\n(c) and\nMIT\nReleased under the MIT License")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(oracle_sql()["op5_license_scan"]).fetchall()}
+    got = {r.doc_id: (r.text_license, r.line_licenses) for r in queries()["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == want and all(got[k][0] for k in range(len(known))) and got[5000] == (None, "") and got[5003] == (None, "MIT")
