@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, wi
 from fieldtrace.operators.tracks import prepare, summary_groups
 
 
+#: The most points of a group that meet in one part of its hull.
+PART_POINTS = 50_000
+
+
 def metric_crs(df: DataFrame, crs: int | None = None) -> int:
     """The EPSG code of the metric grid: as given (3857, 326xx, 327xx), or the UTM zone of the mean fix.
 
@@ -58,7 +66,12 @@ def _points(df: DataFrame, level: str, mins: float | None, groups: list[str] | N
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise (monotone chain); under three corners where points lie on a line."""
-    pts = np.unique(points, axis=0)
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    pts = points[order]
+    # Of the points at one x only the lowest and the highest can be corners.
+    new = np.append(True, pts[1:, 0] != pts[:-1, 0])[: len(pts)]
+    pts = pts[new | np.append(new[1:], True)[: len(pts)]]
+    pts = pts[np.append(True, (pts[1:] != pts[:-1]).any(1))[: len(pts)]]
     if len(pts) < 3:
         return pts
 
@@ -74,10 +87,29 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def _area(ring: np.ndarray) -> float:
+    if len(ring) < 3:
+        return 0.0
     x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def _hulled(df: DataFrame) -> DataFrame:
+    """Reduce ``_points`` of each row to the corners of their hull, and add ``_area``."""
+    at = df.columns.index("_points")
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = b.column(at)
+            flat, ends = points.flatten(), np.cumsum([0, *pc.list_value_length(points).to_pylist()])
+            xy = np.column_stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()])
+            rings = [hull(xy[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            corners = np.concatenate([np.empty((0, 2)), *(r.reshape(-1, 2) for r in rings)])
+            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], ["_x", "_y"]))
+            yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(b.columns)] + [pa.array([_area(r) for r in rings], pa.float64())], [*b.schema.names, "_area"])
+
+    return df.drop("_area").mapInArrow(reduced, _schema(df, df.columns) + ", _area double")
+
+
 def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -85,7 +117,7 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
 def gps_mcp(df: DataFrame, percent: tuple[float, ...] = (100, 95), epoch=_UNSET, epoch_mins: float | None = None, groups: list[str] | None = None, min_fixes: int = 5, metric_crs: int | None = None, return_geometry: bool = False) -> DataFrame:
     """Area in hectares of the hull of the fixes, or of the share nearest to their mean centre.
 
-    Distances and cuts are windows and exact percentiles; only distinct points of one group and epoch meet in a task.
+    Distances and cuts are windows and exact percentiles.
     """
     level, mins = resolve_epoch(epoch, epoch_mins)
     pts, by, crs = _points(df, level, mins, groups, metric_crs)
@@ -94,20 +126,16 @@ def gps_mcp(df: DataFrame, percent: tuple[float, ...] = (100, 95), epoch=_UNSET,
     pts = pts.withColumn("_cut", F.percentile("_d", F.array(*[F.lit(p / 100) for p in percent])).over(w))
     pts = pts.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percent])))
     cut = F.element_at(F.map_from_arrays(F.array(*[F.lit(float(p)) for p in percent]), F.col("_cut")), F.col("percent"))
-    kept = pts.filter((F.col("percent") >= 100) | (F.col("_d") <= cut)).groupBy(*by, "percent", "n_fixes", "_x", "_y").agg(F.lit(1).alias("_one")).drop("_one")
-
-    def area(g: pd.DataFrame) -> pd.DataFrame:
-        xy = g[["_x", "_y"]].to_numpy()
-        enough = g["n_fixes"].iloc[0] >= max(3, min_fixes) and len(xy) >= 3
-        ring = hull(xy) if enough else np.empty((0, 2))
-        a = _area(ring) if len(ring) >= 3 else 0.0
-        row = g[[*by, "percent", "n_fixes"]].head(1).copy()
-        row["n_fixes_used"], row["area_ha"] = len(xy), a / 1e4 if a > 0 else None
-        row["ring"] = [[[float(v) for v in p] for p in ring]] if a > 0 else None
-        return row
-
-    schema = _schema(kept, [*by, "percent", "n_fixes"]) + ", n_fixes_used long, area_ha double, ring array<array<double>>"
-    out = kept.groupBy(*by, "percent", "n_fixes").applyInPandas(area, schema).withColumn("metric_crs", F.lit(f"EPSG:{crs}"))
+    kept = pts.filter((F.col("percent") >= 100) | (F.col("_d") <= cut))
+    key = [*by, "percent", "n_fixes"]
+    # The hull of a group is the hull of its parts' hulls, so no task holds more points than a part has.
+    part = F.pmod(F.xxhash64("_x", "_y"), F.ceil(F.col("n_fixes") / PART_POINTS))
+    parts = kept.groupBy(*key, part.alias("_part")).agg(F.collect_set(F.struct("_x", "_y")).alias("_points"))
+    parts = _hulled(parts.withColumn("_used", F.size("_points").cast("long")))
+    whole = _hulled(parts.groupBy(*key).agg(F.flatten(F.collect_list("_points")).alias("_points"), F.sum("_used").alias("n_fixes_used")))
+    area = F.when((F.col("n_fixes") >= max(3, min_fixes)) & (F.col("n_fixes_used") >= 3) & (F.col("_area") > 0), F.col("_area") / 1e4)
+    ring = F.transform("_points", lambda p: F.array(p["_x"], p["_y"]))
+    out = whole.withColumn("area_ha", area).withColumn("ring", F.when(F.col("area_ha").isNotNull(), ring)).drop("_points", "_area").withColumn("metric_crs", F.lit(f"EPSG:{crs}"))
     if not return_geometry:
         return out.drop("ring")
     lon, lat = (lambda p: unproject(p[0], p[1], crs)[0]), (lambda p: unproject(p[0], p[1], crs)[1])

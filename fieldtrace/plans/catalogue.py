@@ -23,7 +23,7 @@ Builder = Callable[[SparkSession, str], DataFrame]
 @dataclass(frozen=True)
 class Query:
     build: Builder
-    columns: dict[str, str]  # name: k as is, t time, n count, b flag, m metres, r rate, c coordinate, d density
+    columns: dict[str, str]  # name: k as is, t time, n count, b flag, m metres, r rate, c coordinate, o coordinate whose means end in halves, d density
     sql: str | None = None
 
 
@@ -31,13 +31,13 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     how = {
         "k": lambda c: F.col(c), "t": lambda c: F.unix_micros(F.col(c).cast("timestamp")), "n": lambda c: F.col(c).cast("long"), "b": lambda c: F.col(c).cast("boolean"),
         "m": lambda c: F.round(F.col(c).cast("double"), 3), "r": lambda c: F.round(F.col(c).cast("double"), 6),
-        "c": lambda c: F.round(F.col(c).cast("double"), 9), "d": lambda c: F.round(F.col(c).cast("double") * 1e9),
+        "c": lambda c: F.round(F.col(c).cast("double"), 9), "d": lambda c: F.round(F.col(c).cast("double") * 1e9), "o": lambda c: F.round(F.col(c).cast("double") + 3.3e-11, 9),
     }
     return df.select(*[how[k](c).alias(c) for c, k in columns.items()])
 
 
 def _projected(sql: str, columns: dict[str, str]) -> str:
-    how = {"k": "{0}", "t": "epoch_us({0})", "n": "CAST({0} AS BIGINT)", "b": "CAST({0} AS BOOLEAN)", "m": "round(CAST({0} AS DOUBLE), 3)", "r": "round(CAST({0} AS DOUBLE), 6)", "c": "round(CAST({0} AS DOUBLE), 9)", "d": "round(CAST({0} AS DOUBLE)*1e9)"}
+    how = {"k": "{0}", "t": "epoch_us({0})", "n": "CAST({0} AS BIGINT)", "b": "CAST({0} AS BOOLEAN)", "m": "round(CAST({0} AS DOUBLE), 3)", "r": "round(CAST({0} AS DOUBLE), 6)", "c": "round(CAST({0} AS DOUBLE), 9)", "d": "round(CAST({0} AS DOUBLE)*1e9)", "o": "round(CAST({0} AS DOUBLE)+3.3e-11, 9)"}
     return "SELECT " + ", ".join(f"{how[k].format(c)} AS {c}" for c, k in columns.items()) + f" FROM ({sql}) q"
 
 
@@ -110,7 +110,7 @@ QUERIES: dict[str, Query] = {
     "resource_use": Query(lambda s, d: resources.gps_resource_use(fixes(s, d), RESOURCES, 150, "day", metric_crs=3857), ANIMAL | EPOCH | {"resource_id": "k", "n_total_fixes": "n", "n_fixes_near": "n", "prop_fixes_near": "r", "mean_distance_m": "m", "median_distance_m": "m", "min_distance_m": "m"}, O.resource_use(150)),
     "resource_visits": Query(lambda s, d: resources.gps_resource_visits(fixes(s, d), RESOURCES, 400, 2880, metric_crs=3857), ANIMAL | {"visit_id": "n", "resource_id": "k", "visit_start": "t", "visit_end": "t", "duration_mins": "r", "n_fixes": "n", "min_distance_m": "m", "mean_distance_m": "m"}, O.resource_visits(400, 2880)),
     "hotspots": Query(lambda s, d: spatial.gps_hotspots(fixes(s, d), 200, 0.9, epoch="week", metric_crs=3857), ANIMAL | EPOCH | {"cell_x": "n", "cell_y": "n", "n_fixes": "n", "total_fixes": "n", "prop_fixes": "r", "hotspot_count_threshold": "r", "cell_centre_lon": "r", "cell_centre_lat": "r"}, O.hotspots(200, 0.9)),
-    "spatial_week": Query(lambda s, d: spatial.gps_spatial(fixes(s, d), "week"), ANIMAL | EPOCH | {"n_fixes": "n", "span_hours": "r", "lon_min": "c", "lat_max": "c", "centroid_lon": "c", "centroid_lat": "c", "mcp100_area_ha": "r", "mcp95_area_ha": "r", "metric_crs": "k"}, O.spatial_week()),
+    "spatial_week": Query(lambda s, d: spatial.gps_spatial(fixes(s, d), "week"), ANIMAL | EPOCH | {"n_fixes": "n", "span_hours": "r", "lon_min": "c", "lat_max": "c", "centroid_lon": "o", "centroid_lat": "o", "mcp100_area_ha": "r", "mcp95_area_ha": "r", "metric_crs": "k"}, O.spatial_week()),
     "mcp_area": Query(lambda s, d: spatial.gps_mcp(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"percent": "r", "n_fixes": "n", "n_fixes_used": "n", "area_ha": "r"}, O.mcp_area()),
     "kde_cells": Query(lambda s, d: spatial.gps_kde(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"density_rank": "n", "kde_density": "d", "cell_probability": "r", "cumulative_probability": "r", "in_kde50": "b"}, O.kde_cells()),
     "epoch_merge": Query(lambda s, d: summary.gps_epoch(hourly_fixes(s, d), "day", include=["movement", "social"], thresholds_m=REACH), ANIMAL | MOVED | {"social_n_fixes": "n"} | SOCIAL, O.epoch_merge()),
