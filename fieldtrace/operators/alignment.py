@@ -19,7 +19,8 @@ def base_interval_mins(df: DataFrame, groups: list[str]) -> DataFrame:
     """One row, ``mins``: the median positive gap of all groups in whole minutes, at least 1."""
     w = Window.partitionBy(*groups).orderBy("datetime")
     gap = df.select(((F.unix_micros("datetime") - F.unix_micros(F.lag("datetime").over(w))) / 60e6).alias("g")).filter("g > 0")
-    return gap.agg(F.greatest(F.rint(F.coalesce(F.median("g"), F.lit(1.0))), F.lit(1.0)).alias("mins"))
+    middle = stats.quantiles(stats.counted(gap, F.col("g")), {"g": 0.5})
+    return middle.select(F.greatest(F.rint(F.coalesce("g", F.lit(1.0))), F.lit(1.0)).alias("mins"))
 
 
 def _with_interval(df: DataFrame, groups: list[str], interval_mins: float | str) -> DataFrame:

@@ -118,7 +118,7 @@ def speed_threshold(speeds: DataFrame, method: str = "mad", k: float = 4, prob:
     """One row, ``threshold_mps``: a limit that the positive speeds themselves set."""
     fast = speeds.select(F.col("speed_mps").alias("v")).filter("v > 0")
     if method == "quantile":
-        found = fast.agg(stats.quantile(F.col("v"), prob).alias("t"))
+        found = stats.quantiles(stats.counted(fast, F.col("v")), {"t": prob})
     elif method == "mad":
         upper = fast.join(F.broadcast(fast.agg(stats.quantile(F.col("v"), 0.75).alias("q"))), F.col("v") >= F.col("q")).select("v", F.log1p("v").alias("x"))
         one = upper.agg(*[stats.quantile(F.col("x"), p).alias(a) for p, a in ((0.5, "c"), (0.25, "lo"), (0.75, "hi"))], stats.quantile(F.col("v"), 0.995).alias("top"))

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions import stats
 from fieldtrace.functions.geo import valid_coordinate
 from fieldtrace.operators.alignment import gps_interpolate
 from fieldtrace.operators.tracks import ORDER, blank, prepare, with_order
@@ -85,7 +86,7 @@ def gps_playback(
     pts = pts.withColumn("seq", F.row_number().over(w)).filter(F.pmod(F.col("seq") - 1, F.lit(render_every_n)) == 0)
     ahead = {"_t": F.lead("datetime").over(w), "_lon": F.lead("lon").over(w), "_lat": F.lead("lat").over(w)}
     pts = pts.withColumns(ahead).withColumn("_gap", F.unix_micros("_t") - F.unix_micros("datetime"))
-    step = F.broadcast(pts.filter("_gap > 0").agg(F.coalesce(F.median("_gap"), F.lit(60e6)).cast("long").alias("_step")))
+    step = F.broadcast(stats.quantiles(stats.counted(pts.filter("_gap > 0"), F.col("_gap").cast("double")), {"g": 0.5}).select(F.coalesce("g", F.lit(60e6)).cast("long").alias("_step")))
     pts = pts.join(step)
     start = F.unix_micros("datetime")
     points = pts.select("map_group", "seq", "lon", "lat", F.col("datetime").alias("start_time"), F.timestamp_micros(F.greatest(F.coalesce(F.unix_micros("_t"), start), start + F.col("_step"))).alias("end_time"), state_color(state_col, state_colors).alias("color"), popup([c for c in popup_fields if c in pts.columns]).alias("popup"))

@@ -101,11 +101,13 @@ def qc_table(df: DataFrame, groups: list[str], large_gap_mins: float = 60, check
         F.coalesce(F.sum((F.col("bad_lon") | F.col("bad_lat")).cast("long")), F.lit(0)).alias("invalid_coordinates"), count("_late").alias("late"),
     )
     twins = duplicate_flags(df, groups, order_col).agg(count("duplicate_fix").alias("dup_fix"), count("duplicate_record").alias("dup_record"))
-    s = F.col("interval_s")
-    gaps = intervals(df, groups, large_gap_mins, order_col).agg(
-        F.count(F.lit(1)).alias("n_intervals"), F.min(s).alias("i_min"), stats.quantile(s, 0.25).alias("i_q25"), stats.quantile(s, 0.5).alias("i_med"), F.avg(s).alias("i_mean"),
-        stats.quantile(s, 0.75).alias("i_q75"), F.max(s).alias("i_max"), count("is_non_positive_interval").alias("non_positive"), count("is_large_gap").alias("large"),
-    )
+    # Intervals are counted by their length once; all that is said about them follows from the counts.
+    lengths = stats.counted(intervals(df, groups, large_gap_mins, order_col), F.col("interval_s"))
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    gaps = lengths.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_intervals"), F.min("v").alias("i_min"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("i_mean"), F.max("v").alias("i_max"),
+        some(F.col("v") <= 0).alias("non_positive"), some(F.col("v") / 60 > large_gap_mins).alias("large"),
+    ).join(F.broadcast(stats.quantiles(lengths, {"i_q25": 0.25, "i_med": 0.5, "i_q75": 0.75})))
     one = main.join(F.broadcast(twins)).join(F.broadcast(gaps))  # one row each
     n, none = F.col("n_rows"), F.lit(None)
 
