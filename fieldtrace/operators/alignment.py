@@ -129,3 +129,67 @@ def grid_diagnostics(df: DataFrame, grid: DataFrame, groups: list[str]) -> DataF
         stats.mean(F.abs("time_offset_s")).alias("mean_abs_offset_s"), F.max(F.abs("time_offset_s")).alias("max_abs_offset_s"),
     )
     return gaps.join(made, groups, "inner").withColumn("prop_observed", stats.proportion(F.col("n_observed"), F.col("n_grid")))
+
+
+def _gaps(df: DataFrame, groups: list[str]) -> DataFrame:
+    """By group: how many positive gaps lie between its distinct times, and the least, the middle and the longest, in seconds."""
+    w = Window.partitionBy(*groups).orderBy("datetime")
+    gap = (F.unix_micros("datetime") - F.unix_micros(F.lag("datetime").over(w))) / 1e6
+    gaps = df.filter("datetime is not null").select(*groups, "datetime").distinct().withColumn("_gap", gap)
+    return gaps.groupBy(*groups).agg(F.count("_gap").alias("n_observed_gaps"), F.min("_gap").alias("gap_min_s"), F.median("_gap").alias("gap_median_s"), F.max("_gap").alias("gap_max_s"))
+
+
+def temporal_diagnostics(df: DataFrame, out: DataFrame, kind: str, interval_mins: float | str, tolerance_mins: float | None = None, phase_mins: float = 0, groups: list[str] | None = None) -> DataFrame:
+    """What ``gps_regularise``, ``gps_interpolate`` or ``gps_downsample`` (``kind``) made of a table, by group.
+
+    ``df`` is what went in, ``out`` what came out. Counts of fixes, times and duplicates, what is on the grid, filled or
+    left; gaps between times (of fixes, of anchors when interpolating, of retained fixes when downsampling); the interval
+    aimed at and the one reached; and the parameters. Rows without a time are counted over the whole table.
+    """
+    if kind not in ("regularise", "interpolate", "downsample"):
+        raise ValueError(f"unknown kind {kind!r}")
+    df = prepare(df)
+    grp = time_groups(df, groups)
+    grp += [c for c in ["segment_id"] if kind == "interpolate" and c in df.columns and c not in grp]
+    known, flag = _known(df, grp), lambda t, c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")) if c in t.columns else F.lit(0).cast("long")
+    anchors = known.filter(valid_coordinate(F.col("lon"), F.col("lat")))
+    seen = known.groupBy(*grp).agg(
+        F.count(F.lit(1)).alias("n_observed_fixes"), F.countDistinct("datetime").alias("n_observed_timestamps"), F.sum((~valid_coordinate(F.col("lon"), F.col("lat"))).cast("long")).alias("n_invalid_coordinate_fixes"),
+        F.countDistinct(F.when(valid_coordinate(F.col("lon"), F.col("lat")), F.col("datetime"))).alias("n_valid_anchor_timestamps"), F.min("datetime").alias("_first"), F.max("datetime").alias("_last"),
+    )
+    offset = F.abs("time_offset_s") if "time_offset_s" in out.columns else F.lit(None).cast("double")
+    made = out.groupBy(*grp).agg(
+        F.count(F.lit(1)).alias("_rows"), flag(out, "is_observed").alias("n_observed_on_grid"), flag(out, "is_interpolated").alias("n_interpolated"), F.sum((F.col("lon").isNull() | F.col("lat").isNull()).cast("long")).alias("n_unfilled_grid_fixes"),
+        F.median(offset).alias("median_abs_time_offset_s"), F.max(offset).alias("max_abs_time_offset_s"),
+    )
+    reached = _gaps(out, grp).select(*grp, F.col("gap_median_s").alias("sampling_interval_achieved_s"))
+    gaps = _gaps({"regularise": known, "interpolate": anchors, "downsample": out}[kind], grp)
+    all_ = seen.join(made, grp, "left").join(gaps, grp, "left").join(reached, grp, "left")
+    all_ = all_.join(F.broadcast(df.agg(F.sum(F.col("datetime").isNull().cast("long")).alias("n_missing_datetime"))))
+    all_ = _with_interval_column(all_, known, grp, interval_mins)
+    target = F.col("sampling_interval_target_s")
+    if kind == "downsample":
+        step = (target * 1e6).cast("long")
+        start = F.unix_micros("_first") + F.lit(round(phase_mins * 60) * 1_000_000) % step
+        expected = F.when(start <= F.unix_micros("_last"), F.floor((F.unix_micros("_last") - start) / step) + 1).otherwise(0)
+    else:
+        expected = F.col("_rows")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("_rows", "n_observed_on_grid", "n_interpolated", "n_unfilled_grid_fixes", "n_observed_gaps")}
+    all_ = all_.withColumns({**zero, "n_expected_fixes": expected, "n_duplicate_timestamps": F.col("n_observed_fixes") - F.col("n_observed_timestamps")})
+    all_ = all_.withColumns({
+        "prop_interpolated": stats.proportion(F.col("n_interpolated"), F.col("n_expected_fixes")), "n_unmatched_observed_fixes": F.greatest(F.col("n_observed_fixes") - F.col("n_observed_on_grid"), F.lit(0)), "n_retained_fixes": F.col("_rows"),
+        "tolerance_mins": F.lit(float(tolerance_mins)) if tolerance_mins is not None else target / 120, "interval_mins": target / 60, "phase_mins": F.lit(float(phase_mins)),
+    })
+    ends = ["n_observed_gaps", "gap_min_s", "gap_median_s", "gap_max_s", "sampling_interval_target_s", "sampling_interval_achieved_s", "interval_mins"]
+    columns = {
+        "regularise": ["n_expected_fixes", "n_observed_fixes", "n_observed_timestamps", "n_observed_on_grid", "n_unmatched_observed_fixes", "n_interpolated", "prop_interpolated", "n_duplicate_timestamps", "n_missing_datetime", "median_abs_time_offset_s", "max_abs_time_offset_s", "tolerance_mins", *ends],
+        "interpolate": ["n_expected_fixes", "n_observed_fixes", "n_observed_timestamps", "n_valid_anchor_timestamps", "n_observed_on_grid", "n_interpolated", "n_unfilled_grid_fixes", "prop_interpolated", "n_duplicate_timestamps", "n_invalid_coordinate_fixes", "n_missing_datetime", *ends],
+        "downsample": ["n_expected_fixes", "n_observed_fixes", "n_retained_fixes", "n_interpolated", "prop_interpolated", "n_missing_datetime", *ends, "phase_mins"],
+    }
+    return all_.select(*grp, *columns[kind])
+
+
+def _with_interval_column(table: DataFrame, known: DataFrame, groups: list[str], interval_mins: float | str) -> DataFrame:
+    if interval_mins == "base":
+        return table.join(F.broadcast(base_interval_mins(known, groups).select((F.col("mins") * 60.0).alias("sampling_interval_target_s"))))
+    return table.withColumn("sampling_interval_target_s", F.lit(float(max(1, round(float(interval_mins) * 60)))))

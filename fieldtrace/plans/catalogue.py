@@ -56,6 +56,7 @@ SOCIAL = {
 FIX = TRACK | {"order_col": "n", "datetime": "t", "lon": "c", "lat": "c"}
 GRID = TRACK | {"animal_id": "k", "datetime": "t", "lon": "c", "lat": "c", "is_observed": "b"}
 REACH = (250, 1000)
+SAMPLED = {"n_expected_fixes": "n", "n_observed_fixes": "n", "n_interpolated": "n", "prop_interpolated": "r", "n_missing_datetime": "n", "n_observed_gaps": "n", "gap_min_s": "c", "gap_median_s": "c", "gap_max_s": "c", "sampling_interval_target_s": "r", "sampling_interval_achieved_s": "c", "interval_mins": "r"}
 
 
 def _movement(level: str | None, mins: float | None = None) -> Query:
@@ -100,11 +101,15 @@ QUERIES: dict[str, Query] = {
     "downsample_rigid": Query(lambda s, d: alignment.gps_downsample(fixes(s, d), 720, "rigid", 60), FIX, O.downsample(720, 60, "rigid")),
     "downsample_representative": Query(lambda s, d: alignment.gps_downsample(fixes(s, d), 720), FIX, O.downsample(720, 0, "representative")),
     "grid_diagnostics": Query(lambda s, d: alignment.grid_diagnostics(fixes(s, d), alignment.gps_interpolate(fixes(s, d), 360), ["deployment_id", "animal_id", "sensor_id"]), ANIMAL | {"n_fixes": "n", "n_grid": "n", "n_observed": "n", "n_interpolated": "n", "median_gap_mins": "c", "max_gap_mins": "c"}, O.grid_diagnostics(360)),
+    "regularise_diagnostics": Query(lambda s, d: alignment.temporal_diagnostics(fixes(s, d), alignment.gps_regularise(fixes(s, d), 360), "regularise", 360), ANIMAL | SAMPLED | {"n_observed_timestamps": "n", "n_observed_on_grid": "n", "n_unmatched_observed_fixes": "n", "n_duplicate_timestamps": "n", "median_abs_time_offset_s": "c", "max_abs_time_offset_s": "c", "tolerance_mins": "r"}, O.regularise_diagnostics(360)),
+    "interpolate_diagnostics": Query(lambda s, d: alignment.temporal_diagnostics(fixes(s, d), alignment.gps_interpolate(fixes(s, d), 360), "interpolate", 360), ANIMAL | SAMPLED | {"n_observed_timestamps": "n", "n_valid_anchor_timestamps": "n", "n_observed_on_grid": "n", "n_unfilled_grid_fixes": "n", "n_duplicate_timestamps": "n", "n_invalid_coordinate_fixes": "n"}, O.interpolate_diagnostics(360)),
+    "downsample_diagnostics": Query(lambda s, d: alignment.temporal_diagnostics(fixes(s, d), alignment.gps_downsample(fixes(s, d), 720, "rigid", 60), "downsample", 720, phase_mins=60), ANIMAL | SAMPLED | {"n_retained_fixes": "n", "phase_mins": "r"}, O.downsample_diagnostics(720, 60, "rigid")),
     "proximity": Query(lambda s, d: social.gps_proximity(hourly_fixes(s, d)), {"deployment_id": "k", "datetime": "t", "pair_id": "k", "distance_m": "m"}, O.proximity()),
     "nearest_neighbour": Query(lambda s, d: social.gps_nearest_neighbour(hourly_fixes(s, d)), {"order_col": "n", "social_group_size": "n", "nearest_animal_id": "k", "nearest_neighbour_m": "m"}, O.social_rows()),
     "neighbours_within": Query(lambda s, d: social.gps_neighbours_within_range(hourly_fixes(s, d), REACH), {"order_col": "n", "n_valid_fixes": "n", "n_neighbours_within_250m": "n", "n_neighbours_within_1000m": "n", "any_neighbour_within_250m": "b"}, O.social_rows()),
     "social_rows": Query(lambda s, d: social.gps_social(hourly_fixes(s, d), REACH), {"order_col": "n", "social_group_size": "n", "nearest_animal_id": "k", "nearest_neighbour_m": "m", "mean_distance_to_others_m": "m", "n_neighbours_within_250m": "n", "n_neighbours_within_1000m": "n"}, O.social_rows()),
     "contacts": Query(lambda s, d: social.gps_contacts(hourly_fixes(s, d), 1000, max_gap_mins=2880), {"deployment_id": "k", "pair_id": "k", "contact_event_id": "n", "contact_start": "t", "contact_end": "t", "duration_s": "r", "n_contact_fixes": "n", "min_distance_m": "m", "mean_distance_m": "m", "max_distance_m": "m"}, O.contacts(1000, 2880)),
+    "contacts_median_gap": Query(lambda s, d: social.gps_contacts(hourly_fixes(s, d), 1000), {"deployment_id": "k", "pair_id": "k", "contact_event_id": "n", "contact_start": "t", "duration_s": "r", "n_contact_fixes": "n"}, O.contacts(1000, "(SELECT quantile_cont(gap, 0.5) FROM near WHERE gap > 0)")),
     "social_day": Query(lambda s, d: social.gps_social_summary(hourly_fixes(s, d), "day", thresholds_m=REACH), ANIMAL | EPOCH | {"n_fixes": "n"} | SOCIAL, O.social_day()),
     "resource_distance": Query(lambda s, d: resources.gps_resource_distance(fixes(s, d), RESOURCES, 3857), {"order_col": "n", "nearest_resource_id": "k", "nearest_resource_type": "k", "resource_distance_m": "m", "metric_crs": "k"}, O.resource_distance()),
     "resource_use": Query(lambda s, d: resources.gps_resource_use(fixes(s, d), RESOURCES, 150, "day", metric_crs=3857), ANIMAL | EPOCH | {"resource_id": "k", "n_total_fixes": "n", "n_fixes_near": "n", "prop_fixes_near": "r", "mean_distance_m": "m", "median_distance_m": "m", "min_distance_m": "m"}, O.resource_use(150)),

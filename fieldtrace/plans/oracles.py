@@ -335,6 +335,36 @@ b AS (SELECT {ANIMAL}, count(*) AS n_grid, count(*) FILTER (WHERE is_observed) A
 SELECT * FROM a JOIN b USING ({ANIMAL})"""
 
 
+def _gap_summary(source: str, name: str) -> str:
+    return f"{name} AS (SELECT {ANIMAL}, count(gap) AS n_observed_gaps, min(gap) AS gap_min_s, quantile_cont(gap, 0.5) AS gap_median_s, max(gap) AS gap_max_s FROM (SELECT {ANIMAL}, (epoch_us(datetime)-lag(epoch_us(datetime)) OVER (PARTITION BY {ANIMAL} ORDER BY datetime))/1e6 AS gap FROM (SELECT DISTINCT {ANIMAL}, datetime FROM {source}) d) g GROUP BY {ANIMAL})"
+
+
+_SEEN = f"seen AS (SELECT {ANIMAL}, count(*) AS n_observed_fixes, count(DISTINCT datetime) AS n_observed_timestamps, count(*)-count(DISTINCT datetime) AS n_duplicate_timestamps FROM fixes GROUP BY {ANIMAL})"
+
+
+def regularise_diagnostics(mins: float) -> str:
+    return f"""WITH made AS (SELECT * FROM ({regularise(mins)}) r), {FIXES}, {_SEEN}, {_gap_summary('fixes', 'gaps')}, {_gap_summary('made', 'reached')},
+m AS (SELECT {ANIMAL}, count(*) AS n_expected_fixes, count(*) FILTER (WHERE is_observed) AS n_observed_on_grid, quantile_cont(abs(time_offset_s), 0.5) AS median_abs_time_offset_s, max(abs(time_offset_s)) AS max_abs_time_offset_s FROM made GROUP BY {ANIMAL})
+SELECT *, 0 AS n_interpolated, 0 AS prop_interpolated, 0 AS n_missing_datetime, greatest(n_observed_fixes-n_observed_on_grid, 0) AS n_unmatched_observed_fixes, {mins / 2} AS tolerance_mins, {mins * 60} AS sampling_interval_target_s, {mins} AS interval_mins
+FROM seen JOIN m USING ({ANIMAL}) JOIN gaps USING ({ANIMAL}) JOIN (SELECT {ANIMAL}, gap_median_s AS sampling_interval_achieved_s FROM reached) q USING ({ANIMAL})"""
+
+
+def interpolate_diagnostics(mins: float) -> str:
+    return f"""WITH made AS (SELECT * FROM ({interpolate(mins)}) r), {FIXES}, {_SEEN}, {_gap_summary('fixes', 'gaps')}, {_gap_summary('made', 'reached')},
+m AS (SELECT {ANIMAL}, count(*) AS n_expected_fixes, count(*) FILTER (WHERE is_observed) AS n_observed_on_grid, count(*) FILTER (WHERE is_interpolated) AS n_interpolated, count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS n_unfilled_grid_fixes FROM made GROUP BY {ANIMAL})
+SELECT *, n_observed_timestamps AS n_valid_anchor_timestamps, n_interpolated/n_expected_fixes AS prop_interpolated, 0 AS n_invalid_coordinate_fixes, 0 AS n_missing_datetime, {mins * 60} AS sampling_interval_target_s, {mins} AS interval_mins
+FROM seen JOIN m USING ({ANIMAL}) JOIN gaps USING ({ANIMAL}) JOIN (SELECT {ANIMAL}, gap_median_s AS sampling_interval_achieved_s FROM reached) q USING ({ANIMAL})"""
+
+
+def downsample_diagnostics(mins: float, phase: float, method: str) -> str:
+    us, ph = int(mins * 60e6), int(phase * 60e6)
+    return f"""WITH made AS (SELECT * FROM ({downsample(mins, phase, method)}) r), {FIXES}, {_SEEN}, {_gap_summary('made', 'gaps')},
+e AS (SELECT {ANIMAL}, greatest(CASE WHEN min(epoch_us(datetime))+{ph} <= max(epoch_us(datetime)) THEN floor((max(epoch_us(datetime))-min(epoch_us(datetime))-{ph})/{us}.0e0)+1 ELSE 0 END, 0) AS n_expected_fixes FROM fixes GROUP BY {ANIMAL}),
+m AS (SELECT {ANIMAL}, count(*) AS rows_ FROM made GROUP BY {ANIMAL})
+SELECT s.*, n_expected_fixes, coalesce(rows_, 0) AS n_retained_fixes, 0 AS n_interpolated, CASE WHEN n_expected_fixes > 0 THEN 0 END AS prop_interpolated, 0 AS n_missing_datetime, coalesce(n_observed_gaps, 0) AS n_observed_gaps, gap_min_s, gap_median_s, gap_max_s, {mins * 60} AS sampling_interval_target_s, gap_median_s AS sampling_interval_achieved_s, {mins} AS interval_mins, {phase} AS phase_mins
+FROM seen s JOIN e USING ({ANIMAL}) LEFT JOIN m USING ({ANIMAL}) LEFT JOIN gaps USING ({ANIMAL})"""
+
+
 def downsample(mins: float, phase: float, method: str) -> str:
     us, ph = int(mins * 60e6), int(phase * 60e6)
     k = f"floor((t-t0)/{us}.0e0)" if method == "rigid" else f"floor((t-t0)/{us}.0e0+0.5)"
@@ -366,7 +396,7 @@ def social_rows() -> str:
     return f"WITH {HOURLY}, {_social()} SELECT * FROM rows_"
 
 
-def contacts(limit: float, gap: float) -> str:
+def contacts(limit: float, gap: float | str) -> str:
     w = "(PARTITION BY deployment_id, pair_id ORDER BY datetime)"
     return f"""WITH {HOURLY}, {_PAIRS}, near AS (SELECT *, (epoch_us(datetime)-epoch_us(lag(datetime) OVER {w}))/60e6 AS gap FROM pairs WHERE distance_m <= {limit}),
 runs AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY deployment_id, pair_id ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS contact_event_id FROM near)
