@@ -55,5 +55,40 @@ plain AS (
 SELECT t.doc_id, t.text_license, coalesce(l.ids, '') AS line_licenses FROM texts t JOIN lines l USING (doc_id)"""
 
 
+def _collocations(least: int = 100, longest: int = 5, top: int = 2000) -> str:
+    fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({fold}, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents
+), listed AS (
+  SELECT lang, [x for x in regexp_split_to_array(piece, '[ \\t]+') if x <> ''] AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM listed GROUP BY 1
+), spots AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed WHERE len(w) > 0
+), runs AS (
+  SELECT lang, w[i : i + k - 1] AS words FROM spots, range(1, {longest} + 1) AS t(k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, words, count(*) AS f FROM runs GROUP BY 1, 2 HAVING count(*) >= {least}
+), cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, p.f AS l, r.f AS r, t.n,
+    CAST(1000 AS HUGEINT) * c.f * t.n // (CAST(p.f AS HUGEINT) * r.f) AS score
+  FROM f c, range(1, {longest}) AS g(k), f p, f r, totals t
+  WHERE k < len(c.words) AND p.lang = c.lang AND p.words = c.words[1 : k] AND r.lang = c.lang AND r.words = c.words[k + 1 : len(c.words)] AND t.lang = c.lang
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inner_runs AS (
+  SELECT lang, words[i : i + m - 1] AS words, max(a) AS f
+  FROM low, range(1, {longest}) AS x(i), range(2, {longest}) AS y(m) WHERE m < len(words) AND i + m - 1 <= len(words) GROUP BY 1, 2
+), kept AS (
+  SELECT low.*, array_to_string(low.words, ' ') AS phrase FROM low LEFT JOIN inner_runs i ON low.lang = i.lang AND low.words = i.words
+  WHERE i.f IS NULL OR 100 * i.f < 100 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": _license_scan()}
+    return {"op5_license_scan": _license_scan(), "op13_collocations": _collocations()}

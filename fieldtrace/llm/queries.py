@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import bpe, embedding_dedup, licenses, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
-from fieldtrace.llm.common import read_table
+from fieldtrace.llm import bpe, collocations, embedding_dedup, licenses, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_alignment, toxicity
+from fieldtrace.llm.common import materialise, read_table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The byte-level vocabulary of packing and alignment, and the one it is aligned with.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.PATTERN, end_id=2)
+    # Places depend on lengths alone, so what travels is the digest of the ids, not the ids.
+    placed = packing.place(materialise(packing.with_crc(pieces), "packing-digests"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_embedding_dedup, op8_quality_rules, op9_toxicity, op10_source_mix)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_byte_bpe, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_embedding_dedup, op8_quality_rules, op9_toxicity, op10_source_mix, op11_best_fit_packing, op12_token_alignment, op13_collocations)}
