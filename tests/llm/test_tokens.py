@@ -215,7 +215,7 @@ def test_op12_against_a_plain_version(spark, folder, rows):
 def test_alignment_of_chunks_and_its_own_output(spark, docs, rows):
     args = (docs, SPEC, PATTERN, MODEL)
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, token_alignment.link_counts(*args, chunk_tokens=900).collect())) == sorted(map(key, token_alignment.link_counts(*args).collect()))
+    assert sorted(map(key, token_alignment.link_counts(*args, chunk_chars=900).collect())) == sorted(map(key, token_alignment.link_counts(*args).collect()))
     for r in token_alignment.align(*args).collect():
         assert sum(r.group_a) == len(r.a_ids) == len(r.link_n) and sum(r.group_b) == len(r.b_ids)
         assert all(n >= 1 and 0 <= k and k + n <= len(r.b_ids) for k, n in zip(r.link_first, r.link_n, strict=True))
