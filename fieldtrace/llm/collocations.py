@@ -3,9 +3,10 @@
 Every word begins one window of five; its lead columns are padded where the piece ends. A phrase occurs where a window
 begins with it, so only longest windows are counted, and a ROLLUP over their columns sums every shorter prefix.
 
-Phrases below the least count are of no use, nor is any phrase that holds one. So a first pass counts words and pairs by
-hash, and windows are padded from the first word or pair on that is surely rare. That pass goes through a bitmap of fixed
-size: a frequent phrase is never padded away, a rare one at most stays.
+Phrases below the least count are of no use, nor is any phrase that holds one. So words, pairs, triples and fours are counted
+by hash first, each where its shorter parts are frequent, and windows are padded from the end of the longest prefix on
+that is not surely rare. What is frequent is told by a bitmap of fixed size: a frequent phrase is never padded away, a rare
+one at most stays.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from fieldtrace.llm.common import materialise
 #: Capitals fold to small letters, a tab is a space, and a full stop stands for everything that ends a piece.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 CHUNK_BYTES = 16_000_000
-#: Bits of the map of frequent words and pairs: 8 MB, whatever the corpus.
+#: Bits of the map of frequent phrases: 8 MB, whatever the corpus.
 MAP_BITS = 26
 _ROWS = 200_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,29 +64,58 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False) ^ (own * _SPREAD)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words, from those of the words."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of phrases and the words behind them, from those of both."""
     h = (a * _SPREAD) ^ (b + (a >> np.uint64(29)))
     return (h ^ (h >> np.uint64(32))) * _SPREAD
 
 
+def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - int(len(bits) * 64).bit_length() + 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _phrases(codes: np.ndarray, h: np.ndarray, bits: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where phrases of 1, 2, ... words begin, and their hashes: only those whose two shorter parts are marked frequent."""
+    at = np.flatnonzero(codes > 0)
+    hashes = h[codes[at]]
+    yield at, hashes
+    here = np.zeros(len(codes) + 1, bool)
+    for size in range(2, longest + 1):
+        marked = _is_set(bits, hashes)
+        at, hashes = at[marked], hashes[marked]
+        here[:] = False
+        here[at] = True
+        both = here[at + 1]
+        at, hashes = at[both], hashes[both]
+        hashes = _joined(hashes, h[codes[at + size - 1]])
+        yield at, hashes
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text"))
 
 
-def frequent_map(docs: DataFrame, least: int, map_bits: int = MAP_BITS, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
-    """A bitmap of ``2 ** map_bits`` bits in which every word and pair of ``least`` occurrences or more has its bit set."""
+def frequent_map(docs: DataFrame, least: int, longest: int, map_bits: int = MAP_BITS, chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
+    """A bitmap of ``2 ** map_bits`` bits in which all phrases of up to ``longest`` words that occur ``least`` times have theirs set.
+
+    One pass a length: a phrase is counted only where its two shorter parts are marked, so what is shuffled shrinks fast.
+    """
+    bits = np.zeros(max(1, 2**map_bits // 64), np.uint64)
+    for size in range(1, longest + 1):
+        bits = bits | _marked(docs, bits, size, least, map_bits, chunk_bytes)
+    return bits
+
+
+def _marked(docs: DataFrame, bits: np.ndarray, size: int, least: int, map_bits: int, chunk_bytes: int) -> np.ndarray:
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, codes, words in _chunks(batches, chunk_bytes):
-            h = _hashes(lang, words)
-            one = np.bincount(codes, minlength=len(words))
-            left, right = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
-            keys, two = np.unique((left * len(words) + right)[(left > 0) & (right > 0)], return_counts=True)
-            hashes = np.concatenate([h[1:], _pair(h[keys // len(words)], h[keys % len(words)])]).view(np.int64)
-            n = np.concatenate([one[1:], two]).astype(np.int64)
+            *_, (_, hashes) = _phrases(codes, _hashes(lang, words), sent.value, size)
+            found, n = np.unique(hashes, return_counts=True)
             for k in range(0, len(n), _ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + _ROWS]), pa.array(n[k : k + _ROWS])], ["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + _ROWS].view(np.int64)), pa.array(n[k : k + _ROWS].astype(np.int64))], ["h", "n"])
 
     often = _texts(docs).mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     slots = often.select(F.shiftrightunsigned("h", 64 - map_bits).alias("slot"))
@@ -96,42 +126,33 @@ def frequent_map(docs: DataFrame, least: int, map_bits: int = MAP_BITS, chunk_by
     return out.view(np.uint64)
 
 
-def windows(docs: DataFrame, frequent: np.ndarray, longest: int = 5, map_bits: int = MAP_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def windows(docs: DataFrame, frequent: np.ndarray, longest: int = 5, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``lang, w1, ..., n``: longest windows with counts, a row for each distinct one of a chunk; '' pads.
 
-    A window whose first word is rare is all padding: its words still count for the language.
+    A window is padded from the end of its piece on, or of its longest prefix that may be frequent. One whose first word is
+    rare is all padding: its words still count for the language.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, shift = sent.value, np.uint64(64 - map_bits)
-
-        def often(h: np.ndarray) -> np.ndarray:
-            slot = h >> shift
-            return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
         for lang, codes, words in _chunks(batches, chunk_bytes):
             h, v = _hashes(lang, words), len(words)
-            good = often(h)
-            good[0] = False
             codes = np.concatenate([codes, np.zeros(longest, np.uint32)]).astype(np.int64)
-            first = good[codes]
-            go_on = np.zeros(len(codes), bool)  # a frequent pair begins here
-            at = np.flatnonzero(first[:-1] & first[1:])
-            go_on[at] = often(_pair(h[codes[at]], h[codes[at + 1]]))
-            alone = np.bincount(codes[first & ~go_on], minlength=v)
+            depth = np.zeros(len(codes), np.int8)
+            for size, (at, hashes) in enumerate(_phrases(codes, h, sent.value, longest), 1):
+                depth[at if size == longest > 1 else at[_is_set(sent.value, hashes)]] = size
+            alone = np.bincount(codes[depth == 1], minlength=v)
             ones = np.flatnonzero(alone)
-            rare = np.count_nonzero((codes > 0) & ~first)
+            rare = np.count_nonzero((codes > 0) & (depth == 0))
             columns = [np.concatenate([[0], ones])] + [np.zeros(len(ones) + 1, np.int64)] * (longest - 1)
             counts = np.concatenate([[rare], alone[ones]])
-            at = np.flatnonzero(go_on)
+            at = np.flatnonzero(depth > 1)
             if len(at):
                 # Windows are numbered prefix by prefix: the number of a prefix and its next word number the longer one.
-                prefix, longer, steps = codes[at], np.ones(len(at), bool), []
+                prefix, steps = codes[at], []
                 for k in range(1, longest):
-                    longer &= go_on[at + k - 1]
-                    keys, prefix = np.unique(prefix * v + np.where(longer, codes[at + k], 0), return_inverse=True)
+                    keys, prefix = np.unique(prefix * v + np.where(depth[at] > k, codes[at + k], 0), return_inverse=True)
                     steps.append(keys)
                 n = np.bincount(prefix)
                 tail, which = [], np.arange(len(n))
@@ -156,7 +177,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 5, map_bits: int =
     ``size`` 0, with no words, holds the number of all words of the language.
     """
     names = [f"w{k}" for k in range(1, longest + 1)]
-    counted = windows(docs, frequent_map(docs, least, map_bits, chunk_bytes), longest, map_bits, chunk_bytes)
+    counted = windows(docs, frequent_map(docs, least, max(1, longest - 1), map_bits, chunk_bytes), longest, chunk_bytes)
     counted = counted.groupBy("lang", *names).agg(F.sum("n").alias("n"))
     rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("_level"))
     size = F.lit(longest) - F.bit_count("_level")  # a rolled-up column sets a bit
