@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +124,52 @@ def distance(x: Column, y: Column, shape: Shape) -> Column:
         return F.lit(None).cast("double")
     least = F.least(*away) if len(away) > 1 else away[0]
     return F.when(holds(x, y, shape), F.lit(0.0)).otherwise(least) if shape.kind == "polygon" else least
+
+
+def _crosses_itself(edges: np.ndarray) -> bool:
+    """Whether two edges of a ring meet anywhere but at the vertex between neighbours. Edges are compared where their
+    extents along x overlap."""
+    n = len(edges)
+    e = edges[np.argsort(np.minimum(edges[:, 0], edges[:, 2]), kind="stable")]
+    low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    side = lambda a, b, p: np.sign((b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0]))
+    within = lambda a, b, p: (np.minimum(a, b) <= p).all(-1) & (p <= np.maximum(a, b)).all(-1)
+    for k in range(n - 1):
+        other = e[k + 1 : np.searchsorted(low, high[k], "right")]
+        a, b, c, d = e[k, :2], e[k, 2:], other[:, :2], other[:, 2:]
+        s1, s2, s3, s4 = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        # Neighbours share one vertex, and no more than that.
+        joined = (a == d).all(-1) | (b == c).all(-1)
+        apart = (s1 * s2 < 0) & (s3 * s4 < 0)
+        touch = (s1 == 0) & within(a, b, c) | (s2 == 0) & within(a, b, d) | (s3 == 0) & within(c, d, a) | (s4 == 0) & within(c, d, b)
+        back = joined & (s1 == 0) & (s2 == 0) & (((b - a) * (d - c)).sum(-1) < 0)
+        if (apart | touch & ~joined | back).any() or n > 3 and ((a == d).all(-1) & (b == c).all(-1)).any():
+            return True
+    return False
+
+
+def shape_fault(shape: Shape) -> str | None:
+    """What makes a polygon unfit for a map, or None."""
+    if shape.kind != "polygon":
+        return "no polygon"
+    if not shape.parts:
+        return "empty"
+    for part in shape.parts:
+        rings = [np.array(r[:-1] if len(r) > 1 and r[0] == r[-1] else r, float) for r in part]
+        for v in rings:
+            if len(np.unique(v, axis=0)) < 3 or not np.isfinite(v).all():
+                return "invalid: a ring needs three different vertices"
+            nxt = np.roll(v, -1, 0)
+            if np.sum(v[:, 0] * nxt[:, 1] - nxt[:, 0] * v[:, 1]) == 0:
+                return "invalid: a ring without area"
+            if _crosses_itself(np.hstack([v, nxt])):
+                return "invalid: a ring crosses itself"
+        outer = rings[0]
+        nxt = np.roll(outer, -1, 0)
+        for hole in rings[1:]:
+            x, y = hole[0]
+            over = (outer[:, 1] > y) != (nxt[:, 1] > y)
+            t = (y - outer[over, 1]) / (nxt[over, 1] - outer[over, 1])
+            if not np.count_nonzero(x < outer[over, 0] + t * (nxt[over, 0] - outer[over, 0])) % 2:
+                return "invalid: a hole outside its polygon"
+    return None

@@ -1,19 +1,27 @@
-"""Active and inactive states from movement: mixture models and hidden Markov smoothing."""
+"""Active and inactive states from movement: mixture models and hidden Markov smoothing.
+
+Fits are rounds of aggregates over all rows; what returns to the driver is the state of two components. Sequences are
+worked on in blocks of rows (``functions.chains``): no task holds a whole track.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.functions.geo import EARTH_RADIUS_M, is_finite
+from fieldtrace.functions import chains, stats
+from fieldtrace.functions.geo import haversine_m, is_finite
 from fieldtrace.operators.movement import gps_steps
-from fieldtrace.operators.tracks import ORDER, prepare, track_groups
+from fieldtrace.operators.tracks import ORDER, join_by, prepare, track_groups
 
 MIN_ROWS, MIN_VAR = 50, 1e-6
+#: Rows of a block of a track.
+BLOCK_ROWS = 4096
 
 
 @dataclass
@@ -24,16 +32,12 @@ class ActivityStates:
     model: dict = field(default_factory=dict)
 
 
-def _haversine(lon1, lat1, lon2, lat2):
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
-
-
 def add_features(df: DataFrame, feature_set: str = "adaptive", groups: list[str] | None = None, order_col: str = ORDER) -> tuple[DataFrame, list[str]]:
     """Log step and absolute turn; ``adaptive`` adds net displacement and straightness over a trailing window.
 
-    The window of a track is the larger of 30 minutes and four of its median gaps.
+    The window of a track is the larger of 30 minutes and four of its median gaps. A row with a time and finite coordinates
+    looks back to the first such row inside its window: the first one after the window's start, found by one scan over
+    rows and window starts in order of time. Rows without a time or coordinates have no window.
     """
     df = prepare(df)
     grp = track_groups(df, groups)
@@ -44,160 +48,215 @@ def add_features(df: DataFrame, feature_set: str = "adaptive", groups: list[str]
         return out, ["_f_step", "_f_turn"]
     if feature_set != "adaptive":
         raise ValueError(f"unknown feature set {feature_set!r}")
+    track = Window.partitionBy(*grp).orderBy("datetime", order_col)
+    gap = F.unix_micros("datetime") - F.unix_micros(F.lag("datetime").over(track))
+    rows = out.withColumns({
+        "_t": F.unix_micros("datetime"), "_gap": F.when(gap > 0, gap),
+        "_run": F.sum(F.when(is_finite(F.col("step_m")) & (F.col("step_m") > 0), F.col("step_m")).otherwise(0.0)).over(track.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    widths = rows.groupBy(*grp).agg(F.greatest(F.lit(1_800_000_000), F.coalesce((4 * F.median("_gap")).cast("long"), F.lit(0))).alias("_width"))
+    ok = is_finite(F.col("lon")) & is_finite(F.col("lat")) & F.col("_t").isNotNull()
+    asked = join_by(rows, widths, grp).withColumns({"_at": F.col("_t") - F.col("_width"), "_asks": F.lit(True)})
+    points = rows.filter(ok).select(*grp, order_col, F.col("_t").alias("_at"), F.lit(False).alias("_asks"), F.struct("lon", "lat", "_run").alias("_point"))
+    # Backwards in time the last point passed is the first one after a window's start; a start passes no point of its own time.
+    behind = Window.partitionBy(*grp).orderBy(F.desc("_at"), F.desc("_asks"), F.desc(order_col)).rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(points, allowMissingColumns=True).withColumn("_from", F.last("_point", True).over(behind)).filter("_asks")
+    net = F.when(ok, haversine_m(F.col("_from.lon"), F.col("_from.lat"), F.col("lon"), F.col("lat")))
+    path = F.greatest(F.col("_run") - F.col("_from._run"), F.lit(0.0))
+    found = found.withColumns({"_net": net, "_path": path})
+    straight = F.when(F.col("_net").isNotNull(), F.when(F.col("_path") > 0, F.least(F.col("_net") / F.col("_path"), F.lit(1.0))).otherwise(0.0))
+    return found.select(*out.columns, F.log1p("_net").alias("_f_net"), straight.alias("_f_straight")), ["_f_step", "_f_turn", "_f_net", "_f_straight"]
+
+
+def _start(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the rows above the median of the first feature, and of the others."""
+    middle = stats.quantiles(stats.counted(rows, F.col(names[0])), {"m": 0.5}).first()["m"]
+    upper = F.col(names[0]) > F.lit(middle)
+    aggregates = [f(F.when(side, F.col(c))).alias(f"{a}_{k}_{j}") for k, side in enumerate((~upper, upper)) for j, c in enumerate(names) for a, f in (("m", F.avg), ("v", F.var_pop))]
+    one = rows.agg(*aggregates, *[F.avg(c).alias(f"m_{j}") for j, c in enumerate(names)], *[F.stddev_pop(c).alias(f"s_{j}") for j, c in enumerate(names)]).first()
+    d = range(len(names))
+    # Where one side is empty, the components start a deviation apart.
+    mean = [[one[f"m_{k}_{j}"] if one[f"m_1_{j}"] is not None else one[f"m_{j}"] + (2 * k - 1) * one[f"s_{j}"] for j in d] for k in (0, 1)]
+    var = [[one[f"v_{k}_{j}"] if one[f"m_1_{j}"] is not None else one[f"s_{j}"] ** 2 for j in d] for k in (0, 1)]
+    return np.array(mean, float), np.array(var, float) + MIN_VAR
+
+
+def _log_density(names: list[str], mean: np.ndarray, var: np.ndarray, k: int) -> Column:
+    out = F.lit(float(-0.5 * np.log(2 * np.pi * var[k]).sum()))
+    for j, c in enumerate(names):
+        out = out - 0.5 * (F.col(c) - float(mean[k, j])) * (F.col(c) - float(mean[k, j])) / float(var[k, j])
+    return out
 
-    def window(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(["datetime", order_col], kind="stable")
-        t = track["datetime"].astype("int64").to_numpy() / 1e9 if track["datetime"].dtype.kind == "M" else pd.to_datetime(track["datetime"]).astype("int64").to_numpy() / 1e9
-        lon, lat, step = (track[c].to_numpy(float) for c in ("lon", "lat", "step_m"))
-        gaps = np.diff(t)
-        gaps = gaps[gaps > 0]
-        width = max(1800.0, 4 * (np.median(gaps) if len(gaps) else 0.0))
-        start = np.searchsorted(t, t - width, side="right")
-        ok = np.isfinite(lon) & np.isfinite(lat)
-        following = np.where(ok, np.arange(len(t)), len(t))
-        following = np.minimum.accumulate(following[::-1])[::-1] if len(t) else following
-        start = np.minimum(following[np.minimum(start, len(t) - 1)], np.arange(len(t)))
-        run = np.cumsum(np.where(np.isfinite(step), step, 0.0))
-        path = np.maximum(run - run[start], 0.0)
-        net = np.where(ok, _haversine(lon[start], lat[start], lon, lat), np.nan)
-        track["_f_net"] = np.log1p(net)
-        track["_f_straight"] = np.where(np.isfinite(net), np.where(path > 0, np.clip(net / np.where(path > 0, path, 1), 0, 1), 0.0), np.nan)
-        return track
-
-    wide = out.withColumns({"_f_net": F.lit(None).cast("double"), "_f_straight": F.lit(None).cast("double")})
-    return wide.groupBy(*grp).applyInPandas(window, wide.schema), ["_f_step", "_f_turn", "_f_net", "_f_straight"]
-
-
-def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(2)
-
-
-def _start(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and variances of two halves, refined by two-means from the median split of the first feature."""
-    scale = x.std(0)
-    scale[scale == 0] = 1
-    z = x / scale
-    side = z[:, 0] > np.median(z[:, 0])
-    if side.all() or not side.any():
-        side = np.arange(len(z)) % 2 == 0
-    for _ in range(50):
-        c = np.stack([z[~side].mean(0), z[side].mean(0)])
-        new = ((z - c[1]) ** 2).sum(1) < ((z - c[0]) ** 2).sum(1)
-        if (new == side).all() or new.all() or not new.any():
-            break
-        side = new
-    return np.stack([x[~side].mean(0), x[side].mean(0)]), np.stack([x[~side].var(0), x[side].var(0)]) + MIN_VAR
 
+def fit_mixture(rows: DataFrame, names: list[str], max_iter: int = 200, tol: float = 1e-5) -> dict:
+    """Two diagonal Gaussians by expectation maximisation: one aggregate over all rows a round.
 
-def fit_gmm(x: np.ndarray, max_iter: int = 200, tol: float = 1e-5) -> dict:
-    """Two diagonal Gaussians by expectation maximisation."""
-    mean, var = _start(x)
-    weight, last = np.array([0.5, 0.5]), -np.inf
+    Starts from the halves at the median of the first feature; stops when the mean log likelihood moves by less than ``tol``.
+    """
+    mean, var = _start(rows, names)
+    weight, last, d = np.array([0.5, 0.5]), -np.inf, len(names)
     for _ in range(max_iter):
-        log_p = _log_density(x, mean, var) + np.log(weight)
-        top = log_p.max(1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(log_p - top).sum(1))
-        r = np.exp(log_p - total[:, None])
-        n = r.sum(0) + 1e-12
-        weight, mean = n / n.sum(), (r.T @ x) / n[:, None]
-        var = np.maximum((r.T @ x**2) / n[:, None] - mean**2, MIN_VAR)
-        now = total.mean()
+        logs = rows.select(*names, *[(_log_density(names, mean, var, k) + float(np.log(weight[k]))).alias(f"_l{k}") for k in (0, 1)])
+        both = F.greatest("_l0", "_l1") + F.log1p(F.exp(-F.abs(F.col("_l0") - F.col("_l1"))))
+        shares = logs.withColumn("_all", both).select("_all", *names, *[F.exp(F.col(f"_l{k}") - F.col("_all")).alias(f"_r{k}") for k in (0, 1)])
+        off = lambda k, j: F.col(names[j]) - float(mean[k, j])  # noqa: B023, E731
+        one = shares.agg(
+            F.avg("_all"), *[F.sum(f"_r{k}") for k in (0, 1)], *[F.sum(F.col(f"_r{k}") * off(k, j)) for k in (0, 1) for j in range(d)], *[F.sum(F.col(f"_r{k}") * off(k, j) * off(k, j)) for k in (0, 1) for j in range(d)]
+        ).first()
+        now, n = one[0], np.array(one[1:3]) + 1e-12
+        moved, square = (np.array(one[3 + i * 2 * d : 3 + (i + 1) * 2 * d]).reshape(2, d) / n[:, None] for i in (0, 1))
+        weight, mean, var = n / n.sum(), mean + moved, np.maximum(square - moved**2, MIN_VAR)
         if abs(now - last) < tol:
             break
         last = now
     return {"weight": weight, "mean": mean, "var": var, "log_likelihood": float(now)}
 
 
-def forward_backward(log_e: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posteriors, expected transitions and log likelihood of one sequence."""
-    n, k = log_e.shape
-    e, t = np.exp(log_e - log_e.max(1, keepdims=True)), np.exp(log_t)
-    # Pieces of about sqrt(n) rows go side by side; the products of their steps carry the ends of pieces over.
-    width = int(np.ceil(np.sqrt(n)))
-    m = -(-n // width)
-    step = np.broadcast_to(np.eye(k), (m * width, k, k)).copy()
-    step[1:n] = t[None] * e[1:, None, :]
-    step = step.reshape(m, width, k, k)
-    product = step[:, 0]
-    for i in range(1, width):
-        product = product @ step[:, i]
-        product = product / product.sum((1, 2), keepdims=True)
-    first, last = np.empty((m, k)), np.ones((m, k))
-    first[0] = np.exp(log_s) * e[0]
-    for j in range(1, m):
-        first[j] = first[j - 1] @ product[j - 1]
-        first[j] /= first[j].sum()
-    for j in range(m - 2, -1, -1):
-        last[j] = product[j + 1] @ last[j + 1]
-        last[j] /= last[j].sum()
-    alpha, beta, scale = np.empty((m, width, k)), np.empty((m, width, k)), np.empty((m, width))
-    for i in range(width):
-        first = (first[:, None] @ step[:, i])[:, 0]
-        scale[:, i] = np.maximum(first.sum(1), 1e-300)
-        alpha[:, i] = first = first / scale[:, i, None]
-    for i in range(width - 1, -1, -1):
-        beta[:, i] = last
-        last = (step[:, i] @ last[:, :, None])[:, :, 0]
-        last = last / last.sum(1, keepdims=True)
-    alpha, beta, step = alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n], step.reshape(-1, k, k)[:n]
-    xi = alpha[:-1, :, None] * step[1:] * beta[1:, None, :]
-    post = alpha * beta
-    return post / post.sum(1, keepdims=True), (xi / xi.sum((1, 2), keepdims=True)).sum(0), float(np.log(scale).sum() + log_e.max(1).sum())
-
-
-def viterbi(log_e: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> np.ndarray:
-    """The most likely state path of one sequence."""
-    n, k = log_e.shape
-    score, back = log_s + log_e[0], np.zeros((n, k), np.int64)
-    for i in range(1, n):
-        step = score[:, None] + log_t
-        back[i] = step.argmax(0)
-        score = step.max(0) + log_e[i]
-    path = np.empty(n, np.int64)
-    path[-1] = score.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def fit_hmm(x: np.ndarray, max_iter: int = 100, tol: float = 1e-4, self_prob: float = 0.95) -> dict:
-    """Two-state Gaussian HMM by Baum-Welch with Dirichlet priors of 1, and 5 for staying, over one sequence of rows."""
-    mean, var = _start(x)
-    trans, start, last = np.array([[self_prob, 1 - self_prob], [1 - self_prob, self_prob]]), np.array([0.5, 0.5]), -np.inf
-    for _ in range(max_iter):
-        post, xi, now = forward_backward(_log_density(x, mean, var), np.log(trans), np.log(start))
-        prior = np.array([[5.0, 1.0], [1.0, 5.0]])
-        trans = xi + prior - 1 + 1e-9
-        trans /= trans.sum(1, keepdims=True)
-        start = np.clip(post[0], 1e-6, 1)
-        start /= start.sum()
-        n = post.sum(0) + 1e-12
-        mean = (post.T @ x) / n[:, None]
-        var = np.maximum((post.T @ x**2) / n[:, None] - mean**2, MIN_VAR)
-        if abs(now - last) < tol * max(1.0, abs(last)) and np.isfinite(last):
-            break
-        last = now
-    return {"trans": trans, "start": start, "mean": mean, "var": var, "log_likelihood": now}
+def _sequences(rows: DataFrame, groups: list[str], order_col: str) -> DataFrame:
+    """Add ``_seq`` (a run of usable or of unusable rows of a track), ``_no`` (place in the track), ``_begins``, ``_block``."""
+    track = Window.partitionBy(*groups).orderBy("datetime", order_col)
+    begins = F.coalesce(F.col("_ok") != F.lag("_ok").over(track), F.lit(True))
+    out = rows.withColumns({"_begins": begins, "_no": F.row_number().over(track)})
+    return out.withColumns({"_seq": F.sum(F.col("_begins").cast("long")).over(track.rowsBetween(Window.unboundedPreceding, 0)), "_block": F.floor(F.col("_no") / BLOCK_ROWS)})
 
 
-def _runs(state: np.ndarray, min_run: int) -> np.ndarray:
-    """Runs shorter than ``min_run`` between two runs of the other state take it over."""
-    out = state.copy()
-    edges = np.flatnonzero(np.diff(out)) + 1
-    for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(out)]]), strict=True):
-        if b - a < min_run and a > 0 and b < len(out):
-            out[a:b] = out[a - 1]
-    return out
+def _kinds(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _same(table: pa.Table, columns: list[str], n: int) -> dict[str, pa.Array]:
+    """The grouping values of a group, for ``n`` rows."""
+    return {c: pa.chunked_array([pa.repeat(table.column(c)[0], n)]) for c in columns}
+
+
+def _floats(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(rows, float).reshape(-1)), rows.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _carried(products: DataFrame, keys: list[str]) -> DataFrame:
+    """What every block gets from the other blocks of its sequence; a sequence has a row for each ``BLOCK_ROWS`` rows here."""
+
+    def carry(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        product, plus = (np.array(table.column(c).to_pylist()).reshape(-1, 2, 2) for c in ("_product", "_plus"))
+        before, behind, score, ends = chains.across_blocks(product, plus)
+        return pa.table({**_same(table, keys, len(ends)), "_block": table.column("_block"), "_before": _floats(before), "_behind": _floats(behind), "_score": _floats(score), "_end": pa.array(ends.astype(np.int32))})
+
+    return products.groupBy(*keys).applyInArrow(carry, f"{_kinds(products, [*keys, '_block'])}, _before array<double>, _behind array<double>, _score array<double>, _end int")
+
+
+def _decoded(rows: DataFrame, groups: list[str], log_t: np.ndarray, log_s: np.ndarray) -> DataFrame:
+    """Add ``_p0`` (posterior of state 0) and ``_path`` to usable rows with ``_seq, _block, _no, _begins`` and log emissions ``_e0, _e1``."""
+    keys = [*groups, "_seq"]
+
+    def emissions(table: pa.Table) -> np.ndarray:
+        return np.stack([table.column("_e0").to_numpy(), table.column("_e1").to_numpy()], 1)
+
+    def products(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_no")
+        product, plus = chains.block_products(emissions(table), log_t, log_s, table.column("_begins")[0].as_py())
+        return pa.table({**_same(table, [*keys, "_block"], 1), "_product": _floats(product.reshape(1, 4)), "_plus": _floats(plus.reshape(1, 4))})
+
+    narrow = rows.select(*keys, "_block", "_no", "_begins", "_e0", "_e1")
+    found = narrow.groupBy(*keys, "_block").applyInArrow(products, f"{_kinds(rows, [*keys, '_block'])}, _product array<double>, _plus array<double>")
+
+    def decode(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.append_column("_p0", pa.array([], pa.float64())).append_column("_path", pa.array([], pa.int32()))
+        left, (edge,) = left.sort_by("_no"), right.to_pylist()
+        log_e, begins = emissions(left), left.column("_begins")[0].as_py()
+        post, _, _ = chains.posteriors(log_e, log_t, log_s, begins, np.array(edge["_before"]), np.array(edge["_behind"]))
+        path = chains.best_path(log_e, log_t, log_s, begins, np.array(edge["_score"]), edge["_end"])
+        return left.append_column("_p0", pa.array(post[:, 0])).append_column("_path", pa.array(path.astype(np.int32)))
+
+    both = rows.groupBy(*keys, "_block").cogroup(_carried(found, keys).groupBy(*keys, "_block"))
+    return both.applyInArrow(decode, f"{_kinds(rows, rows.columns)}, _p0 double, _path int")
+
+
+def _rounds(own: list[str], sums: list[str], log_t: np.ndarray, log_s: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[Callable, Callable]:
+    """What a round of Baum-Welch does with blocks of features: their matrices, and, once carried, their expectations."""
+
+    def emissions(x: np.ndarray) -> np.ndarray:
+        return -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(2)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [chains.block_products(emissions(x.values.to_numpy().reshape(-1, mean.shape[1])), log_t, log_s, begins) for x, begins in zip(b.column("_x"), b.column("_begins").to_pylist(), strict=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(_floats(np.stack([f[i].reshape(4) for f in found])) for i in (0, 1))], [*own, "_product", "_plus"])
+
+    def expected(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r, edge in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            x = np.array(r["_x"]).reshape(-1, mean.shape[1])
+            post, moved, ll = chains.posteriors(emissions(x), log_t, log_s, r["_begins"], np.array(edge["_before"]), np.array(edge["_behind"]))
+            off = x[:, None, :] - mean[None]
+            first = post[0] if r["_begins"] else np.zeros(2)
+            out.append(np.concatenate([[ll], first, moved.reshape(-1), post.sum(0), (post[:, :, None] * off).sum(0).reshape(-1), (post[:, :, None] * off**2).sum(0).reshape(-1)]))
+        return pa.table(dict(zip(sums, np.array(out).reshape(-1, len(sums)).T, strict=True)))
+
+    return products, expected
+
+
+def fit_hmm(rows: DataFrame, names: list[str], groups: list[str], max_iter: int = 100, tol: float = 1e-4, self_prob: float = 0.95) -> dict:
+    """Two-state Gaussian HMM by Baum-Welch over all sequences, with Dirichlet priors of 1, and 5 for staying.
+
+    ``rows`` are usable rows with ``_seq, _block, _no, _begins``. A round sends matrices of blocks, carries them along each
+    sequence, and sums expectations of blocks; blocks of features are kept between rounds.
+    """
+    mean, var = _start(rows, names)
+    trans, start, last, d = np.array([[self_prob, 1 - self_prob], [1 - self_prob, self_prob]]), np.array([0.5, 0.5]), -np.inf, len(names)
+    keys = [*groups, "_seq"]
+    own = [*keys, "_block"]
+    listed = F.sort_array(F.collect_list(F.struct("_no", F.array(*names).alias("x"))))
+    blocks = rows.groupBy(*own).agg(F.max("_begins").alias("_begins"), listed.alias("_x")).select(*own, "_begins", F.flatten("_x.x").alias("_x")).repartition(*own).persist()
+    sums = ["ll", *[f"s{k}" for k in (0, 1)], *[f"t{i}{k}" for i in (0, 1) for k in (0, 1)], *[f"n{k}" for k in (0, 1)], *[f"{a}{k}_{j}" for a in "mv" for k in (0, 1) for j in range(d)]]
+    kinds = _kinds(blocks, own)
+    try:
+        for _ in range(max_iter):
+            products, expected = _rounds(own, sums, np.log(trans), np.log(start), mean, var)
+            carried = _carried(blocks.mapInArrow(products, f"{kinds}, _product array<double>, _plus array<double>"), keys)
+            got = blocks.groupBy(*own).cogroup(carried.groupBy(*own)).applyInArrow(expected, ", ".join(f"{c} double" for c in sums))
+            one = np.array(got.agg(*[F.sum(c) for c in sums]).first(), float)
+            now, begun, moved, n = one[0], one[1:3], one[3:7].reshape(2, 2), one[7:9] + 1e-12
+            trans = moved + np.array([[4.0, 0.0], [0.0, 4.0]]) + 1e-9
+            trans /= trans.sum(1, keepdims=True)
+            start = np.clip(begun / begun.sum(), 1e-6, 1)
+            start /= start.sum()
+            shift, square = (one[9 + i * 2 * d : 9 + (i + 1) * 2 * d].reshape(2, d) / n[:, None] for i in (0, 1))
+            mean, var = mean + shift, np.maximum(square - shift**2, MIN_VAR)
+            if np.isfinite(last) and abs(now - last) < tol * max(1.0, abs(last)):
+                break
+            last = now
+    finally:
+        blocks.unpersist()
+    return {"trans": trans, "start": start, "mean": mean, "var": var, "log_likelihood": float(now)}
+
+
+def long_runs(rows: DataFrame, groups: list[str], min_run: int) -> DataFrame:
+    """``_path`` where runs shorter than ``min_run`` between two others take over the state of the run before."""
+    sequence = Window.partitionBy(*groups, "_seq")
+    order = sequence.orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_new", F.coalesce((F.col("_path") != F.lag("_path").over(sequence.orderBy("_no"))).cast("long"), F.lit(0)))
+    out = out.withColumn("_run", F.sum("_new").over(order))
+    runs = out.groupBy(*groups, "_seq", "_run").agg(F.count(F.lit(1)).alias("_size"), F.first("_path").alias("_own"))
+    along = sequence.orderBy("_run")
+    edge = F.lag("_run").over(along).isNull() | F.lead("_run").over(along).isNull()
+    runs = runs.withColumn("_kept", F.when(edge | (F.col("_size") >= min_run), F.col("_own")))
+    runs = runs.withColumn("_state", F.last("_kept", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*groups, "_seq", "_run"]
+    return join_by(out, runs.select(*keys, "_state"), keys).drop("_path", "_new", "_run").withColumnRenamed("_state", "_path")
 
 
 def gps_activity_state(
-    df: DataFrame, method: str = "gmm_hmm", groups: list[str] | None = None, state_col: str = "activity_state", inactive_prob_col: str = "inactive_prob", feature_set: str = "adaptive", fit_max_rows: int = 200_000, seed: int = 1, min_run_n: int = 2, self_prob: float = 0.98, order_col: str = ORDER,
+    df: DataFrame, method: str = "gmm_hmm", groups: list[str] | None = None, state_col: str = "activity_state", inactive_prob_col: str = "inactive_prob", feature_set: str = "adaptive", fit_max_rows: int | None = None, seed: int = 1, min_run_n: int = 2, self_prob: float = 0.98, order_col: str = ORDER,
 ) -> ActivityStates:
     """Label fixes active or inactive.
 
-    The model is fitted to at most ``fit_max_rows`` rows (those with the lowest seeded hashes), brought to the driver;
-    all rows are scored by column expressions (``gmm``) and each track is decoded by itself (``gmm_hmm``, ``hmm``).
-    The inactive component is the one with less movement. At least 50 rows must have all features.
+    The model is fitted to all rows that have all features, by aggregates; ``fit_max_rows`` fits it to about so many instead
+    (single rows by seeded hash for mixtures, whole tracks for ``hmm``). Rows are scored by column expressions (``gmm``) and
+    tracks decoded in blocks (``gmm_hmm``, ``hmm``). The inactive component is the one with less movement. At least 50 rows
+    must have all features.
     """
     if method not in ("gmm_hmm", "gmm", "hmm"):
         raise ValueError(f"unknown method {method!r}")
@@ -207,59 +266,48 @@ def gps_activity_state(
     for c in names:
         valid = valid & is_finite(F.col(c))
     rows = rows.withColumn("_ok", valid)
-    sample = rows.filter("_ok").select(*grp, *names, "datetime", order_col).orderBy(F.xxhash64(F.lit(seed), order_col)).limit(fit_max_rows).toPandas().sort_values([*grp, "datetime", order_col])
-    x = sample[names].to_numpy(float)
-    if len(x) < MIN_ROWS:
-        raise ValueError(f"only {len(x)} rows have all features; {MIN_ROWS} are needed")
-    model = fit_hmm(x) if method == "hmm" else fit_gmm(x)
+    keep = [c for c in rows.columns if c not in {*names, "_ok"}]
+    if method == "hmm":
+        rows = _sequences(rows, grp, order_col)
+    fit = rows.filter("_ok").select(*grp, *names, order_col, *(["_seq", "_block", "_no", "_begins"] if method == "hmm" else [])).persist()
+    try:
+        n = fit.count()
+        if n < MIN_ROWS:
+            raise ValueError(f"only {n} rows have all features; {MIN_ROWS} are needed")
+        if fit_max_rows is not None and n > fit_max_rows:
+            by = F.xxhash64(F.lit(seed), *(grp if method == "hmm" else [order_col]))
+            some = fit.filter(F.pmod(by, F.lit(2**32)) < int(2**32 * fit_max_rows / n))
+        else:
+            some = fit
+        model = fit_hmm(some, names, grp) if method == "hmm" else fit_mixture(some, names)
+    finally:
+        fit.unpersist()
     moved = np.expm1(model["mean"][:, 0]) + (np.expm1(model["mean"][:, 2]) if len(names) > 2 else 0)
     idle = int(moved.argmin())
-    keep = [c for c in rows.columns if c not in {*names, "_ok"}]
-
-    def log_density(k: int) -> Column:
-        out = F.lit(float(np.log(model["weight"][k]) - 0.5 * np.log(2 * np.pi * model["var"][k]).sum()))
-        for j, c in enumerate(names):
-            out = out - 0.5 * (F.col(c) - float(model["mean"][k, j])) ** 2 / float(model["var"][k, j])
-        return out
-
-    if method != "hmm":
-        gap = log_density(1 - idle) - log_density(idle)
-        scored = rows.withColumn(inactive_prob_col, F.when(F.col("_ok"), 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))))
-    else:
-        scored = rows.withColumn(inactive_prob_col, F.lit(None).cast("double"))
     extra = f"{state_col}_id" if method == "hmm" else f"{state_col}_component"
-    scored = scored.withColumns({state_col: F.lit(None).cast("string"), extra: F.lit(None).cast("int")})
+    found = {"method": method, "features": names, "inactive_component": idle + 1, **model}
+    density = lambda k: _log_density(names, model["mean"], model["var"], k)
+    if method != "hmm":
+        gap = density(1 - idle) - density(idle) + float(np.log(model["weight"][1 - idle]) - np.log(model["weight"][idle]))
+        rows = rows.withColumn(inactive_prob_col, F.when(F.col("_ok"), 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))))
     if method == "gmm":
         is_idle = F.col(inactive_prob_col) >= 0.5
-        out = scored.withColumns({state_col: F.when(is_idle, "inactive").when(~is_idle, "active"), extra: F.when(is_idle, idle + 1).when(~is_idle, 2 - idle)})
-        return ActivityStates(out.select(*keep, state_col, inactive_prob_col, extra), {"method": method, "features": names, "inactive_component": idle + 1, **model})
-    stay = np.log(model["trans"]) if method == "hmm" else np.log(np.array([[self_prob, 1 - self_prob], [1 - self_prob, self_prob]]))
-    start = np.log(model["start"]) if method == "hmm" else np.log([0.5, 0.5])
-
-    def decode(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(["datetime", order_col], kind="stable").reset_index(drop=True)
-        ok = track["_ok"].to_numpy(bool)
-        edges = np.flatnonzero(np.diff(ok.astype(int))) + 1
-        prob, label = np.full(len(track), np.nan), np.full(len(track), -1)
-        for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(track)]]), strict=True):
-            if not ok[a]:
-                continue
-            if method == "hmm":
-                log_e = _log_density(track[names].to_numpy(float)[a:b], model["mean"], model["var"])
-                path = _runs(viterbi(log_e, stay, start), min_run_n)
-                label[a:b] = path
-                prob[a:b] = forward_backward(log_e, stay, start)[0][:, idle]
-            else:
-                p = np.clip(track[inactive_prob_col].to_numpy(float)[a:b], 1e-12, 1 - 1e-12)
-                log_e = np.log(np.stack([p, 1 - p], 1))
-                path = viterbi(log_e, stay, start)
-                label[a:b] = np.where(path == 0, idle, 1 - idle)
-                prob[a:b] = forward_backward(log_e, stay, start)[0][:, 0]
-        track[inactive_prob_col] = prob
-        track[state_col] = np.where(label < 0, None, np.where(label == idle, "inactive", "active"))
-        track[extra] = pd.array(np.where(label < 0, 0, label + 1), dtype="Int32")
-        track.loc[label < 0, extra] = pd.NA
-        return track
-
-    out = scored.groupBy(*grp).applyInPandas(decode, scored.schema).withColumn(inactive_prob_col, F.when(is_finite(F.col(inactive_prob_col)), F.col(inactive_prob_col)))
-    return ActivityStates(out.select(*keep, state_col, inactive_prob_col, extra), {"method": method, "features": names, "inactive_component": idle + 1, **model})
+        out = rows.withColumns({state_col: F.when(is_idle, "inactive").when(~is_idle, "active"), extra: F.when(is_idle, idle + 1).when(~is_idle, 2 - idle)})
+        return ActivityStates(out.select(*keep, state_col, inactive_prob_col, extra), found)
+    if method == "hmm":
+        states, log_t, log_s = (0, 1), np.log(model["trans"]), np.log(model["start"])
+        emitted = rows.withColumns({f"_e{k}": density(k) for k in states})
+    else:  # state 0 is the inactive one
+        log_t, log_s = np.log(np.array([[self_prob, 1 - self_prob], [1 - self_prob, self_prob]])), np.log(np.array([0.5, 0.5]))
+        p = F.least(F.greatest(F.col(inactive_prob_col), F.lit(1e-12)), F.lit(1 - 1e-12))
+        emitted = _sequences(rows, grp, order_col).withColumns({"_e0": F.log(p), "_e1": F.log(1 - p)})
+    usable = emitted.filter("_ok").drop(*names, "_ok", inactive_prob_col)
+    done = _decoded(usable, grp, log_t, log_s)
+    if method == "hmm" and min_run_n > 1:
+        done = long_runs(done, grp, min_run_n)
+    at = idle if method == "hmm" else 0
+    is_idle, prob = F.col("_path") == at, F.col("_p0") if at == 0 else 1 - F.col("_p0")
+    label = (F.col("_path") + 1) if method == "hmm" else F.when(is_idle, idle + 1).otherwise(2 - idle)
+    done = done.select(*keep, F.when(is_idle, "inactive").otherwise("active").alias(state_col), prob.alias(inactive_prob_col), label.cast("int").alias(extra))
+    rest = emitted.filter("not _ok").select(*keep, F.lit(None).cast("string").alias(state_col), F.lit(None).cast("double").alias(inactive_prob_col), F.lit(None).cast("int").alias(extra))
+    return ActivityStates(done.unionByName(rest), found)

@@ -29,14 +29,24 @@ def _with_interval(df: DataFrame, groups: list[str], interval_mins: float | str)
         return df.join(F.broadcast(base_interval_mins(df, groups))).withColumn("_step", (F.greatest(F.rint(F.col("mins") * 60), F.lit(1.0)) * 1e6).cast("long")).drop("mins")
     if not float(interval_mins) > 0:
         raise ValueError("interval_mins must be positive")
-    return df.withColumn("_step", F.lit(max(1, round(float(interval_mins) * 60)) * 1_000_000))
+    return df.withColumn("_step", F.lit(max(1, round(float(interval_mins) * 60)) * 1_000_000).cast("long"))
+
+
+#: Grid steps of a block: blocks of a track are worked on apart, so that no task holds a whole track.
+BLOCK_STEPS = 4096
+
+
+def _block(t: Column) -> Column:
+    return F.floor(t / (F.col("_step") * BLOCK_STEPS))
 
 
 def _grid(df: DataFrame, groups: list[str]) -> DataFrame:
-    """``groups, _t``: the grid of each group, all with the phase of the Unix epoch."""
+    """``groups, _t``: the grid of each group, all with the phase of the Unix epoch, written out block by block."""
     span = df.groupBy(*groups).agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.first("_step").alias("_step"))
-    low, high = F.floor(F.col("lo") / F.col("_step")) * F.col("_step"), F.ceil(F.col("hi") / F.col("_step")) * F.col("_step")
-    return span.select(*groups, F.explode(F.sequence(low.cast("long"), high.cast("long"), F.col("_step"))).alias("_t"))
+    span = span.withColumns({"lo": (F.floor(F.col("lo") / F.col("_step")) * F.col("_step")).cast("long"), "hi": (F.ceil(F.col("hi") / F.col("_step")) * F.col("_step")).cast("long")})
+    blocks = span.withColumn("_block", F.explode(F.sequence(_block(F.col("lo")), _block(F.col("hi")))))
+    first, width = F.col("_block") * F.col("_step") * BLOCK_STEPS, F.col("_step") * BLOCK_STEPS
+    return blocks.select(*groups, "_step", F.explode(F.sequence(F.greatest("lo", first), F.least(F.col("hi"), first + width - F.col("_step")), F.col("_step"))).alias("_t"))
 
 
 def _filled(df: DataFrame, out: DataFrame, groups: list[str], skip: list[str]) -> DataFrame:
@@ -60,7 +70,7 @@ def gps_regularise(df: DataFrame, interval_mins: float | str = "base", tolerance
     w = Window.partitionBy(*grp, "_g").orderBy(F.abs("_off"), order_col)
     extra = [c for c in df.columns if c not in {*grp, "datetime", "lon", "lat", order_col}] if keep_extra else []
     best = near.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*grp, F.col("_g").alias("_t"), "lon", "lat", *extra, F.col("datetime").alias("observed_datetime"), (F.col("_off") / 1e6).alias("time_offset_s"))
-    out = _grid(fixes, grp).join(best, [*grp, "_t"], "left").withColumn("datetime", F.timestamp_micros("_t")).withColumn("is_observed", F.col("observed_datetime").isNotNull())
+    out = _grid(fixes, grp).drop("_step").join(best, [*grp, "_t"], "left").withColumn("datetime", F.timestamp_micros("_t")).withColumn("is_observed", F.col("observed_datetime").isNotNull())
     out = _filled(df, out, grp, ["datetime", "lon", "lat", order_col])
     return out.select(*grp, "datetime", "lon", "lat", *extra, "observed_datetime", "time_offset_s", "is_observed")
 
@@ -68,7 +78,9 @@ def gps_regularise(df: DataFrame, interval_mins: float | str = "base", tolerance
 def gps_interpolate(df: DataFrame, interval_mins: float | str = "base", groups: list[str] | None = None, keep_extra: bool = True, order_col: str = ORDER) -> DataFrame:
     """Linear interpolation at grid times between the fixes around them; never beyond the first or last fix.
 
-    Segments are always tracks of their own. Anchors are fixes with valid coordinates, the first of each time.
+    Segments are always tracks of their own. Anchors are fixes with valid coordinates, the first of each time. Grid and
+    anchors meet in blocks of a track's time; running windows find the anchors around a row inside its block, and a table
+    of blocks carries the nearest ones over from other blocks. Work is linear in rows, and no task holds a whole track.
     """
     if {"is_observed", "is_interpolated"} <= set(df.columns):
         raise ValueError("the table is on a grid already")
@@ -76,16 +88,24 @@ def gps_interpolate(df: DataFrame, interval_mins: float | str = "base", groups:
     grp = time_groups(df, groups)
     grp += [c for c in ["segment_id"] if c in df.columns and c not in grp]
     fixes = _with_interval(_known(df, grp), grp, interval_mins).withColumn("_t", F.unix_micros("datetime"))
-    w = Window.partitionBy(*grp, "_t").orderBy(order_col)
-    anchors = fixes.filter(valid_coordinate(F.col("lon"), F.col("lat"))).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     extra = [c for c in df.columns if c not in {*grp, "datetime", "lon", "lat", order_col}] if keep_extra else []
-    here = anchors.select(*grp, "_t", "lon", "lat", *extra, F.lit(True).alias("_anchor"), F.lit(False).alias("_grid"))
-    both = _grid(fixes, grp).withColumns({"_anchor": F.lit(False), "_grid": F.lit(True)}).unionByName(here, allowMissingColumns=True)
-    merged = both.groupBy(*grp, "_t").agg(*[F.max(c).alias(c) for c in ("lon", "lat", *extra, "_anchor", "_grid")])
-    before = Window.partitionBy(*grp).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*grp).orderBy("_t").rowsBetween(1, Window.unboundedFollowing)
+    held = ["lon", "lat", *extra]
+    anchors = fixes.filter(valid_coordinate(F.col("lon"), F.col("lat"))).select(*grp, "_t", "_step", F.struct(order_col, *held).alias("_fix"), F.lit(False).alias("_grid"))
+    both = _grid(fixes, grp).withColumn("_grid", F.lit(True)).unionByName(anchors, allowMissingColumns=True).withColumn("_block", _block(F.col("_t")))
+    both = both.repartition(*grp, "_block")  # the grouping and the windows below keep to it
+    merged = both.groupBy(*grp, "_block", "_t").agg(F.max("_grid").alias("_grid"), F.min_by("_fix", f"_fix.{order_col}").alias("_fix"))
+    merged = merged.select(*grp, "_block", "_t", "_grid", *[F.col(f"_fix.{c}").alias(c) for c in held], F.col("_fix").isNotNull().alias("_anchor"))
     a = F.when(F.col("_anchor"), F.struct("_t", "lon", "lat"))
-    out = merged.withColumns({"_p": F.last(a, True).over(before), "_n": F.first(a, True).over(after)}).filter("_grid")
+    edges = merged.groupBy(*grp, "_block").agg(F.min(a).alias("_first"), F.max(a).alias("_last"))
+    track = Window.partitionBy(*grp)
+    edges = edges.select(
+        *grp, "_block", F.last("_last", True).over(track.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", True).over(track.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    block = Window.partitionBy(*grp, "_block")
+    past, ahead = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_t"), F.desc("_t")))
+    out = merged.withColumns({"_p": F.last(a, True).over(past), "_n": F.last(a, True).over(ahead)}).filter("_grid").join(edges, [*grp, "_block"])
+    out = out.withColumns({"_p": F.coalesce("_p", "_before"), "_n": F.coalesce("_n", "_after")})
     can = ~F.col("_anchor") & F.col("_p").isNotNull() & F.col("_n").isNotNull()
     weight = (F.col("_t") - F.col("_p._t")) / (F.col("_n._t") - F.col("_p._t"))
     line = lambda c: F.when(F.col("_anchor"), F.col(c)).when(can, F.col(f"_p.{c}") + weight * (F.col(f"_n.{c}") - F.col(f"_p.{c}")))

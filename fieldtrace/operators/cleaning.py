@@ -6,16 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.functions import geo, stats
+from fieldtrace.functions import geo, splines, stats
 from fieldtrace.functions.epochs import _UNSET, resolve_epoch, with_epochs
 from fieldtrace.functions.shapes import Shape, distance, holds, polygon
+from fieldtrace.operators.layer_index import LayerTable, with_polygon
 from fieldtrace.operators.spatial import metric_crs as zone
 from fieldtrace.operators.spatial import project, project_point
-from fieldtrace.operators.tracks import ORDER, blank, prepare, require, time_groups, track_groups, with_order
+from fieldtrace.operators.tracks import ORDER, as_instant, blank, join_by, prepare, require, time_groups, track_groups, with_order
 
 #: States in which an animal doesn't move.
 INACTIVE = ("inactive", "rest", "resting", "idle", "stationary", "lying", "ruminating")
@@ -77,13 +78,13 @@ def gps_clean_errors(
         checks.append(("zero_zero", F.coalesce((lon == 0) & (lat == 0), F.lit(False))))
     outside, marked = F.lit(False), df
     if window_start is not None:
-        outside = outside | F.coalesce(F.col("datetime") < F.lit(window_start).cast("timestamp"), F.lit(False))
+        outside = outside | F.coalesce(F.col("datetime") < as_instant(F.lit(window_start), window_start), F.lit(False))
     if window_end is not None:
-        outside = outside | F.coalesce(F.col("datetime") > F.lit(window_end).cast("timestamp"), F.lit(False))
+        outside = outside | F.coalesce(F.col("datetime") > as_instant(F.lit(window_end), window_end), F.lit(False))
     if deployment_windows is not None:
         keys = deployment_groups or [c for c in ("deployment_id", "sensor_id") if c in df.columns and c in deployment_windows.columns]
         once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1, F.raise_error(F.lit("deployment windows repeat a key")).cast("boolean")).otherwise(F.lit(True))
-        bounds = deployment_windows.select(*keys, F.col("start_datetime").cast("timestamp").alias("_start"), F.col("end_datetime").cast("timestamp").alias("_end"), once.alias("_known"))
+        bounds = deployment_windows.select(*keys, *[as_instant(F.col(f"{c}_datetime"), deployment_windows.schema[f"{c}_datetime"].dataType).alias(f"_{c}") for c in ("start", "end")], once.alias("_known"))
         marked = marked.join(bounds, keys, "left")
         checks.append(("missing_deployment_window", F.col("_known").isNull()))
         outside = outside | F.coalesce((F.col("datetime") < F.col("_start")) | (F.col("datetime") > F.col("_end")), F.lit(False))
@@ -116,15 +117,18 @@ def gps_clean_speed_fixed(df: DataFrame, max_speed_mps: float = 4, groups: list[
 
 def speed_threshold(speeds: DataFrame, method: str = "mad", k: float = 4, prob: float = 0.995, min_threshold_mps: float = 4) -> DataFrame:
     """One row, ``threshold_mps``: a limit that the positive speeds themselves set."""
-    fast = speeds.select(F.col("speed_mps").alias("v")).filter("v > 0")
+    counts = stats.counted(speeds.filter("speed_mps > 0"), F.col("speed_mps"))
     if method == "quantile":
-        found = stats.quantiles(stats.counted(fast, F.col("v")), {"t": prob})
+        found = stats.quantiles(counts, {"t": prob})
     elif method == "mad":
-        upper = fast.join(F.broadcast(fast.agg(stats.quantile(F.col("v"), 0.75).alias("q"))), F.col("v") >= F.col("q")).select("v", F.log1p("v").alias("x"))
-        one = upper.agg(*[stats.quantile(F.col("x"), p).alias(a) for p, a in ((0.5, "c"), (0.25, "lo"), (0.75, "hi"))], stats.quantile(F.col("v"), 0.995).alias("top"))
-        spread = upper.join(F.broadcast(one)).withColumn("d", F.abs(F.col("x") - F.col("c"))).agg(stats.quantile(F.col("d"), 0.5).alias("d"), *[F.first(c).alias(c) for c in ("c", "lo", "hi", "top")])
+        # Every quantile, also of logs and of distances, comes from the same counts of distinct speeds.
+        upper = counts.join(F.broadcast(stats.quantiles(counts, {"q": 0.75}))).filter("v >= q").drop("q")
+        logs = upper.select(F.log1p("v").alias("v"), "n")
+        middle = stats.quantiles(logs, {"c": 0.5, "lo": 0.25, "hi": 0.75})
+        away = stats.quantiles(logs.join(F.broadcast(middle)).select(F.abs(F.col("v") - F.col("c")).alias("v"), "n"), {"d": 0.5})
+        one = middle.join(F.broadcast(away)).join(F.broadcast(stats.quantiles(upper, {"top": 0.995})))
         s = F.when(F.col("d") > 0, 1.4826 * F.col("d")).otherwise((F.col("hi") - F.col("lo")) / 1.349)
-        found = spread.select(F.when(s > 0, F.expm1(F.col("c") + k * s)).otherwise(F.col("top")).alias("t"))
+        found = one.select(F.when(s > 0, F.expm1(F.col("c") + k * s)).otherwise(F.col("top")).alias("t"))
     else:
         raise ValueError(f"unknown method {method!r}")
     return found.select(F.greatest(F.coalesce("t", F.lit(float(min_threshold_mps))), F.lit(float(min_threshold_mps))).alias("threshold_mps"))
@@ -142,8 +146,9 @@ def gps_clean_speed_stat(
     return _finish(marked, "speed_stat", action, flag_col, columns, threshold=F.col("threshold_mps"), method=method, k=k, prob=prob)
 
 
-#: A polygon layer is a list of (name, ring or Shape), a ring being (lon, lat) vertices: a small dimension, part of the plan.
-Polygons = list[tuple[str, list[tuple[float, float]] | Shape]]
+#: A polygon layer: a list of (name, ring or Shape), a ring being (lon, lat) vertices, which becomes part of the plan; or a
+#: table of any size, which is joined through cells.
+Polygons = list[tuple[str, list[tuple[float, float]] | Shape]] | LayerTable
 
 
 def first_polygon(lon: Column, lat: Column, polygons: Polygons, buffer_m: float = 0, crs: int = 3857) -> Column:
@@ -158,6 +163,14 @@ def first_polygon(lon: Column, lat: Column, polygons: Polygons, buffer_m: float
     return out if out is not None else F.lit(None).cast("string")
 
 
+def with_first_polygon(df: DataFrame, polygons: Polygons, buffer_m: float, crs: int) -> DataFrame:
+    """Add ``_hit`` (whether any polygon holds a fix) and ``_p`` (the name of the first)."""
+    if isinstance(polygons, LayerTable):
+        x, y = project(F.col("lon"), F.col("lat"), crs) if buffer_m > 0 else (F.col("lon"), F.col("lat"))
+        return with_polygon(df, x, y, polygons, crs if buffer_m > 0 else 4326, buffer_m).withColumns({"_hit": F.col("_no").isNotNull(), "_p": F.col("_name")}).drop("_no", "_name")
+    return df.withColumn("_p", first_polygon(F.col("lon"), F.col("lat"), polygons, buffer_m, crs)).withColumn("_hit", F.col("_p").isNotNull())
+
+
 def gps_append_paddock_names(
     df: DataFrame, polygons: Polygons, paddock_col: str = "assigned_paddock", buffer_m: float = 0, epoch=_UNSET, epoch_mins: float | None = None, groups: list[str] | None = None, min_prop: float = 0.7, min_fixes: int = 1,
     metric_crs: int | None = None,
@@ -174,7 +187,7 @@ def gps_append_paddock_names(
     ok = geo.valid_coordinate(F.col("lon"), F.col("lat")) & F.col("datetime").isNotNull()
     checked = df.withColumn("lon", F.when(ok, F.col("lon")).otherwise(F.raise_error(F.lit("invalid time or coordinate")).cast("double")))
     epochs = with_epochs(checked, level, mins).withColumnRenamed("epoch", "_epoch").drop("epoch_start", "epoch_end", "epoch_mins")
-    at = epochs.withColumn("_p", first_polygon(F.col("lon"), F.col("lat"), polygons, buffer_m, zone(df, metric_crs) if buffer_m > 0 else 3857))
+    at = with_first_polygon(epochs, polygons, buffer_m, zone(df, metric_crs) if buffer_m > 0 else 3857)
     counts = at.groupBy(*grp, "_epoch", "_p").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*grp, "_epoch")
     ranked = counts.withColumn("total", F.sum("n").over(w)).filter("_p is not null").withColumn("r", F.row_number().over(w.orderBy(F.col("n").desc(), "_p")))
@@ -188,43 +201,65 @@ def gps_append_paddock_names(
 def gps_clean_spatial(df: DataFrame, polygons: Polygons, buffer_m: float = 100, append_paddock: bool = True, paddock_col: str = "paddock", action: str = "drop", flag_col: str = "is_outside_boundary") -> Cleaned:
     """Fixes outside every buffered polygon; each fix is assigned by itself to the first that holds it."""
     df = prepare(df)
-    marked = df.withColumn("_hit", first_polygon(F.col("lon"), F.col("lat"), polygons, max(buffer_m, 1e-9))).withColumn(flag_col, F.col("_hit").isNull())
+    marked = with_first_polygon(df, polygons, max(buffer_m, 1e-9), 3857).withColumn(flag_col, ~F.col("_hit"))
     columns = df.columns
     if append_paddock:
-        marked = marked.withColumn(paddock_col, F.col("_hit"))
+        marked = marked.withColumn(paddock_col, F.col("_p"))
         columns = [c for c in df.columns if c != paddock_col] + [paddock_col]
     return _finish(marked, "spatial", action, flag_col, columns, buffer_m=buffer_m)
 
 
-def smooth(y: np.ndarray) -> np.ndarray:
-    """Cubic smoothing spline over equally spaced points, its penalty chosen by generalised cross-validation."""
-    n = len(y)
-    if n < 4 or np.ptp(y) == 0:
-        return y
-    # Discrete form: the penalty acts on second differences; cosines diagonalise it.
-    k = np.arange(n)
-    basis = np.cos(np.pi * np.outer(k + 0.5, k) / n) * np.sqrt(np.where(k == 0, 1, 2) / n) if n <= 512 else None
-    power = (2 - 2 * np.cos(np.pi * k / n)) ** 2
-    mean = y.mean()
-    if basis is not None:
-        c = basis.T @ (y - mean)
-    else:
-        f = np.fft.fft(np.concatenate([y - mean, (y - mean)[::-1]]))[:n]
-        c = np.real(f * np.exp(-1j * np.pi * k / (2 * n))) * np.sqrt(np.where(k == 0, 1, 2) / n) / 2
-    best = min((np.sum((c * (1 - g)) ** 2) / n / max(1 - g.sum() / n, 1e-9) ** 2, i) for i, lam in enumerate(np.logspace(-4, 6, 60)) for g in [1 / (1 + lam * power)])
-    g = 1 / (1 + np.logspace(-4, 6, 60)[best[1]] * power)
-    if basis is not None:
-        return mean + basis @ (g * c)
-    f = np.zeros(2 * n, complex)
-    f[:n] = g * c * np.exp(1j * np.pi * k / (2 * n)) / np.sqrt(np.where(k == 0, 1, 2) / n) * 2
-    f[n + 1 :] = np.conj(f[1:n][::-1])
-    return mean + np.real(np.fft.ifft(f))[:n]
+#: Points of a track that one smoothing block is for, and those of its neighbours that it looks at on each side: a point's
+#: weight falls by e with every 45 points or less for the largest penalty.
+BLOCK_POINTS, OVERLAP_POINTS = 4096, 1024
+
+
+def _splined(rows: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """``order_col, lon, lat``: cubic smoothing splines along the rows of each group, by ``_no``; one penalty a group and
+    coordinate, of least generalised cross-validation.
+
+    Points are dealt to overlapping blocks. Blocks first give residuals and leverages for every penalty, whose sums choose
+    one, and then the values of their own points. Under four finite points, and equal ones, stay as they are.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), geo.finite(F.col(c)).alias("y")) for c in ("lon", "lat")]))
+    points = rows.select(*keys, order_col, "_no", pairs.alias("_p")).filter("_p.y is not null").select(*keys, order_col, F.col("_no").cast("double").alias("x"), F.col("_p.c").alias("_c"), F.col("_p.y").alias("y"))
+    by = [*keys, "_c"]
+    points = points.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("x")) - 1)
+    home, at = F.floor(F.col("_r") / BLOCK_POINTS), F.col("_r") % BLOCK_POINTS
+    blocks = F.array_compact(F.array(home, F.when((at < OVERLAP_POINTS) & (home > 0), home - 1), F.when(at >= BLOCK_POINTS - OVERLAP_POINTS, home + 1)))
+    points = points.withColumns({"_home": home, "_block": F.explode(blocks)}).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home", "_r")
+
+    def known(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        table = table.sort_by("x")
+        return table.column("x").to_numpy(), table.column("y").to_numpy(), table.column("_own").to_numpy(zero_copy_only=False), table
+
+    def tried(table: pa.Table) -> pa.Table:
+        x, y, own, table = known(table)
+        n = len(splines.PENALTIES) if own.any() and len(x) > 3 else 0
+        rss, leverage = splines.scores(x, y - y.mean(), own) if n else (np.empty(0),) * 2
+        lows = pa.array([y.min()] * n, pa.float64()), pa.array([y.max()] * n, pa.float64())
+        return pa.table({**{c: pa.chunked_array([pa.repeat(table.column(c)[0], n)]) for c in by}, "_k": pa.array(np.arange(n, dtype=np.int32)), "_rss": pa.array(rss), "_lev": pa.array(leverage), "_n": pa.array([int(own.sum())] * n, pa.int64()), "_lo": lows[0], "_hi": lows[1]})
+
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
+    sums = points.groupBy(*by, "_block").applyInArrow(tried, f"{kinds}, _k int, _rss double, _lev double, _n long, _lo double, _hi double").groupBy(*by, "_k").agg(*[F.sum(c).alias(c) for c in ("_rss", "_lev", "_n")], F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    loose = F.greatest(1 - F.col("_lev") / F.col("_n"), F.lit(1e-9))
+    best = sums.filter("_hi > _lo").groupBy(*by).agg(F.min_by("_k", F.struct(F.col("_rss") / F.col("_n") / loose / loose, "_k")).alias("_k"))
+
+    def fitted(table: pa.Table) -> pa.Table:
+        x, y, own, table = known(table)
+        value = y.mean() + splines.fit(x, y - y.mean(), splines.PENALTIES[table.column("_k")[0].as_py()]) if own.any() and len(x) > 3 else y
+        return pa.table({order_col: table.column(order_col).filter(pa.array(own)), "_c": table.column("_c").filter(pa.array(own)), "_v": pa.array(value[own])})
+
+    values = join_by(points, best, by).groupBy(*by, "_block").applyInArrow(fitted, f"`{order_col}` {points.schema[order_col].dataType.simpleString()}, _c string, _v double")
+    return values.groupBy(order_col).agg(*[F.max(F.when(F.col("_c") == c, F.col("_v"))).alias(f"_{c}") for c in ("lon", "lat")])
 
 
 def gps_denoise(df: DataFrame, method: str = "statistical", state_col: str | None = None, inactive_states: tuple[str, ...] = INACTIVE, groups: list[str] | None = None, keep_raw_coords: bool = True, order_col: str = ORDER) -> Cleaned:
     """Smooth coordinates along each track: a spline, or with states the median of each inactive run and a spline elsewhere.
 
-    Rows of a null group and tracks with under four finite points stay as they are. A track is one Arrow group.
+    The spline is the cubic smoothing spline over the rows' places in their track (or active run). Rows of a null group,
+    and tracks with under four finite points, stay as they are; so does an inactive run without a finite median of both
+    coordinates. Tracks are worked on in blocks.
     """
     df = with_order(prepare(df), order_col)
     grp = track_groups(df, groups)
@@ -232,31 +267,24 @@ def gps_denoise(df: DataFrame, method: str = "statistical", state_col: str | Non
     known = F.lit(True)
     for c in grp:
         known = known & F.col(c).isNotNull()
+    w = Window.partitionBy(*grp).orderBy("datetime", order_col)
     if method == "state_aware":
         require(df, state_col or "activity_state")
         state = F.lower(F.trim(F.col(state_col or "activity_state").cast("string")))
-        idle = F.coalesce(state.isin(*inactive_states), F.lit(False))
-        w = Window.partitionBy(*grp).orderBy("datetime", order_col)
-        raw = raw.withColumn("_idle", idle)
+        idle = F.coalesce(state.isin(*inactive_states), F.lit(False)) & known
+        raw = raw.withColumn("_idle", idle).withColumn("_no", F.row_number().over(w))
         raw = raw.withColumn("_change", F.coalesce((F.col("_idle") != F.lag("_idle").over(w)).cast("int"), F.lit(1)))
         raw = raw.withColumn("_run", F.sum("_change").over(w)).drop("_change")
-        run = Window.partitionBy(*grp, "_run")
-        raw = raw.withColumns({c: F.when(F.col("_idle"), F.median(c).over(run)).otherwise(F.col(c)) for c in ("lon", "lat")})
+        rest = raw.filter("_idle").groupBy(*grp, "_run").agg(*[F.median(geo.finite(F.col(c))).alias(f"_mid_{c}") for c in ("lon", "lat")])
+        raw = join_by(raw, rest, [*grp, "_run"], "left")
+        both = F.col("_mid_lon").isNotNull() & F.col("_mid_lat").isNotNull()
+        raw = raw.withColumns({c: F.when(both, F.col(f"_mid_{c}")).otherwise(F.col(c)) for c in ("lon", "lat")}).drop("_mid_lon", "_mid_lat")
     elif method == "statistical":
-        raw = raw.withColumns({"_idle": F.lit(False), "_run": F.lit(0).cast("long")})
+        raw = raw.withColumns({"_idle": F.lit(False), "_run": F.lit(0).cast("long"), "_no": F.row_number().over(w)})
     else:
         raise ValueError(f"unknown method {method!r}")
-
-    def spline(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(["datetime", order_col], kind="stable")
-        for _, part in track[~track["_idle"]].groupby("_run"):
-            for c in ("lon", "lat"):
-                ok = np.isfinite(part[c].to_numpy(float))
-                if ok.sum() >= 4:
-                    track.loc[part.index[ok], c] = smooth(part[c].to_numpy(float)[ok])
-        return track
-
-    done = raw.filter(known).groupBy(*grp).applyInPandas(spline, raw.schema).unionByName(raw.filter(~known))
+    smooth = _splined(raw.filter(known & ~F.col("_idle")), [*grp, "_run"], order_col)
+    done = raw.join(smooth, order_col, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("lon", "lat")}).select(*raw.columns).drop("_no")
     out = done.drop("_idle", "_run") if keep_raw_coords else done.drop("_idle", "_run", "lon_raw", "lat_raw")
     none = out.limit(0)
     return Cleaned(out, none, none, _audit(df, "denoise", "adjust", F.lit(False), notes=method).withColumn("action", F.lit("adjust")), {"method": method})

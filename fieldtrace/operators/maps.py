@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import stats
+from fieldtrace.functions.epochs import utc_text
 from fieldtrace.functions.geo import valid_coordinate
+from fieldtrace.functions.shapes import shape_fault
 from fieldtrace.operators.alignment import gps_interpolate
+from fieldtrace.operators.layer_index import LayerTable
 from fieldtrace.operators.tracks import ORDER, blank, prepare, with_order
 
 #: Colours of states.
@@ -68,12 +73,13 @@ def gps_map(
 
 def gps_playback(
     df: DataFrame, groups: list[str] | None = None, state_col: str | None = None, state_colors: dict[str, str] | None = None, align: bool = True, align_interval_mins: float | str = "base", tail_points: int = 19, tail_minutes: float | None = None, popup_fields: tuple[str, ...] = ("sensor_id", "datetime"),
-    max_groups: int | None = None, max_rows: int | None = None, render_every_n: int = 1, seed: int = 1, order_col: str = ORDER,
+    max_groups: int | None = None, max_rows: int | None = None, render_every_n: int = 1, seed: int = 1, smooth_movement: bool = True, order_col: str = ORDER,
 ) -> tuple[DataFrame, DataFrame]:
     """Points with the time they show, and tail lines between consecutive points with the time they last.
 
-    A point shows until the next one of its group, and at least for the median step; a line from the arrival at its
-    end for ``tail_minutes``, or for ``tail_points`` median steps.
+    A point shows until the next one of its group, and at least for the median step; a line until ``tail_minutes``, or
+    ``tail_points`` median steps, after the arrival at its end, from that arrival on or, with ``smooth_movement``, from the
+    departure at its start on. Points carry where the next one is, lines when their movement starts and ends.
     """
     df = with_order(prepare(df), order_col)
     grp = map_groups(df, groups)
@@ -89,17 +95,84 @@ def gps_playback(
     step = F.broadcast(stats.quantiles(stats.counted(pts.filter("_gap > 0"), F.col("_gap").cast("double")), {"g": 0.5}).select(F.coalesce("g", F.lit(60e6)).cast("long").alias("_step")))
     pts = pts.join(step)
     start = F.unix_micros("datetime")
-    points = pts.select("map_group", "seq", "lon", "lat", F.col("datetime").alias("start_time"), F.timestamp_micros(F.greatest(F.coalesce(F.unix_micros("_t"), start), start + F.col("_step"))).alias("end_time"), state_color(state_col, state_colors).alias("color"), popup([c for c in popup_fields if c in pts.columns]).alias("popup"))
+    points = pts.select("map_group", "seq", "lon", "lat", F.col("datetime").alias("start_time"), F.timestamp_micros(F.greatest(F.coalesce(F.unix_micros("_t"), start), start + F.col("_step"))).alias("end_time"), state_color(state_col, state_colors).alias("color"), popup([c for c in popup_fields if c in pts.columns]).alias("popup"), F.col("_lon").alias("next_lon"), F.col("_lat").alias("next_lat"))
     tail = F.lit(int(tail_minutes * 60e6)) if tail_minutes is not None else F.col("_step") * tail_points
-    tails = pts.filter("_t is not null").select("map_group", "seq", F.array(F.array("lon", "lat"), F.array("_lon", "_lat")).alias("line"), F.col("_t").alias("start_time"), F.timestamp_micros(F.unix_micros("_t") + tail.cast("long")).alias("end_time"))
+    tails = pts.filter("_t is not null").select("map_group", "seq", F.array(F.array("lon", "lat"), F.array("_lon", "_lat")).alias("line"), F.col("datetime" if smooth_movement else "_t").alias("start_time"), F.timestamp_micros(F.unix_micros("_t") + tail.cast("long")).alias("end_time"), state_color(state_col, state_colors).alias("color"), F.col("datetime").alias("movement_start"), F.col("_t").alias("movement_end"))
     return points, tails
 
 
-def features(df: DataFrame, kind: str = "Point") -> DataFrame:
-    """One GeoJSON feature per row, as text."""
+def map_size(points: DataFrame, point_warning_n: int = 5000, group_warning_n: int = 20) -> DataFrame:
+    """One row: how many points and groups a map has, and whether either is more than a browser shows well."""
+    n = points.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("map_group").alias("n_groups"))
+    return n.withColumns({"many_points": F.col("n_points") > point_warning_n, "many_groups": F.col("n_groups") > group_warning_n})
+
+
+def timeline_points(points: DataFrame) -> DataFrame:
+    """Points of ``gps_map`` with the time they appear at, in milliseconds since the Unix epoch and as text, by time."""
+    ms = F.floor(F.unix_micros("datetime") / 1000)
+    return points.withColumns({"time_ms": ms, "time": F.concat(F.replace(utc_text(F.unix_micros("datetime")), F.lit(" "), F.lit("T")), F.lit("Z")), "layer_id": F.concat_ws("-", "map_group", F.col("seq").cast("string"))})
+
+
+def map_polygons(
+    layer: LayerTable, label: bool = True, polygon_group: str = "Polygons", color: str = "#03F", weight: float = 5, opacity: float = 0.5, fill: bool = True, fill_opacity: float = 0.2,
+) -> DataFrame:
+    """Polygons of a map: ``map_group, layer_no, label, geometry`` (GeoJSON in degrees) and their style.
+
+    Reading the table fails where a geometry is no polygon, empty or invalid: a ring with under three different vertices,
+    without area or crossing itself, a hole outside its polygon.
+    """
+    if not polygon_group.strip() or not color.strip():
+        raise ValueError("polygon_group and color must not be blank")
+    if weight < 0 or not 0 <= opacity <= 1 or not 0 <= fill_opacity <= 1:
+        raise ValueError("weight must not be negative, opacities between 0 and 1")
+    read = layer.shapes(4326)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for no, name, _, shape in read(batches):
+            if fault := shape_fault(shape):
+                raise ValueError(f"feature {no} of the layer is {fault}")
+            closed = [[[*map(list, ring), list(ring[0])] if ring[0] != ring[-1] else list(map(list, ring)) for ring in part] for part in shape.parts]
+            geometry = {"type": "MultiPolygon", "coordinates": closed} if len(closed) > 1 else {"type": "Polygon", "coordinates": closed[0]}
+            yield pa.RecordBatch.from_pydict({"layer_no": pa.array([no], pa.int64()), "label": pa.array([name], pa.string()), "geometry": [json.dumps(geometry)]})
+
+    out = layer.df.mapInArrow(checked, "layer_no long, label string, geometry string")
+    style = {"color": F.lit(color), "weight": F.lit(float(weight)), "opacity": F.lit(float(opacity)), "fill": F.lit(fill), "fill_opacity": F.lit(float(fill_opacity))}
+    return out.select(F.lit(polygon_group).alias("map_group"), "layer_no", (F.col("label") if label else F.lit(None).cast("string")).alias("label"), "geometry", *[c.alias(n) for n, c in style.items()])
+
+
+def polygon_features(polygons: DataFrame) -> DataFrame:
+    """One GeoJSON feature per polygon, as text."""
+    own = F.to_json(F.struct(*[c for c in polygons.columns if c != "geometry"]))
+    return polygons.select("map_group", F.concat(F.lit('{"type":"Feature","geometry":'), F.col("geometry"), F.lit(',"properties":'), own, F.lit("}")).alias("value"))
+
+
+def write_collections(grouped: DataFrame, path: str) -> None:
+    """One GeoJSON FeatureCollection a group, in folders ``map_group=...`` under ``path``: rows are ``map_group, value``.
+
+    A collection's lines are written one after another by one task, in the order of ``order`` where the table has it; no
+    group is held in memory.
+    """
+    order = [c for c in ("order",) if c in grouped.columns]
+    first = F.row_number().over(Window.partitionBy("map_group").orderBy(*(order or ["value"]))) == 1
+    lines = grouped.withColumn("_line", F.when(first, F.col("value")).otherwise(F.concat(F.lit(","), "value")))
+    lines = lines.select("map_group", F.lit(1).alias("_part"), F.col("_line").alias("value"), F.when(first, 0).otherwise(1).alias("_head"), *order)
+    frame = grouped.select("map_group").distinct().withColumn("_e", F.explode(F.array(F.struct(F.lit(0).alias("_part"), F.lit('{"type":"FeatureCollection","features":[').alias("value")), F.struct(F.lit(2).alias("_part"), F.lit("]}").alias("value")))))
+    rows = lines.unionByName(frame.select("map_group", "_e.*"), allowMissingColumns=True).repartition("map_group").sortWithinPartitions("map_group", "_part", "_head", *order)
+    rows.select("map_group", "value").write.mode("overwrite").partitionBy("map_group").text(path)
+
+
+def write_playback(points: DataFrame, tails: DataFrame, path: str) -> None:
+    """The lines and points of ``gps_playback``, a collection for each group: first its lines, then its points, in time."""
+    ms = lambda df: df.withColumns({c: F.floor(F.unix_micros(c) / 1000) for c in df.columns if c.endswith("_time") or c.startswith("movement_")})
+    tagged = lambda df, kind, k: features(ms(df), kind, ("map_group", "seq")).select("map_group", F.struct(F.lit(k).alias("kind"), "seq").alias("order"), "value")
+    write_collections(tagged(tails, "LineString", 0).unionByName(tagged(points, "Point", 1)), path)
+
+
+def features(df: DataFrame, kind: str = "Point", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON feature per row, as text, beside the columns to ``keep``."""
     where = F.array("lon", "lat") if kind == "Point" else F.col("line")
     own = [c for c in df.columns if c not in ("lon", "lat", "line")]
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), where.alias("coordinates")).alias("geometry"), F.struct(*own).alias("properties"))).alias("value"))
+    return df.select(*keep, F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), where.alias("coordinates")).alias("geometry"), F.struct(*own).alias("properties"))).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, kind: str = "Point") -> None:

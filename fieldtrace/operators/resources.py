@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, with_epochs
 from fieldtrace.functions.shapes import Shape, distance
+from fieldtrace.operators.layer_index import LayerTable, with_nearest
 from fieldtrace.operators.spatial import checked, metric_crs, project, project_point
 from fieldtrace.operators.tracks import ORDER, numbered, summary_groups, with_order
 
@@ -37,9 +38,16 @@ def _distances(df: DataFrame, resources: list[Resource], crs: int) -> Column:
     return F.array(*found)
 
 
-def gps_resource_distance(df: DataFrame, resources: list[Resource], metric_crs: int | None = None) -> DataFrame:
-    """The nearest resource of each fix and its distance in metres, 0 inside an area; ties go to the first."""
+def gps_resource_distance(df: DataFrame, resources: list[Resource] | LayerTable, metric_crs: int | None = None) -> DataFrame:
+    """The nearest resource of each fix and its distance in metres, 0 inside an area; ties go to the first.
+
+    A list becomes part of the plan; a table of resources, of any size, is searched through rings of cells.
+    """
     df = checked(df)
+    if isinstance(resources, LayerTable):
+        crs = _crs(df, metric_crs)
+        near = with_nearest(df, *project(F.col("lon"), F.col("lat"), crs), resources, crs)
+        return near.withColumns({"nearest_resource_id": F.col("_name"), "resource_distance_m": F.col("_d"), "nearest_resource_type": F.col("_kind"), "metric_crs": F.lit(f"EPSG:{crs}")}).drop("_no", "_name", "_kind", "_d")
     if not resources:
         return df.withColumns({"nearest_resource_id": F.lit(None).cast("string"), "resource_distance_m": F.lit(None).cast("double"), "nearest_resource_type": F.lit(None).cast("string"), "metric_crs": F.lit(None).cast("string")})
     crs = _crs(df, metric_crs)
@@ -67,7 +75,7 @@ def gps_resource_use(df: DataFrame, resources: list[Resource], radius_m: float =
 
 
 def gps_resource_visits(
-    df: DataFrame, resources: list[Resource], radius_m: float = 25, max_gap_mins: float = 30, min_fixes: int = 1, min_duration_mins: float = 0, groups: list[str] | None = None, metric_crs: int | None = None, order_col: str = ORDER,
+    df: DataFrame, resources: list[Resource] | LayerTable, radius_m: float = 25, max_gap_mins: float = 30, min_fixes: int = 1, min_duration_mins: float = 0, groups: list[str] | None = None, metric_crs: int | None = None, order_col: str = ORDER,
 ) -> DataFrame:
     """Bouts near the nearest resource: one begins where the last fix was not near, near another, or too long ago.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import geo
 from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, with_epochs
-from fieldtrace.operators.tracks import prepare, summary_groups
+from fieldtrace.operators.tracks import join_by, prepare, summary_groups
 
 
 #: The most points of a group that meet in one part of its hull.
@@ -142,62 +141,70 @@ def gps_mcp(df: DataFrame, percent: tuple[float, ...] = (100, 95), epoch=_UNSET,
     return out.withColumn("geometry", F.transform("ring", lambda p: F.array(lon(p), lat(p)))).drop("ring")
 
 
-def density(x: np.ndarray, y: np.ndarray, bandwidth_m: tuple[float, float] | None, cell_size_m: float | None, max_cells: int) -> pd.DataFrame:
-    """Product Gaussian kernel density on a grid three bandwidths wide of the points, and its cells by rank."""
+def _grids(pts: DataFrame, by: list[str], band: tuple[float, float] | None, cell_size_m: float | None, max_cells: int) -> DataFrame:
+    """By group: bandwidths ``_bx, _by``, the cell size ``_c``, the first centres ``_gx, _gy`` and how many ``_nx, _ny``.
 
-    def rule(v: np.ndarray) -> float:
-        q75, q25 = np.percentile(v, [75, 25])
-        sd = v.std(ddof=1) if len(v) > 1 else 0.0
-        low = min(sd, (q75 - q25) / 1.34) or sd or abs(v[0]) or 1.0
-        return max(0.9 * low * len(v) ** -0.2, 1.0)
-
-    bx, by = bandwidth_m or (rule(x), rule(y))
-    cell = cell_size_m or max(1.0, min(bx, by) / 2)
-
-    def axes(c: float) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.arange(int(np.floor((v.max() - v.min() + 6 * b) / c + 1e-9)) + 1) * c + v.min() - 3 * b for v, b in ((x, bx), (y, by)))
-
-    gx, gy = axes(cell)
-    if len(gx) * len(gy) > max_cells:
-        cell *= np.sqrt(len(gx) * len(gy) / max_cells)
-        gx, gy = axes(cell)
-    z = np.zeros((len(gx), len(gy)))
-    for k in range(0, len(x), 4096):
-        ex = np.exp(-0.5 * ((gx[:, None] - x[None, k : k + 4096]) / bx) ** 2) / (bx * np.sqrt(2 * np.pi))
-        ey = np.exp(-0.5 * ((gy[:, None] - y[None, k : k + 4096]) / by) ** 2) / (by * np.sqrt(2 * np.pi))
+    The bandwidth of an axis is the usual rule of thumb, at least a metre; a grid reaches three bandwidths beyond the
+    points, and its cells grow until there are about ``max_cells`` at most.
+    """
+    moments = [f(F.col(f"_{v}")).alias(f"{a}_{v}") for v in "xy" for a, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_samp))]
+    quarters = [F.percentile(f"_{v}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{v}") for v in "xy"]
+    g = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_fixes"), *moments, *quarters)
+    sd = lambda v: F.coalesce(geo.finite(F.col(f"sd_{v}")), F.lit(0.0))
+    low = lambda v: F.coalesce(F.nullif(F.least(sd(v), (F.col(f"q_{v}")[1] - F.col(f"q_{v}")[0]) / 1.34), F.lit(0.0)), F.nullif(sd(v), F.lit(0.0)), F.nullif(F.abs(f"lo_{v}"), F.lit(0.0)), F.lit(1.0))
+    rule = lambda v: F.greatest(0.9 * low(v) * F.pow(F.col("n_fixes").cast("double"), F.lit(-0.2)), F.lit(1.0))
+    g = g.withColumns({f"_b{v}": F.lit(float(band[k])) if band else rule(v) for k, v in enumerate("xy")})
+    g = g.withColumn("_c", F.lit(float(cell_size_m)) if cell_size_m else F.greatest(F.lit(1.0), F.least("_bx", "_by") / 2))
+    size = lambda v: F.floor((F.col(f"hi_{v}") - F.col(f"lo_{v}") + 6 * F.col(f"_b{v}")) / F.col("_c") + 1e-9) + 1
+    g = g.withColumn("_c", F.when(size("x") * size("y") > max_cells, F.col("_c") * F.sqrt(size("x") * size("y") / F.lit(max_cells))).otherwise(F.col("_c")))
+    return g.select(*by, "n_fixes", "_bx", "_by", "_c", *[(F.col(f"lo_{v}") - 3 * F.col(f"_b{v}")).alias(f"_g{v}") for v in "xy"], *[size(v).cast("int").alias(f"_n{v}") for v in "xy"])
+
+
+def _kernel_sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a grid and the sums of the product Gaussian kernel over the points of a part."""
+    one = {c: table.column(c)[0].as_py() for c in ("_bx", "_by", "_c", "_gx", "_gy", "_nx", "_ny")}
+    z = np.zeros((one["_nx"], one["_ny"]))
+    for k in range(0, table.num_rows, 4096):
+        away = [np.arange(one[f"_n{v}"])[:, None] * one["_c"] + one[f"_g{v}"] - table.column(f"_{v}").slice(k, 4096).to_numpy()[None] for v in "xy"]
+        ex, ey = (np.exp(-0.5 * (d / one[f"_b{v}"]) ** 2) / (one[f"_b{v}"] * np.sqrt(2 * np.pi)) for v, d in zip("xy", away, strict=True))
         z += ex @ ey.T
-    z /= len(x)
-    out = pd.DataFrame({"cell_centre_x": np.repeat(gx, len(gy)), "cell_centre_y": np.tile(gy, len(gx)), "kde_density": z.reshape(-1)})
-    total = out["kde_density"].sum()
-    if not total > 0:
-        return out.head(0)
-    out["cell_probability"] = out["kde_density"] / total
-    out = out.sort_values(["kde_density", "cell_centre_x", "cell_centre_y"], ascending=[False, True, True], kind="stable")
-    out["density_rank"] = np.arange(1, len(out) + 1)
-    out["cumulative_probability"] = out["cell_probability"].cumsum()
-    return out.assign(bandwidth_x_m=bx, bandwidth_y_m=by, cell_size_m=cell)
+    return np.repeat(np.arange(one["_nx"]), one["_ny"]), np.tile(np.arange(one["_ny"]), one["_nx"]), z.reshape(-1)
 
 
 def gps_kde(
     df: DataFrame, bandwidth_m: float | tuple[float, float] | None = None, cell_size_m: float | None = None, percent: tuple[float, ...] = (95, 50), keep_all: bool = False, max_cells: int = 10000, epoch=_UNSET, epoch_mins: float | None = None,
     groups: list[str] | None = None, min_fixes: int = 5, metric_crs: int | None = None, return_geometry: bool = False,
 ) -> DataFrame:
-    """Kernel density cells by group and epoch, with flags for the cells that make up each percentage of use."""
+    """Kernel density cells by group and epoch, with flags for the cells that make up each percentage of use.
+
+    The density is exact. A part of at most PART_POINTS of a group's points gives one sum a cell, and sums of parts add up:
+    no task holds a whole group.
+    """
     level, mins = resolve_epoch(epoch, epoch_mins)
     pts, by, crs = _points(df, level, mins, groups, metric_crs)
     band = (float(bandwidth_m),) * 2 if isinstance(bandwidth_m, (int, float)) else bandwidth_m
-    columns = ["cell_centre_x", "cell_centre_y", "kde_density", "cell_probability", "cumulative_probability", "bandwidth_x_m", "bandwidth_y_m", "cell_size_m"]
-
-    def cells(g: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "n_fixes", "density_rank", *columns]
-        if len(g) < min_fixes:
-            return pd.DataFrame(columns=names)
-        found = density(g["_x"].to_numpy(), g["_y"].to_numpy(), band, cell_size_m, max_cells)
-        for c in by:
-            found[c] = g[c].iloc[0]
-        return found.assign(n_fixes=len(g))[names]
-
-    out = pts.select(*by, "_x", "_y").groupBy(*by).applyInPandas(cells, _schema(pts, by) + ", n_fixes long, density_rank long, " + ", ".join(f"{c} double" for c in columns))
+    grids = _grids(pts, by, band, cell_size_m, max_cells).filter(F.col("n_fixes") >= min_fixes)
+    own = [f"_k{i}" for i in range(len(by))]
+    part = F.pmod(F.xxhash64("_x", "_y", "datetime"), F.ceil(F.col("n_fixes") / PART_POINTS))
+    rows = join_by(pts.select(*by, "_x", "_y", "datetime"), grids, by).withColumn("_part", part).drop("datetime")
+
+    def sums(table: pa.Table) -> pa.Table:
+        ix, iy, z = _kernel_sums(table)
+        same = {k: pa.chunked_array([pa.repeat(table.column(c)[0], len(z))]) for k, c in zip(own, by, strict=True)}
+        return pa.table({**same, "_ix": pa.array(ix.astype(np.int32)), "_iy": pa.array(iy.astype(np.int32)), "_z": pa.array(z)})
+
+    kinds = ", ".join(f"{k} {pts.schema[c].dataType.simpleString()}" for k, c in zip(own, by, strict=True))
+    cells = rows.groupBy(*by, "_part").applyInArrow(sums, f"{kinds}, _ix int, _iy int, _z double").groupBy(*own, "_ix", "_iy").agg(F.sum("_z").alias("_z"))
+    cells = cells.select(*[F.col(k).alias(c) for k, c in zip(own, by, strict=True)], "_ix", "_iy", "_z")
+    out = join_by(cells, grids, by).select(
+        *by, "n_fixes", (F.col("_ix") * F.col("_c") + F.col("_gx")).alias("cell_centre_x"), (F.col("_iy") * F.col("_c") + F.col("_gy")).alias("cell_centre_y"), (F.col("_z") / F.col("n_fixes")).alias("kde_density"),
+        F.col("_bx").alias("bandwidth_x_m"), F.col("_by").alias("bandwidth_y_m"), F.col("_c").alias("cell_size_m"),
+    )
+    group = Window.partitionBy(*by)  # the cells of one grid
+    ranked = group.orderBy(F.desc("kde_density"), "cell_centre_x", "cell_centre_y")
+    out = out.withColumn("_total", F.sum("kde_density").over(group)).filter("_total > 0").withColumn("cell_probability", F.col("kde_density") / F.col("_total"))
+    out = out.withColumns({"density_rank": F.row_number().over(ranked).cast("long"), "cumulative_probability": F.sum("cell_probability").over(ranked.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.select(*by, "n_fixes", "density_rank", "cell_centre_x", "cell_centre_y", "kde_density", "cell_probability", "cumulative_probability", "bandwidth_x_m", "bandwidth_y_m", "cell_size_m")
     before = F.col("cumulative_probability") - F.col("cell_probability")
     out = out.withColumns({f"in_kde{p:g}": before < p / 100 for p in percent})
     if not keep_all:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch
+from fieldtrace.functions.epochs import _UNSET, EPOCH_COLUMNS, resolve_epoch, utc_date
 from fieldtrace.operators.movement import gps_movement_summary
 from fieldtrace.operators.social import THRESHOLDS, gps_social, gps_social_summary, social_metrics
 from fieldtrace.operators.spatial import gps_spatial
@@ -19,18 +19,28 @@ BLOCKS = ("movement", "social", "spatial", "resource_use")
 
 
 def merge_metric_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """Full outer merge on the key columns that all tables have; a later table's clashing columns get its name in front."""
+    """Full outer merge on the key columns that all tables have; a later table's clashing columns get its name in front.
+
+    The tables are stacked and grouped by key once, however many they are; nulls in keys are equal. Where a table has
+    several rows of a key, each meets each row of the others.
+    """
     keys = [k for k in KEYS if all(k in t.columns for t in tables.values())]
     if not keys:
         raise ValueError("the tables share no key column")
-    (_, out), *rest = tables.items()
-    for name, t in rest:
-        clash = {c: f"{name}_{c}" for c in t.columns if c in out.columns and c not in keys}
-        t = t.withColumnsRenamed(clash)
-        same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-        left, right = [c for c in out.columns if c not in keys], [c for c in t.columns if c not in keys]
-        out = out.alias("l").join(t.alias("r"), same, "full_outer").select(*[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], *[f"l.{c}" for c in left], *[f"r.{c}" for c in right])
-    return out
+    if len(tables) == 1:
+        (only,) = tables.values()
+        return only.select(*keys, *[c for c in only.columns if c not in keys])
+    taken, parts, columns = set(keys), [], []
+    for k, (name, t) in enumerate(tables.items()):
+        own = {c: f"{name}_{c}" if k and c in taken else c for c in t.columns if c not in keys}
+        taken |= set(own.values())
+        columns.append(list(own.values()))
+        parts.append(t.select(*keys, F.struct(*[F.col(c).alias(n) for c, n in own.items()], F.lit(True).alias("_here")).alias(f"_b{k}")))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = stacked.groupBy(*keys).agg(*[F.collect_list(f"_b{k}").alias(f"_b{k}") for k in range(len(parts))])
+    for k in range(len(parts)):
+        out = out.withColumn(f"_b{k}", F.explode_outer(f"_b{k}"))
+    return out.select(*keys, *[F.col(f"_b{k}")[c].alias(c) for k, own in enumerate(columns) for c in own])
 
 
 def resource_roll_up(use: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -103,4 +113,4 @@ def gps_group_summary(df: DataFrame, epoch=_UNSET, epoch_mins: float | None = No
 def gps_diurnal(df: DataFrame, include: list[str] | None = None, groups: list[str] | None = None, **options) -> DataFrame:
     """Hourly animal summaries with ``date`` and ``hour``."""
     out = gps_animal_summary(df, "hour", None, include, groups, **options)
-    return out.withColumns({"date": F.to_date("epoch_start"), "hour": F.hour("epoch_start")})
+    return out.withColumns({"date": utc_date(F.unix_micros("epoch_start")), "hour": F.pmod(F.floor(F.unix_micros("epoch_start") / 3_600_000_000), F.lit(24)).cast("int")})

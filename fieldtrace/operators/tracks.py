@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldtrace.functions.epochs import instant
 from fieldtrace.functions.geo import is_finite
 
 REQUIRED = ("sensor_id", "datetime", "lon", "lat")
@@ -28,16 +29,22 @@ def require(df: DataFrame, *columns: str) -> None:
 
 
 def parse_datetime(x: Column) -> Column:
-    """A timestamp from text, by the first form that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(x), F.lit(f)) for f in DATETIME_FORMATS])
+    """A timestamp from text, by the first form that fits; null if none does. Text without an offset is UTC."""
+    zoned = lambda f: (F.trim(x), f) if f.endswith("X") else (F.concat(F.trim(x), F.lit("Z")), f + "X")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for text, f in map(zoned, DATETIME_FORMATS)])
+
+
+def as_instant(x: Column, kind: T.DataType | str) -> Column:
+    """A timestamp from text, a time without a zone or a date, all read as UTC, or from a timestamp."""
+    if isinstance(kind, (T.StringType, str)):
+        return parse_datetime(x)
+    return instant(x.cast("timestamp_ntz")) if isinstance(kind, (T.TimestampNTZType, T.DateType)) else x.cast("timestamp")
 
 
 def prepare(df: DataFrame) -> DataFrame:
     """Typed copy: text ids, UTC timestamps, double coordinates (text that is no number gives null)."""
     require(df, *REQUIRED)
-    kind = df.schema["datetime"].dataType
-    when = parse_datetime(F.col("datetime")) if isinstance(kind, T.StringType) else F.col("datetime").cast("timestamp")
-    typed = {"sensor_id": F.col("sensor_id").cast("string"), "datetime": when}
+    typed = {"sensor_id": F.col("sensor_id").cast("string"), "datetime": as_instant(F.col("datetime"), df.schema["datetime"].dataType)}
     typed |= {c: F.col(c).try_cast("double") for c in ("lon", "lat")}
     return df.select(*[typed[c].alias(c) if c in typed else F.col(c) for c in df.columns])
 
@@ -54,12 +61,16 @@ def numbered(df: DataFrame, groups: list[str], within: list[str | Column], name:
     """
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], before.alias("_before"))
-    same = F.lit(True)
-    for i, c in enumerate(groups):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     own = df.withColumn("_own", F.row_number().over(Window.partitionBy(*groups).orderBy(*within)))
-    return own.join(offsets, same).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", *[f"_g{i}" for i in range(len(groups))])
+    return join_by(own, counts.select(*groups, before.alias("_before")), groups).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before")
+
+
+def join_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the keys stay once."""
+    own, same = [f"_k{i}" for i in range(len(keys))], F.lit(True)
+    for c, k in zip(keys, own, strict=True):
+        right, same = right.withColumnRenamed(c, k), same & F.col(c).eqNullSafe(F.col(k))
+    return left.join(right, same, how).drop(*own)
 
 
 def blank(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import stats
@@ -72,16 +72,23 @@ def gps_append_segments(df: DataFrame, large_gap_mins: float = 60, groups: list[
     return out.withColumn(segment_col, F.format_string("%s_seg%03d", F.coalesce("sensor_id", F.lit("NA")), F.col("_n"))).drop("_starts", "_n")
 
 
-def duplicate_flags(df: DataFrame, groups: list[str], order_col: str = ORDER) -> DataFrame:
-    """Add ``duplicate_record`` (all columns as in an earlier row) and ``duplicate_fix`` (complete key as in one)."""
-    columns = [c for c in df.columns if c != order_col]
+def _duplicate_keys(df: DataFrame, groups: list[str], order_col: str = ORDER) -> tuple[list[Column], list[str], Column]:
+    """What tells records apart, what tells fixes apart, and whether the latter is complete.
+
+    Records are told apart by two hashes, each with the places of nulls: two numbers are compared, not all columns.
+    """
+    whole = [x for c in df.columns if c != order_col for x in (F.col(c), F.col(c).isNull())]
     key = list(dict.fromkeys([*groups, "sensor_id", "datetime", "lon", "lat"]))
     complete = F.lit(True)
     for c in key:
         complete = complete & (~blank(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).isNotNull())
-    # Rows are told apart by two hashes, each with the places of nulls: two numbers are sorted, not all columns.
-    whole = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    record = F.row_number().over(Window.partitionBy(F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)).orderBy(order_col)) > 1
+    return [F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)], key, complete
+
+
+def duplicate_flags(df: DataFrame, groups: list[str], order_col: str = ORDER) -> DataFrame:
+    """Add ``duplicate_record`` (all columns as in an earlier row) and ``duplicate_fix`` (complete key as in one)."""
+    hashes, key, complete = _duplicate_keys(df, groups, order_col)
+    record = F.row_number().over(Window.partitionBy(*hashes).orderBy(order_col)) > 1
     fix = complete & (F.row_number().over(Window.partitionBy(*key).orderBy(order_col)) > 1)
     return df.withColumns({"duplicate_record": record, "duplicate_fix": fix})
 
@@ -90,17 +97,22 @@ def qc_table(df: DataFrame, groups: list[str], large_gap_mins: float = 60, check
     """``metric, count, proportion, value, datetime_value, threshold_mins``: 29 rows about a fix table."""
     flagged = row_flags(df, check_zero_zero)
     animals = "animal_id" in df.columns
-    count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
-    ids = lambda c: F.countDistinct(F.when(~blank(F.col(c)), F.trim(F.col(c).cast("string"))))
-    w = Window.partitionBy(*groups).orderBy(order_col)
-    flagged = flagged.withColumn("_late", F.coalesce(F.col("datetime") < F.lag("datetime").over(w), F.lit(False)))
-    main = flagged.agg(
-        F.count(F.lit(1)).alias("n_rows"), ids("sensor_id").alias("n_sensors"), (ids("animal_id") if animals else F.lit(None).cast("long")).alias("n_animals"),
-        F.min("datetime").alias("datetime_min"), F.max("datetime").alias("datetime_max"), *[count(c).alias(c) for c in FLAGS],
-        F.coalesce(F.sum((F.col("missing_lon") | F.col("missing_lat")).cast("long")), F.lit(0)).alias("missing_coordinates"),
-        F.coalesce(F.sum((F.col("bad_lon") | F.col("bad_lat")).cast("long")), F.lit(0)).alias("invalid_coordinates"), count("_late").alias("late"),
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    trimmed = lambda c: F.when(~blank(F.col(c)), F.trim(F.col(c).cast("string")))
+    tests = {c: F.col(c) for c in FLAGS} | {"missing_coordinates": F.col("missing_lon") | F.col("missing_lat"), "invalid_coordinates": F.col("bad_lon") | F.col("bad_lat")}
+    late = F.col("datetime") < F.lag("datetime").over(Window.partitionBy(*groups).orderBy(order_col))
+    tests["late"], flagged = F.col("_late"), flagged.withColumn("_late", F.coalesce(late, F.lit(False)))
+    # Counts are made by sensor and animal first, so that distinct ones are told apart among few rows.
+    by_id = flagged.groupBy(trimmed("sensor_id").alias("_s"), (trimmed("animal_id") if animals else F.lit(None).cast("string")).alias("_a")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("datetime").alias("datetime_min"), F.max("datetime").alias("datetime_max"), *[F.sum(t.cast("long")).alias(c) for c, t in tests.items()]
+    )
+    main = by_id.agg(
+        count("n_rows").alias("n_rows"), F.countDistinct("_s").alias("n_sensors"), (F.countDistinct("_a") if animals else F.lit(None).cast("long")).alias("n_animals"),
+        F.min("datetime_min").alias("datetime_min"), F.max("datetime_max").alias("datetime_max"), *[count(c).alias(c) for c in tests],
     )
-    twins = duplicate_flags(df, groups, order_col).agg(count("duplicate_fix").alias("dup_fix"), count("duplicate_record").alias("dup_record"))
+    hashes, key, complete = _duplicate_keys(df, groups, order_col)
+    again = lambda keyed: keyed.agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
+    twins = again(df.groupBy(*hashes)).select(F.col("n").alias("dup_record")).join(F.broadcast(again(df.filter(complete).groupBy(*key)).select(F.col("n").alias("dup_fix"))))
     # Intervals are counted by their length once; all that is said about them follows from the counts.
     lengths = stats.counted(intervals(df, groups, large_gap_mins, order_col), F.col("interval_s"))
     some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))

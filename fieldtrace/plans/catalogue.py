@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldtrace.operators import activity, alignment, cleaning, maps, movement, resources, social, spatial, summary, validation
 from fieldtrace.plans import oracles as O
-from fieldtrace.plans.layers import PADDOCKS, RESOURCES
-from fieldtrace.sources.fixes import dirty_fixes, fixes, hourly_fixes
+from fieldtrace.plans.layers import PADDOCKS, RESOURCES, boxes, corners
+from fieldtrace.sources.fixes import dirty_fixes, fixes, hot_fixes, hourly_fixes
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,18 @@ def _segmented(s: SparkSession, d: str) -> DataFrame:
     return validation.gps_append_segments(fixes(s, d), large_gap_mins=1440)
 
 
+def _all_blocks(s: SparkSession, d: str) -> DataFrame:
+    df = hourly_fixes(s, d)
+    use = resources.gps_resource_use(df, RESOURCES, 150, "day", metric_crs=3857)
+    return summary.gps_epoch(df, "day", include=["movement", "social", "spatial", "resource_use"], resource_use=use, thresholds_m=REACH, metric_crs=3857)
+
+
+def _map_polygons(s: SparkSession, d: str) -> DataFrame:
+    ring = F.from_json("geometry", "type string, coordinates array<array<array<double>>>")["coordinates"][0]
+    lon, lat = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+    return maps.map_polygons(boxes(fixes(s, d)), polygon_group="Paddocks").withColumns({"n_points": F.size(ring), "width": F.array_max(lon) - F.array_min(lon), "height": F.array_max(lat) - F.array_min(lat)})
+
+
 QUERIES: dict[str, Query] = {
     "movement_day": _movement("day"),
     "movement_week": _movement("week"),
@@ -94,10 +106,14 @@ QUERIES: dict[str, Query] = {
     "clean_audit": Query(lambda s, d: cleaning.gps_clean(dirty_fixes(s, d), ("duplicates", "errors", "speed_fixed"), max_speed_mps=0.05).summary, {"step_no": "n", "step": "k", "action": "k", "before_n": "n", "after_n": "n", "n_removed": "n", "n_flagged": "n", "threshold_mps": "r"}, O.clean_audit(0.05)),
     "append_paddock": Query(lambda s, d: cleaning.gps_append_paddock_names(fixes(s, d), PADDOCKS, epoch="day", min_prop=0.5), {"order_col": "n", "assigned_paddock": "k"}, O.append_paddock(0.5)),
     "clean_spatial": Query(lambda s, d: cleaning.gps_clean_spatial(fixes(s, d), PADDOCKS, 50, action="flag").data, {"order_col": "n", "paddock": "k", "is_outside_boundary": "b"}, O.clean_spatial(50)),
+    "layer_paddock": Query(lambda s, d: cleaning.gps_append_paddock_names(fixes(s, d), boxes(fixes(s, d)), epoch="day", min_prop=0.5), {"order_col": "n", "assigned_paddock": "k"}, O.layer_paddock(0.5)),
+    "layer_nearest": Query(lambda s, d: resources.gps_resource_distance(fixes(s, d), corners(fixes(s, d)), 3857), {"order_col": "n", "nearest_resource_id": "k", "nearest_resource_type": "k", "resource_distance_m": "m"}, O.layer_nearest()),
+    "clean_default": Query(lambda s, d: cleaning.gps_clean(dirty_fixes(s, d), max_speed_mps=0.05).data, FIX | {"lon_raw": "r", "lat_raw": "r"}),
     "denoise_spline": Query(lambda s, d: cleaning.gps_denoise(fixes(s, d)).data, FIX | {"lon_raw": "r", "lat_raw": "r"}),
     "denoise_states": Query(lambda s, d: cleaning.gps_denoise(fixes(s, d), "state_aware", "state", ("view", "click")).data, FIX | {"lon_raw": "r", "lat_raw": "r"}),
     "regularise": Query(lambda s, d: alignment.gps_regularise(fixes(s, d), 360), GRID | {"treatment": "k", "observed_datetime": "t", "time_offset_s": "r"}, O.regularise(360)),
     "interpolate": Query(lambda s, d: alignment.gps_interpolate(fixes(s, d), 360), GRID | {"treatment": "k", "is_interpolated": "b", "interpolation_gap_s": "r"}, O.interpolate(360)),
+    "interpolate_hot_track": Query(lambda s, d: alignment.gps_interpolate(hot_fixes(s, d), 30, keep_extra=False), GRID | {"is_interpolated": "b", "interpolation_gap_s": "r"}, O.interpolate(30, O.HOT)),
     "downsample_rigid": Query(lambda s, d: alignment.gps_downsample(fixes(s, d), 720, "rigid", 60), FIX, O.downsample(720, 60, "rigid")),
     "downsample_representative": Query(lambda s, d: alignment.gps_downsample(fixes(s, d), 720), FIX, O.downsample(720, 0, "representative")),
     "grid_diagnostics": Query(lambda s, d: alignment.grid_diagnostics(fixes(s, d), alignment.gps_interpolate(fixes(s, d), 360), ["deployment_id", "animal_id", "sensor_id"]), ANIMAL | {"n_fixes": "n", "n_grid": "n", "n_observed": "n", "n_interpolated": "n", "median_gap_mins": "c", "max_gap_mins": "c"}, O.grid_diagnostics(360)),
@@ -119,17 +135,20 @@ QUERIES: dict[str, Query] = {
     "mcp_area": Query(lambda s, d: spatial.gps_mcp(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"percent": "r", "n_fixes": "n", "n_fixes_used": "n", "area_ha": "r"}, O.mcp_area()),
     "kde_cells": Query(lambda s, d: spatial.gps_kde(fixes(s, d), epoch="month", metric_crs=3857), ANIMAL | EPOCH | {"density_rank": "n", "kde_density": "d", "cell_probability": "r", "cumulative_probability": "r", "in_kde50": "b"}, O.kde_cells()),
     "epoch_merge": Query(lambda s, d: summary.gps_epoch(hourly_fixes(s, d), "day", include=["movement", "social"], thresholds_m=REACH), ANIMAL | MOVED | {"social_n_fixes": "n"} | SOCIAL, O.epoch_merge()),
+    "epoch_all": Query(_all_blocks, ANIMAL | MOVED | {"social_n_fixes": "n"} | SOCIAL | {"spatial_n_fixes": "n", "lon_min": "c", "lat_max": "c", "mcp100_area_ha": "r", "n_resources": "n", "n_fixes_near_resource": "n", "mean_resource_distance_m": "m"}, O.epoch_all(150)),
     "animal_summary": Query(lambda s, d: summary.gps_animal_summary(fixes(s, d), "week"), ANIMAL | MOVED, O.movement("week", None, ["deployment_id", "animal_id", "sensor_id"])),
     "group_summary": Query(lambda s, d: summary.gps_group_summary(fixes(s, d), "week", group_cols=["deployment_id", "treatment"]), {"deployment_id": "k", "treatment": "k"} | EPOCH | {"n_animal_epochs": "n", "n_animals": "n", "n_sensors": "n", "n_fixes": "n", "total_distance_m": "m", "mean_total_distance_m": "m", "mean_speed_mps": "r"}, O.group_summary()),
     "diurnal": Query(lambda s, d: summary.gps_diurnal(fixes(s, d)).withColumn("date", F.col("date").cast("string")), ANIMAL | MOVED | {"date": "k", "hour": "n"}, O.diurnal()),
     "resource_epoch": Query(lambda s, d: summary.resource_roll_up(resources.gps_resource_use(fixes(s, d), RESOURCES, 150, "day", metric_crs=3857)), ANIMAL | EPOCH | {"n_resources": "n", "n_resource_fix_rows": "n", "n_fixes_near_resource": "n", "prop_fixes_near_resource": "r", "mean_resource_distance_m": "m", "min_resource_distance_m": "m"}, O.resource_epoch(150)),
     "activity_features": Query(lambda s, d: activity.add_features(fixes(s, d), "step_turn")[0], {"order_col": "n", "_f_step": "r", "_f_turn": "r"}, O.activity_features()),
-    "activity_gmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "gmm", feature_set="step_turn").data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}),
-    "activity_gmm_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d)).data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}),
+    "adaptive_features": Query(lambda s, d: activity.add_features(fixes(s, d))[0], {"order_col": "n", "_f_step": "r", "_f_turn": "r", "_f_net": "r", "_f_straight": "r"}, O.adaptive_features()),
+    "activity_gmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "gmm", feature_set="step_turn").data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}, O.activity_gmm()),
+    "activity_gmm_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d)).data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_component": "n"}, O.activity_gmm_hmm()),
     "activity_hmm": Query(lambda s, d: activity.gps_activity_state(fixes(s, d), "hmm", feature_set="step_turn").data, {"order_col": "n", "activity_state": "k", "inactive_prob": "r", "activity_state_id": "n"}),
     "map_points": Query(lambda s, d: maps.gps_map(fixes(s, d), state_col="state", state_colors={"view": "#1a9641"}), {"map_group": "k", "seq": "n", "order_col": "n", "color": "k", "popup": "k"}, O.map_points()),
     "playback_points": Query(lambda s, d: maps.gps_playback(fixes(s, d), align=False)[0], {"map_group": "k", "seq": "n", "start_time": "t", "end_time": "t"}, O.playback("points")),
-    "playback_tails": Query(lambda s, d: maps.gps_playback(fixes(s, d), align=False)[1], {"map_group": "k", "seq": "n", "start_time": "t", "end_time": "t"}, O.playback("tails")),
+    "map_polygons": Query(_map_polygons, {"map_group": "k", "layer_no": "n", "label": "k", "n_points": "n", "width": "c", "height": "c"}, O.map_polygons()),
+    "playback_tails": Query(lambda s, d: maps.gps_playback(fixes(s, d), align=False, smooth_movement=False)[1], {"map_group": "k", "seq": "n", "start_time": "t", "end_time": "t"}, O.playback("tails")),
 }
 
 

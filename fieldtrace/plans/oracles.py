@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 from fieldtrace.plans.layers import PADDOCKS, RESOURCES
-from fieldtrace.sources.fixes import FIX_COLUMNS, SHARED_TIME, dirty_sql, select_sql
+from fieldtrace.sources.fixes import FIX_COLUMNS, HOT_COLUMNS, SHARED_TIME, dirty_sql, select_sql
 
+HOT = f"fixes AS ({select_sql(HOT_COLUMNS)})"
 FIXES, HOURLY, DIRTY = f"fixes AS ({select_sql(FIX_COLUMNS)})", f"fixes AS ({select_sql(SHARED_TIME)})", f"fixes AS ({dirty_sql()})"
 TRACK = "deployment_id, sensor_id"
 ANIMAL = "deployment_id, animal_id, sensor_id"
@@ -283,8 +284,8 @@ def resource_use(radius: float) -> str:
     return f"WITH {FIXES}, {_use(radius)} SELECT * FROM used"
 
 
-def resource_epoch(radius: float) -> str:
-    return f"""WITH {FIXES}, {_use(radius)} SELECT {ANIMAL}, {EPOCH}, count(DISTINCT resource_id) AS n_resources, sum(n_fixes) AS n_resource_fix_rows, sum(n_fixes_near) AS n_fixes_near_resource, sum(n_fixes_near)/max(n_total_fixes) AS prop_fixes_near_resource,
+def resource_epoch(radius: float, source: str = FIXES) -> str:
+    return f"""WITH {source}, {_use(radius)} SELECT {ANIMAL}, {EPOCH}, count(DISTINCT resource_id) AS n_resources, sum(n_fixes) AS n_resource_fix_rows, sum(n_fixes_near) AS n_fixes_near_resource, sum(n_fixes_near)/max(n_total_fixes) AS prop_fixes_near_resource,
   sum(mean_distance_m*n_fixes)/sum(n_fixes) AS mean_resource_distance_m, min(min_distance_m) AS min_resource_distance_m FROM used GROUP BY {ANIMAL}, {EPOCH}"""
 
 
@@ -324,8 +325,8 @@ filled AS (SELECT {ANIMAL}, make_timestamp(t) AS datetime, is_observed, NOT is_o
   CASE WHEN NOT is_observed THEN (nt-pt)/1e6 END AS interpolation_gap_s FROM sides WHERE is_grid)"""
 
 
-def interpolate(mins: float) -> str:
-    return f"WITH {FIXES}, {_interpolated(int(mins * 60e6))}, same AS (SELECT {ANIMAL}, min(treatment) AS treatment FROM fixes GROUP BY {ANIMAL} HAVING min(treatment) = max(treatment)) SELECT f.*, s.treatment FROM filled f LEFT JOIN same s USING ({ANIMAL})"
+def interpolate(mins: float, source: str = FIXES) -> str:
+    return f"WITH {source}, {_interpolated(int(mins * 60e6))}, same AS (SELECT {ANIMAL}, min(treatment) AS treatment FROM fixes GROUP BY {ANIMAL} HAVING min(treatment) = max(treatment)) SELECT f.*, s.treatment FROM filled f LEFT JOIN same s USING ({ANIMAL})"
 
 
 def grid_diagnostics(mins: float) -> str:
@@ -419,6 +420,37 @@ def epoch_merge() -> str:
     return f"WITH {HOURLY}, {_social_day()}, {_movement('day', None, ANIMAL.split(', '))} SELECT m.*, s.* EXCLUDE ({ANIMAL}, {EPOCH}, n_fixes), s.n_fixes AS social_n_fixes FROM moved m FULL JOIN social_days s USING ({ANIMAL}, {EPOCH})"
 
 
+def epoch_all(radius: float) -> str:
+    """All four blocks by day, each stated as its own query."""
+    by = f"{ANIMAL}, {EPOCH}"
+    spatial = f"""WITH {HOURLY}, p AS (SELECT *, {_XY} FROM fixes), {_hulls('day')},
+basic AS (SELECT {by}, count(*) AS spatial_n_fixes, min(lon) AS lon_min, max(lat) AS lat_max FROM dated GROUP BY {by})
+SELECT basic.*, h.area_ha AS mcp100_area_ha FROM basic JOIN hulls h USING ({by}) WHERE h.percent = 100"""
+    return f"SELECT * FROM ({epoch_merge()}) m FULL JOIN ({spatial}) s USING ({by}) FULL JOIN ({resource_epoch(radius, HOURLY)}) r USING ({by})"
+
+
+_BOXES = "boxes AS (SELECT sensor_id AS name, CAST(substr(sensor_id, 2) AS BIGINT) AS no, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM fixes GROUP BY sensor_id)"
+
+
+def layer_paddock(share: float) -> str:
+    return f"""WITH {FIXES}, {_BOXES}, hit AS (SELECT f.order_col, arg_min(b.name, b.no) AS p FROM fixes f JOIN boxes b ON f.lon BETWEEN x0 AND x1 AND f.lat BETWEEN y0 AND y1 GROUP BY f.order_col),
+placed AS (SELECT f.*, strftime(datetime, '%Y-%m-%d') AS e, p FROM fixes f LEFT JOIN hit USING (order_col)),
+n AS (SELECT {ANIMAL}, e, p, count(*) AS n FROM placed GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY {ANIMAL}, e) AS total FROM n),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {ANIMAL}, e ORDER BY n DESC, p) AS k FROM r WHERE p IS NOT NULL) x WHERE k = 1 AND n/total >= {share})
+SELECT placed.order_col, best.p AS assigned_paddock FROM placed LEFT JOIN best USING (deployment_id, animal_id, sensor_id, e)"""
+
+
+def layer_nearest() -> str:
+    return f"""WITH {FIXES}, {_BOXES}, p AS (SELECT *, {_XY} FROM fixes), c AS (SELECT name, no, x0 AS lon, y0 AS lat, {_XY.replace('(lon)', '(x0)').replace('(lat)', '(y0)')} FROM boxes)
+SELECT p.order_col, arg_min(c.name, (sqrt(pow(p.x-c.x, 2)+pow(p.y-c.y, 2)), c.no)) AS nearest_resource_id, min(sqrt(pow(p.x-c.x, 2)+pow(p.y-c.y, 2))) AS resource_distance_m,
+  arg_min(CASE WHEN c.no % 2 = 0 THEN 'water' ELSE 'shade' END, (sqrt(pow(p.x-c.x, 2)+pow(p.y-c.y, 2)), c.no)) AS nearest_resource_type FROM p, c GROUP BY p.order_col"""
+
+
+def map_polygons() -> str:
+    return f"WITH {FIXES}, {_BOXES} SELECT 'Paddocks' AS map_group, no AS layer_no, name AS label, 5 AS n_points, x1-x0 AS width, y1-y0 AS height FROM boxes"
+
+
 def group_summary() -> str:
     return f"""WITH {FIXES}, {_movement('week', None, [*ANIMAL.split(', '), 'treatment'])} SELECT deployment_id, treatment, {EPOCH}, count(*) AS n_animal_epochs, count(DISTINCT animal_id) AS n_animals, count(DISTINCT sensor_id) AS n_sensors, sum(n_fixes) AS n_fixes,
   sum(total_distance_m) AS total_distance_m, avg(total_distance_m) AS mean_total_distance_m, avg(mean_speed_mps) AS mean_speed_mps FROM moved GROUP BY deployment_id, treatment, {EPOCH}"""
@@ -497,6 +529,88 @@ def activity_features() -> str:
     return f"WITH {FIXES}, {_steps()} SELECT order_col, ln(1+step_m) AS _f_step, abs(turn_rad) AS _f_turn FROM steps"
 
 
+def _adaptive() -> str:
+    """Features over a trailing window; the first fix of a window by a plain search among the fixes of its track."""
+    w = f"(PARTITION BY {TRACK} ORDER BY datetime, order_col)"
+    return f"""{_steps()}, runs AS (
+  SELECT *, epoch_us(datetime) AS t, sum(coalesce(step_m, 0)) OVER (PARTITION BY {TRACK} ORDER BY datetime, order_col ROWS UNBOUNDED PRECEDING) AS run, epoch_us(datetime)-lag(epoch_us(datetime)) OVER {w} AS gap FROM steps
+), widths AS (
+  SELECT {TRACK}, greatest(1800000000, coalesce(CAST(4*quantile_cont(gap, 0.5) FILTER (WHERE gap > 0) AS BIGINT), 0)) AS width FROM runs GROUP BY {TRACK}
+), firsts AS (
+  SELECT a.order_col, arg_min(struct_pack(lon := b.lon, lat := b.lat, run := b.run), (b.t, b.order_col)) AS f FROM runs a JOIN widths USING ({TRACK}) JOIN runs b USING ({TRACK}) WHERE b.t > a.t-width AND b.t <= a.t GROUP BY a.order_col
+), nets AS (
+  SELECT r.*, {_hav('f.lon', 'f.lat', 'lon', 'lat')} AS net, greatest(r.run-f.run, 0) AS path FROM runs r JOIN firsts USING (order_col)
+), features AS (
+  SELECT *, ln(1+step_m) AS f0, abs(turn_rad) AS f1, ln(1+net) AS f2, CASE WHEN path > 0 THEN least(net/path, 1) ELSE 0 END AS f3 FROM nets
+)"""
+
+
+def adaptive_features() -> str:
+    return f"WITH {FIXES}, {_adaptive()} SELECT order_col, f0 AS _f_step, f1 AS _f_turn, f2 AS _f_net, f3 AS _f_straight FROM features"
+
+
+def _mixture(d: int, rounds: int = 200, tol: str = "1e-5") -> str:
+    """Expectation maximisation as a recursion over one row of state, from the halves at the median of the first feature."""
+    cell = [(k, j) for k in (0, 1) for j in range(d)]
+    state = [f"w{k}" for k in (0, 1)] + [f"{a}{k}{j}" for a in "mv" for k, j in cell]
+    side = ("f0 <= m", "f0 > m")
+    begin = ["0.5e0"] * 2 + [f"avg(f{j}) FILTER (WHERE {side[k]})" for k, j in cell] + [f"var_pop(f{j}) FILTER (WHERE {side[k]})+1e-6" for k, j in cell]
+    log = lambda k: f"ln(w{k})-0.5*ln(2*pi())*{d}" + "".join(f"-0.5*ln(v{k}{j})-0.5*(f{j}-m{k}{j})*(f{j}-m{k}{j})/v{k}{j}" for j in range(d))
+    named = ", ".join(f"{x} AS {c}" for x, c in zip(begin, state, strict=True))
+    held = ", ".join(f"any_value(m{k}{j}) AS m{k}{j}" for k, j in cell)
+    sums = ", ".join([f"sum(r{k})+1e-12 AS n{k}" for k in (0, 1)] + [f"sum(r{k}*(f{j}-m{k}{j})) AS d{k}{j}, sum(r{k}*(f{j}-m{k}{j})*(f{j}-m{k}{j})) AS q{k}{j}" for k, j in cell])
+    new = ", ".join([f"n{k}/(n0+n1)" for k in (0, 1)] + [f"m{k}{j}+d{k}{j}/n{k}" for k, j in cell] + [f"greatest(q{k}{j}/n{k}-pow(d{k}{j}/n{k}, 2), 1e-6)" for k, j in cell])
+    both = "greatest(l0, l1)+ln(1+exp(-abs(l0-l1)))"
+    return f"""x AS (SELECT *, {_usable(d)} AS ok FROM features),
+rows_ AS (SELECT * FROM x WHERE ok),
+em AS (
+  SELECT 0 AS it, CAST('-Infinity' AS DOUBLE) AS ll, CAST('Infinity' AS DOUBLE) AS moved, {named} FROM rows_, (SELECT quantile_cont(f0, 0.5) AS m FROM rows_)
+  UNION ALL
+  SELECT it+1, ll_now, abs(ll_now-ll), {new} FROM (
+    SELECT it, ll, avg(a) AS ll_now, {held}, {sums} FROM (SELECT *, exp(l0-a) AS r0, exp(l1-a) AS r1 FROM (SELECT *, {both} AS a FROM (SELECT em.*, rows_.* EXCLUDE (ok), {log(0)} AS l0, {log(1)} AS l1 FROM em, rows_ WHERE em.it < {rounds} AND em.moved >= {tol}))) GROUP BY it, ll)
+), fit AS (SELECT * FROM em ORDER BY it DESC LIMIT 1),
+idle AS (SELECT CASE WHEN {_moved(1, d)} < {_moved(0, d)} THEN 1 ELSE 0 END AS idle FROM fit),
+scored AS (SELECT x.*, idle, CASE WHEN ok THEN 1/(1+exp(least(CASE WHEN idle = 0 THEN ({log(1)})-({log(0)}) ELSE ({log(0)})-({log(1)}) END, 700))) END AS p FROM x, fit, idle)"""
+
+
+def _usable(d: int) -> str:
+    return " AND ".join(f"coalesce(isfinite(f{j}), false)" for j in range(d))
+
+
+def _moved(k: int, d: int) -> str:
+    return f"exp(m{k}0)" + (f"+exp(m{k}2)" if d > 2 else "")
+
+
+def activity_gmm() -> str:
+    return f"""WITH RECURSIVE {FIXES}, {_steps()}, features AS (SELECT *, ln(1+step_m) AS f0, abs(turn_rad) AS f1 FROM steps), {_mixture(2)}
+SELECT order_col, p AS inactive_prob, CASE WHEN p >= 0.5 THEN 'inactive' WHEN p < 0.5 THEN 'active' END AS activity_state, CASE WHEN p >= 0.5 THEN idle+1 WHEN p < 0.5 THEN 2-idle END AS activity_state_component FROM scored"""
+
+
+def activity_gmm_hmm(stay: float = 0.98) -> str:
+    """Decoding row by row: scores with their origins forwards, the path backwards, and both halves of the posterior."""
+    leave = round(1 - stay, 12)
+    s, t = f"ln({stay}e0)", f"ln({leave}e0)"
+    w = f"(PARTITION BY {TRACK} ORDER BY datetime, order_col)"
+    return f"""WITH RECURSIVE {FIXES}, {_adaptive()}, {_mixture(4)},
+placed AS (SELECT *, row_number() OVER {w} AS place, least(greatest(p, 1e-12), 1-1e-12) AS p0 FROM scored),
+chain AS (SELECT *, row_number() OVER (PARTITION BY {TRACK}, seq ORDER BY place) AS i, count(*) OVER (PARTITION BY {TRACK}, seq) AS n, ln(p0) AS e0, ln(1-p0) AS e1
+  FROM (SELECT *, place-row_number() OVER (PARTITION BY {TRACK} ORDER BY place) AS seq FROM placed WHERE ok)),
+ahead AS (
+  SELECT {TRACK}, seq, i, ln(0.5e0)+e0 AS s0, ln(0.5e0)+e1 AS s1, 0 AS b0, 0 AS b1, p0 AS a0 FROM chain WHERE i = 1
+  UNION ALL
+  SELECT c.deployment_id, c.sensor_id, c.seq, c.i, greatest(s0+{s}, s1+{t})+e0, greatest(s0+{t}, s1+{s})+e1, CASE WHEN s1+{t} > s0+{s} THEN 1 ELSE 0 END, CASE WHEN s1+{s} > s0+{t} THEN 1 ELSE 0 END,
+    (a0*{stay}+(1-a0)*{leave})*p0/((a0*{stay}+(1-a0)*{leave})*p0+(a0*{leave}+(1-a0)*{stay})*(1-p0)) FROM ahead h JOIN chain c ON h.deployment_id = c.deployment_id AND h.sensor_id = c.sensor_id AND h.seq = c.seq AND c.i = h.i+1
+), behind AS (
+  SELECT c.deployment_id, c.sensor_id, c.seq, c.i, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS state, 0.5e0 AS beta FROM chain c JOIN ahead h USING ({TRACK}, seq, i) WHERE c.i = c.n
+  UNION ALL
+  SELECT c.deployment_id, c.sensor_id, c.seq, c.i, CASE WHEN b.state = 0 THEN h.b0 ELSE h.b1 END,
+    ({stay}*z.p0*beta+{leave}*(1-z.p0)*(1-beta))/({stay}*z.p0*beta+{leave}*(1-z.p0)*(1-beta)+{leave}*z.p0*beta+{stay}*(1-z.p0)*(1-beta))
+  FROM behind b JOIN ahead h ON h.deployment_id = b.deployment_id AND h.sensor_id = b.sensor_id AND h.seq = b.seq AND h.i = b.i JOIN chain z ON z.deployment_id = b.deployment_id AND z.sensor_id = b.sensor_id AND z.seq = b.seq AND z.i = b.i
+    JOIN chain c ON c.deployment_id = b.deployment_id AND c.sensor_id = b.sensor_id AND c.seq = b.seq AND c.i = b.i-1
+), decoded AS (SELECT c.order_col, c.idle, b.state, h.a0*beta/(h.a0*beta+(1-h.a0)*(1-beta)) AS q FROM chain c JOIN ahead h USING ({TRACK}, seq, i) JOIN behind b USING ({TRACK}, seq, i))
+SELECT f.order_col, d.q AS inactive_prob, CASE d.state WHEN 0 THEN 'inactive' WHEN 1 THEN 'active' END AS activity_state, CASE d.state WHEN 0 THEN idle+1 WHEN 1 THEN 2-idle END AS activity_state_component FROM fixes f LEFT JOIN decoded d USING (order_col)"""
+
+
 def map_points() -> str:
     return f"""WITH {FIXES} SELECT sensor_id AS map_group, row_number() OVER (PARTITION BY sensor_id ORDER BY datetime, order_col) AS seq, order_col, CASE WHEN state = 'view' THEN '#1a9641' ELSE '#808080' END AS color,
   '<b>sensor_id:</b> ' || sensor_id || '<br/><b>datetime:</b> ' || rtrim(rtrim(strftime(datetime, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') || '<br/>' AS popup FROM fixes"""

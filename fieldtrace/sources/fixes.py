@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fieldtrace.functions.epochs import epoch_columns, instant
 
 #: Columns of the track view as SQL that Spark and DuckDB read alike, to the last bit.
 FIX_COLUMNS = {
@@ -23,6 +27,8 @@ DIRTY_COLUMNS = FIX_COLUMNS | {
     "lon": f"case when event_id % 97 = 0 then 0.0e0 when event_id % 101 = 0 then 181.0e0 else {FIX_COLUMNS['lon']} end",
     "lat": f"case when event_id % 97 = 0 then 0.0e0 when event_id % 107 = 0 then null else {FIX_COLUMNS['lat']} end",
 }
+#: The same with one track that holds a third of all rows.
+HOT_COLUMNS = FIX_COLUMNS | {c: f"case when event_id % 3 = 0 then '{k}' else {FIX_COLUMNS[c]} end" for c, k in (("sensor_id", "S"), ("animal_id", "A"), ("deployment_id", "D"))}
 SHARED_TIME = FIX_COLUMNS | {"datetime": "date_trunc('hour', cast(ts as timestamp))"}
 
 
@@ -38,6 +44,8 @@ def dirty_sql() -> str:
 
 def _view(spark: SparkSession, sf_dir: str, columns: dict[str, str], where: str | None = None) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    if isinstance(events.schema["ts"].dataType, T.TimestampNTZType):
+        events = events.withColumn("ts", instant(F.col("ts")))
     return (events.filter(where) if where else events).selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
@@ -46,9 +54,14 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, FIX_COLUMNS)
 
 
+def hot_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fixes, a third of them one track."""
+    return _view(spark, sf_dir, HOT_COLUMNS)
+
+
 def hourly_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with times cut to hours, so that animals share them."""
-    return _view(spark, sf_dir, SHARED_TIME)
+    return fixes(spark, sf_dir).withColumn("datetime", epoch_columns(F.col("datetime"), "hour")[1])
 
 
 def dirty_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:

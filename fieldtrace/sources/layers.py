@@ -1,6 +1,7 @@
 """Spatial layers: GeoJSON files, tables with a geometry column, well-known text.
 
-A layer is a small dimension that becomes part of a plan, so it is read to the driver; ``MAX_BYTES`` bounds what is.
+A small layer becomes part of a plan: it is read to the driver, and ``MAX_BYTES`` bounds what is. A layer of any size stays
+a table (``paddock_table``, ``resource_table``) that fixes are joined with through a spatial index.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.shapes import Shape, from_geojson, parse, to_degrees
+from fieldtrace.operators.layer_index import LayerTable
 from fieldtrace.operators.resources import Resource
 
 #: The most text of geometries that a layer may have.
@@ -83,3 +85,18 @@ def resources(layer: Layer, id_col: str | None = None, type_col: str | None = No
             raise ValueError(f"no column {c!r}")
     text = lambda v: None if v is None else str(v)
     return [Resource(text(f.properties.get(id_col)) if id_col else str(k), (), text(f.properties.get(type_col)) if type_col else None, shape=f.shape) for k, f in enumerate(layer, 1)]
+
+
+def _layer_table(df: DataFrame, order_col: str, name_col: str, kind_col: str | None, geometry_col: str, crs: int) -> LayerTable:
+    kind = F.lit(None).cast("string") if kind_col is None else F.col(kind_col).cast("string")
+    return LayerTable(df.filter(F.col(geometry_col).isNotNull()).select(F.col(order_col).cast("long").alias("layer_no"), F.col(name_col).cast("string").alias("name"), kind.alias("kind"), F.col(geometry_col).alias("geometry")), crs)
+
+
+def paddock_table(df: DataFrame, order_col: str, name_col: str, geometry_col: str = "geometry", crs: int = 4326) -> LayerTable:
+    """Paddocks that stay a table; ``order_col`` has unique values and says which of two overlapping paddocks comes first."""
+    return _layer_table(df, order_col, name_col, None, geometry_col, crs)
+
+
+def resource_table(df: DataFrame, order_col: str, id_col: str, type_col: str | None = None, geometry_col: str = "geometry", crs: int = 4326) -> LayerTable:
+    """Resources that stay a table; ``order_col`` has unique values and decides between equally near ones."""
+    return _layer_table(df, order_col, id_col, type_col, geometry_col, crs)

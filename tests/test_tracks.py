@@ -7,7 +7,7 @@ from helpers import T0, at, table, track_6
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geo
-from fieldtrace.operators import activity, alignment, cleaning, maps, movement, resources, social, spatial, summary, validation
+from fieldtrace.operators import activity, alignment, cleaning, maps, movement, resources, social, spatial, summary, tracks, validation
 from fieldtrace.operators.resources import Resource
 
 
@@ -275,41 +275,74 @@ def test_read_fixes(spark, tmp_path):
     assert read_fixes(spark, str(tmp_path / "f.csv"), "sensor_id string, datetime string, lon double, lat double").count() == 1
 
 
-def test_forward_backward_in_pieces_equals_a_loop():
-    g = np.random.default_rng(4)
-    for n in (1, 2, 3, 50, 1000):
-        log_e, log_t, log_s = g.normal(size=(n, 2)) * 3, np.log([[0.9, 0.1], [0.3, 0.7]]), np.log([0.4, 0.6])
-        e, t = np.exp(log_e), np.exp(log_t)
-        alpha, beta, total, xi = np.empty((n, 2)), np.ones((n, 2)), 0.0, np.zeros((2, 2))
-        for i in range(n):
-            a = (np.exp(log_s) if not i else alpha[i - 1] @ t) * e[i]
-            total += np.log(a.sum())
-            alpha[i] = a / a.sum()
-        for i in range(n - 2, -1, -1):
-            both = alpha[i][:, None] * t * (e[i + 1] * beta[i + 1])[None]
-            xi += both / both.sum()
-            beta[i] = t @ (e[i + 1] * beta[i + 1])
-            beta[i] /= beta[i].sum()
-        post = alpha * beta / (alpha * beta).sum(1, keepdims=True)
-        got = activity.forward_backward(log_e, log_t, log_s)
-        assert np.allclose(got[0], post) and np.allclose(got[1], xi) and got[2] == pytest.approx(total)
-
-
-def test_registered_queries_use_all_rows_and_cells(spark, monkeypatch):
+def test_registered_queries_use_all_cells(spark):
     from fieldtrace.plans import catalogue
 
-    seen, fit = [], activity.fit_hmm
-    monkeypatch.setattr(activity, "fit_hmm", lambda x: seen.append(len(x)) or fit(x))
-    got = catalogue.queries()["activity_hmm"](spark, "/root/testdata/sf0.01")
-    assert seen == [got.filter("inactive_prob is not null").count()] and seen[0] > 5000
     cells = catalogue.queries()["kde_cells"](spark, "/root/testdata/sf0.001")
     assert cells.agg(F.max("density_rank")).first()[0] > 400
 
 
-def test_hmm_fit_follows_tracks(spark, monkeypatch):
-    seen, fit = [], activity.fit_hmm
-    monkeypatch.setattr(activity, "fit_hmm", lambda x: seen.append(x) or fit(x))
-    moves = lambda s, i: (150 + 1e-3 * i * (s == "B"), -30 + 1e-5 * i + 2e-5 * (i % 3))
-    activity.gps_activity_state(table(spark, [("D", s, 60 * i, *moves(s, i)) for i in range(60) for s in "AB"]), "hmm", feature_set="step_turn")
-    far = seen[0][:, 0] > 3
-    assert far.any() and (np.diff(far.astype(int)) != 0).sum() == 1
+def test_interpolation_over_many_blocks(spark, monkeypatch):
+    g = np.random.default_rng(8)
+    times = np.sort(g.choice(20_000, 500, replace=False))
+    df = table(spark, [("D", s, int(t), float(t) / 1000 % 7, -30 if t % 11 else None) for s in "AB" for t in times])
+    wide = {(r.sensor_id, r.datetime): r for r in alignment.gps_interpolate(df, 1).collect()}
+    monkeypatch.setattr(alignment, "BLOCK_STEPS", 7)
+    assert {(r.sensor_id, r.datetime): r for r in alignment.gps_interpolate(df, 1).collect()} == wide
+    anchors = {int(t): float(t) / 1000 % 7 for t in times if t % 11}
+    for (_, when), r in wide.items():
+        t = (when - T0).total_seconds()
+        before, after = [k for k in anchors if k <= t], [k for k in anchors if k >= t]
+        if not before or not after:
+            assert r.lon is None and not r.is_interpolated
+        elif t in anchors:
+            assert r.is_observed and r.lon == anchors[t]
+        else:
+            a, b = max(before), min(after)
+            assert r.lon == pytest.approx(anchors[a] + (t - a) / (b - a) * (anchors[b] - anchors[a])) and r.interpolation_gap_s == b - a
+
+
+def test_epochs_and_texts_are_utc_in_every_session_zone(spark):
+    from fieldtrace.functions.epochs import with_epochs
+
+    text = [("D", "A", f"2024-{m:02d}-{d:02d}{sep}{h:02d}:30:07", 150.0, -30.0, k) for k, (m, d, h, sep) in enumerate((m, d, h, sep) for m in (1, 3, 10, 12) for d in (1, 6, 31) for h in (0, 2, 23) for sep in " T" if d < 31 or m != 11)]
+    df = spark.createDataFrame(text, "deployment_id string, sensor_id string, datetime string, lon double, lat double, order_col long")
+    naive = df.withColumn("datetime", F.to_timestamp_ntz(F.replace("datetime", F.lit("T"), F.lit(" "))))
+    seen = []
+    for zone in ("UTC", "Australia/Brisbane", "America/New_York", "Asia/Kathmandu"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            levels = [("day", None), ("hour", None), ("week", None), ("month", None), ("interval", 45.0)]
+            for source in (df, naive):
+                seen.append([sorted(map(tuple, with_epochs(tracks.prepare(source), level, mins).select("order_col", "epoch", *[F.unix_micros(c) for c in ("datetime", "epoch_start", "epoch_end")], "epoch_mins").collect())) for level, mins in levels])
+            out = movement.gps_movement_summary(df, "day").select("epoch", "n_fixes", F.unix_micros("epoch_start"))
+            seen[-1].append(sorted(map(tuple, out.collect())))
+            seen[-2].append(seen[-1][-1])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert all(x == seen[0] for x in seen)
+    day = {r[0]: r for r in seen[0][0]}
+    assert day[0][1] == "2024-01-01" and day[0][2] - day[0][3] == 1807 * 10**6 and {r[1] for r in seen[0][2]} >= {"2024-W01", "2025-W01", "2024-W09"}
+
+
+def test_contacts_and_counts_equal_all_pairs(spark):
+    g = np.random.default_rng(2)
+    rows_ = [("D", f"S{k:02d}", 0, 179.9995 + 0.001 * g.random() if k % 4 else -179.9999, 0.001 * g.random() + (89.999 if k % 5 == 0 else 0)) for k in range(60)]
+    rows_ += [("D", f"P{k}", 0, lon, lat) for k, (lon, lat) in enumerate([(181.0, -30.0), (181.0, -30.0001), (-179.0, -30.0001), (10.0, 95.0), (-170.0, 85.0), (float("nan"), 1.0), (0.0, None)])]
+    df = table(spark, rows_)
+    every = {r.order_col: r for r in social.gps_social(df, (20.0, 60.0)).collect()}
+    cells = {r.order_col: r for r in social.gps_neighbours_within_range(df, (20.0, 60.0)).collect()}
+    names = ("n_neighbours_within_20m", "n_neighbours_within_60m")
+    assert {k: tuple(r[n] for n in names) for k, r in cells.items()} == {k: tuple(r[n] for n in names) for k, r in every.items()}
+    assert sum(r[names[1]] for r in cells.values()) > 40 and cells[60][names[1]] == 2
+    pairs = {r.pair_id for r in social.gps_proximity(df).filter("distance_m <= 60").collect()}
+    assert {r.pair_id for r in social.gps_contacts(df, 60, max_gap_mins=1).collect()} == pairs
+
+
+def test_merge_keeps_rows_of_all_tables(spark):
+    key = "deployment_id string, epoch string"
+    a = spark.createDataFrame([("D", "1", 1.0), ("D", "1", 2.0), (None, "2", 3.0)], key + ", x double")
+    b = spark.createDataFrame([("D", "1", 5.0), ("E", "1", 6.0)], key + ", x double")
+    c = spark.createDataFrame([(None, "2", "t"), ("D", "1", "u")], key + ", y string")
+    got = {(r.deployment_id, r.epoch, r.x, r.b_x, r.y) for r in summary.merge_metric_tables({"a": a, "b": b, "c": c}).collect()}
+    assert got == {("D", "1", 1.0, 5.0, "u"), ("D", "1", 2.0, 5.0, "u"), (None, "2", 3.0, None, "t"), ("E", "1", None, 6.0, None)}
