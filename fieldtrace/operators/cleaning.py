@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -115,20 +116,34 @@ def gps_clean_speed_fixed(df: DataFrame, max_speed_mps: float = 4, groups: list[
     return _finish(marked, "speed_fixed", action, flag_col, columns, threshold=F.lit(float(max_speed_mps)), max_speed_mps=max_speed_mps)
 
 
+def _deviation_limit(counts: DataFrame, k: float) -> float | None:
+    """The limit that log speeds of the upper quarter set, by their median and its absolute deviations.
+
+    Each quantile needs the one before it, so they are found in turn; all come from the same counts of distinct speeds,
+    and only they reach the driver.
+    """
+    counts = counts.persist()
+    try:
+        q = stats.quantiles(counts, {"q": 0.75}).first()
+        if q is None or q["q"] is None:
+            return None
+        upper = counts.filter(F.col("v") >= q["q"])
+        logs = upper.select(F.log1p("v").alias("v"), "n")
+        m = stats.quantiles(logs, {"c": 0.5, "lo": 0.25, "hi": 0.75}).first()
+        away = stats.quantiles(logs.select(F.abs(F.col("v") - m["c"]).alias("v"), "n"), {"d": 0.5}).first()["d"]
+        s = 1.4826 * away if away > 0 else (m["hi"] - m["lo"]) / 1.349
+        return math.expm1(m["c"] + k * s) if s > 0 else stats.quantiles(upper, {"top": 0.995}).first()["top"]
+    finally:
+        counts.unpersist()
+
+
 def speed_threshold(speeds: DataFrame, method: str = "mad", k: float = 4, prob: float = 0.995, min_threshold_mps: float = 4) -> DataFrame:
     """One row, ``threshold_mps``: a limit that the positive speeds themselves set."""
     counts = stats.counted(speeds.filter("speed_mps > 0"), F.col("speed_mps"))
     if method == "quantile":
         found = stats.quantiles(counts, {"t": prob})
     elif method == "mad":
-        # Every quantile, also of logs and of distances, comes from the same counts of distinct speeds.
-        upper = counts.join(F.broadcast(stats.quantiles(counts, {"q": 0.75}))).filter("v >= q").drop("q")
-        logs = upper.select(F.log1p("v").alias("v"), "n")
-        middle = stats.quantiles(logs, {"c": 0.5, "lo": 0.25, "hi": 0.75})
-        away = stats.quantiles(logs.join(F.broadcast(middle)).select(F.abs(F.col("v") - F.col("c")).alias("v"), "n"), {"d": 0.5})
-        one = middle.join(F.broadcast(away)).join(F.broadcast(stats.quantiles(upper, {"top": 0.995})))
-        s = F.when(F.col("d") > 0, 1.4826 * F.col("d")).otherwise((F.col("hi") - F.col("lo")) / 1.349)
-        found = one.select(F.when(s > 0, F.expm1(F.col("c") + k * s)).otherwise(F.col("top")).alias("t"))
+        found = speeds.sparkSession.range(1).select(F.lit(_deviation_limit(counts, k)).cast("double").alias("t"))
     else:
         raise ValueError(f"unknown method {method!r}")
     return found.select(F.greatest(F.coalesce("t", F.lit(float(min_threshold_mps))), F.lit(float(min_threshold_mps))).alias("threshold_mps"))

@@ -125,10 +125,6 @@ def test_denoise_takes_the_median_of_rest(spark):
     df = table(spark, [("D", "A", 60 * i, 150 + (i % 3) * 1e-5, -30.0, "rest" if i < 6 else "walk") for i in range(12)], "activity_state string")
     r = rows(cleaning.gps_denoise(df, "state_aware").data)
     assert {x.lon for x in r[:6]} == {150 + 1e-5} and r[0].lon_raw == 150
-    y = np.sin(np.linspace(0, 3, 80)) + np.random.default_rng(0).normal(0, 0.05, 80)
-    assert np.abs(cleaning.smooth(y) - np.sin(np.linspace(0, 3, 80))).mean() < 0.03
-    long = np.sin(np.linspace(0, 3, 600)) + np.random.default_rng(0).normal(0, 0.05, 600)
-    assert np.abs(cleaning.smooth(long) - np.sin(np.linspace(0, 3, 600))).mean() < 0.03
 
 
 def test_interpolation_meets_on_one_grid(spark):
@@ -252,7 +248,7 @@ def test_activity_tells_rest_from_walking(spark, method):
 def test_maps(spark, tmp_path):
     pts = maps.gps_map(track_6(spark), max_points=3)
     assert pts.count() == 3 and rows(pts, "seq")[0].popup.startswith("<b>sensor_id:</b> A<br/>")
-    points, tails = maps.gps_playback(track_6(spark), align=False, tail_points=2)
+    points, tails = maps.gps_playback(track_6(spark), align=False, tail_points=2, smooth_movement=False)
     t = rows(tails, "seq")
     assert points.count() == 6 and len(t) == 5 and (t[0].end_time - t[0].start_time).total_seconds() == 120
     maps.write_html(pts, str(tmp_path / "m.html"))
@@ -346,3 +342,35 @@ def test_merge_keeps_rows_of_all_tables(spark):
     c = spark.createDataFrame([(None, "2", "t"), ("D", "1", "u")], key + ", y string")
     got = {(r.deployment_id, r.epoch, r.x, r.b_x, r.y) for r in summary.merge_metric_tables({"a": a, "b": b, "c": c}).collect()}
     assert got == {("D", "1", 1.0, 5.0, "u"), ("D", "1", 2.0, 5.0, "u"), (None, "2", 3.0, None, "t"), ("E", "1", None, 6.0, None)}
+
+
+def test_map_polygons_and_collections(spark, tmp_path):
+    import json
+
+    from fieldtrace.functions.shapes import from_wkt, shape_fault
+    from fieldtrace.sources.layers import paddock_table
+
+    layer = lambda *texts: paddock_table(spark.createDataFrame([(k, f"p<{k}>", t) for k, t in enumerate(texts)], "no long, name string, geometry string"), "no", "name")
+    square, hole = "(0 0, 4 0, 4 4, 0 4, 0 0)", "(1 1, 2 1, 2 2, 1 2, 1 1)"
+    good = maps.map_polygons(layer(f"POLYGON ({square}, {hole})", f"MULTIPOLYGON (({square}), ((9 9, 10 9, 9 10)))"), polygon_group="Paddocks")
+    got = [json.loads(r.value) for r in maps.polygon_features(good).orderBy("value").collect()]
+    assert {f["geometry"]["type"] for f in got} == {"Polygon", "MultiPolygon"} and {f["properties"]["label"] for f in got} == {"p<0>", "p<1>"}
+    faults = {"POINT (1 1)": "no polygon", "POLYGON EMPTY": "empty", "POLYGON ((0 0, 4 1, 4 0, 0 2, 0 0))": "crosses", "POLYGON ((0 0, 1 0, 0 0))": "three", f"POLYGON ({square}, (8 8, 9 8, 9 9, 8 8))": "hole", "POLYGON ((0 0, 4 0, 4 4, 2 0, 0 4, 0 0))": "crosses"}
+    for text, word in faults.items():
+        assert word in shape_fault(from_wkt(text)), text
+        with pytest.raises(Exception, match=word):
+            maps.map_polygons(layer(text)).collect()
+    with pytest.raises(ValueError):
+        maps.map_polygons(layer(), opacity=2)
+    df = table(spark, [("D", s, 60 * i, 150 + i * 1e-4, -30.0) for s in ("A", "B/1") for i in range(5)])
+    points, tails = maps.gps_playback(df, align=False)
+    t = rows(tails, "map_group", "seq")
+    assert t[0].start_time == t[0].movement_start and t[0].movement_end > t[0].movement_start
+    maps.write_playback(points, tails, str(tmp_path / "p"))
+    read = [json.loads("".join(f.read_text() for f in sorted(d.glob("part-*")))) for d in sorted((tmp_path / "p").glob("map_group=*"))]
+    assert [len(c["features"]) for c in read] == [9, 9] and all(c["type"] == "FeatureCollection" for c in read)
+    assert [f["geometry"]["type"] for f in read[0]["features"]] == ["LineString"] * 4 + ["Point"] * 5
+    size = maps.map_size(maps.gps_map(df), point_warning_n=9, group_warning_n=2).first()
+    assert (size.n_points, size.n_groups, size.many_points, size.many_groups) == (10, 2, True, False)
+    timed = rows(maps.timeline_points(maps.gps_map(df)), "map_group", "seq")
+    assert timed[1].time == "2024-01-01T00:01:00Z" and timed[1].time_ms - timed[0].time_ms == 60_000
