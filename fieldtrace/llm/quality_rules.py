@@ -1,8 +1,9 @@
 """Quality rules: counts of words, symbols and repeats, and robust multivariate outliers by group.
 
-The minimum covariance determinant of each (language, source) group is found by concentration steps: from medians
-and median absolute deviations, keep the ``share`` of rows nearest by Mahalanobis distance, take their mean and
-covariance, and repeat. Everything is DataFrame functions; a group's state is one row of sums.
+The minimum covariance determinant of each (language, source) group, and of each language, is found by concentration
+steps: from medians and median absolute deviations, keep the ``share`` of rows nearest by Mahalanobis distance, take their
+mean and covariance, and repeat. A group's estimate is then drawn towards its language's, the more the fewer rows it has.
+Everything is DataFrame functions; a group's state is one row of sums.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ SYMBOLS = "#*$%&|<>"
 STATISTICS = {"word_length": 0.08, "symbol_rate": 0.6, "dup_line_rate": 0.6, "repeat_rate": 0.5}
 #: Fixed values for four statistics: the 0.999999 quantile of chi-square, and the factor that makes the covariance of the nearest 75 % consistent for normal data.
 CUTOFF, CONSISTENCY = 33.38, 1.48
-SHARE, STEPS, LEAST_ROWS = 0.75, 5, 40
+SHARE, STEPS = 0.75, 5
+#: How many rows a language's estimate weighs in the estimate of each of its groups.
+PRIOR_ROWS = 40
+#: The start's medians are of statistics cut to multiples of 1 / GRAIN, of which a group has a few thousand at most.
+GRAIN = 1000
 #: Up to so many groups their estimates (a row of under 300 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -76,39 +81,35 @@ def _distance(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y_{a}") ** 2 for a in names), F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     """The base counts, ``base_failed``, the robust distance ``d2`` and ``kept`` of every row.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. Rows that pass are judged
-    against the robust mean and covariance of their (lang, source) group, null a value of its own; groups with fewer
-    than ``least_rows`` such rows are judged with the other small groups of their language, and where those have too few
-    rows as well, with those of all languages. ``kept`` is false for base failures and for d2 > cutoff.
-    Null and empty texts fail the base rules. An empty table gives an empty table; repeated rows count as often as
-    they occur.
+    against the robust mean and covariance of their (lang, source) group, null a value of its own: with ``n`` rows in its
+    core, ``n / (n + prior_rows)`` of them are the group's own and the rest is its language's, at every size.
+    ``kept`` is false for base failures and for d2 > cutoff. Null and empty texts fail the base rules; where no row of a
+    language passes, ``d2`` is null. An empty table gives an empty table; repeated rows count as often as they occur.
     """
     names = list(STATISTICS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    stats = materialise(text_counts(docs).withColumn("base_failed", failed).withColumn("tongue", part("lang")).withColumn("grp", F.concat("tongue", F.lit("\u0001"), part("source"))), "quality-counts")
     some = F.greatest(F.col("n_words"), F.lit(1))
-    # Small groups are judged with the small groups of their language, and those of small languages together.
-    sizes = stats.filter("not base_failed").groupBy("tongue", "grp").agg(F.count(F.lit(1)).alias("c"))
-    rest = sizes.filter(F.col("c") < least_rows).groupBy("tongue").agg(F.sum("c").alias("rest"))
-    level = sizes.join(rest, "tongue", "left").select("grp", F.when(F.col("c") >= least_rows, F.col("grp")).when(F.col("rest") >= least_rows, F.col("tongue")).otherwise(F.lit("")).alias("pool"))
-    level = materialise(level, "quality-groups")
-    bounded = F.broadcast if level.count() <= BROADCAST_GROUPS else lambda df: df
+    stats = text_counts(docs).withColumn("base_failed", failed).withColumn("tongue", part("lang")).withColumn("grp", F.concat("tongue", F.lit("\u0001"), part("source")))
     stats = (
-        stats.join(bounded(level), "grp", "left").withColumn("grp", F.coalesce("pool", F.lit(""))).drop("pool", "tongue")
-        .withColumn("word_length", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / some))
+        stats.withColumn("word_length", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / some))
         .withColumn("symbol_rate", F.log1p(100 * F.col("n_symbols") / some))
         .withColumn("dup_line_rate", F.log1p(20 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))))
         .withColumn("repeat_rate", F.log1p(20 * F.col("n_repeat_words") / some))
     )
     stats = materialise(stats, "quality-statistics")
-    passing = stats.filter("not base_failed").select("grp", *names)
-
-    centre = passing.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names])
-    spread = passing.join(bounded(centre), "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"l_{a}_{a}") for a in names])
+    groups = materialise(stats.select("tongue", "grp").distinct(), "quality-groups")
+    bounded = F.broadcast if groups.count() <= BROADCAST_GROUPS else lambda df: df
+    # Each passing row counts in its group and in its language.
+    passing = stats.filter("not base_failed").select(F.explode(F.array("grp", "tongue")).alias("grp"), *names)
+
+    middle = lambda x: F.percentile(F.floor(x * GRAIN), F.lit(0.5)) / GRAIN
+    centre = passing.groupBy("grp").agg(*[middle(F.col(a)).alias(f"m_{a}") for a in names])
+    spread = passing.join(bounded(centre), "grp").groupBy("grp").agg(*[middle(F.abs(F.col(a) - F.col(f"m_{a}"))).alias(f"l_{a}_{a}") for a in names])
     start = centre.join(spread, "grp")
     for i, a in enumerate(names):
         start = start.withColumn(f"l_{a}_{a}", F.sqrt((1.4826 * F.col(f"l_{a}_{a}")) ** 2 + F.lit(STATISTICS[a] ** 2)))
@@ -122,7 +123,20 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE,
         edge = cum.filter(F.coalesce(F.col("below"), F.lit(0)) < F.ceil(F.col("all") * share)).groupBy("grp").agg(F.max("bin").alias("edge"))
         nearest = near.join(bounded(edge), "grp").filter("bin <= edge")
         sums = [F.count(F.lit(1)).alias("n"), *(F.sum(a).alias(f"s_{a}") for a in names), *(F.sum(F.col(b) * F.col(a)).alias(f"p_{b}_{a}") for i, a in enumerate(names) for b in names[: i + 1])]
-        estimate = materialise(_with_factor(nearest.groupBy("grp").agg(*sums), names), f"quality-step{step}")
-    judged = _distance(stats.join(bounded(estimate), "grp", "left"), names)
+        cores = materialise(nearest.groupBy("grp").agg(*sums), f"quality-step{step}")
+        estimate = _with_factor(cores, names)
+    judged = _distance(stats.join(bounded(_with_factor(_drawn(groups, cores, names, prior_rows), names)), "grp", "left"), names)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("d2"), kept.alias("kept"))
+
+
+def _drawn(groups: DataFrame, cores: DataFrame, names: list[str], prior_rows: float) -> DataFrame:
+    """Sums of one row for each group, with the mean and covariance that are its own and its language's by share."""
+    pairs = [(b, a) for i, a in enumerate(names) for b in names[: i + 1]]
+    mean = lambda t, a: F.col(f"{t}.s_{a}") / F.col(f"{t}.n")
+    cov = lambda t, b, a: F.col(f"{t}.p_{b}_{a}") / F.col(f"{t}.n") - mean(t, a) * mean(t, b)
+    both = groups.alias("k").join(cores.alias("g"), F.col("k.grp") == F.col("g.grp"), "left").join(cores.alias("t"), F.col("k.tongue") == F.col("t.grp"))
+    w = F.coalesce(F.col("g.n") / (F.col("g.n") + F.lit(float(prior_rows))), F.lit(0.0))
+    mix = lambda f: w * F.coalesce(f("g"), F.lit(0.0)) + (1 - w) * f("t")
+    one = both.select(F.col("k.grp").alias("grp"), *[mix(lambda t, a=a: mean(t, a)).alias(f"s_{a}") for a in names], *[mix(lambda t, a=a, b=b: cov(t, b, a)).alias(f"p_{b}_{a}") for b, a in pairs])
+    return one.select("grp", F.lit(1.0).alias("n"), *[f"s_{a}" for a in names], *[(F.col(f"p_{b}_{a}") + F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"p_{b}_{a}") for b, a in pairs])

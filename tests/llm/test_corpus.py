@@ -247,7 +247,7 @@ def test_toxicity_finds_signs_at_ends_and_marks():
 
 
 def test_quality_rules(spark, docs, nothing):
-    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, least_rows=5).collect()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for k, t in enumerate(texts()):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

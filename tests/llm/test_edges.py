@@ -206,7 +206,7 @@ def test_robust_distances_against_a_loop(spark):
     assert [got[k].kept for k in keys] == (d <= quality_rules.CUTOFF).tolist() and not all(got[k].kept for k in keys)
 
 
-def test_small_groups_are_judged_by_language_first(spark):
+def test_small_groups_are_drawn_to_their_language(spark):
     rows = [(k, prose(k, 70) + (" ###" * 40 if k == 5 else ""), "en", f"s{k % 10}") for k in range(100)] + [(1000 + k, prose(k, 70) + " ###" * 40, "xx", f"t{k % 10}") for k in range(100)]
     rows += [(2000, prose(1, 70), "zz", "only"), (2000, prose(1, 70), "zz", "only")]
     got = collections.Counter((r.doc_id // 1000, r.kept) for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
