@@ -121,7 +121,12 @@ def _chunks(docs: DataFrame, pattern: str, pieces: str, buckets: int, chunk_char
             used, starts = np.unique(bucket[order], return_index=True)
             for k, a, b in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words)][: len(used)], strict=True):
                 rows.append((k, b - a, _pack_words([words[j] for j in order[a:b].tolist()]), b"", b"", b""))
-            name = f"{task}-{made}"
+            # The name tells the content: a task that is run again over rows in another order makes chunks of other names,
+            # and never meets the answers to its first run.
+            mark = hashlib.blake2b(digest_size=12)
+            for r in rows:
+                mark.update(b"%d," % r[1] + b"".join(r[2:]))
+            name = f"{task}-{made}-{mark.hexdigest()}"
             made += 1
             yield pa.RecordBatch.from_pydict({"chunk": [name] * len(rows), "bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("words", "docs", "lengths", "tokens"), 2)}})
             number.clear()
@@ -188,7 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: str = PIECES,
         tables = []
         for r in left.filter(pc.equal(left.column("bucket"), -1)).to_pylist():
             if len(sizes) != r["n"]:
-                raise ValueError("a chunk and the answers to it differ")
+                raise ValueError("a chunk and the answers to it differ: a task was run again over rows in another order")
             docs_, lengths = unzipped(r["docs"], "<i8"), unzipped(r["lengths"], "<u4")
             tokens = unzipped(r["words"], "<u4")[unzipped(r["tokens"], "<u4")].astype(np.int64)
             each = sizes[tokens]

@@ -49,10 +49,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables that ``materialise`` has written; results that are not yet written themselves are lost with them."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written_so_far() -> int:
+    """How many tables ``materialise`` has written and not dropped."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialise`` has written after the first ``since``, but the last ``keep``; results that read them are lost."""
+    gone = _written[since : len(_written) - keep]
+    for name in gone:
+        _written.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -3,8 +3,9 @@
 Shingles are ordered by rarity (documents that hold them, then hash). A set posts only its prefix: pairs that reach the
 threshold must share a shingle there. Skipping happens at two levels.
 
-* Answers: in each list, members are first compared with the most central set alone (the one that posts the shingle
-  earliest). A member that is linked to it takes over its answers: what the two have in common is never compared again.
+* Components: in each list, members are first compared with the most central set alone (the one that posts the shingle
+  earliest). A member that is linked to it joins its component, and pairs inside one are not compared. This stands in
+  place of deriving a set's list of answers from that of a similar set: components are what is returned, not links.
 * Index: what is left (members outside the list's main component) probes the lists again, cut into blocks by set size
   and position. A probe names the blocks that can still hold a partner; all others are skipped.
 

@@ -272,3 +272,17 @@ def test_op13_counts_pass_64_bits_and_empty_tables(spark, docs, folder):
     assert collocations.collocations(docs.limit(0)).count() == 0
     found = queries()["op13_collocations"](spark, folder)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and found.count() == len(plain_collocations([tuple(r) for r in docs.collect()], 100, 5, 2000))
+
+
+def test_scratch_tables_go_but_the_last(spark, tmp_path):
+    from fieldtrace.llm import common
+
+    common.drop_scratch(spark)
+    first, second = (common.materialise(spark.range(n), f"t{n}") for n in (3, 5))
+    paths = list(common._written)
+    common.drop_scratch(spark, keep=1)
+    assert common._written == paths[1:] and second.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(paths[0]).count()
+    common.drop_scratch(spark)
+    assert common._written == []
