@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrace.llm import line_dedup, mixing, ngram_join, quality_classifier
-from fieldtrace.llm.common import materialise, read_table
+from fieldtrace.llm.common import drop_scratch, materialise, read_table, written_so_far
 from fieldtrace.llm.queries import bpe_digests
 
 
@@ -60,8 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; what a stage has written on its way goes once its result is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_scratch(spark, since=before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
