@@ -64,9 +64,9 @@ def gps_regularise(df: DataFrame, interval_mins: float | str = "base", tolerance
     grp = time_groups(df, groups)
     fixes = _with_interval(_known(df, grp), grp, interval_mins).withColumn("_t", F.unix_micros("datetime"))
     tolerance = F.col("_step") / 2 if tolerance_mins is None else F.lit(float(tolerance_mins) * 60e6)
-    low = F.min("_t").over(Window.partitionBy(*grp))
-    start = (F.floor(low / F.col("_step")) * F.col("_step")).cast("long")
-    near = fixes.withColumn("_g", (start + F.rint((F.col("_t") - start) / F.col("_step")) * F.col("_step")).cast("long")).withColumn("_off", F.col("_t") - F.col("_g")).filter(F.abs("_off") <= tolerance)
+    lows = fixes.groupBy(*grp).agg(F.min("_t").alias("_low"))  # a row for each track: joined, so that no window holds one
+    start = (F.floor(F.col("_low") / F.col("_step")) * F.col("_step")).cast("long")
+    near = fixes.join(lows, grp).withColumn("_g", (start + F.rint((F.col("_t") - start) / F.col("_step")) * F.col("_step")).cast("long")).withColumn("_off", F.col("_t") - F.col("_g")).filter(F.abs("_off") <= tolerance)
     w = Window.partitionBy(*grp, "_g").orderBy(F.abs("_off"), order_col)
     extra = [c for c in df.columns if c not in {*grp, "datetime", "lon", "lat", order_col}] if keep_extra else []
     best = near.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*grp, F.col("_g").alias("_t"), "lon", "lat", *extra, F.col("datetime").alias("observed_datetime"), (F.col("_off") / 1e6).alias("time_offset_s"))
@@ -124,9 +124,8 @@ def gps_downsample(df: DataFrame, target_mins: float, method: str = "representat
     grp = time_groups(df, groups)
     step = round(target_mins * 60) * 1_000_000
     phase = round(phase_mins * 60) * 1_000_000 % step
-    track = Window.partitionBy(*grp)
-    t = F.unix_micros("datetime")
-    fixes = _known(df, grp).withColumn("_t", t).withColumns({"_t0": F.min("_t").over(track) + phase, "_t1": F.max("_t").over(track)})
+    fixes = _known(df, grp).withColumn("_t", F.unix_micros("datetime"))
+    fixes = fixes.join(fixes.groupBy(*grp).agg((F.min("_t") + phase).alias("_t0"), F.max("_t").alias("_t1")), grp)
     fixes = fixes.withColumn("_n", F.when(F.col("_t0") <= F.col("_t1"), F.floor((F.col("_t1") - F.col("_t0")) / step) + 1).otherwise(0))
     rel = (F.col("_t") - F.col("_t0")) / step
     if method == "rigid":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.shapes import Shape, parse, to_degrees
 from fieldtrace.operators.spatial import project_point
+from fieldtrace.sources.scratch import written
 
 #: Edges that a band of a part holds, about.
 BAND_EDGES = 16
@@ -180,15 +181,15 @@ def with_nearest(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: in
     """Add ``_no, _name, _kind, _d``: the nearest feature in EPSG:``crs`` and its distance, 0 inside a polygon; ties by layer order.
 
     Points look at their cell and the eight around it; those whose best is not surely nearest look again at cells four
-    times as wide, until the block of cells holds the whole layer or no point is left. A round is kept, as the next one
+    times as wide, until the block of cells holds the whole layer or no point is left. A round is written, as the next one
     and the result both read it.
     """
     marked = df.withColumns({"_qx": x, "_qy": y})
     points = marked.select("_qx", "_qy").filter("_qx is not null and _qy is not null").distinct()
-    held = with_polygon(points, F.col("_qx"), F.col("_qy"), layer, crs).persist()
+    held = written(with_polygon(points, F.col("_qx"), F.col("_qy"), layer, crs))
     kinds = layer.df.select(F.col("layer_no").alias("_no"), F.col("kind").alias("_kind"))
     inside = held.filter("_no is not null").join(kinds, "_no").select("_qx", "_qy", F.struct(F.lit(0.0).alias("d"), F.col("_no").alias("no"), F.col("_name").alias("name"), F.col("_kind").alias("kind")).alias("_best"))
-    segments = _segments(layer, crs).persist()
+    segments = written(_segments(layer, crs))
     low, high = (segments.agg(*[f(g(f"{a}1", f"{a}2")) for a in "xy"], F.count(F.lit(1))).first() for f, g in ((F.min, F.least), (F.max, F.greatest)))
     done, rest = [inside], held.filter("_no is null").select("_qx", "_qy")
     if low[0] is not None:
@@ -200,7 +201,7 @@ def with_nearest(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: in
             met = rest.withColumn("_c", F.explode(around)).select("_qx", "_qy", "_c.*").join(_pieces(segments, size), ["cx", "cy"])
             d = _segment(F.col("_qx"), F.col("_qy"), F.struct("x1", "y1", "x2", "y2"))
             best = met.groupBy("_qx", "_qy").agg(F.min(F.struct(d.alias("d"), "no", "name", "kind")).alias("_best"))
-            tried = rest.join(best, ["_qx", "_qy"], "left").withColumn("_sure", F.coalesce(F.col("_best.d") <= size, F.lit(False)) | F.lit(size >= furthest)).persist()
+            tried = written(rest.join(best, ["_qx", "_qy"], "left").withColumn("_sure", F.coalesce(F.col("_best.d") <= size, F.lit(False)) | F.lit(size >= furthest)))
             done.append(tried.filter("_sure").drop("_sure"))
             rest, size = tried.filter("not _sure").select("_qx", "_qy"), size * 4
     found = done[0]

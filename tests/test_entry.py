@@ -29,7 +29,7 @@ def test_without_the_corpus_folders(tmp_path):
     assert int(count) >= 57 and (corpus, pipeline, covered) == ("0", "False", "True")
 
 
-@pytest.mark.parametrize("missing", ["public_tokenizers", "regex", "zstandard"])
+@pytest.mark.parametrize("missing", ["public_tokenizers", "regex", "zstandard", "tiktoken", "tokenizers", "sentencepiece"])
 def test_without_a_package_of_the_corpus_operators(tmp_path, missing):
     at = copied(tmp_path)
     got = said(at, f"import sys; sys.modules[{missing!r}] = None; " + COUNT)

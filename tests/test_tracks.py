@@ -335,6 +335,17 @@ def test_contacts_and_counts_equal_all_pairs(spark):
     assert {r.pair_id for r in social.gps_contacts(df, 60, max_gap_mins=1).collect()} == pairs
 
 
+def test_nearest_neighbours_equal_all_pairs(spark):
+    g = np.random.default_rng(5)
+    near = [("D", f"S{k:02d}", 60 * (k % 3), 150 + 10.0 ** -g.integers(1, 6) * g.random(), -30 + 10.0 ** -g.integers(1, 6) * g.random()) for k in range(80)]
+    ties = [("E", f"T{k}", 0, 10.0, lat) for k, lat in enumerate((0.0, 0.001, -0.001, 0.001, 60.0))]
+    odd = [("F", "alone", 0, 1.0, 1.0), ("G", "g1", 0, None, 1.0), ("G", "g2", 0, 1.0, 1.0), ("H", "h1", 0, 0.0, 89.9), ("H", "h2", 0, 180.0, -89.9), (None, "n", 0, 1.0, 1.0), ("D", "t", None, 1.0, 1.0)]
+    df = table(spark, near + ties + odd)
+    every = {r.order_col: r for r in social.gps_social(df, ()).drop("mean_distance_to_others_m").collect()}
+    got = {r.order_col: r for r in social.gps_nearest_neighbour(df).collect()}
+    assert got == every and sum(r.nearest_neighbour_m is not None for r in got.values()) == 87
+
+
 def test_merge_keeps_rows_of_all_tables(spark):
     key = "deployment_id string, epoch string"
     a = spark.createDataFrame([("D", "1", 1.0), ("D", "1", 2.0), (None, "2", 3.0)], key + ", x double")
