@@ -335,7 +335,8 @@ def test_contacts_and_counts_equal_all_pairs(spark):
     assert {r.pair_id for r in social.gps_contacts(df, 60, max_gap_mins=1).collect()} == pairs
 
 
-def test_nearest_neighbours_equal_all_pairs(spark):
+def test_nearest_neighbours_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(social, "PAIRS_UP_TO", 0)
     g = np.random.default_rng(5)
     near = [("D", f"S{k:02d}", 60 * (k % 3), 150 + 10.0 ** -g.integers(1, 6) * g.random(), -30 + 10.0 ** -g.integers(1, 6) * g.random()) for k in range(80)]
     ties = [("E", f"T{k}", 0, 10.0, lat) for k, lat in enumerate((0.0, 0.001, -0.001, 0.001, 60.0))]
