@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from helpers import rows_of, table
 
 from fieldtrace.operators import social
+from fieldtrace.plans import catalogue
 
 
 def _metres(a, b):
@@ -34,3 +36,20 @@ def test_social_rows_equal_plain_pairs_without_a_row_for_a_pair(spark, monkeypat
         assert got["nearest_neighbour_m"] == (None if best[0] is None else pytest.approx(best[0], abs=1e-5))
         assert got["mean_distance_to_others_m"] == (pytest.approx(sum(v[0] for v in d) / len(d), rel=1e-12) if d else None)
         assert [got[f"n_neighbours_within_{t}m"] for t in (200, 1000)] == [sum(v[0] <= t for v in d) for t in (200, 1000)]
+
+
+def _against_sql(spark, tmp_path, name, events):
+    """Rows of a query over events (event_id, ts, user_id, event_type, value) and those of its SQL."""
+    con = duckdb.connect()
+    con.execute("set threads = 4")
+    con.execute(f"create table events as {events}")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    rows = con.execute(f"select {', '.join(got.columns)} from ({catalogue.oracle_sql()[name]}) q").fetchall()
+    return sorted(map(tuple, got.collect()), key=repr), sorted(rows, key=repr)
+
+
+def test_paddock_sql_counts_edges(spark, tmp_path):
+    events = "select * from (values (138113::bigint, timestamp '2024-01-12 09:58:41', 2435::bigint, 'click', 10.9e0), (7, timestamp '2024-01-12 00:00:00', 3, 'view', 1.0e0)) v(event_id, ts, user_id, event_type, value)"
+    got, want = _against_sql(spark, tmp_path, "append_paddock", events)
+    assert got == want and (138113, "south") in got
