@@ -53,3 +53,10 @@ def test_paddock_sql_counts_edges(spark, tmp_path):
     events = "select * from (values (138113::bigint, timestamp '2024-01-12 09:58:41', 2435::bigint, 'click', 10.9e0), (7, timestamp '2024-01-12 00:00:00', 3, 'view', 1.0e0)) v(event_id, ts, user_id, event_type, value)"
     got, want = _against_sql(spark, tmp_path, "append_paddock", events)
     assert got == want and (138113, "south") in got
+
+
+@pytest.mark.parametrize("name", ["contacts", "contacts_median_gap"])
+def test_contacts_sql_has_no_ties(spark, tmp_path, name):
+    events = "select i::bigint as event_id, timestamp '2024-01-01' + to_hours(((i * 7919) % 997)::int) as ts, (i % 7 * 4)::bigint as user_id, 'view' as event_type, (i * 31 % 400)::double as value from range(30000) r(i)"
+    got, want = _against_sql(spark, tmp_path, name, events)
+    assert got == want and len(got) > 10
