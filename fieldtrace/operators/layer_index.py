@@ -50,10 +50,10 @@ def _edges(rings: tuple) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 4))
 
 
-def _inside(x: float, y: float, e: np.ndarray) -> bool:
-    x1, y1, x2, y2 = e.T
-    over = (y1 > y) != (y2 > y)
-    return bool(np.count_nonzero(x < x1[over] + (y - y1[over]) * ((x2 - x1)[over] / (y2 - y1)[over])) % 2)
+def _inside(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+    x1, y1, x2, y2 = e[e[:, 1] != e[:, 3]].T
+    x, y = x[:, None], y[:, None]
+    return np.count_nonzero(((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1))), axis=1) % 2 == 1
 
 
 def _cover(e: np.ndarray, buffer: float) -> tuple[int, np.ndarray]:
@@ -67,7 +67,8 @@ def _cover(e: np.ndarray, buffer: float) -> tuple[int, np.ndarray]:
     crossed = {(cx, cy) for (ax, ay), (bx, by) in zip(first.tolist(), last.tolist(), strict=True) for cx in range(ax, bx + 1) for cy in range(ay, by + 1)}
     cells = [(*c, 0) for c in crossed]
     for cx in range(first[:, 0].min(), last[:, 0].max() + 1):
-        cells += [(cx, cy, 1) for cy in range(first[:, 1].min(), last[:, 1].max() + 1) if (cx, cy) not in crossed and _inside((cx + 0.5) * size, (cy + 0.5) * size, e)]
+        free = np.array([cy for cy in range(first[:, 1].min(), last[:, 1].max() + 1) if (cx, cy) not in crossed], np.int64)
+        cells += [(cx, cy, 1) for cy in free[_inside(np.full(len(free), (cx + 0.5) * size), (free + 0.5) * size, e)].tolist()]
     return level, np.array(cells, np.int64)
 
 
@@ -107,8 +108,10 @@ def _polygon_tables(layer: LayerTable, crs: int, buffer: float) -> tuple[DataFra
             rows = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(4)], fields=list(_EDGE)))
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(no, pa.int64()), len(which)), pa.repeat(pa.scalar(k, pa.int32()), len(which)), pa.array(which.astype(np.int32)), rows], ["no", "part", "band", "edges"])
 
-    found = layer.df.mapInArrow(cells, "level int, cx long, cy long, no long, part int, name string, inside boolean, low double, high double, bands int")
-    return found, layer.df.mapInArrow(bands_, "no long, part int, band int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    # Features are few bytes but much work: an even share for every task.
+    spread = layer.df.repartition(int(layer.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = spread.mapInArrow(cells, "level int, cx long, cy long, no long, part int, name string, inside boolean, low double, high double, bands int")
+    return found, spread.mapInArrow(bands_, "no long, part int, band int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
 
 
 def _segment(x: Column, y: Column, e: Column) -> Column:
@@ -128,26 +131,43 @@ def _holds(x: Column, y: Column, edges: Column, buffer: float) -> Column:
     return found | F.exists(edges, lambda e: _segment(x, y, e) <= buffer) if buffer > 0 else found
 
 
+def _unhidden(cells: DataFrame, levels: list[int]) -> DataFrame:
+    """Cells without those that a polygon earlier in order covers whole, in them or in a larger cell around: no point there has them first."""
+    up = lambda c, n: F.floor(F.col(c) / F.lit(2.0**n)).cast("long")
+    covered = cells.filter("inside").groupBy("level", "cx", "cy").agg(F.min("no").alias("_first"))
+    places = cells.select("level", "cx", "cy").distinct()
+    above = F.array_compact(F.array(*[F.when(F.col("level") == a, F.struct(F.lit(b).alias("level"), up("cx", b - a).alias("cx"), up("cy", b - a).alias("cy"))) for a in levels for b in levels if b >= a]))
+    asked = places.select(*[F.col(c).alias(f"_{c}") for c in ("level", "cx", "cy")], F.explode(above).alias("_c")).select("_level", "_cx", "_cy", "_c.*")
+    least = asked.join(covered, ["level", "cx", "cy"]).groupBy("_level", "_cx", "_cy").agg(F.min("_first").alias("_first"))
+    kept = cells.join(least.toDF("level", "cx", "cy", "_first"), ["level", "cx", "cy"], "left")
+    return kept.filter("_first is null or no < _first or (inside and no = _first)").drop("_first")
+
+
 def with_polygon(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: int = 4326, buffer: float = 0) -> DataFrame:
     """Add ``_no, _name``: the first polygon, in layer order, that holds a point or is within ``buffer`` of it; else null.
 
     ``x, y`` and the buffer are in EPSG:``crs``. Points meet polygons by cell, once for each level that the layer has; equal
-    points are looked up once. Where coordinates are null nothing is found.
+    points are looked up once. Where coordinates are null nothing is found. Cells are a written table, as several joins read
+    them; where polygons overlap, a point meets few more than the one found, however many hold it.
     """
     cells, bands = _polygon_tables(layer, crs, buffer)
+    cells = written(cells)
     levels = [r["level"] for r in cells.select("level").distinct().collect()]  # exponents of two: a few dozen at most
     marked = df.withColumns({"_px": x, "_py": y})
     if not levels:
         return marked.withColumns({"_no": F.lit(None).cast("long"), "_name": F.lit(None).cast("string")}).drop("_px", "_py")
+    cells = _unhidden(cells, levels)
     points = marked.select("_px", "_py").filter("_px is not null and _py is not null").distinct()
     at = lambda v, n: F.floor(F.col(v) / F.lit(2.0**n)).cast("long")
     asked = points.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), at("_px", n).alias("cx"), at("_py", n).alias("cy")) for n in levels])))
     met = asked.select("_px", "_py", "_c.*").join(cells, ["level", "cx", "cy"])
-    sure = met.filter("inside").select("_px", "_py", "no", "name")
+    sure = met.filter("inside").select("_px", "_py", "no")
     band = F.least(F.greatest(F.floor((F.col("_py") - F.col("low")) / F.col("high")), F.lit(0)), F.col("bands") - 1).cast("int")
     tested = met.filter("not inside").withColumn("band", band).join(bands, ["no", "part", "band"]).filter(_holds(F.col("_px"), F.col("_py"), F.col("edges"), buffer))
-    first = sure.union(tested.select("_px", "_py", "no", "name")).groupBy("_px", "_py").agg(F.min(F.struct("no", "name")).alias("_hit"))
-    return marked.join(first, ["_px", "_py"], "left").withColumns({"_no": F.col("_hit.no"), "_name": F.col("_hit.name")}).drop("_px", "_py", "_hit")
+    # The least number alone, as a hash aggregate holds it: a struct with a name would be sorted, candidate by candidate.
+    first = sure.union(tested.select("_px", "_py", "no")).groupBy("_px", "_py").agg(F.min("no").alias("_no"))
+    names = layer.df.select(F.col("layer_no").alias("_no"), F.col("name").alias("_name"))
+    return marked.join(first.join(names, "_no"), ["_px", "_py"], "left").drop("_px", "_py")
 
 
 def _segments(layer: LayerTable, crs: int) -> DataFrame:

@@ -109,3 +109,17 @@ def test_cells_of_a_part_stay_few():
         ring = tuple(zip((150 + 0.3 * np.cos(t)).tolist(), (-30 + 0.01 * np.sin(t)).tolist(), strict=True))
         level, cells = layer_index._cover(layer_index._edges((ring,)), 0)
         assert len(cells) <= 110 and cells[:, 2].sum() >= 0
+
+
+def test_cells_behind_an_earlier_polygon_go(spark):
+    wide = [0.01 + 2e-4 * (k * 37 % 100) for k in range(100)]
+    box = lambda w: f"POLYGON (({150 - w} {-30 - w}, {150 + w} {-30 - w}, {150 + w} {-30 + w}, {150 - w} {-30 + w}))"
+    layer = layers.paddock_table(spark.createDataFrame([(k, f"p{k}", box(w)) for k, w in enumerate(wide)], "no long, name string, geometry string"), "no", "name")
+    cells, _ = layer_index._polygon_tables(layer, 4326, 0)
+    kept = layer_index._unhidden(cells, [r.level for r in cells.select("level").distinct().collect()])
+    assert kept.filter("inside").groupBy("level", "cx", "cy").count().filter("count > 1").isEmpty()
+    assert kept.count() < cells.count() / 2
+    ways = (0, 0.00999, 0.01001, 0.01036, 0.0155, 0.0199, 0.0297, 0.0299)
+    df = table(spark, [("D", "S", 60 * i, 150 + x, -30) for i, x in enumerate(ways)])
+    got = {r.order_col: r._p for r in cleaning.with_first_polygon(df, layer, 0, 3857).collect()}
+    assert got == {i: next((f"p{k}" for k, w in enumerate(wide) if x <= w), None) for i, x in enumerate(ways)}
