@@ -21,6 +21,8 @@ from fieldtrace.sources.scratch import written
 
 #: Edges that a band of a part holds, about.
 BAND_EDGES = 16
+#: Points of a cell, and pieces of features around it, that meet in one task; how many of the points are bounded as one.
+CELL_POINTS, CELL_PIECES, _BLOCK = 65_536, 16_384, 256
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,8 @@ def _cover(e: np.ndarray, buffer: float) -> tuple[int, np.ndarray]:
     return level, np.array(cells, np.int64)
 
 
-_EDGE = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+_ENDS = ["x1", "y1", "x2", "y2"]
+_EDGE = pa.struct([(c, pa.float64()) for c in _ENDS])
 
 
 def _polygon_tables(layer: LayerTable, crs: int, buffer: float) -> tuple[DataFrame, DataFrame]:
@@ -171,20 +174,20 @@ def with_polygon(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: in
 
 
 def _segments(layer: LayerTable, crs: int) -> DataFrame:
-    """``no, name, kind, x1, y1, x2, y2``: points, pieces of paths and edges of polygons."""
+    """``no, x1, y1, x2, y2``: points, pieces of paths and edges of polygons."""
     read = layer.shapes(crs)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for no, name, kind, shape in read(batches):
+        for no, _, _, shape in read(batches):
             rings = [np.array(r, float) for r in shape.rings()]
             if shape.kind == "polygon":
                 e = _edges(tuple(tuple(map(tuple, r)) for r in rings))
             else:
                 e = np.concatenate([np.hstack([v[:-1], v[1:]]) if len(v) > 1 else np.hstack([v, v]) for v in rings]) if rings else np.empty((0, 4))
             n = len(e)
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(no, pa.int64()), n), pa.repeat(pa.scalar(name, pa.string()), n), pa.repeat(pa.scalar(kind, pa.string()), n), *(pa.array(np.ascontiguousarray(e[:, i])) for i in range(4))], ["no", "name", "kind", "x1", "y1", "x2", "y2"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(no, pa.int64()), n), *(pa.array(np.ascontiguousarray(e[:, i])) for i in range(4))], ["no", *_ENDS])
 
-    return layer.df.mapInArrow(listed, "no long, name string, kind string, x1 double, y1 double, x2 double, y2 double")
+    return layer.df.mapInArrow(listed, "no long, x1 double, y1 double, x2 double, y2 double")
 
 
 def _pieces(segments: DataFrame, size: float) -> DataFrame:
@@ -197,35 +200,90 @@ def _pieces(segments: DataFrame, size: float) -> DataFrame:
     return cut.withColumn("cx", F.explode(F.sequence(low("x"), high("x")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y")))).drop("_n", "_i").distinct()
 
 
+def _nearest_piece(at: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """For each point the place of the nearest piece in ``e``, the first of equally near ones.
+
+    Blocks of points near each other meet only pieces that can be nearest to one of them: those whose box is not further
+    from the block's box than the block's furthest corner is from an end of some piece.
+    """
+    strips = max(1, int((len(at) / _BLOCK) ** 0.5))
+    strip = np.empty(len(at), np.int64)
+    strip[np.argsort(at[:, 0])] = np.arange(len(at)) * strips // len(at)
+    order, found = np.lexsort((at[:, 1], strip)), np.empty(len(at), np.int64)
+    low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    for b in np.split(order, range(_BLOCK, len(at), _BLOCK)):
+        p = at[b]
+        first, last = p.min(0), p.max(0)
+        least = np.hypot(*np.maximum(np.maximum(low - last, first - high), 0).T)
+        most = np.minimum(*(np.hypot(*np.maximum(np.abs(v - first), np.abs(v - last)).T) for v in (e[:, :2], e[:, 2:]))).min()
+        can = np.flatnonzero(least <= most * (1 + 1e-9) + 1e-9)
+        best = np.full(len(p), np.inf)
+        for some in np.split(can, range(2048, len(can), 2048)):
+            x1, y1, x2, y2 = e[some].T
+            dx, dy, x, y = x2 - x1, y2 - y1, p[:, :1], p[:, 1:]
+            span = dx * dx + dy * dy
+            t = np.clip(((x - x1) * dx + (y - y1) * dy) / np.where(span > 0, span, np.inf), 0.0, 1.0)
+            d = np.sqrt((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2)
+            i = d.argmin(1)
+            less = d[np.arange(len(p)), i] < best
+            best[less], found[b[less]] = d[less, i[less]], some[i[less]]
+    return found
+
+
+def _met(rest: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+    """``_qx, _qy, no, d``: for each point of ``rest`` the nearest piece in its cell and the eight around it, if they hold one.
+
+    A cell's points and pieces meet in parts of bounded size; a row is made for a point and a part, not for a pair.
+    """
+    cell = [F.floor(F.col(f"_q{a}") / size).alias(f"c{a}") for a in "xy"]
+    points = rest.select("_qx", "_qy", *cell)
+    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    pieces = _pieces(segments, size).select("no", *_ENDS, around.alias("_c")).select("no", *_ENDS, "_c.*").distinct()
+    shares = lambda df, most, name: df.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+    both = shares(points, CELL_POINTS, "_parts").join(shares(pieces, CELL_PIECES, "_chunks"), ["cx", "cy"])
+    keys = ["cx", "cy", "_part", "_chunk"]
+    dealt = lambda df, by, own, ofs, other, n: df.join(both, ["cx", "cy"]).withColumns({own: F.pmod(F.xxhash64(*by), ofs), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))}).drop("_parts", "_chunks")
+    points = dealt(points, ["_qx", "_qy"], "_part", F.col("_parts"), "_chunk", "_chunks")
+    pieces = dealt(pieces, ["no", *_ENDS], "_chunk", F.col("_chunks"), "_part", "_parts")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({c: pa.array([], pa.int64() if c == "no" else pa.float64()) for c in ["_qx", "_qy", "no", *_ENDS]})
+        right = right.sort_by("no").select(["no", *_ENDS])
+        found = _nearest_piece(*(np.column_stack([t.column(c).to_numpy() for c in names]) for t, names in ((left, ["_qx", "_qy"]), (right, _ENDS))))
+        taken = right.take(pa.array(found))
+        return pa.table({"_qx": left.column("_qx"), "_qy": left.column("_qy"), **{c: taken.column(c) for c in taken.column_names}})
+
+    met = points.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInArrow(nearest, "_qx double, _qy double, no long, x1 double, y1 double, x2 double, y2 double")
+    # The distance that is given is the usual expression's.
+    d = _segment(F.col("_qx"), F.col("_qy"), F.struct(*_ENDS))
+    return met.select("_qx", "_qy", F.struct(d.alias("d"), "no").alias("_best")).groupBy("_qx", "_qy").agg(F.min("_best").alias("_best")).select("_qx", "_qy", F.col("_best.no").alias("_no"), F.col("_best.d").alias("_d"))
+
+
 def with_nearest(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: int) -> DataFrame:
     """Add ``_no, _name, _kind, _d``: the nearest feature in EPSG:``crs`` and its distance, 0 inside a polygon; ties by layer order.
 
     Points look at their cell and the eight around it; those whose best is not surely nearest look again at cells four
-    times as wide, until the block of cells holds the whole layer or no point is left. A round is written, as the next one
-    and the result both read it.
+    times as wide, until the block of cells holds the whole layer or no point is left. Points far from a cluster of features
+    meet it inside tasks, block by block. A round is written, as the next one and the result both read it.
     """
     marked = df.withColumns({"_qx": x, "_qy": y})
     points = marked.select("_qx", "_qy").filter("_qx is not null and _qy is not null").distinct()
     held = written(with_polygon(points, F.col("_qx"), F.col("_qy"), layer, crs))
-    kinds = layer.df.select(F.col("layer_no").alias("_no"), F.col("kind").alias("_kind"))
-    inside = held.filter("_no is not null").join(kinds, "_no").select("_qx", "_qy", F.struct(F.lit(0.0).alias("d"), F.col("_no").alias("no"), F.col("_name").alias("name"), F.col("_kind").alias("kind")).alias("_best"))
+    inside = held.filter("_no is not null").select("_qx", "_qy", "_no", F.lit(0.0).alias("_d"))
     segments = written(_segments(layer, crs))
     low, high = (segments.agg(*[f(g(f"{a}1", f"{a}2")) for a in "xy"], F.count(F.lit(1))).first() for f, g in ((F.min, F.least), (F.max, F.greatest)))
     done, rest = [inside], held.filter("_no is null").select("_qx", "_qy")
     if low[0] is not None:
         ends = rest.agg(*[F.max(F.greatest(F.abs(F.col(f"_q{a}") - lo), F.abs(F.col(f"_q{a}") - hi))) for a, lo, hi in zip("xy", low, high, strict=False)]).first()
         furthest = max(v or 0.0 for v in ends)
-        size = 2.0 ** int(np.ceil(np.log2(max(high[0] - low[0], high[1] - low[1], 1e-6) / max(1.0, low[2] ** 0.5))))
+        size = 2.0 ** int(np.ceil(np.log2(max(high[0] - low[0], high[1] - low[1], 1e-6) / max(1.0, (low[2] / 64) ** 0.5))))  # cells of about 64 pieces
         while not rest.isEmpty():
-            around = F.array(*[F.struct((F.floor(F.col("_qx") / size) + i).alias("cx"), (F.floor(F.col("_qy") / size) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-            met = rest.withColumn("_c", F.explode(around)).select("_qx", "_qy", "_c.*").join(_pieces(segments, size), ["cx", "cy"])
-            d = _segment(F.col("_qx"), F.col("_qy"), F.struct("x1", "y1", "x2", "y2"))
-            best = met.groupBy("_qx", "_qy").agg(F.min(F.struct(d.alias("d"), "no", "name", "kind")).alias("_best"))
-            tried = written(rest.join(best, ["_qx", "_qy"], "left").withColumn("_sure", F.coalesce(F.col("_best.d") <= size, F.lit(False)) | F.lit(size >= furthest)))
+            tried = written(rest.join(_met(rest, segments, size), ["_qx", "_qy"], "left").withColumn("_sure", F.coalesce(F.col("_d") <= size, F.lit(False)) | F.lit(size >= furthest)))
             done.append(tried.filter("_sure").drop("_sure"))
             rest, size = tried.filter("not _sure").select("_qx", "_qy"), size * 4
     found = done[0]
     for more in done[1:]:
         found = found.union(more)
-    out = marked.join(found, ["_qx", "_qy"], "left")
-    return out.withColumns({"_no": F.col("_best.no"), "_name": F.col("_best.name"), "_kind": F.col("_best.kind"), "_d": F.col("_best.d")}).drop("_qx", "_qy", "_best")
+    names = layer.df.select(F.col("layer_no").alias("_no"), F.col("name").alias("_name"), F.col("kind").alias("_kind"))
+    return marked.join(found.join(names, "_no", "left"), ["_qx", "_qy"], "left").drop("_qx", "_qy")

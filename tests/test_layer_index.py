@@ -123,3 +123,21 @@ def test_cells_behind_an_earlier_polygon_go(spark):
     df = table(spark, [("D", "S", 60 * i, 150 + x, -30) for i, x in enumerate(ways)])
     got = {r.order_col: r._p for r in cleaning.with_first_polygon(df, layer, 0, 3857).collect()}
     assert got == {i: next((f"p{k}" for k, w in enumerate(wide) if x <= w), None) for i, x in enumerate(ways)}
+
+
+def test_points_far_from_a_cluster_meet_it_in_parts(spark, monkeypatch):
+    """No row for a pair of a point and a feature: a round's rows are those of points, in parts of a few."""
+    r = random.Random(11)
+    monkeypatch.setattr(layer_index, "CELL_POINTS", 40)
+    monkeypatch.setattr(layer_index, "CELL_PIECES", 30)
+    monkeypatch.setattr(layer_index, "_BLOCK", 8)
+    at = [(r.random() * 5, r.random() * 5) for _ in range(200)]
+    features = at + at[:40] + [(3000.0, -500.0)]
+    points = [(100 + r.random() * 300, 100 + r.random() * 300) for _ in range(300)] + at[:20]
+    layer = layer_index.LayerTable(spark.createDataFrame([(k, f"r{k}", None, f"POINT ({x!r} {y!r})") for k, (x, y) in enumerate(features)], "layer_no long, name string, kind string, geometry string"), 3857)
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "k long, x double, y double")
+    found = layer_index.with_nearest(df, F.col("x"), F.col("y"), layer, 3857).collect()
+    want = {k: min((math.hypot(x - a, y - b), no) for no, (a, b) in enumerate(features)) for k, (x, y) in enumerate(points)}
+    assert len(found) == len(points)
+    for row in found:
+        assert row._d == pytest.approx(want[row.k][0], abs=1e-6) and row._name == f"r{want[row.k][1]}"
