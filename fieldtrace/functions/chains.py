@@ -7,7 +7,7 @@ apart, and only their matrices meet.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -113,3 +113,52 @@ def best_path(log_e: np.ndarray, log_t: np.ndarray, log_s: np.ndarray, begins: b
     if len(plus) > 1:
         path[:-1] = suffixes(back, _composed)[1:, end]
     return path
+
+
+def packed(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole sequences side by side, longest first: the row of each step (steps by sequences) and how many have that step.
+
+    Where a sequence has ended, its last row stands.
+    """
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
+    k = 0
+    while k < len(order):
+        n = int(lengths[order[k]])
+        which = order[k : k + max(1, most // n)]
+        steps_ = np.arange(n)[:, None]
+        yield starts[which] + np.minimum(steps_, lengths[which] - 1), (steps_ < lengths[which]).sum(1)
+        k += len(which)
+
+
+def whole_posteriors(log_e: np.ndarray, have: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """State probabilities, expected steps between states and log likelihood of packed sequences (steps, sequences, states)."""
+    t, top = np.exp(log_t), log_e.max(2)
+    e = np.exp(log_e - top[:, :, None])
+    ahead, weight, scale = np.empty_like(e), np.full_like(e, 0.5), np.ones(top.shape)
+    moved, there = np.zeros((2, 2)), np.arange(e.shape[1]) < have[:, None]
+    for i, n in enumerate(have):
+        a = np.exp(log_s) * e[0] if i == 0 else (ahead[i - 1, :n] @ t) * e[i, :n]
+        scale[i, :n] = a.sum(1)
+        ahead[i, :n] = a / scale[i, :n, None]
+        ahead[i, n:] = 0.5
+    for i in range(len(have) - 2, -1, -1):
+        n = have[i + 1]
+        weight[i, :n] = _unit((e[i + 1, :n] * weight[i + 1, :n]) @ t.T)
+    if len(have) > 1:
+        step = ahead[:-1, :, :, None] * t * (e[1:] * weight[1:])[:, :, None, :]
+        moved = (step / step.sum((2, 3), keepdims=True))[there[1:]].sum(0)
+    return _unit(ahead * weight), moved, float((np.log(np.maximum(scale, 1e-300)) + top)[there].sum())
+
+
+def whole_paths(log_e: np.ndarray, have: np.ndarray, log_t: np.ndarray, log_s: np.ndarray) -> np.ndarray:
+    """The most likely states of packed sequences."""
+    back, score = np.zeros(log_e.shape, np.int64), log_s + log_e[0]
+    for i in range(1, len(have)):
+        n = have[i]
+        plus = score[:n, :, None] + (log_t + log_e[i, :n, None, :])
+        back[i, :n], score[:n] = plus.argmax(1), plus.max(1)
+    path = np.tile(score.argmax(1), (len(have), 1))
+    for i in range(len(have) - 2, -1, -1):
+        n = have[i + 1]
+        path[i, :n] = back[i + 1][np.arange(n), path[i + 1, :n]]
+    return path

@@ -1,7 +1,7 @@
 """Active and inactive states from movement: mixture models and hidden Markov smoothing.
 
-Fits are rounds of aggregates over all rows; what returns to the driver is the state of two components. Sequences are
-worked on in blocks of rows (``functions.chains``): no task holds a whole track.
+Fits are rounds of aggregates over all rows; what returns to the driver is the state of two components. Sequences
+that fit into a block are worked on side by side, others in blocks of rows (``functions.chains``): no task holds a longer track.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +114,10 @@ def fit_mixture(rows: DataFrame, names: list[str], max_iter: int = 200, tol: flo
 
 
 def _sequences(rows: DataFrame, groups: list[str], order_col: str) -> DataFrame:
-    """Add ``_seq`` (a run of usable or of unusable rows of a track), ``_no`` (place in the track), ``_begins``, ``_block``."""
+    """Add ``_seq`` (a run of usable or of unusable rows of a track), ``_no`` (place in the track), ``_begins``, ``_ends``, ``_block``."""
     track = Window.partitionBy(*groups).orderBy("datetime", order_col)
-    begins = F.coalesce(F.col("_ok") != F.lag("_ok").over(track), F.lit(True))
-    out = rows.withColumns({"_begins": begins, "_no": F.row_number().over(track)})
+    begins, ends = (F.coalesce(F.col("_ok") != f("_ok").over(track), F.lit(True)) for f in (F.lag, F.lead))
+    out = rows.withColumns({"_begins": begins, "_ends": ends, "_no": F.row_number().over(track)})
     return out.withColumns({"_seq": F.sum(F.col("_begins").cast("long")).over(track.rowsBetween(Window.unboundedPreceding, 0)), "_block": F.floor(F.col("_no") / BLOCK_ROWS)})
 
 
@@ -173,8 +174,35 @@ def _decoded(rows: DataFrame, groups: list[str], log_t: np.ndarray, log_s: np.nd
     return both.applyInArrow(decode, f"{_kinds(rows, rows.columns)}, _p0 double, _path int")
 
 
-def _rounds(own: list[str], sums: list[str], log_t: np.ndarray, log_s: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[Callable, Callable]:
-    """What a round of Baum-Welch does with blocks of features: their matrices, and, once carried, their expectations."""
+def _decoded_whole(rows: DataFrame, log_t: np.ndarray, log_s: np.ndarray) -> DataFrame:
+    """The same as ``_decoded`` for rows of tracks that fit into a block, in the order of ``_sequences``: many side by side."""
+
+    def answered(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        log_e = np.stack([table.column(c).to_numpy() for c in ("_e0", "_e1")], 1)
+        begins = np.flatnonzero(table.column("_begins").to_numpy())
+        p0, path = np.empty(len(log_e)), np.empty(len(log_e), np.int32)
+        for at, have in chains.packed(np.diff(begins, append=len(log_e))):
+            there = np.arange(at.shape[1]) < have[:, None]
+            p0[at[there]] = chains.whole_posteriors(log_e[at], have, log_t, log_s)[0][there][:, 0]
+            path[at[there]] = chains.whole_paths(log_e[at], have, log_t, log_s)[there]
+        yield from table.append_column("_p0", pa.array(p0)).append_column("_path", pa.array(path)).to_batches()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            ends = np.flatnonzero(b.column("_ends").to_numpy(zero_copy_only=False))
+            if len(ends):  # the sequence that begins last may go on in the next batch
+                yield from answered([*held, b.slice(0, ends[-1] + 1)])
+                held, b = [], b.slice(ends[-1] + 1)
+            if b.num_rows:
+                held.append(b)
+
+    return rows.mapInArrow(decode, f"{_kinds(rows, rows.columns)}, _p0 double, _path int")
+
+
+def _rounds(own: list[str], sums: list[str], log_t: np.ndarray, log_s: np.ndarray, mean: np.ndarray, var: np.ndarray) -> tuple[Callable, Callable, Callable]:
+    """What a round of Baum-Welch does with blocks of features: their matrices, and, once carried, their expectations; or both at once."""
 
     def emissions(x: np.ndarray) -> np.ndarray:
         return -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(2)
@@ -195,28 +223,47 @@ def _rounds(own: list[str], sums: list[str], log_t: np.ndarray, log_s: np.ndarra
             out.append(np.concatenate([[ll], first, moved.reshape(-1), post.sum(0), (post[:, :, None] * off).sum(0).reshape(-1), (post[:, :, None] * off**2).sum(0).reshape(-1)]))
         return pa.table(dict(zip(sums, np.array(out).reshape(-1, len(sums)).T, strict=True)))
 
-    return products, expected
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same sums for blocks that are whole sequences, many side by side."""
+        for b in batches:
+            x, n = b.column("_x").flatten().to_numpy().reshape(-1, mean.shape[1]), pc.list_value_length(b.column("_x")).to_numpy() // mean.shape[1]
+            log_e, out = emissions(x), []
+            for at, have in chains.packed(n):
+                post, moved, ll = chains.whole_posteriors(log_e[at], have, log_t, log_s)
+                there = np.arange(at.shape[1]) < have[:, None]
+                p, off = post[there], x[at[there]][:, None, :] - mean[None]
+                out.append(np.concatenate([[ll], post[0].sum(0), moved.reshape(-1), p.sum(0), np.einsum("rk,rkj->kj", p, off).reshape(-1), np.einsum("rk,rkj->kj", p, off**2).reshape(-1)]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in np.sum(out, 0)], sums)
+
+    return products, expected, whole
 
 
 def fit_hmm(rows: DataFrame, names: list[str], groups: list[str], max_iter: int = 100, tol: float = 1e-4, self_prob: float = 0.95) -> dict:
     """Two-state Gaussian HMM by Baum-Welch over all sequences, with Dirichlet priors of 1, and 5 for staying.
 
-    ``rows`` are usable rows with ``_seq, _block, _no, _begins``. A round sends matrices of blocks, carries them along each
-    sequence, and sums expectations of blocks; blocks of features are kept between rounds.
+    ``rows`` are usable rows with ``_seq, _block, _no, _begins, _ends``. Sequences inside one block give their expectations
+    at once. For the others a round sends matrices of blocks, carries them along each sequence, and sums expectations of
+    blocks. Blocks of features are kept between rounds.
     """
     mean, var = _start(rows, names)
     trans, start, last, d = np.array([[self_prob, 1 - self_prob], [1 - self_prob, self_prob]]), np.array([0.5, 0.5]), -np.inf, len(names)
     keys = [*groups, "_seq"]
     own = [*keys, "_block"]
     listed = F.sort_array(F.collect_list(F.struct("_no", F.array(*names).alias("x"))))
-    blocks = rows.groupBy(*own).agg(F.max("_begins").alias("_begins"), listed.alias("_x")).select(*own, "_begins", F.flatten("_x.x").alias("_x")).repartition(*own).persist()
+    blocks = rows.groupBy(*own).agg(F.max("_begins").alias("_begins"), (F.max("_begins") & F.max("_ends")).alias("_whole"), listed.alias("_x")).select(*own, "_begins", "_whole", F.flatten("_x.x").alias("_x")).repartition(*own).persist()
     sums = ["ll", *[f"s{k}" for k in (0, 1)], *[f"t{i}{k}" for i in (0, 1) for k in (0, 1)], *[f"n{k}" for k in (0, 1)], *[f"{a}{k}_{j}" for a in "mv" for k in (0, 1) for j in range(d)]]
     kinds = _kinds(blocks, own)
+    one_block, more = blocks.filter("_whole").select("_x"), blocks.filter("not _whole")
     try:
+        parted = not more.isEmpty()
         for _ in range(max_iter):
-            products, expected = _rounds(own, sums, np.log(trans), np.log(start), mean, var)
-            carried = _carried(blocks.mapInArrow(products, f"{kinds}, _product array<double>, _plus array<double>"), keys)
-            got = blocks.groupBy(*own).cogroup(carried.groupBy(*own)).applyInArrow(expected, ", ".join(f"{c} double" for c in sums))
+            products, expected, whole = _rounds(own, sums, np.log(trans), np.log(start), mean, var)
+            columns = ", ".join(f"{c} double" for c in sums)
+            got = one_block.mapInArrow(whole, columns)
+            if parted:
+                carried = _carried(more.mapInArrow(products, f"{kinds}, _product array<double>, _plus array<double>"), keys)
+                got = got.union(more.groupBy(*own).cogroup(carried.groupBy(*own)).applyInArrow(expected, columns))
             one = np.array(got.agg(*[F.sum(c) for c in sums]).first(), float)
             now, begun, moved, n = one[0], one[1:3], one[3:7].reshape(2, 2), one[7:9] + 1e-12
             trans = moved + np.array([[4.0, 0.0], [0.0, 4.0]]) + 1e-9
@@ -269,7 +316,7 @@ def gps_activity_state(
     keep = [c for c in rows.columns if c not in {*names, "_ok"}]
     if method == "hmm":
         rows = _sequences(rows, grp, order_col)
-    fit = rows.filter("_ok").select(*grp, *names, order_col, *(["_seq", "_block", "_no", "_begins"] if method == "hmm" else [])).persist()
+    fit = rows.filter("_ok").select(*grp, *names, order_col, *(["_seq", "_block", "_no", "_begins", "_ends"] if method == "hmm" else [])).persist()
     try:
         n = fit.count()
         if n < MIN_ROWS:
@@ -302,7 +349,13 @@ def gps_activity_state(
         p = F.least(F.greatest(F.col(inactive_prob_col), F.lit(1e-12)), F.lit(1 - 1e-12))
         emitted = _sequences(rows, grp, order_col).withColumns({"_e0": F.log(p), "_e1": F.log(1 - p)})
     usable = emitted.filter("_ok").drop(*names, "_ok", inactive_prob_col)
-    done = _decoded(usable, grp, log_t, log_s)
+    # A table of the tracks that don't fit into a block: a row for each BLOCK_ROWS rows at most.
+    long = df.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= BLOCK_ROWS).drop("_n")
+    if long.isEmpty():
+        done = _decoded_whole(usable, log_t, log_s)
+    else:
+        short, parted = (join_by(usable, F.broadcast(long), grp, how) for how in ("left_anti", "left_semi"))
+        done = _decoded_whole(short, log_t, log_s).unionByName(_decoded(parted, grp, log_t, log_s))
     if method == "hmm" and min_run_n > 1:
         done = long_runs(done, grp, min_run_n)
     at = idle if method == "hmm" else 0

@@ -256,3 +256,19 @@ def test_kernel_density_in_parts_equals_one_sum(spark, monkeypatch):
         assert parts[k].kde_density == pytest.approx(r.kde_density, rel=1e-9)
     for s in "ABC":
         assert sum(r.cell_probability for k, r in whole.items() if k[0] == s) == pytest.approx(1)
+
+
+def test_whole_sequences_side_by_side_equal_one_after_the_other():
+    g = np.random.default_rng(4)
+    lengths = np.array([1, 7, 3, 40, 7, 2])
+    starts, log_e = np.cumsum(lengths) - lengths, 3 * g.normal(size=(lengths.sum(), 2))
+    log_t, log_s = np.log([[0.9, 0.1], [0.3, 0.7]]), np.log([0.6, 0.4])
+    post, path, moved, ll = np.empty_like(log_e), np.empty(len(log_e), int), np.zeros((2, 2)), 0.0
+    for at, have in chains.packed(lengths, 50):
+        there = np.arange(at.shape[1]) < have[:, None]
+        p, m, one = chains.whole_posteriors(log_e[at], have, log_t, log_s)
+        post[at[there]], path[at[there]] = p[there], chains.whole_paths(log_e[at], have, log_t, log_s)[there]
+        moved, ll = moved + m, ll + one
+    want = [forward_backward(log_e[s : s + n], log_t, log_s) for s, n in zip(starts, lengths, strict=True)]
+    assert np.allclose(post, np.concatenate([x[0] for x in want])) and np.allclose(moved, sum(x[1] for x in want)) and np.isclose(ll, sum(x[2] for x in want))
+    assert path.tolist() == [int(v) for s, n in zip(starts, lengths, strict=True) for v in viterbi(log_e[s : s + n], log_t, log_s)]
