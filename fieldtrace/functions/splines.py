@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
+from fieldtrace.functions.chains import packed
+
 #: Penalties that are tried, for points one apart.
 PENALTIES = np.logspace(-4, 6, 60)
 
@@ -79,3 +83,51 @@ def fit(x: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
     one = np.array([lam])
     q, factors = _factored(x, one)
     return _fitted(y, one, q, factors)[:, 0]
+
+
+@lru_cache(maxsize=16)
+def _even(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors for points one apart; those of fewer points are their beginnings."""
+    return _factored(np.arange(n, dtype=float), PENALTIES)[1]
+
+
+@lru_cache(maxsize=4096)
+def _even_leverage(n: int) -> np.ndarray:
+    x = np.arange(n, dtype=float)
+    return _leverages(PENALTIES, *_factored(x, PENALTIES)).sum(0)
+
+
+def smoothed(y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Splines along many sequences of four or more points, one apart, that stand one behind the other in ``y``, side by side.
+
+    Each takes the penalty of least generalised cross-validation, by the same steps as ``scores`` and ``fit``.
+    """
+    out = np.empty(len(y))
+    for at, have in packed(lengths, 1 << 14):
+        n, there = len(at), np.arange(at.shape[1]) < have[:, None]
+        size = there.sum(0)
+        value = np.where(there, y[at], 0.0)
+        middle = value.sum(0) / size
+        value = np.where(there, value - middle, 0.0)
+        d, e, f = (c[: n - 2] for c in _even(1 << int(n - 1).bit_length()))
+        z = np.where(there[2:], value[:-2] - 2 * value[1:-1] + value[2:], 0.0)[:, :, None].repeat(len(PENALTIES), 2)
+        for i in range(1, n - 2):
+            z[i] -= e[i - 1] * z[i - 1]
+            if i > 1:
+                z[i] -= f[i - 2] * z[i - 2]
+        z /= d[:, None]
+        z[~there[2:]] = 0.0
+        for i in range(n - 4, -1, -1):
+            k = have[i + 2]  # what comes behind a sequence's end is 0
+            z[i, :k] -= e[i] * z[i + 1, :k]
+            if i < n - 4:
+                z[i, :k] -= f[i] * z[i + 2, :k]
+        bent = np.zeros((*value.shape, len(PENALTIES)))
+        for k, w in enumerate((1.0, -2.0, 1.0)):
+            bent[k : k + n - 2] += w * z
+        bent *= PENALTIES
+        loose = np.maximum(1 - np.stack([_even_leverage(int(v)) for v in size]) / size[:, None], 1e-9)
+        best = ((bent**2).sum(0) / size[:, None] / loose / loose).argmin(1)
+        fitted = middle + (value - bent[:, np.arange(len(size)), best])
+        out[at[there]] = fitted[there]
+    return out

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,6 +228,8 @@ def gps_clean_spatial(df: DataFrame, polygons: Polygons, buffer_m: float = 100,
 #: Points of a track that one smoothing block is for, and those of its neighbours that it looks at on each side: a point's
 #: weight falls by e with every 45 points or less for the largest penalty.
 BLOCK_POINTS, OVERLAP_POINTS = 4096, 1024
+#: Rows of a track up to which it is smoothed as a whole, beside others.
+WHOLE_POINTS = 4096
 
 
 def _splined(rows: DataFrame, keys: list[str], order_col: str) -> DataFrame:
@@ -269,12 +272,83 @@ def _splined(rows: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     return values.groupBy(order_col).agg(*[F.max(F.when(F.col("_c") == c, F.col("_v"))).alias(f"_{c}") for c in ("lon", "lat")])
 
 
+def _middles(v: np.ndarray, run: np.ndarray, runs: int) -> np.ndarray:
+    """The median of the finite values of each run; NaN where there are none."""
+    ok = np.isfinite(v)
+    v, run = v[ok], run[ok]
+    n = np.bincount(run, minlength=runs)
+    first, v = np.cumsum(n) - n, v[np.lexsort((v, run))]
+    some, out = np.flatnonzero(n), np.full(runs, np.nan)
+    out[some] = 0.5 * v[(first + (n - 1) // 2)[some]] + 0.5 * v[(first + n // 2)[some]]
+    return out
+
+
+def _denoised_runs(table: pa.Table) -> pa.Table:
+    """Whole runs of rows (from ``_begins`` on) with smoothed coordinates; idle runs at their median."""
+    begins, idle = (table.column(c).to_numpy() for c in ("_begins", "_idle"))
+    starts = np.flatnonzero(begins)
+    n, run, idle = np.diff(starts, append=len(begins)), np.cumsum(begins) - 1, idle[starts]
+    values = {c: table.column(c).to_numpy() for c in ("lon", "lat")}
+    middle = {c: _middles(v, run, len(n)) for c, v in values.items()}
+    rest = idle & ~np.isnan(middle["lon"]) & ~np.isnan(middle["lat"])
+    for c, v in values.items():
+        ok = np.isfinite(v)
+        have = np.add.reduceat(ok.astype(np.int64), starts)
+        low, high = np.minimum.reduceat(np.where(ok, v, np.inf), starts), np.maximum.reduceat(np.where(ok, v, -np.inf), starts)
+        bent = ~idle & (have > 3) & (high > low)
+        even, new = bent & (have == n), np.where(rest, middle[c], np.nan)[run]
+        rows = even[run]
+        new[rows] = splines.smoothed(v[rows], n[even])
+        for k in np.flatnonzero(bent & ~even):  # points that miss others between them
+            own = slice(starts[k], starts[k] + n[k])
+            x, y, at = np.flatnonzero(ok[own]).astype(float), v[own][ok[own]], starts[k] + np.flatnonzero(ok[own])
+            rss, leverage = splines.scores(x, y - y.mean(), np.ones(len(x), bool))
+            score = rss / len(x) / np.maximum(1 - leverage / len(x), 1e-9) ** 2
+            new[at] = y.mean() + splines.fit(x, y - y.mean(), splines.PENALTIES[score.argmin()])
+        i = table.column_names.index(c)
+        table = table.set_column(i, c, pc.coalesce(pa.array(new, mask=~(rest | bent)[run] | np.isnan(new)), table.column(c).combine_chunks()))
+    return table.drop_columns(["_begins", "_idle"])
+
+
+def _denoised(rows: DataFrame) -> DataFrame:
+    """Rows of tracks that fit into a block, in the order of their tracks, with coordinates smoothed run by run, many runs at once."""
+
+    def denoised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("_begins").to_numpy(zero_copy_only=False))
+            if len(starts):  # the run that begins last may go on in the next batch
+                held.append(b.slice(0, starts[-1]))
+                if sum(h.num_rows for h in held):
+                    yield from _denoised_runs(pa.Table.from_batches(held).combine_chunks()).to_batches()
+                b, held = b.slice(starts[-1]), []
+            held.append(b)
+        if held:
+            yield from _denoised_runs(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    kept = rows.drop("_begins", "_idle")
+    return rows.mapInArrow(denoised, kept.schema)
+
+
+def _denoised_long(raw: DataFrame, grp: list[str], order_col: str) -> DataFrame:
+    """The same for longer tracks, in blocks."""
+    w = Window.partitionBy(*grp).orderBy("datetime", order_col)
+    raw = raw.withColumns({"_no": F.row_number().over(w), "_change": F.coalesce((F.col("_idle") != F.lag("_idle").over(w)).cast("int"), F.lit(1))})
+    raw = raw.withColumn("_run", F.sum("_change").over(w)).drop("_change")
+    rest = raw.filter("_idle").groupBy(*grp, "_run").agg(*[F.median(geo.finite(F.col(c))).alias(f"_mid_{c}") for c in ("lon", "lat")])
+    raw = join_by(raw, rest, [*grp, "_run"], "left")
+    both = F.col("_mid_lon").isNotNull() & F.col("_mid_lat").isNotNull()
+    raw = raw.withColumns({c: F.when(both, F.col(f"_mid_{c}")).otherwise(F.col(c)) for c in ("lon", "lat")}).drop("_mid_lon", "_mid_lat")
+    smooth = _splined(raw.filter(~F.col("_idle")), [*grp, "_run"], order_col)
+    return raw.join(smooth, order_col, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("lon", "lat")})
+
+
 def gps_denoise(df: DataFrame, method: str = "statistical", state_col: str | None = None, inactive_states: tuple[str, ...] = INACTIVE, groups: list[str] | None = None, keep_raw_coords: bool = True, order_col: str = ORDER) -> Cleaned:
     """Smooth coordinates along each track: a spline, or with states the median of each inactive run and a spline elsewhere.
 
     The spline is the cubic smoothing spline over the rows' places in their track (or active run). Rows of a null group,
     and tracks with under four finite points, stay as they are; so does an inactive run without a finite median of both
-    coordinates. Tracks are worked on in blocks.
+    coordinates. Tracks that fit into a block are worked on many at once, longer ones in blocks.
     """
     df = with_order(prepare(df), order_col)
     grp = track_groups(df, groups)
@@ -282,25 +356,24 @@ def gps_denoise(df: DataFrame, method: str = "statistical", state_col: str | Non
     known = F.lit(True)
     for c in grp:
         known = known & F.col(c).isNotNull()
-    w = Window.partitionBy(*grp).orderBy("datetime", order_col)
     if method == "state_aware":
         require(df, state_col or "activity_state")
         state = F.lower(F.trim(F.col(state_col or "activity_state").cast("string")))
         idle = F.coalesce(state.isin(*inactive_states), F.lit(False)) & known
-        raw = raw.withColumn("_idle", idle).withColumn("_no", F.row_number().over(w))
-        raw = raw.withColumn("_change", F.coalesce((F.col("_idle") != F.lag("_idle").over(w)).cast("int"), F.lit(1)))
-        raw = raw.withColumn("_run", F.sum("_change").over(w)).drop("_change")
-        rest = raw.filter("_idle").groupBy(*grp, "_run").agg(*[F.median(geo.finite(F.col(c))).alias(f"_mid_{c}") for c in ("lon", "lat")])
-        raw = join_by(raw, rest, [*grp, "_run"], "left")
-        both = F.col("_mid_lon").isNotNull() & F.col("_mid_lat").isNotNull()
-        raw = raw.withColumns({c: F.when(both, F.col(f"_mid_{c}")).otherwise(F.col(c)) for c in ("lon", "lat")}).drop("_mid_lon", "_mid_lat")
     elif method == "statistical":
-        raw = raw.withColumns({"_idle": F.lit(False), "_run": F.lit(0).cast("long"), "_no": F.row_number().over(w)})
+        idle = F.lit(False)
     else:
         raise ValueError(f"unknown method {method!r}")
-    smooth = _splined(raw.filter(known & ~F.col("_idle")), [*grp, "_run"], order_col)
-    done = raw.join(smooth, order_col, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("lon", "lat")}).select(*raw.columns).drop("_no")
-    out = done.drop("_idle", "_run") if keep_raw_coords else done.drop("_idle", "_run", "lon_raw", "lat_raw")
+    w = Window.partitionBy(*grp).orderBy("datetime", order_col)
+    # A table of the tracks that are longer: a row for each WHOLE_POINTS rows at most.
+    long = df.filter(known).groupBy(*grp).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE_POINTS).drop("_n")
+    whole = long.isEmpty()
+    short = raw if whole else join_by(raw, F.broadcast(long), grp, "left_anti")
+    begins = F.coalesce(F.col("_idle") != F.lag("_idle").over(w), F.lit(True)) | ~known
+    done = _denoised(short.withColumn("_idle", idle).withColumn("_begins", begins)).select(*raw.columns)
+    if not whole:
+        done = done.unionByName(_denoised_long(join_by(raw, F.broadcast(long), grp, "left_semi").withColumn("_idle", idle), grp, order_col).select(*raw.columns))
+    out = done if keep_raw_coords else done.drop("lon_raw", "lat_raw")
     none = out.limit(0)
     return Cleaned(out, none, none, _audit(df, "denoise", "adjust", F.lit(False), notes=method).withColumn("action", F.lit("adjust")), {"method": method})
 

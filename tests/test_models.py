@@ -272,3 +272,30 @@ def test_whole_sequences_side_by_side_equal_one_after_the_other():
     want = [forward_backward(log_e[s : s + n], log_t, log_s) for s, n in zip(starts, lengths, strict=True)]
     assert np.allclose(post, np.concatenate([x[0] for x in want])) and np.allclose(moved, sum(x[1] for x in want)) and np.isclose(ll, sum(x[2] for x in want))
     assert path.tolist() == [int(v) for s, n in zip(starts, lengths, strict=True) for v in viterbi(log_e[s : s + n], log_t, log_s)]
+
+
+def test_splines_side_by_side_equal_one_after_the_other():
+    g = np.random.default_rng(5)
+    lengths = np.array([4, 30, 5, 300, 4])
+    y = np.cumsum(g.normal(size=lengths.sum())) + 150
+    got, starts = splines.smoothed(y, lengths), np.cumsum(lengths) - lengths
+    for s, n in zip(starts, lengths, strict=True):
+        x, own = np.arange(n, dtype=float), y[s : s + n] - y[s : s + n].mean()
+        rss, leverage = splines.scores(x, own, np.ones(n, bool))
+        k = (rss / n / np.maximum(1 - leverage / n, 1e-9) ** 2).argmin()
+        assert np.allclose(got[s : s + n], y[s : s + n].mean() + splines.fit(x, own, splines.PENALTIES[k]), atol=1e-10)
+
+
+def test_short_tracks_are_smoothed_together_as_long_ones_by_themselves(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    lon = [math.nan if k % 29 == 3 else None if k % 31 == 7 else 150 + 1e-3 * g.normal() for k in range(240)]
+    df = table(spark, [("D", None if k % 5 == 4 else "ABCD"[k % 5], 60 * k, lon[k], -30 + 1e-3 * g.normal(), ("rest", "walk")[g.random() < 0.8]) for k in range(240)], "state string").repartition(3)
+    run = lambda *a: [(r.order_col, r.lon, r.lat, r.lon_raw) for r in rows_of(cleaning.gps_denoise(df, *a).data)]
+    methods = [(), ("state_aware", "state", ("rest",))]
+    with monkeypatch.context() as m:
+        m.setattr(cleaning, "_splined", None)  # no group of its own for a track or run
+        short = [run(*a) for a in methods]
+    monkeypatch.setattr(cleaning, "WHOLE_POINTS", 0)
+    for a, got in zip(methods, short, strict=True):
+        for x, y in zip(got, run(*a), strict=True):
+            assert all(u is v is None or u == pytest.approx(v, abs=1e-9, nan_ok=True) for u, v in zip(x, y, strict=True))
