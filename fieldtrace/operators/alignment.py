@@ -79,7 +79,7 @@ def gps_interpolate(df: DataFrame, interval_mins: float | str = "base", groups:
     """Linear interpolation at grid times between the fixes around them; never beyond the first or last fix.
 
     Segments are always tracks of their own. Anchors are fixes with valid coordinates, the first of each time. Grid and
-    anchors meet in blocks of a track's time; running windows find the anchors around a row inside its block, and a table
+    the anchors next to its times meet in blocks of a track's time; running windows find the anchors around a row inside its block, and a table
     of blocks carries the nearest ones over from other blocks. Work is linear in rows, and no task holds a whole track.
     """
     if {"is_observed", "is_interpolated"} <= set(df.columns):
@@ -90,7 +90,11 @@ def gps_interpolate(df: DataFrame, interval_mins: float | str = "base", groups:
     fixes = _with_interval(_known(df, grp), grp, interval_mins).withColumn("_t", F.unix_micros("datetime"))
     extra = [c for c in df.columns if c not in {*grp, "datetime", "lon", "lat", order_col}] if keep_extra else []
     held = ["lon", "lat", *extra]
-    anchors = fixes.filter(valid_coordinate(F.col("lon"), F.col("lat"))).select(*grp, "_t", "_step", F.struct(order_col, *held).alias("_fix"), F.lit(False).alias("_grid"))
+    anchors = fixes.filter(valid_coordinate(F.col("lon"), F.col("lat"))).groupBy(*grp, "_step", "_t").agg(F.min_by(F.struct(order_col, *held), order_col).alias("_fix"))
+    # Of the anchors of a grid step only the first and the last are next to a grid time: a block holds as many rows as steps.
+    ends = anchors.groupBy(*grp, "_step", F.floor(F.col("_t") / F.col("_step")).alias("_g")).agg(*[f(F.struct("_t", "_fix"), "_t").alias(n) for n, f in (("_first", F.min_by), ("_last", F.max_by))])
+    ends = ends.select(*grp, "_step", F.explode(F.when(F.col("_first._t") == F.col("_last._t"), F.array("_first")).otherwise(F.array("_first", "_last"))).alias("_end"))
+    anchors = ends.select(*grp, F.col("_end._t").alias("_t"), "_step", F.col("_end._fix").alias("_fix"), F.lit(False).alias("_grid"))
     both = _grid(fixes, grp).withColumn("_grid", F.lit(True)).unionByName(anchors, allowMissingColumns=True).withColumn("_block", _block(F.col("_t")))
     both = both.repartition(*grp, "_block")  # the grouping and the windows below keep to it
     merged = both.groupBy(*grp, "_block", "_t").agg(F.max("_grid").alias("_grid"), F.min_by("_fix", f"_fix.{order_col}").alias("_fix"))

@@ -386,3 +386,14 @@ def test_map_polygons_and_collections(spark, tmp_path):
     assert (size.n_points, size.n_groups, size.many_points, size.many_groups) == (10, 2, True, False)
     timed = rows(maps.timeline_points(maps.gps_map(df)), "map_group", "seq")
     assert timed[1].time == "2024-01-01T00:01:00Z" and timed[1].time_ms - timed[0].time_ms == 60_000
+
+
+def test_interpolation_keeps_two_anchors_a_grid_step_however_many_fixes(spark, monkeypatch):
+    """Many fixes inside one step, two at its last time: blocks get the first and the last, and the first row of equal times."""
+    rows = [("D", "A", 60 * k / 100, 150 + k * 1e-6, -30.0) for k in range(1000)] + [("D", "A", 599.4, 151.0, -31.0), ("D", "A", 1800, 150.5, -30.5)]
+    df, held = table(spark, rows), []
+    union = type(df).unionByName
+    monkeypatch.setattr(type(df), "unionByName", lambda a, b, **k: (held.append(b), union(a, b, **k))[1])
+    out = alignment.gps_interpolate(df, 10).orderBy("datetime").collect()
+    assert [round(r.lon, 9) for r in out] == [150.0, round(150.000999 + (600 - 599.4) / (1800 - 599.4) * (150.5 - 150.000999), 9), round(150.000999 + (1200 - 599.4) / (1800 - 599.4) * (150.5 - 150.000999), 9), 150.5]
+    assert held[0].count() == 3
