@@ -60,3 +60,20 @@ def test_contacts_sql_has_no_ties(spark, tmp_path, name):
     events = "select i::bigint as event_id, timestamp '2024-01-01' + to_hours(((i * 7919) % 997)::int) as ts, (i % 7 * 4)::bigint as user_id, 'view' as event_type, (i * 31 % 400)::double as value from range(30000) r(i)"
     got, want = _against_sql(spark, tmp_path, name, events)
     assert got == want and len(got) > 10
+
+
+@pytest.mark.parametrize("part", [5, 16_384])
+def test_counts_and_nearest_meet_cells_inside_tasks(spark, monkeypatch, part):
+    monkeypatch.setattr(social, "PAIRS_UP_TO", 0)
+    monkeypatch.setattr(social, "PART_ASKS", part)
+    rng = random.Random(7)
+    rows = [("D1", f"S{k % 90:02d}", 60 * (k % 2), 150 + 0.02 * round(rng.random(), 2 + k % 3), -30 + 0.02 * round(rng.random(), 2 + k % 3)) for k in range(400)]
+    rows += [("D2", f"T{k}", 0, 179.99995 - 359.9999 * (k % 2), 0.0005 * k) for k in range(9)] + [("D3", "U1", 0, 0.0, 0.0), ("D3", "U2", 0, 180.0, 0.0), ("D3", "U3", 0, None, 0.0), ("D4", "V", 0, 1.0, 1.0)]
+    df = table(spark, rows)
+    every, counts, near = rows_of(social.gps_social(df, (40.0, 250.0))), social.gps_neighbours_within_range(df, (40.0, 250.0)), social.gps_nearest_neighbour(df)
+    # A join of fixes with fixes made a row for each pair.
+    assert "rank_b" not in counts._jdf.queryExecution().toString()
+    for other in (counts, near):
+        names = [c for c in other.columns if c not in df.columns]
+        assert [tuple(r[n] for n in names) for r in rows_of(other)] == [tuple(r[n] for n in names) for r in every]
+    assert sum(r["n_neighbours_within_40m"] for r in every) > 100
