@@ -177,38 +177,58 @@ def gps_kde(
 ) -> DataFrame:
     """Kernel density cells by group and epoch, with flags for the cells that make up each percentage of use.
 
-    The density is exact. A part of at most PART_POINTS of a group's points gives one sum a cell, and sums of parts add up:
-    no task holds a whole group.
+    The density is exact. A group of at most PART_POINTS points becomes its result inside one task, so its grid is never shuffled.
+    A part of a larger group gives one sum a cell, and sums of parts add up: no task holds more points of a group, nor more cells than a grid has.
     """
     level, mins = resolve_epoch(epoch, epoch_mins)
     pts, by, crs = _points(df, level, mins, groups, metric_crs)
     band = (float(bandwidth_m),) * 2 if isinstance(bandwidth_m, (int, float)) else bandwidth_m
     grids = _grids(pts, by, band, cell_size_m, max_cells).filter(F.col("n_fixes") >= min_fixes)
-    own = [f"_k{i}" for i in range(len(by))]
-    part = F.pmod(F.xxhash64("_x", "_y", "datetime"), F.ceil(F.col("n_fixes") / PART_POINTS))
-    rows = join_by(pts.select(*by, "_x", "_y", "datetime"), grids, by).withColumn("_part", part).drop("datetime")
+    own, grid = [f"_k{i}" for i in range(len(by))], ["n_fixes", "_bx", "_by", "_c", "_gx", "_gy"]
+    share = None if keep_all else max(percent) / 100
+    # Groups go by names of their own: a column of the result may be called as one of them.
+    rows = join_by(pts.select(*by, "_x", "_y", "datetime"), grids, by).withColumn("_parts", F.ceil(F.col("n_fixes") / PART_POINTS)).withColumnsRenamed(dict(zip(by, own, strict=True)))
+
+    def same(table: pa.Table, columns: list[str], n: int) -> dict[str, pa.Array]:
+        return {k: pa.chunked_array([pa.repeat(table.column(k)[0], n)]) for k in columns}
+
+    def ranked(table: pa.Table, ix: np.ndarray, iy: np.ndarray, z: np.ndarray) -> pa.Table:
+        """The cells of a grid in order of use, with their shares; those beyond the largest percentage go."""
+        n, c, gx, gy = (table.column(k)[0].as_py() for k in ("n_fixes", "_c", "_gx", "_gy"))
+        x, y, density = ix * c + gx, iy * c + gy, z / n
+        total = density.sum()
+        order = np.lexsort((y, x, -density)) if total > 0 else np.zeros(0, np.int64)
+        probability = density[order] / total
+        cumulative = np.cumsum(probability)
+        if share is not None:
+            kept = cumulative - probability < share
+            order, probability, cumulative = order[kept], probability[kept], cumulative[kept]
+            rank = np.flatnonzero(kept) + 1
+        else:
+            rank = np.arange(len(order)) + 1
+        values = {"density_rank": rank, "cell_centre_x": x[order], "cell_centre_y": y[order], "kde_density": density[order], "cell_probability": probability, "cumulative_probability": cumulative}
+        return pa.table({**same(table, [*own, *grid], len(order)), **{k: pa.array(v) for k, v in values.items()}})
+
+    def whole(table: pa.Table) -> pa.Table:
+        return ranked(table, *_kernel_sums(table))
 
     def sums(table: pa.Table) -> pa.Table:
         ix, iy, z = _kernel_sums(table)
-        same = {k: pa.chunked_array([pa.repeat(table.column(c)[0], len(z))]) for k, c in zip(own, by, strict=True)}
-        return pa.table({**same, "_ix": pa.array(ix.astype(np.int32)), "_iy": pa.array(iy.astype(np.int32)), "_z": pa.array(z)})
-
-    kinds = ", ".join(f"{k} {pts.schema[c].dataType.simpleString()}" for k, c in zip(own, by, strict=True))
-    cells = rows.groupBy(*by, "_part").applyInArrow(sums, f"{kinds}, _ix int, _iy int, _z double").groupBy(*own, "_ix", "_iy").agg(F.sum("_z").alias("_z"))
-    cells = cells.select(*[F.col(k).alias(c) for k, c in zip(own, by, strict=True)], "_ix", "_iy", "_z")
-    out = join_by(cells, grids, by).select(
-        *by, "n_fixes", (F.col("_ix") * F.col("_c") + F.col("_gx")).alias("cell_centre_x"), (F.col("_iy") * F.col("_c") + F.col("_gy")).alias("cell_centre_y"), (F.col("_z") / F.col("n_fixes")).alias("kde_density"),
-        F.col("_bx").alias("bandwidth_x_m"), F.col("_by").alias("bandwidth_y_m"), F.col("_c").alias("cell_size_m"),
-    )
-    group = Window.partitionBy(*by)  # the cells of one grid
-    ranked = group.orderBy(F.desc("kde_density"), "cell_centre_x", "cell_centre_y")
-    out = out.withColumn("_total", F.sum("kde_density").over(group)).filter("_total > 0").withColumn("cell_probability", F.col("kde_density") / F.col("_total"))
-    out = out.withColumns({"density_rank": F.row_number().over(ranked).cast("long"), "cumulative_probability": F.sum("cell_probability").over(ranked.rowsBetween(Window.unboundedPreceding, 0))})
-    out = out.select(*by, "n_fixes", "density_rank", "cell_centre_x", "cell_centre_y", "kde_density", "cell_probability", "cumulative_probability", "bandwidth_x_m", "bandwidth_y_m", "cell_size_m")
+        return pa.table({**same(table, [*own, *grid], len(z)), "_ix": pa.array(ix.astype(np.int32)), "_iy": pa.array(iy.astype(np.int32)), "_z": pa.array(z)})
+
+    def added(table: pa.Table) -> pa.Table:
+        return ranked(table, *(table.column(k).to_numpy() for k in ("_ix", "_iy", "_z")))
+
+    kinds = _schema(rows, [*own, *grid])
+    shape = f"{kinds}, density_rank long, cell_centre_x double, cell_centre_y double, kde_density double, cell_probability double, cumulative_probability double"
+    part = F.pmod(F.xxhash64("_x", "_y", "datetime"), F.col("_parts"))
+    few = rows.filter("_parts = 1").groupBy(*own).applyInArrow(whole, shape)
+    parts = rows.filter("_parts > 1").withColumn("_part", part).groupBy(*own, "_part").applyInArrow(sums, f"{kinds}, _ix int, _iy int, _z double")
+    many = parts.groupBy(*own, *grid, "_ix", "_iy").agg(F.sum("_z").alias("_z")).groupBy(*own).applyInArrow(added, shape)
+    out = few.unionByName(many).withColumnsRenamed(dict(zip(own, by, strict=True)))
+    out = out.select(*by, "n_fixes", "density_rank", "cell_centre_x", "cell_centre_y", "kde_density", "cell_probability", "cumulative_probability", F.col("_bx").alias("bandwidth_x_m"), F.col("_by").alias("bandwidth_y_m"), F.col("_c").alias("cell_size_m"))
     before = F.col("cumulative_probability") - F.col("cell_probability")
     out = out.withColumns({f"in_kde{p:g}": before < p / 100 for p in percent})
-    if not keep_all:
-        out = out.filter(before < max(percent) / 100)
     lon, lat = unproject(F.col("cell_centre_x"), F.col("cell_centre_y"), crs)
     out = out.withColumns({"cell_centre_lon": lon, "cell_centre_lat": lat, "metric_crs": F.lit(f"EPSG:{crs}")})
     if return_geometry:

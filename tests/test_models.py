@@ -299,3 +299,20 @@ def test_short_tracks_are_smoothed_together_as_long_ones_by_themselves(spark, mo
     for a, got in zip(methods, short, strict=True):
         for x, y in zip(got, run(*a), strict=True):
             assert all(u is v is None or u == pytest.approx(v, abs=1e-9, nan_ok=True) for u, v in zip(x, y, strict=True))
+
+
+def test_density_of_a_group_becomes_its_result_in_one_task(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    df = table(spark, [("D1", f"S{k % 3}", k, 150 + g.random() / 1e3, -30 + g.random() / 1e3) for k in range(90)])
+    run = lambda: {(r.sensor_id, r.density_rank): r for r in spatial.gps_kde(df, epoch="month", metric_crs=3857, max_cells=300).collect()}
+    plan = spatial.gps_kde(df, epoch="month", metric_crs=3857)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # a window over all cells shuffled every grid
+    one = run()
+    monkeypatch.setattr(spatial, "PART_POINTS", 7)
+    parts = run()
+    assert set(one) == set(parts) and {k[0] for k in one} == {"S0", "S1", "S2"}
+    for k, r in one.items():
+        assert (r.cell_centre_x, r.cell_centre_y) == (parts[k].cell_centre_x, parts[k].cell_centre_y)
+        assert (r.kde_density, r.cumulative_probability) == pytest.approx((parts[k].kde_density, parts[k].cumulative_probability), rel=1e-12)
+    last = {s: max(r.cumulative_probability - r.cell_probability for k, r in one.items() if k[0] == s) for s in ("S0", "S1", "S2")}
+    assert all(0.9 < v < 0.95 for v in last.values())
