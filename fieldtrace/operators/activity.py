@@ -89,23 +89,40 @@ def _log_density(names: list[str], mean: np.ndarray, var: np.ndarray, k: int) ->
     return out
 
 
+def _mixture_round(sums: list[str], weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> Callable:
+    """What a round of expectation maximisation adds up over the rows of a task: one row, however many rows there are."""
+    base = np.log(weight) - 0.5 * np.log(2 * np.pi * var).sum(1)
+
+    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sums))
+        for b in batches:
+            off = np.stack([c.to_numpy() for c in b.columns])[None] - mean[:, :, None]
+            square = off * off
+            logs = base[:, None] - 0.5 * np.einsum("kjn,kj->kn", square, 1 / var)
+            both = np.logaddexp(*logs)
+            share = np.exp(logs - both)
+            total += np.concatenate([[b.num_rows, both.sum()], share.sum(1), np.einsum("kn,kjn->kj", share, off).reshape(-1), np.einsum("kn,kjn->kj", share, square).reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], sums)
+
+    return expected
+
+
 def fit_mixture(rows: DataFrame, names: list[str], max_iter: int = 200, tol: float = 1e-5) -> dict:
-    """Two diagonal Gaussians by expectation maximisation: one aggregate over all rows a round.
+    """Two diagonal Gaussians by expectation maximisation: one aggregate over all rows a round, from a row of sums for each task.
 
     Starts from the halves at the median of the first feature; stops when the mean log likelihood moves by less than ``tol``.
     """
     mean, var = _start(rows, names)
     weight, last, d = np.array([0.5, 0.5]), -np.inf, len(names)
+    sums = ["n", "ll", *[f"n{k}" for k in (0, 1)], *[f"{a}{k}_{j}" for a in "mv" for k in (0, 1) for j in range(d)]]
+    columns = ", ".join(f"{c} double" for c in sums)
+    known = rows.select(*[F.col(c).cast("double") for c in names]).dropna()
     for _ in range(max_iter):
-        logs = rows.select(*names, *[(_log_density(names, mean, var, k) + float(np.log(weight[k]))).alias(f"_l{k}") for k in (0, 1)])
-        both = F.greatest("_l0", "_l1") + F.log1p(F.exp(-F.abs(F.col("_l0") - F.col("_l1"))))
-        shares = logs.withColumn("_all", both).select("_all", *names, *[F.exp(F.col(f"_l{k}") - F.col("_all")).alias(f"_r{k}") for k in (0, 1)])
-        off = lambda k, j: F.col(names[j]) - float(mean[k, j])  # noqa: B023, E731
-        one = shares.agg(
-            F.avg("_all"), *[F.sum(f"_r{k}") for k in (0, 1)], *[F.sum(F.col(f"_r{k}") * off(k, j)) for k in (0, 1) for j in range(d)], *[F.sum(F.col(f"_r{k}") * off(k, j) * off(k, j)) for k in (0, 1) for j in range(d)]
-        ).first()
-        now, n = one[0], np.array(one[1:3]) + 1e-12
-        moved, square = (np.array(one[3 + i * 2 * d : 3 + (i + 1) * 2 * d]).reshape(2, d) / n[:, None] for i in (0, 1))
+        # The numbers of a round go with the function: as literals they had the aggregate compiled anew each time.
+        got = known.mapInArrow(_mixture_round(sums, weight, mean, var), columns)
+        one = np.array(got.agg(*[F.sum(c) for c in sums]).first(), float)
+        now, n = one[1] / one[0], one[2:4] + 1e-12
+        moved, square = (one[4 + i * 2 * d : 4 + (i + 1) * 2 * d].reshape(2, d) / n[:, None] for i in (0, 1))
         weight, mean, var = n / n.sum(), mean + moved, np.maximum(square - moved**2, MIN_VAR)
         if abs(now - last) < tol:
             break

@@ -316,3 +316,20 @@ def test_density_of_a_group_becomes_its_result_in_one_task(spark, monkeypatch):
         assert (r.kde_density, r.cumulative_probability) == pytest.approx((parts[k].kde_density, parts[k].cumulative_probability), rel=1e-12)
     last = {s: max(r.cumulative_probability - r.cell_probability for k, r in one.items() if k[0] == s) for s in ("S0", "S1", "S2")}
     assert all(0.9 < v < 0.95 for v in last.values())
+
+
+def test_a_round_of_a_mixture_is_a_row_of_sums_for_each_task(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.normal(0, 0.3, (300, 2)), g.normal(3, 0.8, (200, 2))])
+    rows, rounds = spark.createDataFrame([*map(tuple, x.tolist()), (None, 1.0)], "a double, b double").repartition(3), []
+    plain = activity._mixture_round
+
+    def seen(*a):
+        rounds.append(a)
+        return plain(*a)
+
+    monkeypatch.setattr(activity, "_mixture_round", seen)
+    model = activity.fit_mixture(rows, ["a", "b"], tol=1e-9)
+    assert len(rounds) > 2 and model["weight"] == pytest.approx([0.6, 0.4], abs=0.01) and model["mean"][1] == pytest.approx(x[300:].mean(0), abs=0.05)
+    logs = np.stack([np.log(w) - 0.5 * (np.log(2 * np.pi * v) + (x - m) ** 2 / v).sum(1) for w, m, v in zip(model["weight"], model["mean"], model["var"])])
+    assert model["log_likelihood"] == pytest.approx(np.logaddexp(*logs).mean(), abs=1e-6)
