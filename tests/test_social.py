@@ -77,3 +77,12 @@ def test_counts_and_nearest_meet_cells_inside_tasks(spark, monkeypatch, part):
         names = [c for c in other.columns if c not in df.columns]
         assert [tuple(r[n] for n in names) for r in rows_of(other)] == [tuple(r[n] for n in names) for r in every]
     assert sum(r["n_neighbours_within_40m"] for r in every) > 100
+
+
+def test_pairs_are_dealt_by_herd_and_time_however_small_the_file(spark):
+    n = 40
+    df = table(spark, [("D1", f"S{k:03d}", 3600 * t, 0.0, k * 1e-4) for t in range(24) for k in range(n)])
+    pairs = social.gps_proximity(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a broadcast join would make all pairs in the tasks of the file
+    assert pairs.count() == pairs.select("datetime", "pair_id").distinct().count() == 24 * n * (n - 1) // 2
