@@ -1,7 +1,8 @@
 """Phrase collocations: counts of all phrases from one count of longest windows, summed by a roll-up.
 
 Every word begins one window of five; its lead columns are padded where the piece ends. A phrase occurs where a window
-begins with it, so only longest windows are counted, and a ROLLUP over their columns sums every shorter prefix.
+begins with it, so only longest windows are counted, and a ROLLUP over their columns sums every shorter prefix. Counts of
+tasks meet packed, by buckets of windows, so the roll-up gets one row for each window, however many tasks hold it.
 
 Phrases below the least count are of no use, nor is any phrase that holds one. So words, pairs, triples and fours are counted
 by hash first, each where its shorter parts are frequent, and windows are padded from the end of the longest prefix on
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import materialise
+from fieldtrace.llm.common import materialise, shuffle_partitions, unzipped, zipped
 
 #: Capitals fold to small letters, a tab is a space, and a full stop stands for everything that ends a piece.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
@@ -127,12 +129,13 @@ def _marked(docs: DataFrame, bits: np.ndarray, size: int, least: int, map_bits:
 
 
 def windows(docs: DataFrame, frequent: np.ndarray, longest: int = 5, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``lang, w1, ..., n``: longest windows with counts, a row for each distinct one of a chunk; '' pads.
+    """``lang, w1, ..., n``: longest windows with counts, a row for each; '' pads.
 
     A window is padded from the end of its piece on, or of its longest prefix that may be frequent. One whose first word is
-    rare is all padding: its words still count for the language.
+    rare is all padding: its words still count for the language. A chunk packs its counts for each bucket of windows, and
+    a bucket adds them up.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent, buckets = docs.sparkSession.sparkContext.broadcast(frequent), np.uint64(2 * shuffle_partitions(docs.sparkSession))
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +164,35 @@ def windows(docs: DataFrame, frequent: np.ndarray, longest: int = 5, chunk_bytes
                     which = keys[which] // v
                 columns = [np.concatenate([a, b]) for a, b in zip(columns, [which, *reversed(tail)], strict=True)]
                 counts = np.concatenate([counts, n])
-            table = pa.array(words, pa.binary()).cast(pa.string())
-            for k in range(0, len(counts), _ROWS):
-                part = [table.take(pa.array(c[k : k + _ROWS])) for c in columns]
-                n = counts[k : k + _ROWS].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *part, pa.array(n)], ["lang", *names, "n"])
+            key = h[columns[0]]
+            for c in columns[1:]:
+                key = _joined(key, h[c])
+            bucket = (key % buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            held, starts = np.unique(bucket[order], return_index=True)
+            packed = []
+            for own in np.split(order, starts[1:]):
+                used, places = np.unique(np.concatenate([[0], *(c[own] for c in columns)]), return_inverse=True)
+                packed.append((zstandard.ZstdCompressor(level=1).compress(b" ".join([words[c] for c in used])), zipped(places[1:].astype("<u4")), zipped(counts[own].astype("<i8"))))
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([lang] * len(held), pa.string()), *(pa.array(x, pa.binary()) for x in zip(*packed, strict=True))], ["bucket", "lang", "words", "places", "n"])
+
+    def added(table: pa.Table) -> pa.Table:
+        langs, number, parts = defaultdict(), defaultdict(), []
+        langs.default_factory, number.default_factory = langs.__len__, number.__len__
+        for r in table.select(["lang", "words", "places", "n"]).to_batches(max_chunksize=1_000):
+            for lang, words, places, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                split = zstandard.ZstdDecompressor().decompress(words).split(b" ")
+                own = np.fromiter(map(number.__getitem__, split), np.int32, len(split))
+                n = unzipped(n, "<i8")
+                parts.append([np.full(len(n), langs[lang], np.int32), *own[unzipped(places, "<u4")].reshape(longest, -1), n])
+        one = pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], names=["lang", *names, "n"])
+        one = one.group_by(["lang", *names], use_threads=False).aggregate([("n", "sum")])
+        strings = pa.array(list(number), pa.binary()).cast(pa.string())
+        return pa.table([pa.array(list(langs), pa.string()).take(one.column("lang")), *(strings.take(one.column(c)) for c in names), one.column("n_sum")], names=["lang", *names, "n"])
 
     schema = ", ".join(f"{c} string" for c in ["lang", *names])
-    return _texts(docs).mapInArrow(counted, f"{schema}, n long")
+    packed = _texts(docs).mapInArrow(counted, "bucket long, lang string, words binary, places binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(added, f"{schema}, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int = 5, map_bits: int = MAP_BITS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -264,6 +264,13 @@ def test_collocations_against_a_plain_version(docs, rows, least, longest, top, b
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, least, longest, top)
 
 
+def test_windows_have_one_row_however_many_chunks_hold_them(docs):
+    bits = collocations.frequent_map(docs, 3, 4, 12, 2_000)
+    found, whole = (collocations.windows(docs, bits, 5, size) for size in (2_000, 16_000_000))
+    rows = sorted(map(tuple, found.collect()))
+    assert len({r[:-1] for r in rows}) == len(rows) and rows == sorted(map(tuple, whole.collect()))
+
+
 def test_op13_counts_pass_64_bits_and_empty_tables(spark, docs, folder):
     big = 10**14
     counts = spark.createDataFrame([("en", 0, [], big), ("en", 1, ["a"], 3 * 10**12), ("en", 1, ["b"], 7 * 10**11), ("en", 2, ["a", "b"], 5 * 10**11)], "lang string, size int, words array<string>, f long")
