@@ -4,9 +4,11 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
-from helpers import rows_of, table
+from helpers import T0, rows_of, table
 
+from fieldtrace.functions import meetings
 from fieldtrace.operators import social
 from fieldtrace.plans import catalogue
 
@@ -86,3 +88,67 @@ def test_pairs_are_dealt_by_herd_and_time_however_small_the_file(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a broadcast join would make all pairs in the tasks of the file
     assert pairs.count() == pairs.select("datetime", "pair_id").distinct().count() == 24 * n * (n - 1) // 2
+
+
+def _plain_runs(fixes, metres, max_gap):
+    """Runs (pair, number, first, last, fixes, distances) and gaps of (herd, track, time, lon, lat), by a loop over all pairs."""
+    met, gaps, out = {}, [], []
+    for k, (h, s, t, *p) in enumerate(fixes):
+        for g, r, u, *q in fixes[:k]:
+            if h == g and t == u and None not in (h, t, *p, *q) and all(map(math.isfinite, p + q)) and (d := _metres(p, q)) <= metres:
+                met.setdefault((h, *sorted((s, r))), []).append((t, d))
+    for pair, rows in met.items():
+        number, run = 0, []
+        for t, d in [*sorted(rows), (None, None)]:
+            if run and t is not None and t > run[-1][0]:
+                gaps.append(t - run[-1][0])
+            if run and (t is None or t - run[-1][0] > max_gap):
+                number, run = number + 1, out.append((*pair, number + 1, run[0][0], run[-1][0], len(run), [v for _, v in run])) or []
+            run.append((t, d))
+    return sorted(out), sorted(gaps)
+
+
+def _met_often(rng):
+    near = [("D1", f"S{k % 9}", 60 * rng.randrange(40), 150 + 0.02 * rng.random(), -30 + 0.02 * rng.random()) for k in range(600)]
+    edge = [("D2", f"T{k % 3}", 60 * (k // 4), 179.9999 if k % 2 else -179.9999 - 360 * (k % 3), 0.001 * (k % 5)) for k in range(60)]
+    pole = [("D3", f"U{k}", 0, 90.0 * k, 89.9999) for k in range(4)] + [("D3", "U9", 0, 0.0, 90.0001)]
+    return near + edge + pole + [("D1", "S1", 0, None, -30.0), ("D1", "S2", 0, float("nan"), -30.0), (None, "S1", 0, 150.0, -30.0), ("D1", "S1", None, 150.0, -30.0), ("D4", "V", 0, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("piece", [3, 40, 1_000_000])
+def test_runs_go_on_from_piece_to_piece(monkeypatch, piece):
+    monkeypatch.setattr(meetings, "PIECE_PAIRS", piece)
+    rows = [r for r in _met_often(random.Random(3)) if r[0] == "D1" and None not in r and math.isfinite(r[3])]
+    want, gaps = _plain_runs(rows, 900, 300)
+    names = sorted({r[1] for r in rows})
+    own = np.array([names.index(r[1]) for r in rows])
+    for sides in (np.full(len(rows), 2), own % 2):
+        fixes = meetings.Fixes(*(np.array([r[k] for r in rows], t) for k, t in ((2, np.int64),)), own, *(np.array([r[k] for r in rows]) for k in (3, 4)), sides)
+        got = sorted((*("D1", *(names[v] for v in divmod(p, len(names)))), *map(int, v[:4])) for f in meetings.runs(fixes.near(900), lambda g: g > 300) for p, *v in zip(*f, strict=True))
+        counted = {}
+        for v, n in meetings.gaps(fixes.near(900)):
+            for a, b in zip(v.tolist(), n.tolist(), strict=True):
+                counted[a] = counted.get(a, 0) + b
+        if sides[0] == 2:
+            assert got == [w[:-1] for w in want] and counted == {g: gaps.count(g) for g in gaps}
+        else:
+            assert got == [w[:-1] for w in want if (names.index(w[1]) + names.index(w[2])) % 2]
+
+
+@pytest.mark.parametrize("block", [30, 262_144])
+@pytest.mark.parametrize("gap", [5, None])
+def test_contacts_equal_plain_pairs_without_a_row_for_a_pair(spark, monkeypatch, block, gap):
+    monkeypatch.setattr(social, "BLOCK_FIXES", block)
+    rows = _met_often(random.Random(4))
+    limit = 60 * gap if gap else np.median(_plain_runs(rows, 900, 1e9)[1])
+    want, _ = _plain_runs(rows, 900, limit)
+    found = social.gps_contacts(table(spark, rows), 900, max_gap_mins=gap)
+    # A join of fixes with fixes made a row for each pair, which was shuffled by its tracks.
+    assert "rank_b" not in found._jdf.queryExecution().toString()
+    got = sorted(found.collect(), key=lambda r: (r.deployment_id, r.sensor_id_a, r.sensor_id_b, r.contact_event_id))
+    second = lambda t: (t - T0).total_seconds()
+    assert [(r.deployment_id, r.sensor_id_a, r.sensor_id_b, r.contact_event_id, second(r.contact_start), second(r.contact_end), r.n_contact_fixes) for r in got] == [w[:-1] for w in want]
+    assert {w[0] for w in want} == {"D1", "D2", "D3"} and any(w[1] == w[2] for w in want)
+    for r, w in zip(got, want, strict=True):
+        assert r.pair_id == f"{w[1]}:{w[2]}" and (r.animal_id_a, r.animal_id_b) == (w[1], w[2])
+        assert (r.min_distance_m, r.mean_distance_m, r.max_distance_m) == pytest.approx((min(w[-1]), sum(w[-1]) / len(w[-1]), max(w[-1])), abs=1e-6)
