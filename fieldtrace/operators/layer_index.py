@@ -1,8 +1,8 @@
 """Layers of any size, as tables: polygons found through cells and bands, nearest features through rings of cells.
 
 A polygon part is listed in the cells of a grid that suits its size, so in about a hundred at most. A cell that no edge
-comes near is inside or outside as a whole; in the others a point is tested against the edges of the part's band of rows
-that the point lies in. Both tests are those of the literal plans for small layers, edge by edge, with equal results.
+comes near is inside or outside as a whole; in the others a point is tested against the edges of the part in that row of
+cells, polygon after polygon until one holds it. Both tests are those of the literal plans for small layers, edge by edge, with equal results.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions.groups import whole_groups
 from fieldtrace.functions.shapes import Shape, parse, to_degrees
 from fieldtrace.operators.spatial import project_point
 from fieldtrace.sources.scratch import written
 
-#: Edges that a band of a part holds, about.
-BAND_EDGES = 16
 #: Points of a cell, and pieces of features around it, that meet in one task; how many of the points are bounded as one.
 CELL_POINTS, CELL_PIECES, _BLOCK = 65_536, 16_384, 256
+#: Pairs of points and polygons, or of points and edges, that are looked at once; edges up to which a polygon in a cell is tested beside others.
+_PAIRS, _FEW_EDGES = 1_048_576, 64
 
 
 @dataclass(frozen=True)
@@ -75,46 +77,33 @@ def _cover(e: np.ndarray, buffer: float) -> tuple[int, np.ndarray]:
 
 
 _ENDS = ["x1", "y1", "x2", "y2"]
-_EDGE = pa.struct([(c, pa.float64()) for c in _ENDS])
 
 
 def _polygon_tables(layer: LayerTable, crs: int, buffer: float) -> tuple[DataFrame, DataFrame]:
-    """Cells of all polygon parts, and their bands with edges."""
+    """Cells of all polygon parts, each with the part's edges (four numbers an edge) in its row of cells, and the polygons' names."""
     read = layer.shapes(crs)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None, int, np.ndarray, float, float, int]]:
-        for no, name, _, shape in read(batches):
-            for k, rings in enumerate(shape.parts if shape.kind == "polygon" else ()):
-                e = _edges(rings)
-                if len(e):
-                    low, high = e[:, 1::2].min() - buffer, e[:, 1::2].max() + buffer
-                    bands = max(1, len(e) // BAND_EDGES)
-                    yield no, name, k, e, low, max((high - low) / bands, 1e-12), bands
-
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for no, name, k, e, low, high, bands in parts(batches):
-            level, found = _cover(e, buffer)
-            n = len(found)
-            columns = [pa.repeat(pa.scalar(level, pa.int32()), n), *(pa.array(found[:, i]) for i in (0, 1)), pa.repeat(pa.scalar(no, pa.int64()), n), pa.repeat(pa.scalar(k, pa.int32()), n), pa.repeat(pa.scalar(name, pa.string()), n), pa.array(found[:, 2] == 1), *(pa.repeat(pa.scalar(v, pa.float64()), n) for v in (low, high)), pa.repeat(pa.scalar(bands, pa.int32()), n)]
-            yield pa.RecordBatch.from_arrays(columns, ["level", "cx", "cy", "no", "part", "name", "inside", "low", "high", "bands"])
-
-    def bands_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for no, _, k, e, low, high, bands in parts(batches):
-            place = lambda y: np.clip(np.floor((y - low) / high), 0, bands - 1).astype(np.int64)  # noqa: B023, E731
-            first, last = place(np.minimum(e[:, 1], e[:, 3]) - buffer - high * 1e-9), place(np.maximum(e[:, 1], e[:, 3]) + buffer + high * 1e-9)
-            n = last - first + 1
-            edge = np.repeat(np.arange(len(e)), n)
-            band = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            order = np.argsort(band, kind="stable")
-            which, starts = np.unique(band[order], return_index=True)
-            flat = e[edge[order]]
-            rows = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(4)], fields=list(_EDGE)))
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(no, pa.int64()), len(which)), pa.repeat(pa.scalar(k, pa.int32()), len(which)), pa.array(which.astype(np.int32)), rows], ["no", "part", "band", "edges"])
+        for no, _, _, shape in read(batches):
+            for rings in shape.parts if shape.kind == "polygon" else ():
+                e = _edges(rings)
+                if not len(e):
+                    continue
+                level, found = _cover(e, buffer)
+                size, most = 2.0**level, max(1, _PAIRS // len(e))
+                slack = buffer + size * 1e-9
+                low, high = np.minimum(e[:, 1], e[:, 3]) - slack, np.maximum(e[:, 1], e[:, 3]) + slack
+                for some in np.split(found, range(most, len(found), most)):
+                    y = some[:, 1, None] * size  # edges that reach into the cell's row
+                    which, edge = np.nonzero((some[:, 2, None] == 0) & (low <= y + size) & (high >= y))
+                    edges = pa.ListArray.from_arrays(pa.array(4 * np.searchsorted(which, np.arange(len(some) + 1)), pa.int32()), pa.array(e[edge].ravel()))
+                    columns = [pa.repeat(pa.scalar(level, pa.int32()), len(some)), *(pa.array(some[:, k]) for k in (0, 1)), pa.repeat(pa.scalar(no, pa.int64()), len(some)), pa.array(some[:, 2] == 1), edges]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "cx", "cy", "no", "inside", "edges"])
 
     # Features are few bytes but much work: an even share for every task.
     spread = layer.df.repartition(int(layer.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = spread.mapInArrow(cells, "level int, cx long, cy long, no long, part int, name string, inside boolean, low double, high double, bands int")
-    return found, spread.mapInArrow(bands_, "no long, part int, band int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    found = spread.mapInArrow(cells, "level int, cx long, cy long, no long, inside boolean, edges array<double>")
+    return found, layer.df.select(F.col("layer_no").alias("_no"), F.col("name").alias("_name"))
 
 
 def _segment(x: Column, y: Column, e: Column) -> Column:
@@ -124,14 +113,98 @@ def _segment(x: Column, y: Column, e: Column) -> Column:
     return F.sqrt((x - (e["x1"] + t * dx)) ** 2 + (y - (e["y1"] + t * dy)) ** 2)
 
 
-def _holds(x: Column, y: Column, edges: Column, buffer: float) -> Column:
-    """Inside by the parity of crossings, or on an edge, or within the buffer of one."""
-    slope = lambda e: (e["x2"] - e["x1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"])
-    passed = lambda e: F.coalesce(((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * slope(e)), F.lit(False))
-    cross = lambda e: (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
-    on = lambda e: (F.abs(cross(e)) <= 1e-15) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    found = F.aggregate(edges, F.lit(False), lambda odd, e: odd != passed(e)) | F.exists(edges, on)
-    return found | F.exists(edges, lambda e: _segment(x, y, e) <= buffer) if buffer > 0 else found
+def _edge_tests(x: np.ndarray, y: np.ndarray, e: np.ndarray, buffer: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a ray from a point crosses an edge, and whether the point is on it or within the buffer of it; ``e`` has its numbers last."""
+    x1, y1, x2, y2 = (e[..., k] for k in range(4))
+    dx, dy = x2 - x1, y2 - y1
+    crossed = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (dx / np.where(dy != 0, dy, 1.0)))
+    on = (np.abs((x - x1) * dy - (y - y1) * dx) <= 1e-15) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2)) & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2))
+    if buffer > 0:
+        span = dx * dx + dy * dy
+        t = np.clip(((x - x1) * dx + (y - y1) * dy) / np.where(span > 0, span, np.inf), 0.0, 1.0)
+        on |= np.sqrt((x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2) <= buffer
+    return crossed, on
+
+
+def _held(x: np.ndarray, y: np.ndarray, which: np.ndarray, edges: np.ndarray, ends: np.ndarray, buffer: float) -> np.ndarray:
+    """Whether polygon ``which`` (its edges end at ``ends``) holds a point: by the parity of crossings, or on an edge, or within the buffer of one."""
+    out, count = np.zeros(len(x), bool), np.diff(ends)[which]
+    few = np.flatnonzero((count > 0) & (count <= _FEW_EDGES))
+    for some in np.split(few, range(_PAIRS // _FEW_EDGES, len(few), _PAIRS // _FEW_EDGES)):
+        n = count[some]
+        starts = np.cumsum(n) - n
+        i = np.repeat(some, n)
+        crossed, on = _edge_tests(x[i], y[i], edges[np.arange(len(i)) + np.repeat(ends[which[some]] - starts, n)], buffer)
+        if len(some):
+            out[some] = (np.add.reduceat(crossed.astype(np.int64), starts) % 2 == 1) | np.logical_or.reduceat(on, starts)
+    many = np.flatnonzero(count > _FEW_EDGES)
+    many = many[np.lexsort((y[many], which[many]))]
+    for mine in np.split(many, np.flatnonzero(np.diff(which[many])) + 1) if len(many) else ():
+        e = edges[ends[which[mine[0]]] : ends[which[mine[0]] + 1]]
+        low, high = np.minimum(e[:, 1], e[:, 3]) - buffer * (1 + 1e-9), np.maximum(e[:, 1], e[:, 3]) + buffer * (1 + 1e-9)
+        for some in np.split(mine, range(_FEW_EDGES, len(mine), _FEW_EDGES)):  # points of a narrow band meet few edges
+            near = e[(low <= y[some[-1]]) & (high >= y[some[0]])]
+            found = [_edge_tests(x[some, None], y[some, None], near[k : k + _PAIRS // _FEW_EDGES], buffer) for k in range(0, len(near), _PAIRS // _FEW_EDGES)]
+            if found:
+                out[some] = (sum(np.count_nonzero(c, axis=1) for c, _ in found) % 2 == 1) | np.any([o.any(1) for _, o in found], axis=0)
+    return out
+
+
+def _first_of(x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, inside: np.ndarray, edges: np.ndarray, ends: np.ndarray, buffer: float) -> np.ndarray:
+    """For each point the first of polygons ``first`` to ``last`` that holds it, or -1. More polygons at once are looked at the fewer points are left."""
+    best, at, rest = np.full(len(x), -1), first.copy(), np.flatnonzero(first < last)
+    boxes = np.tile([[-np.inf], [-np.inf], [np.inf], [np.inf]], len(inside))
+    some = np.flatnonzero(np.diff(ends))
+    for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum)):
+        if len(some):
+            boxes[k, some] = f.reduceat(f(edges[:, k % 2], edges[:, k % 2 + 2]), ends[some]) + (-1 if k < 2 else 1) * buffer * (1 + 1e-9)
+    while len(rest):
+        n = np.minimum(last[rest] - at[rest], max(1, _PAIRS // (4 * len(rest))))
+        i = np.repeat(rest, n)
+        c = np.arange(len(i)) + np.repeat(at[rest] - np.cumsum(n) + n, n)
+        can = np.flatnonzero(inside[c] | ((x[i] >= boxes[0, c]) & (x[i] <= boxes[2, c]) & (y[i] >= boxes[1, c]) & (y[i] <= boxes[3, c])))
+        i, c = i[can], c[can]
+        hit = inside[c].copy()
+        asked = np.flatnonzero(~hit)
+        hit[asked] = _held(x[i[asked]], y[i[asked]], c[asked], edges, ends, buffer)
+        own, place = np.unique(i[hit], return_index=True)
+        best[own] = c[hit][place]
+        at[rest] += n
+        rest = rest[(best[rest] < 0) & (at[rest] < last[rest])]
+    return best
+
+
+def _first_in_cells(asked: DataFrame, cells: DataFrame, buffer: float) -> DataFrame:
+    """``_px, _py, no``: for points in cells the first polygon of the cell that holds one, where any does.
+
+    A cell's points and polygons meet in one task, points of a full cell in several; no row is made for a point and a polygon.
+    """
+    cell = ["level", "cx", "cy"]
+    full = asked.groupBy(*cell).agg(F.floor((F.count(F.lit(1)) - 1) / CELL_POINTS).alias("_last")).filter("_last > 0")
+    parted = lambda df, part: df.join(full, cell, "left").withColumn("_part", part).drop("_last")
+    last = F.coalesce(F.col("_last"), F.lit(0).cast("long"))
+    points = parted(asked, F.pmod(F.xxhash64("_px", "_py"), last + 1)).withColumns({"no": F.lit(None).cast("long"), "edges": F.lit(None).cast("array<double>")})
+    held = parted(cells, F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("edges", F.when(~F.col("inside"), F.col("edges")))
+    none = F.lit(None).cast("double")
+    columns = [*cell, "_part", "_px", "_py", "no", "edges"]
+    both = points.select(columns).union(held.withColumns({"_px": none, "_py": none}).select(columns))
+    order = Window.partitionBy(*cell, "_part").orderBy(F.col("no").asc_nulls_last())
+    rows = both.withColumn("_i", F.row_number().over(order)).select("_px", "_py", "no", "edges", "_i")
+
+    def answered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, is_point = np.cumsum(t["_i"].to_numpy() == 1), pc.is_null(t["no"]).to_numpy()
+        kept = t.filter(pa.array(~is_point))
+        lists = kept["edges"].combine_chunks() if kept["edges"].num_chunks != 1 else kept["edges"].chunk(0)
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy() // 4
+        edges, ends = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), np.append(0, np.cumsum(length))
+        asks = t.filter(pa.array(is_point)).select(["_px", "_py"])
+        first, stop = (np.searchsorted(group[~is_point], group[is_point], side) for side in ("left", "right"))
+        best = _first_of(*(asks[c].to_numpy() for c in ("_px", "_py")), first, stop, pc.is_null(lists).to_numpy(zero_copy_only=False), edges, ends, buffer)
+        found = pa.array(best >= 0)
+        asks = asks.filter(found).append_column("no", kept["no"].take(pa.array(best[best >= 0])))
+        yield from asks.to_batches()
+
+    return rows.mapInArrow(whole_groups(answered), "_px double, _py double, no long")
 
 
 def _unhidden(cells: DataFrame, levels: list[int]) -> DataFrame:
@@ -151,9 +224,9 @@ def with_polygon(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: in
 
     ``x, y`` and the buffer are in EPSG:``crs``. Points meet polygons by cell, once for each level that the layer has; equal
     points are looked up once. Where coordinates are null nothing is found. Cells are a written table, as several joins read
-    them; where polygons overlap, a point meets few more than the one found, however many hold it.
+    them; a point meets polygons inside a task, in their order, until one holds it.
     """
-    cells, bands = _polygon_tables(layer, crs, buffer)
+    cells, names = _polygon_tables(layer, crs, buffer)
     cells = written(cells)
     levels = [r["level"] for r in cells.select("level").distinct().collect()]  # exponents of two: a few dozen at most
     marked = df.withColumns({"_px": x, "_py": y})
@@ -162,14 +235,9 @@ def with_polygon(df: DataFrame, x: Column, y: Column, layer: LayerTable, crs: in
     cells = _unhidden(cells, levels)
     points = marked.select("_px", "_py").filter("_px is not null and _py is not null").distinct()
     at = lambda v, n: F.floor(F.col(v) / F.lit(2.0**n)).cast("long")
-    asked = points.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), at("_px", n).alias("cx"), at("_py", n).alias("cy")) for n in levels])))
-    met = asked.select("_px", "_py", "_c.*").join(cells, ["level", "cx", "cy"])
-    sure = met.filter("inside").select("_px", "_py", "no")
-    band = F.least(F.greatest(F.floor((F.col("_py") - F.col("low")) / F.col("high")), F.lit(0)), F.col("bands") - 1).cast("int")
-    tested = met.filter("not inside").withColumn("band", band).join(bands, ["no", "part", "band"]).filter(_holds(F.col("_px"), F.col("_py"), F.col("edges"), buffer))
+    asked = points.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), at("_px", n).alias("cx"), at("_py", n).alias("cy")) for n in levels]))).select("_px", "_py", "_c.*")
     # The least number alone, as a hash aggregate holds it: a struct with a name would be sorted, candidate by candidate.
-    first = sure.union(tested.select("_px", "_py", "no")).groupBy("_px", "_py").agg(F.min("no").alias("_no"))
-    names = layer.df.select(F.col("layer_no").alias("_no"), F.col("name").alias("_name"))
+    first = _first_in_cells(asked, cells, buffer).groupBy("_px", "_py").agg(F.min("no").alias("_no"))
     return marked.join(first.join(names, "_no"), ["_px", "_py"], "left").drop("_px", "_py")
 
 

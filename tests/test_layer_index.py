@@ -141,3 +141,34 @@ def test_points_far_from_a_cluster_meet_it_in_parts(spark, monkeypatch):
     assert len(found) == len(points)
     for row in found:
         assert row._d == pytest.approx(want[row.k][0], abs=1e-6) and row._name == f"r{want[row.k][1]}"
+
+
+def test_many_polygons_with_edges_in_a_cell_meet_its_points_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(layer_index, "CELL_POINTS", 20)
+    r = random.Random(5)
+    wide = [[0.01 * (1 - 0.05 * r.random()) for _ in range(4)] for _ in range(150)]
+    box = lambda w: f"POLYGON (({150 - w[0]!r} {-30 - w[1]!r}, {150 + w[2]!r} {-30 - w[1]!r}, {150 + w[2]!r} {-30 + w[3]!r}, {150 - w[0]!r} {-30 + w[3]!r}))"
+    layer = layers.paddock_table(spark.createDataFrame([(k, f"p{k}", box(w)) for k, w in enumerate(wide)], "no long, name string, geometry string"), "no", "name")
+    points = [(150 + 0.0101 * r.uniform(-1, 1), -30 + 0.0101 * r.choice([-1, 1]) * r.uniform(0.9, 1)) for _ in range(400)]
+    found = cleaning.with_first_polygon(table(spark, [("D", "S", 60 * i, *p) for i, p in enumerate(points)]), layer, 0, 3857)
+    # A join with bands of edges made a row for each point and polygon of a cell.
+    assert "band" not in found._jdf.queryExecution().toString()
+    want = {i: next((f"p{k}" for k, (a, b, c, d) in enumerate(wide) if 150 - a <= x <= 150 + c and -30 - b <= y <= -30 + d), None) for i, (x, y) in enumerate(points)}
+    assert {g.order_col: g._p for g in found.collect()} == want and len(set(want.values())) > 8 and None in want.values()
+
+
+@pytest.mark.parametrize("pairs, few", [(7, 3), (1000, 64), (1_048_576, 64)])
+@pytest.mark.parametrize("buffer", [0.0, 3e-4])
+def test_the_first_polygon_is_found_in_pieces(monkeypatch, pairs, few, buffer):
+    import numpy as np
+
+    monkeypatch.setattr(layer_index, "_PAIRS", pairs)
+    monkeypatch.setattr(layer_index, "_FEW_EDGES", few)
+    r = random.Random(8)
+    shapes = [rings(r, 3 * k)[:1] for k in range(1, 24) if k % 4]
+    edges = [layer_index._edges(tuple(map(tuple, s[0]))) for s in shapes]
+    points = np.array([(150 + r.random() * 0.02, -30 + r.random() * 0.02) for _ in range(150)] + [v for s in shapes for v in s[0][0][:3]])
+    first, last = (np.array(v) for v in zip(*[sorted((r.randrange(len(shapes) + 1), r.randrange(len(shapes) + 1))) for _ in points], strict=True))
+    got = layer_index._first_of(*points.T, first, last, np.zeros(len(shapes), bool), np.concatenate(edges), np.append(0, np.cumsum([len(e) for e in edges])), buffer)
+    want = [next((k for k in range(a, b) if within(x, y, shapes[k], buffer)), -1) for (x, y), a, b in zip(points.tolist(), first, last, strict=True)]
+    assert got.tolist() == want and len(set(want)) > 8
